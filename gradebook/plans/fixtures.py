@@ -250,6 +250,19 @@ def mc_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.withColumn("model_output", resp)
 
 
+PARTIAL_RUN = 2
+PARTIAL_SUBJECTS = ["s0", "s1", "s2"]
+
+
+def mc_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored runs; the last run is unfinished (subjects s0-s2 only)."""
+    from gradebook.functions.extract import mc_correct, mc_letter
+    o = mc_outputs(spark, sf_dir)
+    o = o.filter((F.col("run") != PARTIAL_RUN) | F.col("subject").isin(*PARTIAL_SUBJECTS))
+    return o.select("*", mc_letter("model_output").alias("letter"),
+                    mc_correct("model_output", "answer").alias("correct"))
+
+
 # ---------------------------------------------------------------------------
 # Instruction data
 # ---------------------------------------------------------------------------

@@ -151,6 +151,19 @@ SELECT q.*, r.run, r.model, r.ntrain, r.cot,
     ELSE 'the answer is The ' || ['A','B','C','D'][(q.id // 3 + r.run) % 4 + 1] END AS model_output
 FROM mc_questions q, mc_runs r""")
 
+def _mc_results_sql() -> str:
+    from gradebook.plans.fixtures import PARTIAL_RUN, PARTIAL_SUBJECTS
+    from gradebook.plans.sql_snippets import mc_letter_sql, ustrip_sql
+    subj = ", ".join("'" + x + "'" for x in PARTIAL_SUBJECTS)
+    return f"""
+SELECT *, CAST(coalesce(lower(letter) = lower(answer), FALSE) AS INTEGER) AS correct FROM (
+  SELECT *, {mc_letter_sql("r")} AS letter FROM (
+    SELECT *, {ustrip_sql("model_output")} AS r FROM mc_outputs
+    WHERE run <> {PARTIAL_RUN} OR subject IN ({subj})) x) y"""
+
+
+view("mc_results", ["mc_outputs"], _mc_results_sql())
+
 view("ratings", [], """
 SELECT d.doc_id,
   CASE WHEN d.doc_id % 13 = 0

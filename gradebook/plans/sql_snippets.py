@@ -42,3 +42,29 @@ RATING = """coalesce(
     try_cast(nullif(regexp_extract(judgment, '\\[\\[(\\d+\\.?\\d*)\\]\\]', 1), '') AS DOUBLE),
     try_cast(nullif(regexp_extract(judgment, '\\[(\\d+\\.?\\d*)\\]', 1), '') AS DOUBLE),
     -1.0)"""
+
+
+# ---------------------------------------------------------------------------
+# Multiple-choice letter cascade in RE2 syntax
+# ---------------------------------------------------------------------------
+
+# RE2's \s is ASCII only; Python's str patterns are Unicode aware.
+_WS = r"[\s\p{Z}\x{1c}-\x{1f}]"
+
+
+def _re2(p: str) -> str:
+    return p.replace(r"\s", _WS).replace("\\（", "（").replace("\\）", "）")
+
+
+def ustrip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def mc_letter_sql(x: str) -> str:
+    """E1+E2 in SQL over an already stripped text expression ``x``."""
+    from gradebook import fixed
+    cascade = ", ".join(
+        f"list_extract(regexp_extract_all({x}, '{_re2(p)}', 1), -1)" for p in fixed.MC_ANSWER_PATTERNS)
+    return (f"CASE WHEN length({x}) = 0 THEN NULL "
+            f"WHEN substr({x}, 1, 1) IN ('A', 'B', 'C', 'D') THEN substr({x}, 1, 1) "
+            f"ELSE coalesce({cascade}) END")
