@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gradebook import fixed
-from gradebook.functions.text import col_, ustrip
+from gradebook.functions.text import PY_WS, col_, ustrip
 
 
 def _num(text: Column, pattern: str, group: int = 1) -> Column:
@@ -97,8 +97,8 @@ def game_winner(position_verdict: Column, swapped: bool) -> Column:
 # ---------------------------------------------------------------------------
 
 def _java_pattern(p: str) -> str:
-    # Python's \s is Unicode aware; Java needs (?U) for the same classes.
-    return "(?U)" + p
+    # Python's \s is Unicode aware; spell out the same class for Java.
+    return p.replace(r"\s", PY_WS)
 
 
 def mc_letter(response: Column | str, strict_first_letter: bool = False) -> Column:

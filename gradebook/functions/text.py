@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Java's \s is ASCII unless (?U) is given; Python's str.strip() also removes the
-# information separators U+001C..U+001F.
-_USTRIP = r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$"
+# Exactly the characters Python's str.isspace() accepts, written as one regex
+# class that Java and RE2 read the same way (Java's \s is ASCII-only and also
+# differs from RE2's on \x0b, so neither engine's \s is used).
+PY_WS = r"[\t\n\x{0b}\f\r\x{1c}-\x{1f}\x{85}\p{Z}]"
+_USTRIP = f"^{PY_WS}+|{PY_WS}+$"
 
 
 def col_(c: Column | str) -> Column:
@@ -21,7 +23,7 @@ def ustrip(c: Column | str) -> Column:
 
 def normalize_text(c: Column | str) -> Column:
     """Lower case, collapse whitespace runs to one space, strip."""
-    return ustrip(F.regexp_replace(F.lower(col_(c)), r"(?U)\s+", " "))
+    return ustrip(F.regexp_replace(F.lower(col_(c)), f"{PY_WS}+", " "))
 
 
 def cut_at(c: Column | str, stop: str) -> Column:

@@ -32,7 +32,8 @@ def _sql(views, body):
 
 
 def _ustrip_sql(x: str) -> str:
-    return f"regexp_replace({x}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+    from gradebook.plans.sql_snippets import ustrip_sql
+    return ustrip_sql(x)
 
 
 # ---------------------------------------------------------------------------

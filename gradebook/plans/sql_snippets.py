@@ -49,7 +49,7 @@ RATING = """coalesce(
 # ---------------------------------------------------------------------------
 
 # RE2's \s is ASCII only; Python's str patterns are Unicode aware.
-_WS = r"[\s\p{Z}\x{1c}-\x{1f}]"
+from gradebook.functions.text import PY_WS as _WS  # noqa: E402
 
 
 def _re2(p: str) -> str:
