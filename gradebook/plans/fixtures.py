@@ -175,6 +175,22 @@ def pair_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def judgment_stream_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single judgments in event-time order, one per event (the streaming source)."""
+    ev = table(spark, sf_dir, "events")
+    n = (F.floor("value") % 10 + 1).cast("string")
+    return ev.select(
+        F.col("user_id").alias("question_id"),
+        _m("m", F.col("event_id") % 4).alias("model"),
+        F.lit("gpt-4").alias("judge_model"),
+        F.lit("single-v1").alias("judge_prompt"),
+        F.concat(F.lit("Event "), F.col("event_type")).alias("user_prompt"),
+        F.concat(F.lit("Rating: [["), n, F.lit("]]")).alias("judgment"),
+        F.lit(1).alias("turn"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000.0)).alias("tstamp"),
+    )
+
+
 def two_score_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-score judgments ``[[x,y]]`` and their edge shapes, from orders."""
     o = table(spark, sf_dir, "orders")

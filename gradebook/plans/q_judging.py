@@ -181,3 +181,18 @@ def radar_series(spark, sf):
     s = labeled_single(spark, sf).groupBy("model", "label").agg(F.avg("score").alias("score"))
     r = B.radar_series(s, "model", "label", "score")
     return r.withColumn("angle", F.round("angle", 9))
+
+
+# ---------------------------------------------------------------------------
+# Streaming board (R8), batch form; tests run the same plan as a stream
+# ---------------------------------------------------------------------------
+
+@register("stream_board", """
+WITH j AS (SELECT 'm' || CAST(event_id % 4 AS VARCHAR) AS model,
+                  CAST(CAST(floor(value) AS BIGINT) % 10 + 1 AS DOUBLE) AS s, ts FROM events)
+SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS window_start, model,
+       count(*) AS n, sum(s) AS score_sum, avg(s) AS score_avg
+FROM j GROUP BY 1, 2""")
+def stream_board(spark, sf):
+    from gradebook.streaming.board import scored_events, windowed_board
+    return windowed_board(scored_events(fx.judgment_stream_log(spark, sf)))
