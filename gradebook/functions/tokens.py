@@ -1,16 +1,20 @@
 """Token accounting of chat messages (T1) as Column arithmetic.
 
-The tokenizer is pluggable: any ``Column -> Column(int)`` function.  The default
-counts word and punctuation pieces with a JVM regex, which keeps the count inside
-whole-stage codegen.  ``arrow_tokenizer`` wraps a Python encoder (for example a
-BPE encoder) as an Arrow-batched pandas UDF for exact vendor counts.
+The tokenizer is pluggable: any ``Column -> Column(long)`` function.  The default
+counts word and punctuation pieces with a JVM regex (``regexp_count``, no array
+is built), which keeps the count inside whole-stage codegen.  ``arrow_tokenizer``
+wraps a Python encoder (for example a BPE encoder) as an Arrow-batched pandas UDF
+for exact vendor counts.
+
+Constant strings (role names, catalog system prompts) are tokenized once on a
+tiny table and enter the per-row arithmetic as literals.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from gradebook import fixed
@@ -24,7 +28,7 @@ Tokenizer = Callable[[Column], Column]
 
 def regex_tokens(text: Column | str) -> Column:
     """Default tokenizer: number of word/punctuation pieces (0 for null)."""
-    return F.coalesce(F.size(F.regexp_extract_all(col_(text), F.lit(PIECE_PATTERN), 0)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(col_(text), F.lit(PIECE_PATTERN)), F.lit(0)).cast("long")
 
 
 def arrow_tokenizer(encode: Callable[[str], list]) -> Tokenizer:
@@ -38,6 +42,14 @@ def arrow_tokenizer(encode: Callable[[str], list]) -> Tokenizer:
     return lambda c: _count(col_(c))
 
 
+def constant_counts(spark: SparkSession, texts: Mapping[str, str], tokenizer: Tokenizer = regex_tokens) -> dict[str, int]:
+    """Token counts of a small set of constant strings, computed with ``tokenizer``."""
+    if not texts:
+        return {}
+    df = spark.createDataFrame(list(texts.items()), "k string, t string")
+    return {r["k"]: int(r["n"]) for r in df.select("k", tokenizer(F.col("t")).alias("n")).collect()}
+
+
 def message_overheads(judge_model: str) -> tuple[int, int]:
     """(tokens per message, tokens per name) for a judge model name."""
     if judge_model == "gpt-3.5-turbo-0301":
@@ -48,19 +60,25 @@ def message_overheads(judge_model: str) -> tuple[int, int]:
 
 
 def message_tokens(
-    messages: list[tuple[str | Column, Column | str]],
+    messages: list[tuple[str | Column | int, Column | str | int]],
     judge_model: str = "gpt-3.5-turbo",
     tokenizer: Tokenizer = regex_tokens,
 ) -> Column:
     """T1 for a fixed-shape message list of (role, content) pairs.
 
     sum(per-message overhead + tokens(role) + tokens(content)) + reply priming.
+    An ``int`` role or content is an already known token count.
     """
     per_message, _ = message_overheads(judge_model)
+
+    def count(x) -> Column:
+        if isinstance(x, int):
+            return F.lit(x).cast("long")
+        return tokenizer(F.lit(x) if isinstance(x, str) else x)
+
     total = F.lit(fixed.REPLY_PRIMING_TOKENS).cast("long")
     for role, content in messages:
-        role_col = F.lit(role) if isinstance(role, str) else role
-        total = total + F.lit(per_message) + tokenizer(role_col) + tokenizer(content)
+        total = total + F.lit(per_message) + count(role) + count(content)
     return total
 
 

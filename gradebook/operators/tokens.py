@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradebook.functions.tokens import Tokenizer, message_tokens, regex_tokens
-from gradebook.operators.prompts import system_by_name
+from gradebook.functions.tokens import Tokenizer, constant_counts, message_tokens, regex_tokens
 
+ROLES = ("system", "user", "assistant")
 
-def _io_tokens(system, user, judgment, judge_model: str, tokenizer: Tokenizer):
-    """Input (system + user) and output (assistant) token counts."""
-    inp = message_tokens([("system", system), ("user", user)], judge_model, tokenizer)
-    out = message_tokens([("assistant", judgment)], judge_model, tokenizer)
-    return inp, out
+
+def _constants(spark, catalog: dict[str, dict], tokenizer: Tokenizer) -> tuple[dict[str, int], Column]:
+    """Role-name counts and a name -> system-prompt count lookup (one tiny job)."""
+    texts = {f"role:{r}": r for r in ROLES}
+    texts.update({f"sys:{n}": t["system_prompt"] for n, t in catalog.items()})
+    counts = constant_counts(spark, texts, tokenizer)
+    roles = {r: counts[f"role:{r}"] for r in ROLES}
+    sys_map = F.create_map(*[x for n in catalog for x in (F.lit(n), F.lit(counts[f"sys:{n}"]).cast("long"))])
+    return roles, sys_map
 
 
 def token_detail(single: DataFrame | None, pair: DataFrame | None, catalog: dict[str, dict],
@@ -24,23 +28,31 @@ def token_detail(single: DataFrame | None, pair: DataFrame | None, catalog: dict
     The system prompt is looked up by each row's judge prompt name (not always
     the plain one), so the count follows the prompt actually used.
     """
+    spark = (single if single is not None else pair).sparkSession
+    roles, sys_map = _constants(spark, catalog, tokenizer)
+    sys_tokens = F.coalesce(F.try_element_at(sys_map, F.col("judge_prompt")), F.lit(0).cast("long"))
+
+    def io(user: Column, judgment: Column) -> tuple[Column, Column]:
+        # input = system + user messages, output = the assistant message.
+        inp = message_tokens([(roles["system"], 0), (roles["user"], user)], judge_model, tokenizer) + sys_tokens
+        out = message_tokens([(roles["assistant"], judgment)], judge_model, tokenizer)
+        return inp, out
+
     parts = []
     if single is not None:
-        sys = system_by_name(F.col("judge_prompt"), catalog)
-        i, o = _io_tokens(sys, F.col("user_prompt"), F.col("judgment"), judge_model, tokenizer)
+        i, o = io(F.col("user_prompt"), F.col("judgment"))
         parts.append(single.select(
             F.lit(bench).alias("bench"), F.lit("single").alias("mode"), "question_id",
             F.col("model").alias("model_key"), F.lit(0).alias("game"), "judge_model",
             i.alias("input_tokens"), o.alias("output_tokens")))
     if pair is not None:
-        sys = system_by_name(F.col("judge_prompt"), catalog)
         games = F.explode(F.array(
             F.struct(F.lit(1).alias("game"), F.col("g1_user_prompt").alias("u"), F.col("g1_judgment").alias("j")),
             F.struct(F.lit(2).alias("game"), F.col("g2_user_prompt").alias("u"), F.col("g2_judgment").alias("j"))))
         p = pair.select("question_id", "judge_model", "judge_prompt",
                         F.concat(F.least("model_1", "model_2"), F.lit(","), F.greatest("model_1", "model_2"))
                         .alias("model_key"), games.alias("g"))
-        i, o = _io_tokens(sys, F.col("g.u"), F.col("g.j"), judge_model, tokenizer)
+        i, o = io(F.col("g.u"), F.col("g.j"))
         parts.append(p.select(
             F.lit(bench).alias("bench"), F.lit("pair").alias("mode"), "question_id", "model_key",
             F.col("g.game").alias("game"), "judge_model", i.alias("input_tokens"), o.alias("output_tokens")))

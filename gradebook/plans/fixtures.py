@@ -22,8 +22,15 @@ MODELS = ["m0", "m1", "m2", "m3"]
 STOP_MARKER = "</s>"
 
 
+# Fact tables whose per-row work (regexes over whole texts, verdict parsing) is
+# worth spreading when a file arrives as a single split.
+SPREAD_TABLES = {"documents", "lineitem", "orders", "events", "conversations", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    from gradebook.session import ensure_parallelism
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallelism(df) if name in SPREAD_TABLES else df
 
 
 def _m(prefix: str, c) -> F.Column:

@@ -46,6 +46,20 @@ def build_session(
     return spark
 
 
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread an under-split input (for example one file with a single row group,
+    which Spark reads in one task) round-robin over the available cores.
+
+    An input already read in at least ``min_partitions`` splits (default: the
+    cluster's default parallelism) is returned untouched, so on large inputs no
+    shuffle is added.  Filters and column pruning still reach the scan.
+    """
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n)
+
+
 def checkpoint_dir(spark: SparkSession, create_local_if_unset: bool = False) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
