@@ -94,6 +94,67 @@ def run_and_store(work: DataFrame, factory: Callable[[], Model], inputs: list[st
     return spark.read.parquet(path)
 
 
+Generator = Callable[[list, list], Sequence[str]]
+
+
+def generate_answers(
+    questions: DataFrame,
+    factory: Callable[[], Generator],
+    model_id: str,
+    stop: str | None = None,
+    max_retry: int = fixed.API_MAX_RETRY,
+    retry_sleep: float = fixed.API_RETRY_SLEEP,
+    error_output: str = fixed.API_ERROR_OUTPUT,
+) -> DataFrame:
+    """Answer every turn of every question; later turns see earlier outputs.
+
+    ``factory()`` returns ``gen(conversations, temperatures) -> texts`` where a
+    conversation is a list of ``(role, text)`` ending with the user turn to
+    answer.  Turns are generated batch-wise (turn 1 of all rows, then turn 2 of
+    the rows that have one, ...).  The temperature comes from the category (C5);
+    outputs are cut at ``stop`` when present (C6) and stripped.
+    """
+    from gradebook.operators.convert import temperature
+
+    q = questions.select("question_id", "category", "question", temperature("category").alias("temperature"))
+    schema = ("question_id long, category string, question array<string>, model_id string, "
+              "model_answer array<string>, tstamp double, error string")
+
+    def cut(text: str) -> str:
+        if stop and stop in text:
+            text = text[: text.find(stop)]
+        return text.strip()
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+        gen = factory()
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            turns = [list(t) if t is not None else [] for t in pdf["question"]]
+            convs: list[list[tuple[str, str]]] = [[] for _ in turns]
+            answers: list[list[str]] = [[] for _ in turns]
+            errors: list[str | None] = [None] * len(turns)
+            for j in range(max((len(t) for t in turns), default=0)):
+                idx = [i for i, t in enumerate(turns) if len(t) > j]
+                for i in idx:
+                    convs[i].append(("user", turns[i][j]))
+                batch = [convs[i] for i in idx]
+                temps = [float(pdf["temperature"].iloc[i]) for i in idx]
+                out, err = _with_retry(lambda b: gen(b, temps), batch, max_retry, retry_sleep)
+                for k, i in enumerate(idx):
+                    text = cut(out[k]) if out is not None else error_output
+                    if out is None:
+                        errors[i] = err
+                    answers[i].append(text)
+                    convs[i].append(("assistant", text))
+            yield pd.DataFrame({
+                "question_id": pdf["question_id"], "category": pdf["category"], "question": pdf["question"],
+                "model_id": model_id, "model_answer": answers, "tstamp": time.time(), "error": errors})
+
+    return q.mapInPandas(run, schema)
+
+
 # ---------------------------------------------------------------------------
 # Deterministic offline judge (tests, examples and the judge_map query)
 # ---------------------------------------------------------------------------

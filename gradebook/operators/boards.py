@@ -178,6 +178,19 @@ def mc_accuracy(results: DataFrame, run_cols: list[str] | None = None) -> DataFr
     return both.select(*run_cols, "category", percent2(F.col("acc")).alias("acc"))
 
 
+def subject_accuracy(results: DataFrame, run_cols: list[str] | None = None) -> DataFrame:
+    """Correct count and accuracy (%) per run and subject."""
+    run_cols = run_cols or ["model", "ntrain", "cot"]
+    return results.groupBy(*run_cols, "subject").agg(
+        F.sum("correct").cast("long").alias("n_correct"), F.count("*").alias("n"),
+        percent2(F.avg("correct")).alias("acc"))
+
+
+def runs_with_config(df: DataFrame, ntrain: int, cot: bool) -> DataFrame:
+    """C11: the runs of one prompt configuration (real columns, not name tests)."""
+    return df.filter((F.col("ntrain") == ntrain) & (F.col("cot") == F.lit(cot)))
+
+
 def run_label(model: Column, ntrain: Column, cot: Column) -> Column:
     """``<model>_ntrain=<n>_cot=<True|False>`` as used for result folders."""
     cot_s = F.when(cot, F.lit("True")).otherwise(F.lit("False"))

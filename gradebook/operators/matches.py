@@ -117,6 +117,25 @@ def all_pair_matches(questions: DataFrame, answers: DataFrame, models: list[str]
     return _pair_matches(questions, answers, pairs, refs)
 
 
+def shuffle_for_judging(matches: DataFrame, partitions: int, seed: int = 0,
+                        keys: tuple[str, ...] = ("question_id", "model_1", "model_2")) -> DataFrame:
+    """Spread matches over ``partitions`` tasks by a seeded hash of the match
+    key, so concurrent judge calls mix questions and models (execution order
+    only; results do not depend on it)."""
+    present = [k for k in keys if k in matches.columns]
+    return matches.repartition(partitions, F.xxhash64(*present, F.lit(seed)))
+
+
+def filter_models(df: DataFrame, models: list[str] | None, cols: tuple[str, ...] = ("model",)) -> DataFrame:
+    """Keep rows whose model column(s) are all in ``models`` (None keeps all)."""
+    if not models:
+        return df
+    cond = None
+    for c in cols:
+        cond = F.col(c).isin(*models) if cond is None else cond & F.col(c).isin(*models)
+    return df.filter(cond)
+
+
 def match_stats(matches: DataFrame, questions: DataFrame, mode: str, judge: str,
                 baseline: str | None, models: list[str]) -> DataFrame:
     """One-row match statistics."""

@@ -196,3 +196,26 @@ FROM j GROUP BY 1, 2""")
 def stream_board(spark, sf):
     from gradebook.streaming.board import scored_events, windowed_board
     return windowed_board(scored_events(fx.judgment_stream_log(spark, sf)))
+
+
+# ---------------------------------------------------------------------------
+# Model-list filter (C8; D15: accepted by every board)
+# ---------------------------------------------------------------------------
+
+SUBSET = ["m0", "m1", "m2"]
+_SUBSET_SQL = ", ".join(f"'{m}'" for m in SUBSET)
+
+
+@register("win_board_subset", _board_sql(
+    "", where=f"WHERE model_1 IN ({_SUBSET_SQL}) AND model_2 IN ({_SUBSET_SQL})"))
+def win_board_subset(spark, sf):
+    from gradebook.operators.matches import filter_models
+    return B.win_board(filter_models(labeled_games(spark, sf), SUBSET, ("model_1", "model_2")))
+
+
+@register("score_board_subset", with_views(["single_log", "question_labels"], f"""
+, {_SCORED}
+SELECT model, avg(score) AS score, count(*) AS n FROM scored WHERE model IN ({_SUBSET_SQL}) GROUP BY model""".lstrip()))
+def score_board_subset(spark, sf):
+    from gradebook.operators.matches import filter_models
+    return B.score_board(filter_models(labeled_single(spark, sf), SUBSET))

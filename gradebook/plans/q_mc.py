@@ -52,6 +52,21 @@ def q_mc_accuracy(spark, sf):
     return B.mc_accuracy(fx.mc_results(spark, sf))
 
 
+@register("mc_subject_accuracy", with_views(["mc_results"], """
+SELECT model, ntrain, cot, subject, CAST(sum(correct) AS BIGINT) AS n_correct, count(*) AS n,
+       round_even(avg(correct) * 100.0, 2) AS acc
+FROM mc_results GROUP BY model, ntrain, cot, subject"""))
+def q_mc_subject_accuracy(spark, sf):
+    return B.subject_accuracy(fx.mc_results(spark, sf))
+
+
+@register("mc_config_board", with_views(["mc_results"], f"""
+, {_ACC}
+SELECT * FROM acc WHERE ntrain = 5 AND NOT cot""".lstrip()))
+def q_mc_config_board(spark, sf):
+    return B.runs_with_config(B.mc_accuracy(fx.mc_results(spark, sf)), 5, False)
+
+
 def _label_sql(alias: str = "") -> str:
     a = f"{alias}." if alias else ""
     return (f"{a}model || '_ntrain=' || CAST({a}ntrain AS VARCHAR) || '_cot=' || "
