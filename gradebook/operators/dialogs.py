@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gradebook import fixed
 from gradebook.functions.text import ustrip
@@ -43,14 +42,14 @@ def render_tagged(conv: DataFrame, user_tag: str = USER_TAG, assistant_tag: str
     piece = F.when(role == "system", F.col("text")).otherwise(
         F.when(F.length("text") > 0, F.concat(tag, F.lit(":"), F.col("text"), end, F.lit(sep)))
         .otherwise(F.concat(tag, F.lit(":"))))
-    has_sys = F.max((role == "system") & (F.col("turn") == 0)).over(Window.partitionBy("conv_id"))
-    p = conv.select("conv_id", "turn", piece.alias("piece"), has_sys.alias("has_sys"))
-    # A missing system turn is replaced by the default text at position -1.
-    default = (p.filter(~F.col("has_sys") & (F.col("turn") == 0))
-               .select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit(default_system).alias("piece")))
-    tail = p.filter(F.col("turn") == 0).select("conv_id", F.lit(1 << 40).cast("long").alias("turn"),
-                                               F.lit(f"{assistant_tag}:").alias("piece"))
-    allp = p.select("conv_id", F.col("turn").cast("long").alias("turn"), "piece").unionByName(default).unionByName(tail)
+    p = conv.select("conv_id", F.col("turn").cast("long").alias("turn"), piece.alias("piece"))
+    # One partial aggregate per conversation decides the extra pieces: the
+    # default system text (when no system turn leads) and the open tail.
+    per = conv.groupBy("conv_id").agg(F.max((role == "system") & (F.col("turn") == 0)).alias("has_sys"))
+    default = per.filter(~F.col("has_sys")).select(
+        "conv_id", F.lit(-1).cast("long").alias("turn"), F.lit(default_system).alias("piece"))
+    tail = per.select("conv_id", F.lit(1 << 40).cast("long").alias("turn"), F.lit(f"{assistant_tag}:").alias("piece"))
+    allp = p.unionByName(default).unionByName(tail)
     return _join_pieces(allp, "conv_id", "turn", "piece")
 
 
@@ -96,10 +95,11 @@ def render_inst(conv: DataFrame, default_system: str = DEFAULT_SYSTEM) -> DataFr
     each (user, assistant) pair becomes ``<s>[INST] u [/INST] a </s>`` and the
     final user turn ``<s>[INST] u [/INST]``.
     """
-    ok = dialog_checks(conv).filter("valid").select("conv_id", "has_system", "n_turns")
-    c = conv.join(ok, "conv_id")
-    sys_text = F.max(F.when(F.col("role") == "system", F.col("text"))).over(Window.partitionBy("conv_id"))
-    c = c.withColumn("sys", F.coalesce(sys_text, F.lit(default_system)))
+    sys_text = conv.groupBy("conv_id").agg(F.max(F.when(F.col("role") == "system", F.col("text"))).alias("sys"))
+    ok = dialog_checks(conv).filter("valid").select("conv_id", "has_system", "n_turns").join(sys_text, "conv_id")
+    # Per-conversation facts are one row each; the join back to the turns is an
+    # equi-join that AQE can split when one conversation is very large.
+    c = conv.join(ok, "conv_id").withColumn("sys", F.coalesce(F.col("sys"), F.lit(default_system)))
     offset = F.when(F.col("has_system"), F.lit(1)).otherwise(F.lit(0))
     p = F.col("turn") - offset
     n = F.col("n_turns") - offset
@@ -118,8 +118,8 @@ def history_pairs(conv: DataFrame) -> DataFrame:
     """Drop the first message, pair the rest as (user, assistant) history, and
     keep the last message as the current question.  ``valid`` is false when the
     remaining count is even (pairs then stop at the last complete one)."""
-    n = F.count("*").over(Window.partitionBy("conv_id"))
-    c = conv.select("conv_id", "turn", "text", n.alias("n")).filter(F.col("turn") > 0)
+    n = conv.groupBy("conv_id").agg(F.count("*").alias("n"))
+    c = conv.join(n, "conv_id").select("conv_id", "turn", "text", "n").filter(F.col("turn") > 0)
     q = F.col("turn") - 1
     rest = F.col("n") - 1
     c = c.select("conv_id", "text", q.alias("q"), rest.alias("rest"))
