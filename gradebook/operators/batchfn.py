@@ -75,6 +75,37 @@ def call_model(
     return df.mapInPandas(run, schema)
 
 
+def call_model_multi(
+    df: DataFrame,
+    factory: Callable[[], Model],
+    calls: list[tuple[list[str], str]],
+    max_retry: int = fixed.API_MAX_RETRY,
+    retry_sleep: float = fixed.API_RETRY_SLEEP,
+    error_output: str = fixed.API_ERROR_OUTPUT,
+) -> DataFrame:
+    """Several model calls per row in one Arrow pass (e.g. both position orders
+    of a pairwise game): ``calls`` is a list of (input columns, output column).
+    Each output gets its own ``<output>_error`` column."""
+    extra = []
+    for _, out in calls:
+        extra += [StructField(out, StringType()), StructField(f"{out}_error", StringType())]
+    schema = StructType(list(df.schema.fields) + extra)
+
+    def run(batches: Iterator) -> Iterator:
+        fn = factory()
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            pdf = pdf.copy()
+            for inputs, out in calls:
+                res, err = _with_retry(fn, pdf[inputs], max_retry, retry_sleep)
+                pdf[out] = res if res is not None else error_output
+                pdf[f"{out}_error"] = None if res is not None else err
+            yield pdf
+
+    return df.mapInPandas(run, schema)
+
+
 def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``work`` whose key has no finished result yet."""
     return work.join(done.select(*keys).distinct(), keys, "left_anti")

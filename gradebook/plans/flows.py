@@ -41,10 +41,11 @@ def judge_pairwise(questions: DataFrame, answers: DataFrame, models: list[str],
     keys = ["question_id", "model_1", "model_2", "judge_prompt"]
 
     def both_games(df: DataFrame) -> DataFrame:
-        g1 = U.call_model(df, judge_factory, ["system_prompt", "g1_user_prompt"], "g1_judgment", **retry)
-        g1 = g1.withColumnRenamed("error", "g1_error")
-        g2 = U.call_model(g1, judge_factory, ["system_prompt", "g2_user_prompt"], "g2_judgment", **retry)
-        return g2.withColumnRenamed("error", "g2_error")
+        # Both position orders in one Arrow pass over the matches.
+        g = U.call_model_multi(df, judge_factory, [(["system_prompt", "g1_user_prompt"], "g1_judgment"),
+                                                   (["system_prompt", "g2_user_prompt"], "g2_judgment")], **retry)
+        return (g.withColumnRenamed("g1_judgment_error", "g1_error")
+                .withColumnRenamed("g2_judgment_error", "g2_error"))
 
     spark = questions.sparkSession
     try:

@@ -326,9 +326,10 @@ def judge_map(spark, sf):
     m = M.all_pair_matches(fx.questions(spark, sf), _answers(spark, sf), ALL_PAIR_ORDER)
     m = m.select("question_id", "model_1", "model_2",
                  F.get("answer_1", 0).alias("a1"), F.get("answer_2", 0).alias("a2"))
-    g1 = U.call_model(m, U.length_judge_factory, ["a1", "a2"], "g1_judgment").drop("error")
-    g2 = U.call_model(g1, U.length_judge_factory, ["a2", "a1"], "g2_judgment")
-    out = V.with_game_winners(g2)
+    both = U.call_model_multi(m, U.length_judge_factory,
+                              [(["a1", "a2"], "g1_judgment"), (["a2", "a1"], "g2_judgment")])
+    both = both.withColumn("error", F.coalesce("g1_judgment_error", "g2_judgment_error"))
+    out = V.with_game_winners(both)
     return out.select("question_id", "model_1", "model_2", "g1_judgment", "g2_judgment",
                       "g1_winner", "g2_winner", "error")
 
