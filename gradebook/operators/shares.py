@@ -10,19 +10,63 @@ from pyspark.sql.window import Window
 TOKEN_PATTERN = r"[^\t\n\x{0b}\f\r ]+"
 
 
-def cumulative_share_cut(df: DataFrame, group: str, value: str, p: float, tiebreak: list[str]) -> DataFrame:
+def grouped_running_sum(df: DataFrame, group: str, order: list[Column], value: str, out: str,
+                        partitions: int | None = None) -> DataFrame:
+    """Running sum of ``value`` per ``group`` in ``order``, safe for huge groups.
+
+    A window partitioned by the group would put a hot group in one task.  Here
+    the rows are range-partitioned on (group, order), so a hot group is cut into
+    contiguous chunks over many partitions; each (partition, group) chunk gets a
+    local running sum, and the totals of the earlier chunks of the same group are
+    added as an offset (a group spans at most ``partitions`` chunks, so that
+    window is bounded).
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, F.col(group), *order).withColumn("_pid", F.spark_partition_id())
+    local_w = (Window.partitionBy("_pid", group).orderBy(*order)
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    r = r.withColumn("_local", F.sum(value).over(local_w))
+    chunks = r.groupBy("_pid", group).agg(F.sum(value).alias("_chunk"))
+    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = chunks.select("_pid", group, F.coalesce(F.sum("_chunk").over(before), F.lit(0.0)).alias("_off"))
+    return (r.join(offsets, ["_pid", group])
+            .withColumn(out, F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off"))
+
+
+HOT_GROUP_ROWS = 1_000_000
+MAX_HOT_KEYS = 10_000
+
+
+def cumulative_share_cut(df: DataFrame, group: str, value: str, p: float, tiebreak: list[str],
+                         hot_group_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
     """Per group keep the largest shares until ``p`` is covered (a row is kept
     when the running total *before* it is at most ``p``), then renormalise.
 
     ``share`` = value / group total; order is share desc then ``tiebreak``.
-    Windows partition by ``group`` only, so groups run in parallel.
+    Group totals and sizes come from one partial aggregate joined back.  Groups
+    larger than ``hot_group_rows`` take the skew-safe two-pass running sum; the
+    rest use one window per group (``None``: every group takes the window).
     """
-    g = Window.partitionBy(group)
-    w = g.orderBy(F.desc("share"), *tiebreak).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = df.withColumn("share", F.col(value) / F.sum(value).over(g))
-    s = s.withColumn("_before", F.sum("share").over(w) - F.col("share"))
-    kept = s.filter(F.col("_before") <= F.lit(p)).drop("_before")
-    return kept.withColumn("kept_share", F.col("share") / F.sum("share").over(g))
+    totals = df.groupBy(group).agg(F.sum(value).alias("_total"), F.count("*").alias("_rows"))
+    s = df.join(totals, group).withColumn("share", F.col(value) / F.col("_total")).drop("_total", "_rows")
+    order = [F.desc("share"), *[F.col(c) for c in tiebreak]]
+    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hot: list | None = []
+    if hot_group_rows is not None:
+        # Hot keys: fewer than rows / hot_group_rows of them exist; collect a bounded list.
+        found = totals.filter(F.col("_rows") > hot_group_rows).select(group).limit(MAX_HOT_KEYS + 1).collect()
+        hot = [r[0] for r in found] if len(found) <= MAX_HOT_KEYS else None
+    if hot == []:
+        s = s.withColumn("_cum", F.sum("share").over(w))
+    elif hot is None:
+        s = grouped_running_sum(s, group, order, "share", "_cum")
+    else:
+        is_hot = F.col(group).isin(*hot)
+        s = (s.filter(~is_hot).withColumn("_cum", F.sum("share").over(w))
+             .unionByName(grouped_running_sum(s.filter(is_hot), group, order, "share", "_cum")))
+    kept = s.filter(F.col("_cum") - F.col("share") <= F.lit(p)).drop("_cum")
+    kept_tot = kept.groupBy(group).agg(F.sum("share").alias("_kt"))
+    return kept.join(kept_tot, group).withColumn("kept_share", F.col("share") / F.col("_kt")).drop("_kt")
 
 
 def tokens(text: Column | str) -> Column:

@@ -120,3 +120,15 @@ def test_win_matrix_null_diagonal_and_never_met(spark):
     rows = [(0, "a", "b", "model_1", "model_1"), (1, "b", "c", "tie", "tie")]
     m = {r.model: r for r in B.win_matrix(spark.createDataFrame(rows, PSCHEMA), ["a", "b", "c"]).collect()}
     assert m["a"]["a"] is None and m["a"]["c"] is None and m["a"]["b"] == 1.0
+
+
+def test_share_cut_hot_group_path_equals_window(spark):
+    from gradebook.operators.shares import cumulative_share_cut
+    rows = [(1 if i < 300 else 2 + i % 7, i, float(1 + (i * 37) % 11)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g long, id long, v double")
+    plain = cumulative_share_cut(df, "g", "v", 0.6, ["id"], hot_group_rows=None)
+    split = cumulative_share_cut(df, "g", "v", 0.6, ["id"], hot_group_rows=50)   # group 1 is "hot"
+    allhot = cumulative_share_cut(df, "g", "v", 0.6, ["id"], hot_group_rows=0)
+    key = lambda r: (r.g, r.id, round(r.share, 12), round(r.kept_share, 12))
+    a = sorted(map(key, plain.collect()))
+    assert a == sorted(map(key, split.collect())) == sorted(map(key, allhot.collect()))

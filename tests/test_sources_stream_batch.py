@@ -128,6 +128,31 @@ def test_model_runner_retry_sentinel_and_resume(spark, tmpdir_):
     assert full.count() == 6 and calls.value == 6            # finished keys are not re-run
 
 
+def test_stream_keep_last_equals_batch(spark, tmpdir_):
+    from gradebook.streaming import latest as L
+    src = os.path.join(tmpdir_, "log")
+    os.makedirs(src)
+    base = {"judge_model": "j", "judge_prompt": "single-v1", "user_prompt": "u", "turn": 1}
+    files = [
+        [dict(base, question_id=1, model="a", judgment="[[2]]", tstamp=1.0),
+         dict(base, question_id=1, model="b", judgment="[[6]]", tstamp=1.0)],
+        [dict(base, question_id=1, model="a", judgment="[[8]]", tstamp=2.0)],      # re-judged: replaces 2
+        [dict(base, question_id=2, model="a", judgment="[[4]]", tstamp=3.0)],
+    ]
+    for i, rows in enumerate(files):
+        with open(os.path.join(src, f"part-{i}.json"), "w") as f:
+            f.write("\n".join(json.dumps(r) for r in rows) + "\n")
+    root = os.path.join(tmpdir_, "latest")
+    q = L.start_latest(spark, src, root, os.path.join(tmpdir_, "ckpt2"), max_files_per_trigger=1)
+    try:
+        q.processAllAvailable()
+        last = q.lastProgress["batchId"]
+    finally:
+        q.stop()
+    board = {r.model: (r.n, r.score) for r in L.read_version(spark, root, "board", last).collect()}
+    assert board == {"a": (2, 6.0), "b": (1, 6.0)}          # mean of 8 and 4, not of 2, 8, 4
+
+
 def test_stream_equals_batch(spark, tmpdir_):
     from gradebook.plans import fixtures as fx
     src = os.path.join(tmpdir_, "log")
