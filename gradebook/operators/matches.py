@@ -1,9 +1,10 @@
 """Match making (J1-J7): questions x models x answers -> matches to judge.
 
 Model lists are user parameters (a handful of names), so pair lists are built
-on the driver from the list and joined as a literal table whose size is fixed by
-the list; every data join is an equi-join on (question_id, model).  No theta
-self-join and no all-pairs-within-a-group expansion happens at run time.
+on the driver from the list (k(k-1)/2 literals).  Each question's answers are
+reduced to a map of at most k entries and the literal pair list is exploded
+against it; no theta self-join of the answers and no all-pairs expansion of data
+rows happens at run time.
 """
 
 from __future__ import annotations
@@ -88,13 +89,10 @@ def single_matches(questions: DataFrame, answers: DataFrame, models: list[str],
 
 def _pair_matches(questions: DataFrame, answers: DataFrame, pairs: list[tuple[str, str]],
                   refs: DataFrame | None) -> DataFrame:
-    spark = questions.sparkSession
+    # Each question's answers become a map of at most |models| entries; the
+    # literal pair list is exploded against it (no self-join of the answers).
     q = _questions(questions)
-    a1 = answers.select("question_id", F.col("model").alias("model_1"), F.col("model_answer").alias("answer_1"))
-    a2 = answers.select("question_id", F.col("model").alias("model_2"), F.col("model_answer").alias("answer_2"))
-    # Answers of model_1 meet the pair list (tiny, broadcast), then model_2's answer.
-    left = a1.join(pair_table(spark, pairs), "model_1")
-    m = left.join(a2, ["question_id", "model_2"]).join(q, "question_id")
+    m = pair_values(answers, pairs, "model_answer", "answer_1", "answer_2").join(q, "question_id")
     m = _with_refs(m, refs)
     m = m.withColumn("judge_prompt", judge_route(F.col("n_turns"), refs is not None, "pair"))
     return m.select("question_id", "category", "question", "n_turns", "model_1", "model_2",
@@ -117,6 +115,27 @@ def all_pair_matches(questions: DataFrame, answers: DataFrame, models: list[str]
     return _pair_matches(questions, answers, pairs, refs)
 
 
+def pair_values(values: DataFrame, pairs: list[tuple[str, str]], value: str, out_1: str, out_2: str) -> DataFrame:
+    """One row per (question, model pair from ``pairs``) carrying both models'
+    ``value``; pairs missing either value drop out.
+
+    Values are first reduced to one per (question, model); each question then
+    holds a map of at most ``len(models)`` entries, and the pair list (a literal
+    of k(k-1)/2 structs) is exploded against it: one aggregation, no join.
+    """
+    models = sorted({m for p in pairs for m in p})
+    per_q = (values.filter(F.col("model").isin(*models))
+             .groupBy("question_id")
+             .agg(F.map_from_entries(F.collect_list(F.struct("model", value))).alias("_m")))
+    pair_col = F.explode(F.array(*[F.struct(F.lit(a).alias("model_1"), F.lit(b).alias("model_2"))
+                                   for a, b in pairs]))
+    x = per_q.select("question_id", "_m", pair_col.alias("_p")).select(
+        "question_id", F.col("_p.model_1").alias("model_1"), F.col("_p.model_2").alias("model_2"),
+        F.try_element_at("_m", F.col("_p.model_1")).alias(out_1),
+        F.try_element_at("_m", F.col("_p.model_2")).alias(out_2))
+    return x.filter(F.col(out_1).isNotNull() & F.col(out_2).isNotNull())
+
+
 def shuffle_for_judging(matches: DataFrame, partitions: int, seed: int = 0,
                         keys: tuple[str, ...] = ("question_id", "model_1", "model_2")) -> DataFrame:
     """Spread matches over ``partitions`` tasks by a seeded hash of the match

@@ -432,9 +432,6 @@ FROM pr""".lstrip()))
 def pair_from_single(spark, sf):
     s = V.with_rating(fx.single_log(spark, sf)).groupBy("question_id", "model").agg(
         F.round(F.avg("score"), 6).alias("score"))
-    pairs = M.pair_table(spark, [(a, b) for _, a, b in M.model_pairs(SINGLE_MODELS)])
-    s1 = s.select("question_id", F.col("model").alias("model_1"), F.col("score").alias("m1_score"))
-    s2 = s.select("question_id", F.col("model").alias("model_2"), F.col("score").alias("m2_score"))
-    pr = s1.join(pairs, "model_1").join(s2, ["question_id", "model_2"])
-    pr = pr.select("question_id", "model_1", "model_2", "m1_score", "m2_score")
+    pairs = [(a, b) for _, a, b in M.model_pairs(SINGLE_MODELS)]
+    pr = M.pair_values(s, pairs, "score", "m1_score", "m2_score")
     return V.pair_from_scores(pr)
