@@ -194,10 +194,17 @@ def judgment_stream_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Event "), F.col("event_type")).alias("user_prompt"),
         F.concat(F.lit("Rating: [["), n, F.lit("]]")).alias("judgment"),
         F.lit(1).alias("turn"),
-        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000.0)).alias("tstamp"),
+        epoch_seconds_ntz("ts").alias("tstamp"),
     )
 
 
+def epoch_seconds_ntz(c: str) -> F.Column:
+    """Epoch seconds of a TIMESTAMP_NTZ wall-clock value read as UTC, independent
+    of the session time zone."""
+    us = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), F.col(c))
+    return us / F.lit(1_000_000.0)
+
+
 def two_score_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-score judgments ``[[x,y]]`` and their edge shapes, from orders."""
     o = table(spark, sf_dir, "orders")

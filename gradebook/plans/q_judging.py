@@ -190,7 +190,7 @@ def radar_series(spark, sf):
 @register("stream_board", """
 WITH j AS (SELECT 'm' || CAST(event_id % 4 AS VARCHAR) AS model,
                   CAST(CAST(floor(value) AS BIGINT) % 10 + 1 AS DOUBLE) AS s, ts FROM events)
-SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS window_start, model,
+SELECT CAST(epoch(time_bucket(INTERVAL 1 hour, ts)) AS BIGINT) AS window_start, model,
        count(*) AS n, sum(s) AS score_sum, avg(s) AS score_avg
 FROM j GROUP BY 1, 2""")
 def stream_board(spark, sf):

@@ -54,8 +54,11 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     cluster's default parallelism) is returned untouched, so on large inputs no
     shuffle is added.  Filters and column pruning still reach the scan.
     """
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
+    try:
+        n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= n:
+            return df
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: no RDD view, leave the input as is
         return df
     return df.repartition(n)
 

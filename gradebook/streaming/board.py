@@ -45,8 +45,8 @@ def windowed_board(events: DataFrame, window: str = "1 hour", watermark: str = "
         e = e.dropDuplicatesWithinWatermark(dedupe_keys)
     g = e.groupBy(F.window("event_time", window).alias("w"), "model").agg(
         F.count("*").alias("n"), F.sum("score").alias("score_sum"), F.avg("score").alias("score_avg"))
-    return g.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "model", "n",
-                    "score_sum", "score_avg")
+    # Window starts as epoch seconds: the same value whatever the session time zone.
+    return g.select(F.unix_seconds("w.start").alias("window_start"), "model", "n", "score_sum", "score_avg")
 
 
 def start_board(spark: SparkSession, source_dir: str, sink, checkpoint: str, window: str = "1 hour",
