@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradebook import fixed
@@ -22,10 +22,6 @@ def model_pairs(models: list[str]) -> list[tuple[int, str, str]]:
     return [(r, a, b) for r, (a, b) in enumerate(combinations(models, 2))]
 
 
-def pair_table(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(list(pairs), "model_1 string, model_2 string"))
-
-
 def _models_col(models: list[str]) -> Column:
     return F.explode(F.array(*[F.lit(m) for m in models]))
 
@@ -119,9 +115,10 @@ def pair_values(values: DataFrame, pairs: list[tuple[str, str]], value: str, out
     """One row per (question, model pair from ``pairs``) carrying both models'
     ``value``; pairs missing either value drop out.
 
-    Values are first reduced to one per (question, model); each question then
-    holds a map of at most ``len(models)`` entries, and the pair list (a literal
-    of k(k-1)/2 structs) is exploded against it: one aggregation, no join.
+    ``values`` must hold at most one row per (question, model) (after keep-last
+    or an aggregate); each question then holds a map of at most ``len(models)``
+    entries, and the pair list (a literal of k(k-1)/2 structs) is exploded
+    against it: one aggregation, no join.
     """
     models = sorted({m for p in pairs for m in p})
     per_q = (values.filter(F.col("model").isin(*models))

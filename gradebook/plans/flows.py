@@ -16,7 +16,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradebook import fixed
 from gradebook.functions.extract import mc_correct, mc_letter
 from gradebook.operators import batchfn as U
 from gradebook.operators import boards as B
@@ -112,7 +111,3 @@ def first_letter_model_factory(letter: str = "A") -> Callable:
     def factory():
         return lambda batch: [f"The answer is {letter}." for _ in range(len(batch))]
     return factory
-
-
-def api_error_output() -> str:
-    return fixed.API_ERROR_OUTPUT
