@@ -78,6 +78,24 @@ def win_board(pairs: DataFrame, labels: list[str] | None = None, baseline: str |
     return g.orderBy(*[F.desc(c) for c in labels], F.desc("win_rate"), "model")
 
 
+def win_board_levels(pairs: DataFrame, labels: list[str], baseline: str | None = None) -> DataFrame:
+    """A6 + A7 in one aggregation: GROUPING SETS ((model), (labels..., model)).
+
+    ``level`` is ``"all"`` for the overall rows (labels null) and ``"label"`` for
+    the per-label rows; one shuffle serves both boards.
+    """
+    o = pair_outcomes(pairs, baseline, keep=labels)
+    g = o.groupingSets([["model"], [*labels, "model"]], *labels, "model").agg(
+        F.sum("win").alias("win"), F.sum("loss").alias("loss"), F.sum("tie").alias("tie"),
+        F.grouping_id().alias("_gid"))
+    if baseline is not None:
+        g = g.filter(F.col("model") != baseline)
+    total = F.col("win") + F.col("loss") + F.col("tie")
+    level = F.when(F.col("_gid") == 0, F.lit("label")).otherwise(F.lit("all"))
+    return g.select(level.alias("level"), *labels, "model", "win", "loss", "tie",
+                    _rate("win", total).alias("win_rate"), _rate("loss", total).alias("loss_rate"))
+
+
 def head_to_head(pairs: DataFrame) -> DataFrame:
     """Per (baseline, opponent) the baseline's win/tie/loss rates against it."""
     o = pair_outcomes(pairs)

@@ -99,6 +99,32 @@ def win_board_by_label(spark, sf):
     return B.win_board(labeled_games(spark, sf), labels=["label", "label2"])
 
 
+@register("win_board_levels", with_views(["pair_log", "question_labels"], f"""
+, {GAMES}, {LABELED_GAMES}, {outcomes("lgames", "label, label2")}
+SELECT CASE WHEN grouping(label, label2, model) = 0 THEN 'label' ELSE 'all' END AS level,
+       label, label2, model, CAST(sum(win) AS BIGINT) AS win, CAST(sum(loss) AS BIGINT) AS loss,
+       CAST(sum(tie) AS BIGINT) AS tie,
+       CAST(sum(win) AS DOUBLE) / CAST(sum(win) + sum(loss) + sum(tie) AS DOUBLE) AS win_rate,
+       CAST(sum(loss) AS DOUBLE) / CAST(sum(win) + sum(loss) + sum(tie) AS DOUBLE) AS loss_rate
+FROM outcomes GROUP BY GROUPING SETS ((model), (label, label2, model))""".lstrip()))
+def win_board_levels(spark, sf):
+    return B.win_board_levels(labeled_games(spark, sf), ["label", "label2"])
+
+
+@register("win_board_markdown", with_views(["pair_log", "question_labels"], f"""
+, {GAMES}, {LABELED_GAMES}, {outcomes("lgames", "label, label2")},
+b AS (SELECT model, CAST(sum(win) AS BIGINT) AS win, CAST(sum(loss) AS BIGINT) AS loss, CAST(sum(tie) AS BIGINT) AS tie
+      FROM outcomes GROUP BY model)
+SELECT 0 AS part, '| model | win | loss | tie |' AS line
+UNION ALL SELECT 1, '|---|---|---|---|'
+UNION ALL SELECT 2, '| ' || model || ' | ' || CAST(win AS VARCHAR) || ' | ' || CAST(loss AS VARCHAR) || ' | '
+                    || CAST(tie AS VARCHAR) || ' |' FROM b""".lstrip()))
+def win_board_markdown(spark, sf):
+    from gradebook.sources.writers import markdown_lines
+    board = B.win_board(labeled_games(spark, sf)).select("model", "win", "loss", "tie")
+    return markdown_lines(board).select("part", "line")
+
+
 @register("head_to_head", with_views(["pair_log", "question_labels"], f"""
 , {GAMES}, {LABELED_GAMES}, {outcomes("lgames")}
 SELECT model AS baseline, opponent, CAST(sum(win) AS BIGINT) AS win, CAST(sum(loss) AS BIGINT) AS loss,
