@@ -83,8 +83,10 @@ def reference_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Append-only answer log (with duplicates) from every 23rd event."""
-    ev = table(spark, sf_dir, "events").filter(F.col("event_id") % 23 == 0)
+    """Append-only answer log (many duplicates) from every event of a user that is
+    a question id; users with ``user_id % 5 = 0`` are never answered by m3, which
+    leaves gaps for the completeness check."""
+    ev = table(spark, sf_dir, "events")
     qids = questions(spark, sf_dir).select(F.col("question_id").alias("user_id"))
     ev = ev.join(qids, "user_id", "left_semi")
     a1 = F.concat(
@@ -92,9 +94,10 @@ def answer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 5 == 0, F.lit(f"{STOP_MARKER} trailing text")).otherwise(F.lit("")),
     )
     a2 = F.concat(F.col("event_type"), F.lit(" follow-up "), F.col("event_id").cast("string"))
+    n_models = F.when(F.col("user_id") % 5 == 0, F.lit(3)).otherwise(F.lit(4))
     return ev.select(
         F.col("user_id").alias("question_id"),
-        _m("m", F.col("event_id") % 4).alias("model"),
+        _m("m", F.col("event_id") % n_models).alias("model"),
         F.array(a1, a2).alias("model_answer"),
         F.col("event_id").alias("seq"),
         F.col("event_id").cast("double").alias("tstamp"),

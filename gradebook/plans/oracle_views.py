@@ -43,14 +43,14 @@ FROM conversations WHERE role = 'assistant' GROUP BY conv_id""")
 
 view("answer_log", ["questions"], f"""
 SELECT user_id AS question_id,
-       'm' || CAST(event_id % 4 AS VARCHAR) AS model,
+       'm' || CAST(event_id % CASE WHEN user_id % 5 = 0 THEN 3 ELSE 4 END AS VARCHAR) AS model,
        [event_type || ' answer ' || CAST(event_id AS VARCHAR)
           || CASE WHEN event_id % 5 = 0 THEN '{STOP_MARKER} trailing text' ELSE '' END,
         event_type || ' follow-up ' || CAST(event_id AS VARCHAR)] AS model_answer,
        event_id AS seq,
        CAST(event_id AS DOUBLE) AS tstamp
 FROM events
-WHERE event_id % 23 = 0 AND user_id IN (SELECT question_id FROM questions)""")
+WHERE user_id IN (SELECT question_id FROM questions)""")
 
 view("question_labels", [], f"""
 SELECT c_custkey AS question_id, c_mktsegment AS label,
