@@ -240,7 +240,8 @@ def mc_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(["A", "B", "C", "D"], F.col("p_partkey") % 4).alias("answer"),
         _m("s", F.col("p_partkey") % 5).alias("subject"),
         F.col("p_type").alias("category"),
-        (F.col("p_partkey") < 40).alias("is_shot"),
+        # Dev/val split: a tenth of the items (every subject) are few-shot examples.
+        (F.col("p_partkey") % 50 < 5).alias("is_shot"),
     )
 
 
@@ -283,15 +284,10 @@ def mc_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.withColumn("model_output", resp)
 
 
-PARTIAL_RUN = 2
-PARTIAL_SUBJECTS = ["s0", "s1", "s2"]
-
-
 def mc_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored runs; the last run is unfinished (subjects s0-s2 only)."""
+    """Scored runs (all outputs, letters extracted, correctness flagged)."""
     from gradebook.functions.extract import mc_correct, mc_letter
     o = mc_outputs(spark, sf_dir)
-    o = o.filter((F.col("run") != PARTIAL_RUN) | F.col("subject").isin(*PARTIAL_SUBJECTS))
     return o.select("*", mc_letter("model_output").alias("letter"),
                     mc_correct("model_output", "answer").alias("correct"))
 
