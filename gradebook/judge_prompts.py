@@ -1,8 +1,9 @@
 """Default judge-prompt catalog.
 
-The wording here is this library's own; only the *field contract* (template
-names, types, output formats and placeholder names) follows the evaluation
-protocol.  Users can load their own catalog with ``sources.read_judge_prompts``.
+The wording and layout here are this library's own; only the *field contract*
+(template names, types, output formats and placeholder names) follows the
+evaluation protocol.  Users can load their own catalog with
+``sources.readers.read_judge_prompts``.
 """
 
 from __future__ import annotations
@@ -10,79 +11,71 @@ from __future__ import annotations
 from gradebook import fixed
 
 _PAIR_SYS = (
-    "You are the referee of a comparison between two AI assistants. Read the user "
-    "question and both replies, weigh helpfulness, relevance, accuracy and depth, and "
-    "ignore the order in which the replies appear, their length and the assistants' names. "
-    "Explain your reasoning briefly, then give the verdict strictly as \"[[A]]\" if "
-    "assistant A is better, \"[[B]]\" if assistant B is better, or \"[[C]]\" for a tie."
+    "You referee a contest between two AI assistants. Read the question and both replies, "
+    "weigh helpfulness, relevance, accuracy and depth, and ignore reply order, length and "
+    "assistant names. Give a short justification, then the verdict exactly as \"[[A]]\" "
+    "(assistant A wins), \"[[B]]\" (assistant B wins) or \"[[C]]\" (a draw)."
 )
 _PAIR_SYS_MT = (
-    "You are the referee of a two-turn conversation contest between two AI assistants. "
-    "Judge how well each assistant handles the second user question in the context of "
-    "the first. Explain briefly, then answer strictly \"[[A]]\", \"[[B]]\" or \"[[C]]\" for a tie."
+    "You referee a two-turn contest between two AI assistants. Judge how each one handles "
+    "the second question given the first. Justify briefly, then answer exactly \"[[A]]\", "
+    "\"[[B]]\" or \"[[C]]\" for a draw."
 )
 _PAIR_SYS_REF = (
-    "You are the referee of a comparison between two AI assistants. A reference answer is "
-    "given; check both replies against it and point out mistakes. Explain briefly, then "
-    "answer strictly \"[[A]]\", \"[[B]]\" or \"[[C]]\" for a tie."
+    "You referee a contest between two AI assistants and hold a reference answer. Check both "
+    "replies against it and name their mistakes. Justify briefly, then answer exactly "
+    "\"[[A]]\", \"[[B]]\" or \"[[C]]\" for a draw."
 )
 _PAIR_SYS_REF_MT = (
-    "You are the referee of a two-turn conversation contest between two AI assistants, "
-    "with reference answers for both turns. Focus on the second turn, check both replies "
-    "against the references, explain briefly, then answer strictly \"[[A]]\", \"[[B]]\" or \"[[C]]\"."
+    "You referee a two-turn contest between two AI assistants and hold reference answers for "
+    "both turns. Focus on the second turn, check both replies against the references, justify "
+    "briefly, then answer exactly \"[[A]]\", \"[[B]]\" or \"[[C]]\"."
 )
 _SINGLE_MT_SYS = (
-    "Grade the AI assistant's reply to the second user question of the conversation below "
-    "for helpfulness, relevance, accuracy and depth. Explain briefly, then give a score "
-    "from 1 to 10 strictly as \"[[rating]]\", for example \"Rating: [[6]]\"."
+    "Grade one AI assistant's reply to the second question of the dialog below for "
+    "helpfulness, relevance, accuracy and depth. Justify briefly, then give a grade from 1 to "
+    "10 written exactly as \"[[grade]]\", e.g. \"Grade: [[6]]\"."
 )
 _SINGLE_REF_MT_SYS = (
-    "Grade the AI assistant's reply to the second user question of the conversation below "
-    "against the reference answers. Point out mistakes, explain briefly, then give a score "
-    "from 1 to 10 strictly as \"[[rating]]\"."
+    "Grade one AI assistant's reply to the second question of the dialog below against the "
+    "reference answers. Name its mistakes, justify briefly, then give a grade from 1 to 10 "
+    "written exactly as \"[[grade]]\"."
 )
 
 _PAIR_1 = (
-    "[User Question]\n{question}\n\n"
-    "[The Start of Assistant A's Answer]\n{answer_a}\n[The End of Assistant A's Answer]\n\n"
-    "[The Start of Assistant B's Answer]\n{answer_b}\n[The End of Assistant B's Answer]"
+    "<question>\n{question}\n</question>\n\n"
+    "<reply from=\"A\">\n{answer_a}\n</reply>\n\n"
+    "<reply from=\"B\">\n{answer_b}\n</reply>"
 )
 _PAIR_REF_1 = (
-    "[User Question]\n{question}\n\n"
-    "[The Start of Reference Answer]\n{ref_answer_1}\n[The End of Reference Answer]\n\n"
-    "[The Start of Assistant A's Answer]\n{answer_a}\n[The End of Assistant A's Answer]\n\n"
-    "[The Start of Assistant B's Answer]\n{answer_b}\n[The End of Assistant B's Answer]"
+    "<question>\n{question}\n</question>\n\n"
+    "<reference>\n{ref_answer_1}\n</reference>\n\n"
+    "<reply from=\"A\">\n{answer_a}\n</reply>\n\n"
+    "<reply from=\"B\">\n{answer_b}\n</reply>"
 )
 _PAIR_MT = (
-    "<|Conversation with Assistant A|>\n\n### User:\n{question_1}\n\n### Assistant A:\n{answer_a_1}\n\n"
-    "### User:\n{question_2}\n\n### Assistant A:\n{answer_a_2}\n\n<|End of Conversation with Assistant A|>\n\n\n"
-    "<|Conversation with Assistant B|>\n\n### User:\n{question_1}\n\n### Assistant B:\n{answer_b_1}\n\n"
-    "### User:\n{question_2}\n\n### Assistant B:\n{answer_b_2}\n\n<|End of Conversation with Assistant B|>"
+    "<dialog with=\"A\">\nQ1: {question_1}\nA1: {answer_a_1}\nQ2: {question_2}\nA2: {answer_a_2}\n</dialog>\n\n"
+    "<dialog with=\"B\">\nQ1: {question_1}\nA1: {answer_b_1}\nQ2: {question_2}\nA2: {answer_b_2}\n</dialog>"
 )
 _PAIR_REF_MT = (
-    "<|Reference Answers|>\n\n### User:\n{question_1}\n\n### Reference:\n{ref_answer_1}\n\n"
-    "### User:\n{question_2}\n\n### Reference:\n{ref_answer_2}\n\n<|End of Reference Answers|>\n\n\n"
+    "<reference>\nQ1: {question_1}\nR1: {ref_answer_1}\nQ2: {question_2}\nR2: {ref_answer_2}\n</reference>\n\n"
     + _PAIR_MT
 )
 _SINGLE_1 = (
-    "[Task]\nGrade the AI assistant's reply to the user question below for helpfulness, "
-    "relevance, accuracy and depth. Explain briefly, then give a score from 1 to 10 strictly "
-    "as \"[[rating]]\", for example \"Rating: [[6]]\".\n\n"
-    "[Question]\n{question}\n\n[The Start of Assistant's Answer]\n{answer}\n[The End of Assistant's Answer]"
+    "Task: grade the reply below for helpfulness, relevance, accuracy and depth. Justify "
+    "briefly, then give a grade from 1 to 10 written exactly as \"[[grade]]\", e.g. "
+    "\"Grade: [[6]]\".\n\n"
+    "<question>\n{question}\n</question>\n\n<reply>\n{answer}\n</reply>"
 )
 _SINGLE_REF_1 = (
-    "[Task]\nGrade the AI assistant's reply against the reference answer. Point out mistakes, "
-    "explain briefly, then give a score from 1 to 10 strictly as \"[[rating]]\".\n\n"
-    "[Question]\n{question}\n\n[The Start of Reference Answer]\n{ref_answer_1}\n[The End of Reference Answer]\n\n"
-    "[The Start of Assistant's Answer]\n{answer}\n[The End of Assistant's Answer]"
-)
-_SINGLE_MT = (
-    "<|Conversation|>\n\n### User:\n{question_1}\n\n### Assistant:\n{answer_1}\n\n"
-    "### User:\n{question_2}\n\n### Assistant:\n{answer_2}\n\n<|End of Conversation|>"
+    "Task: grade the reply below against the reference answer. Name its mistakes, justify "
+    "briefly, then give a grade from 1 to 10 written exactly as \"[[grade]]\".\n\n"
+    "<question>\n{question}\n</question>\n\n<reference>\n{ref_answer_1}\n</reference>\n\n"
+    "<reply>\n{answer}\n</reply>"
 )
+_SINGLE_MT = "<dialog>\nQ1: {question_1}\nA1: {answer_1}\nQ2: {question_2}\nA2: {answer_2}\n</dialog>"
 _SINGLE_REF_MT = (
-    "<|Reference Answers|>\n\n### User:\n{question_1}\n\n### Reference:\n{ref_answer_1}\n\n"
-    "### User:\n{question_2}\n\n### Reference:\n{ref_answer_2}\n\n<|End of Reference Answers|>\n\n\n"
+    "<reference>\nQ1: {question_1}\nR1: {ref_answer_1}\nQ2: {question_2}\nR2: {ref_answer_2}\n</reference>\n\n"
     + _SINGLE_MT
 )
 
