@@ -90,3 +90,15 @@ def test_fewshot_missing_subject_raises(spark):
     val = shots.withColumn("subject", F.lit("s9"))
     with pytest.raises(KeyError):
         P.few_shot(val, shots, 1)
+
+
+def test_pluggable_arrow_tokenizer(spark):
+    from gradebook.functions.tokens import arrow_tokenizer, message_tokens, regex_tokens
+    df = spark.createDataFrame([("a b c",), ("hello, world!",), (None,)], "t string")
+    ws = arrow_tokenizer(lambda s: s.split())
+    got = [r[0] for r in df.select(ws(F.col("t"))).collect()]
+    assert got == [3, 2, 0]
+    assert [r[0] for r in df.select(regex_tokens("t")).collect()] == [3, 4, 0]
+    # 3 per message + role + content, plus 3 for the reply priming
+    n = df.select(message_tokens([("user", F.col("t"))], "gpt-4", ws)).first()[0]
+    assert n == 3 + 1 + 3 + 3
