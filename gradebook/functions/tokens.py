@@ -106,15 +106,20 @@ def message_tokens(
     return total
 
 
-def dialog_tokens(dialog: Column | str, judge_model: str = "gpt-3.5-turbo") -> Column:
-    """T1 over an ``array<struct<role,content>>`` column with the regex tokenizer.
+def dialog_tokens(dialog: Column | str, judge_model: str = "gpt-3.5-turbo", with_name: bool = False) -> Column:
+    """T1 over an ``array<struct<role,content[,name]>>`` column with the regex tokenizer.
 
-    Higher-order functions keep the per-message sum inside the JVM.
+    With ``with_name`` a non-null ``name`` field adds its tokens plus the
+    per-name adjustment.  Higher-order functions keep the sum inside the JVM.
     """
-    per_message, _ = message_overheads(judge_model)
+    per_message, per_name = message_overheads(judge_model)
     d = col_(dialog)
-    pieces = F.transform(
-        d,
-        lambda m: F.lit(per_message) + regex_tokens(m["role"]) + regex_tokens(m["content"]),
-    )
+
+    def one(m: Column) -> Column:
+        t = F.lit(per_message) + regex_tokens(m["role"]) + regex_tokens(m["content"])
+        if with_name:
+            t = t + F.when(m["name"].isNotNull(), regex_tokens(m["name"]) + F.lit(per_name)).otherwise(F.lit(0))
+        return t
+
+    pieces = F.transform(d, one)
     return F.aggregate(pieces, F.lit(0).cast("long"), lambda acc, x: acc + x) + F.lit(fixed.REPLY_PRIMING_TOKENS)

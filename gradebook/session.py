@@ -21,9 +21,19 @@ SCALE_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Broadcast only below this size; AQE re-plans with runtime sizes.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Target post-shuffle partition size; AQE coalesces small ones and splits skewed ones.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
 }
 
 
+def shuffle_partitions_for(input_bytes: int, total_cores: int, target_bytes: int = 128 * 1024 * 1024) -> int:
+    """Initial ``spark.sql.shuffle.partitions`` for a job over ``input_bytes``:
+    enough for ~``target_bytes`` per partition and at least two waves of tasks.
+    AQE coalesces down from this number, never up, so err on the high side
+    (100 TB at 128 MB gives ~800k; with 1000 executors x 8 cores, >= 16k)."""
+    return max(2 * total_cores, -(-input_bytes // target_bytes))
+
+
 def build_session(
     master: str | None = None,
     shuffle_partitions: int = 8,

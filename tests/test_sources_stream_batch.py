@@ -173,3 +173,23 @@ def test_stream_equals_batch(spark, tmpdir_):
         q.stop()
     batch = sorted(map(tuple, SB.windowed_board(SB.scored_events(log)).collect()))
     assert streamed == batch and len(batch) > 0
+
+
+def test_judgment_run_tag_is_a_partition_filter(spark, tmpdir_):
+    root = os.path.join(tmpdir_, "j")
+    rows = spark.createDataFrame([(1, "a", "b", "tie", "tie", "x", "y")],
+                                 "question_id long, model_1 string, model_2 string, g1_winner string, "
+                                 "g2_winner string, g1_judgment string, g2_judgment string")
+    for iid in ("r1", "r2"):
+        W.append_judgments(rows, root, bench="ops", judge_model="gpt-4", mode="pair", iid=iid)
+    plan = R.read_judgments(spark, root, iid="r2")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(iid" in plan and "r2" in plan
+
+
+def test_dialog_tokens_with_names(spark):
+    from gradebook.functions.tokens import dialog_tokens
+    df = spark.createDataFrame([([("user", "hi there", None), ("assistant", "ok", "bot")],)],
+                               "d array<struct<role:string,content:string,name:string>>")
+    plain = df.select(dialog_tokens("d", "gpt-4")).first()[0]
+    named = df.select(dialog_tokens("d", "gpt-4", with_name=True)).first()[0]
+    assert plain == (3 + 1 + 2) + (3 + 1 + 1) + 3 and named == plain + 1 + 1
