@@ -122,7 +122,7 @@ MC_ANSWER_PATTERNS = [
 # FIXED VALUES — chat rendering formats
 # ---------------------------------------------------------------------------
 
-# Instruction-bracket chat format (public Llama-2 chat layout).
+# Instruction-bracket chat format (a public chat layout).
 B_INST, E_INST = "[INST]", "[/INST]"
 B_SYS, E_SYS = "<<SYS>>\n", "\n<</SYS>>\n\n"
 BOS, EOS = "<s>", "</s>"

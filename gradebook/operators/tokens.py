@@ -21,7 +21,7 @@ def _constants(spark, catalog: dict[str, dict], tokenizer: Tokenizer) -> tuple[d
 
 
 def token_detail(single: DataFrame | None, pair: DataFrame | None, catalog: dict[str, dict],
-                 judge_model: str = "gpt-3.5-turbo", bench: str = "ops_bench",
+                 judge_model: str = "gpt-3.5-turbo", bench: str = "qa_bench",
                  tokenizer: Tokenizer = regex_tokens) -> DataFrame:
     """One row per single judgment and two per pair judgment (g1, g2).
 
