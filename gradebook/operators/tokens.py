@@ -22,12 +22,19 @@ def _constants(spark, catalog: dict[str, dict], tokenizer: Tokenizer) -> tuple[d
 
 def token_detail(single: DataFrame | None, pair: DataFrame | None, catalog: dict[str, dict],
                  judge_model: str = "gpt-3.5-turbo", bench: str = "qa_bench",
-                 tokenizer: Tokenizer = regex_tokens) -> DataFrame:
+                 tokenizer: Tokenizer = regex_tokens, models: list[str] | None = None) -> DataFrame:
     """One row per single judgment and two per pair judgment (g1, g2).
 
     The system prompt is looked up by each row's judge prompt name (not always
-    the plain one), so the count follows the prompt actually used.
+    the plain one), so the count follows the prompt actually used.  ``models``
+    keeps single judgments of those models and pair judgments whose two models
+    are both listed.
     """
+    from gradebook.operators.matches import filter_models
+    if single is not None:
+        single = filter_models(single, models)
+    if pair is not None:
+        pair = filter_models(pair, models, ("model_1", "model_2"))
     spark = (single if single is not None else pair).sparkSession
     roles, sys_map = _constants(spark, catalog, tokenizer)
     sys_tokens = F.coalesce(F.try_element_at(sys_map, F.col("judge_prompt")), F.lit(0).cast("long"))
