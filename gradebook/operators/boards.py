@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gradebook import fixed
-from gradebook.operators.joins import broadcast_if_small, collect_small
+from gradebook.operators.joins import collect_small
 
 
 def _rate(num: str, den: Column) -> Column:
@@ -169,7 +169,9 @@ def radar_series(df: DataFrame, series: str, axis: str, value: str) -> DataFrame
     w = Window.orderBy(axis)  # distinct axis values: a handful of rows
     axes = axes.select(axis, (F.row_number().over(w) - 1).cast("long").alias("k"),
                        F.count("*").over(Window.partitionBy()).alias("n"))
-    pts = df.select(series, axis, value).join(broadcast_if_small(axes, 100_000), axis)
+    # The axis table is derived from the same aggregate; AQE broadcasts it from
+    # its runtime size (checking it up front would compute the aggregate twice).
+    pts = df.select(series, axis, value).join(axes, axis)
     closing = pts.filter(F.col("k") == 0).withColumn("k", F.col("n"))
     out = pts.unionByName(closing)
     return out.select(series, axis, "k", (F.lit(2 * math.pi) * F.col("k") / F.col("n")).alias("angle"), value)

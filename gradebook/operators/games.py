@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from gradebook import fixed
 from gradebook.functions.templates import render
-from gradebook.operators.joins import broadcast_if_small
 
 JUDGE = ["judge_model", "judge_prompt"]
 
@@ -75,15 +74,16 @@ def resolve_default_judge(questions: DataFrame, games: DataFrame) -> DataFrame:
     judge model when it judged with that prompt anywhere, else the fallback) and
     the number of canonical games held under it.
 
-    Judge availability is the distinct (judge, prompt) set: small, size-checked,
-    then broadcast.
+    Judge availability is the distinct (judge, prompt) set; it is tiny at run
+    time, so AQE plans its join as a broadcast from the measured size (a size
+    check up front would compute the canonical games twice).
     """
     avail = games.select(*JUDGE).distinct()
     pref = avail.filter(F.col("judge_model") == fixed.PREFERRED_JUDGE).select(
         F.col("judge_prompt").alias("prompt"), F.lit(True).alias("has_pref"))
     q = questions.select("question_id", "category", "n_turns",
                          default_prompt_name(F.col("category"), F.col("n_turns")).alias("prompt"))
-    q = q.join(broadcast_if_small(pref, 100_000), "prompt", "left")
+    q = q.join(pref, "prompt", "left")
     q = q.select(
         "question_id", "category", "n_turns",
         F.when(F.col("has_pref"), F.lit(fixed.PREFERRED_JUDGE)).otherwise(F.lit(fixed.FALLBACK_JUDGE)).alias("judge_model"),
