@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 
 from gradebook import fixed
 from gradebook.functions.templates import option_block, render, template_fields
-from gradebook.operators.joins import broadcast_if_small
 
 
 def _g(c: str, i: int) -> Column:
@@ -135,7 +134,8 @@ def few_shot(val: DataFrame, shots: DataFrame, ntrain: int, header: str = FEW_SH
               .agg(F.sort_array(F.collect_list(F.struct("shot_pos", shot_text.alias("t")))).alias("p"))
               .select("subject", F.concat(F.lit(header), F.array_join(F.transform("p", lambda x: x["t"]), ""))
                       .alias("prefix")))
-    v = with_choices(val).join(broadcast_if_small(prefix, 100_000), "subject", "left")
+    # One prefix row per subject: AQE broadcasts it from its measured size.
+    v = with_choices(val).join(prefix, "subject", "left")
     prefix_col = F.coalesce(F.col("prefix"), F.lit(header))
     inp = F.concat(prefix_col, F.lit("\n"), F.lit(QUESTION_LABEL), F.col("question"), F.lit("\n"),
                    F.col("choices"), F.lit(ANSWER_LABEL))
