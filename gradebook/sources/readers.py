@@ -49,9 +49,14 @@ def read_raw_qa_csv(spark: SparkSession, path: str, field_header: str = "ops_fie
         F.col(f"`{field_header}`").alias("ops_field"), F.col(f"`{task_header}`").alias("task_type"), "seq")
 
 
-def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Question JSONL (explicit schema, no inference)."""
-    return spark.read.schema(QUESTION_SCHEMA).json(path).select("*", file_seq().alias("seq"))
+def read_questions(spark: SparkSession, path: str, begin: int | None = None, end: int | None = None) -> DataFrame:
+    """S2 (+ S4): question JSONL (explicit schema, no inference), optionally the
+    Python-style slice ``[begin:end]`` of the file order."""
+    df = spark.read.schema(QUESTION_SCHEMA).json(path).select("*", file_seq().alias("seq"))
+    if begin is None and end is None:
+        return df
+    from gradebook.operators.convert import python_slice
+    return python_slice(df, "seq", begin, end)
 
 
 def read_answers(spark: SparkSession, paths: str | list[str]) -> DataFrame:

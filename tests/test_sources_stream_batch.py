@@ -193,3 +193,14 @@ def test_dialog_tokens_with_names(spark):
     plain = df.select(dialog_tokens("d", "gpt-4")).first()[0]
     named = df.select(dialog_tokens("d", "gpt-4", with_name=True)).first()[0]
     assert plain == (3 + 1 + 2) + (3 + 1 + 1) + 3 and named == plain + 1 + 1
+
+
+def test_read_questions_slice_in_file_order(spark, tmpdir_):
+    d = os.path.join(tmpdir_, "qs")
+    os.makedirs(d)
+    ids = [7, 3, 9, 1, 5, 8, 2]                      # file order differs from id order
+    with open(os.path.join(d, "question.jsonl"), "w") as f:
+        for i in ids:
+            f.write(json.dumps({"question_id": i, "category": "c", "question": ["q"]}) + "\n")
+    got = [r.question_id for r in R.read_questions(spark, d, 2, -1).orderBy("seq").collect()]
+    assert got == ids[2:-1]
