@@ -27,10 +27,25 @@ STOP_MARKER = "</s>"
 SPREAD_TABLES = {"documents", "lineitem", "orders", "events", "conversations", "pages"}
 
 
+_SPLITS: dict[tuple, int] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    from gradebook.session import ensure_parallelism
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return ensure_parallelism(df) if name in SPREAD_TABLES else df
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if name not in SPREAD_TABLES:
+        return df
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        key = (path, cores, spark.conf.get("spark.sql.files.maxPartitionBytes"))
+        # The split count of a scan depends only on the files and the split
+        # settings: plan it once per path, not once per reference in a query.
+        if key not in _SPLITS:
+            _SPLITS[key] = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no SparkContext/RDD view (e.g. Spark Connect)
+        return df
+    # Same rule as session.ensure_parallelism: spread only an under-split input.
+    return df if _SPLITS[key] >= cores else df.repartition(cores)
 
 
 def _m(prefix: str, c) -> F.Column:
