@@ -2,15 +2,19 @@
 
 ``dropDuplicatesWithinWatermark`` keeps the *first* row of a key, but judgment
 logs are keep-*last* (a re-judged game replaces the earlier verdict).  This job
-merges every micro-batch into a versioned snapshot table with ``foreachBatch``:
-
-    snapshot(v = b) = keep_last(snapshot(v = b - 1)  UNION  batch b)
-
-``max_by(row, seq)`` is a partial aggregate, so the merge is one shuffle by key.
-A replayed micro-batch (driver restart) recomputes the same version from the
-same inputs, so the sink is idempotent.  After each merge the exact board (mean
-score per model over the latest judgment of every key) is written next to it.
-Snapshots live under a shared root (never a machine-local folder).
+keeps the latest judgment per key with ``foreachBatch`` and updates the exact
+board incrementally:
+
+* keys are hashed into ``n_buckets`` buckets; a micro-batch ``b`` rewrites only
+  the buckets it touches, into ``state/v=b/bucket=k`` (``max_by(row, seq)`` over
+  the bucket's previous rows plus the batch: one shuffle, partial aggregation);
+* ``manifest/v=b`` (one row per bucket) says which version holds each bucket;
+* ``board/v=b`` = ``board/v=b-1`` + (new latest rows - replaced rows) per model,
+  so the board never rescans the whole state.
+
+Cost per micro-batch grows with the touched buckets, not with the whole state.
+A replayed micro-batch reads only version ``b-1`` artifacts and overwrites
+version ``b``, so restarts are idempotent.  Everything lives under a shared root.
 """
 
 from __future__ import annotations
@@ -24,9 +28,10 @@ from gradebook.operators.keeplast import keep_last
 from gradebook.streaming.board import SINGLE_JUDGMENT_SCHEMA
 
 KEYS = ["judge_model", "judge_prompt", "question_id", "model", "turn"]
+N_BUCKETS = 256
 
 
-def _version_path(root: str, kind: str, batch_id: int) -> str:
+def _path(root: str, kind: str, batch_id: int) -> str:
     return f"{root.rstrip('/')}/{kind}/v={batch_id:012d}"
 
 
@@ -37,24 +42,56 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def merge_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str, keys: list[str]) -> None:
-    """Merge one micro-batch into the snapshot and rewrite the exact board."""
+def merge_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str, keys: list[str],
+                n_buckets: int = N_BUCKETS) -> None:
+    """Merge one micro-batch into the bucketed state and update the board."""
     # Order of "later": the write time of the judgment, then arrival (batch, row).
     new = batch.select(
-        *[c for c in batch.columns],
+        *batch.columns, rating("judgment").alias("score"),
+        F.pmod(F.xxhash64(*keys), F.lit(n_buckets)).cast("int").alias("bucket"),
         F.struct(F.col("tstamp").alias("t"), F.lit(batch_id).cast("long").alias("b"),
                  F.monotonically_increasing_id().alias("r")).alias("seq"))
-    prev = _read_or_none(spark, _version_path(root, "snapshot", batch_id - 1)) if batch_id > 0 else None
+    touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # <= n_buckets
+    if not touched:
+        return
+    manifest_prev = _read_or_none(spark, _path(root, "manifest", batch_id - 1)) if batch_id > 0 else None
+    versions = {r["bucket"]: r["v"] for r in manifest_prev.collect()} if manifest_prev is not None else {}
+    prev_paths = [f"{_path(root, 'state', versions[k])}/bucket={k}" for k in touched if k in versions]
+    prev = None
+    if prev_paths:
+        # Bucket folders read directly carry no partition column; derive it again.
+        prev = spark.read.parquet(*prev_paths).withColumn(
+            "bucket", F.pmod(F.xxhash64(*keys), F.lit(n_buckets)).cast("int"))
     merged = keep_last(new if prev is None else prev.unionByName(new), keys, "seq")
-    snap_path = _version_path(root, "snapshot", batch_id)
-    merged.write.mode("overwrite").parquet(snap_path)
-    snap = spark.read.parquet(snap_path)
-    board = snap.groupBy("model").agg(F.count("*").alias("n"), F.avg(rating("judgment")).alias("score"))
-    board.write.mode("overwrite").parquet(_version_path(root, "board", batch_id))
+    merged.write.mode("overwrite").partitionBy("bucket").parquet(_path(root, "state", batch_id))
+
+    # Board delta: the new latest rows of the batch's keys minus the rows they replace.
+    batch_keys = new.select(*keys).distinct()
+    now = spark.read.parquet(_path(root, "state", batch_id)).join(batch_keys, keys, "left_semi")
+    plus = now.select("model", F.lit(1).alias("dn"), F.col("score").alias("ds"))
+    parts = plus
+    if prev is not None:
+        before = prev.join(batch_keys, keys, "left_semi")     # already one row per key
+        parts = parts.unionByName(before.select("model", F.lit(-1).alias("dn"), (-F.col("score")).alias("ds")))
+    delta = parts.groupBy("model").agg(F.sum("dn").alias("dn"), F.sum("ds").alias("ds"))
+    board_prev = _read_or_none(spark, _path(root, "board", batch_id - 1)) if batch_id > 0 else None
+    if board_prev is None:
+        board = delta.select("model", F.col("dn").cast("long").alias("n"), F.col("ds").alias("score_sum"))
+    else:
+        board = (board_prev.select("model", "n", "score_sum").join(delta, "model", "full")
+                 .select("model", (F.coalesce("n", F.lit(0)) + F.coalesce("dn", F.lit(0))).cast("long").alias("n"),
+                         (F.coalesce("score_sum", F.lit(0.0)) + F.coalesce("ds", F.lit(0.0))).alias("score_sum")))
+    board = board.withColumn("score", F.try_divide("score_sum", F.col("n").cast("double")))
+    board.write.mode("overwrite").parquet(_path(root, "board", batch_id))
+
+    versions.update({k: batch_id for k in touched})
+    spark.createDataFrame(sorted(versions.items()), "bucket int, v long") \
+        .write.mode("overwrite").parquet(_path(root, "manifest", batch_id))
 
 
 def start_latest(spark: SparkSession, source_dir: str, root: str, checkpoint: str,
-                 keys: list[str] | None = None, max_files_per_trigger: int | None = None) -> StreamingQuery:
+                 keys: list[str] | None = None, max_files_per_trigger: int | None = None,
+                 n_buckets: int = N_BUCKETS) -> StreamingQuery:
     """Start the exact keep-last job over JSON judgment files in ``source_dir``."""
     keys = keys or KEYS
     reader = spark.readStream.schema(SINGLE_JUDGMENT_SCHEMA)
@@ -62,10 +99,22 @@ def start_latest(spark: SparkSession, source_dir: str, root: str, checkpoint: st
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.json(source_dir)
     return (src.writeStream.option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda df, bid: merge_batch(spark, df, bid, root, keys))
+            .foreachBatch(lambda df, bid: merge_batch(spark, df, bid, root, keys, n_buckets))
             .start())
 
 
+def read_board(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
+    """The exact board after micro-batch ``batch_id``."""
+    return spark.read.parquet(_path(root, "board", batch_id))
+
+
+def read_snapshot(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
+    """The latest judgment per key after micro-batch ``batch_id``."""
+    versions = spark.read.parquet(_path(root, "manifest", batch_id)).collect()
+    paths = [f"{_path(root, 'state', r['v'])}/bucket={r['bucket']}" for r in versions]
+    return spark.read.parquet(*paths)
+
+
 def read_version(spark: SparkSession, root: str, kind: str, batch_id: int) -> DataFrame:
-    """The snapshot or board written by micro-batch ``batch_id``."""
-    return spark.read.parquet(_version_path(root, kind, batch_id))
+    """Backward-compatible accessor: ``kind`` is ``"board"`` or ``"snapshot"``."""
+    return read_board(spark, root, batch_id) if kind == "board" else read_snapshot(spark, root, batch_id)

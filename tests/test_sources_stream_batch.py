@@ -204,3 +204,40 @@ def test_read_questions_slice_in_file_order(spark, tmpdir_):
             f.write(json.dumps({"question_id": i, "category": "c", "question": ["q"]}) + "\n")
     got = [r.question_id for r in R.read_questions(spark, d, 2, -1).orderBy("seq").collect()]
     assert got == ids[2:-1]
+
+
+def test_stream_keep_last_incremental_matches_batch(spark, tmpdir_):
+    """Many keys over several micro-batches: incremental board and snapshot equal
+    the batch keep-last of the whole log."""
+    import random
+    from gradebook.operators.keeplast import keep_last
+    from gradebook.streaming import latest as L
+    from gradebook.functions.extract import rating
+    rnd = random.Random(5)
+    src = os.path.join(tmpdir_, "log2")
+    os.makedirs(src)
+    rows, t = [], 0.0
+    for f_i in range(5):
+        chunk = []
+        for _ in range(60):
+            t += 1.0
+            chunk.append({"judge_model": "j", "judge_prompt": "p", "user_prompt": "u", "turn": 1,
+                          "question_id": rnd.randint(0, 25), "model": rnd.choice("abc"),
+                          "judgment": f"[[{rnd.randint(1, 9)}]]", "tstamp": t})
+        rows += chunk
+        with open(os.path.join(src, f"part-{f_i}.json"), "w") as f:
+            f.write("\n".join(json.dumps(r) for r in chunk) + "\n")
+    root = os.path.join(tmpdir_, "latest2")
+    q = L.start_latest(spark, src, root, os.path.join(tmpdir_, "ckpt3"), max_files_per_trigger=1, n_buckets=8)
+    try:
+        q.processAllAvailable()
+        last = q.lastProgress["batchId"]
+    finally:
+        q.stop()
+    batch = spark.createDataFrame(rows).withColumn("seq", F.col("tstamp"))
+    latest = keep_last(batch, L.KEYS, "seq")
+    want = {r.model: (r.n, round(r.s, 9)) for r in latest.groupBy("model").agg(
+        F.count("*").alias("n"), F.sum(rating("judgment")).alias("s")).collect()}
+    got = {r.model: (r.n, round(r.score_sum, 9)) for r in L.read_board(spark, root, last).collect()}
+    assert got == want
+    assert L.read_snapshot(spark, root, last).count() == latest.count()
