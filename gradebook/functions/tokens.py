@@ -27,9 +27,20 @@ PIECE_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 Tokenizer = Callable[[Column], Column]
 
 
+_MARK = "\u0001"
+
+
 def regex_tokens(text: Column | str) -> Column:
-    """Default tokenizer: number of word/punctuation pieces (0 for null)."""
-    return F.coalesce(F.regexp_count(col_(text), F.lit(PIECE_PATTERN)), F.lit(0)).cast("long")
+    """Default tokenizer: number of word/punctuation pieces (0 for null).
+
+    Each piece is replaced by one marker character and the markers are counted
+    (one regex pass, no array of matched strings).  Every character outside ASCII
+    whitespace belongs to some piece, so marker count = piece count even when the
+    text itself contains the marker.
+    """
+    marked = F.regexp_replace(col_(text), PIECE_PATTERN, _MARK)
+    n = F.length(marked) - F.length(F.replace(marked, F.lit(_MARK), F.lit("")))
+    return F.coalesce(n, F.lit(0)).cast("long")
 
 
 def arrow_tokenizer(encode: Callable[[str], list]) -> Tokenizer:

@@ -119,3 +119,13 @@ def test_percent_rounding_matches_numpy(spark):
     got = [r[0] for r in df.select(percent2(F.col("x"))).collect()]
     want = [float(np.round(k / n * 100, 2)) for k, n in fracs]
     assert got == want
+
+
+@settings(max_examples=50, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="ab é1_,.!\t\n\u0001ü中", max_size=20), min_size=1, max_size=20))
+def test_regex_tokens_matches_python(spark, texts):
+    import regex
+    from gradebook.functions.tokens import regex_tokens
+    ws = "[ \t\n\x0b\f\r]"   # Java's \s
+    pat = regex.compile(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_" + ws[1:-1] + "]")
+    assert one(spark, regex_tokens("t"), texts) == [len(pat.findall(t)) for t in texts]
