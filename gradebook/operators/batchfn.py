@@ -115,12 +115,10 @@ def run_and_store(work: DataFrame, factory: Callable[[], Model], inputs: list[st
                   path: str, output: str = "output", **kw) -> DataFrame:
     """Call the model on unfinished rows only and append them to ``path`` (Parquet),
     then return the whole result table read back from storage."""
+    from gradebook.session import read_parquet_if_exists
     spark = work.sparkSession
-    try:
-        done = spark.read.parquet(path)
-        todo = pending(work, done, keys)
-    except Exception:  # noqa: BLE001 - first run: nothing stored yet
-        todo = work
+    done = read_parquet_if_exists(spark, path)
+    todo = work if done is None else pending(work, done, keys)
     call_model(todo, factory, inputs, output, **kw).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 

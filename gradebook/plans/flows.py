@@ -22,6 +22,7 @@ from gradebook.operators import boards as B
 from gradebook.operators import matches as M
 from gradebook.operators import prompts as P
 from gradebook.operators import verdicts as V
+from gradebook.session import read_parquet_if_exists
 
 
 def judge_pairwise(questions: DataFrame, answers: DataFrame, models: list[str], catalog: dict[str, dict],
@@ -47,10 +48,8 @@ def judge_pairwise(questions: DataFrame, answers: DataFrame, models: list[str],
                 .withColumnRenamed("g2_judgment_error", "g2_error"))
 
     spark = questions.sparkSession
-    try:
-        todo = U.pending(p, spark.read.parquet(out_path), keys)
-    except Exception:  # noqa: BLE001 - first run
-        todo = p
+    done = read_parquet_if_exists(spark, out_path)
+    todo = p if done is None else U.pending(p, done, keys)
     judged = V.with_game_winners(both_games(todo))
     judged = judged.select(
         *keys, F.lit(judge_model).alias("judge_model"),
@@ -71,10 +70,8 @@ def judge_single(questions: DataFrame, answers: DataFrame, models: list[str], ca
         "question_id", "model", "judge_prompt", "n_turns", "system_prompt", "user_prompt")
     keys = ["question_id", "model", "judge_prompt"]
     spark = questions.sparkSession
-    try:
-        todo = U.pending(p, spark.read.parquet(out_path), keys)
-    except Exception:  # noqa: BLE001 - first run
-        todo = p
+    done = read_parquet_if_exists(spark, out_path)
+    todo = p if done is None else U.pending(p, done, keys)
     j = U.call_model(todo, judge_factory, ["system_prompt", "user_prompt"], "judgment", **retry)
     j = V.with_rating(j).select(
         *keys, F.lit(judge_model).alias("judge_model"),
@@ -95,10 +92,8 @@ def evaluate_mc(val: DataFrame, shots: DataFrame, ntrain: int, model_factory: Ca
                              F.lit(cot).alias("cot"))
     spark = val.sparkSession
     run_keys = ["model", "ntrain", "cot", "subject"]
-    try:
-        todo = U.pending(prompts, spark.read.parquet(out_root), run_keys)
-    except Exception:  # noqa: BLE001 - first run
-        todo = prompts
+    done = read_parquet_if_exists(spark, out_root)
+    todo = prompts if done is None else U.pending(prompts, done, run_keys)
     out = U.call_model(todo, model_factory, ["input"], "model_output", **retry)
     out = out.select("*", mc_letter("model_output").alias("letter"),
                      mc_correct("model_output", "answer").alias("correct")).drop("input", "output", "choices")

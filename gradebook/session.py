@@ -96,6 +96,24 @@ def checkpoint_dir(spark: SparkSession, create_local_if_unset: bool = False) ->
     return path
 
 
+def read_parquet_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
+    """Read a Parquet table, or ``None`` when nothing was written there yet.
+
+    Only a missing path means "first run"; any other read error is raised, so a
+    transient failure never makes a resumable job redo (and duplicate) its work.
+    """
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        cond = getattr(e, "getCondition", None) or getattr(e, "getErrorClass", lambda: None)
+        cls = cond() or ""
+        if cls == "PATH_NOT_FOUND" or "Path does not exist" in str(e):
+            return None
+        raise
+
+
 def materialize(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 

@@ -36,10 +36,8 @@ def _path(root: str, kind: str, batch_id: int) -> str:
 
 
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - the version does not exist yet
-        return None
+    from gradebook.session import read_parquet_if_exists
+    return read_parquet_if_exists(spark, path)
 
 
 def merge_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str, keys: list[str],
