@@ -4,7 +4,8 @@ The same transformation runs on a batch DataFrame and on a streaming one:
 
     judgments (JSON files appended by the judge runs)
       -> parse rating (V1), event time = timestamp_seconds(tstamp)
-      -> withWatermark(event_time)           late rows beyond it are dropped
+      -> withWatermark(event_time)           rows older than the previous micro-batch's
+                                             watermark are dropped (and counted)
       -> groupBy(tumbling window, model)      count / sum / mean score
 
 On a stream the state is bounded by the watermark; finished windows are emitted
@@ -69,7 +70,12 @@ def start_board(spark: SparkSession, source_dir: str, sink, checkpoint: str, win
     return w.start()
 
 
-def dropped_late_rows(query: StreamingQuery) -> int:
-    """Rows dropped by the watermark so far (from the last progress report)."""
-    p = query.lastProgress or {}
+def dropped_late_rows_from(progress) -> int:
+    """Rows dropped by the watermark in one progress report."""
+    p = progress or {}
     return sum(op.get("numRowsDroppedByWatermark", 0) for op in p.get("stateOperators", []))
+
+
+def dropped_late_rows(query: StreamingQuery) -> int:
+    """Rows dropped by the watermark over the progress reports the query keeps."""
+    return sum(dropped_late_rows_from(p) for p in query.recentProgress)

@@ -241,3 +241,29 @@ def test_stream_keep_last_incremental_matches_batch(spark, tmpdir_):
     got = {r.model: (r.n, round(r.score_sum, 9)) for r in L.read_board(spark, root, last).collect()}
     assert got == want
     assert L.read_snapshot(spark, root, last).count() == latest.count()
+
+
+def test_stream_board_drops_and_counts_late_rows(spark, tmpdir_):
+    """A row older than the watermark is dropped and counted.  Spark checks late
+    events against the watermark of the previous micro-batch, so the late row
+    arrives two batches after the watermark first moved."""
+    src = os.path.join(tmpdir_, "late")
+    os.makedirs(src)
+    base = {"judge_model": "j", "judge_prompt": "p", "user_prompt": "u", "turn": 1, "question_id": 1}
+    files = [[dict(base, model="a", judgment="[[5]]", tstamp=36000.0 + i) for i in range(3)],   # 10:00
+             [dict(base, model="a", judgment="[[7]]", tstamp=36100.0)],
+             [dict(base, model="a", judgment="[[9]]", tstamp=60.0)]]                            # 00:01, late
+    for i, rows in enumerate(files):
+        with open(os.path.join(src, f"part-{i}.json"), "w") as f:
+            f.write("\n".join(json.dumps(r) for r in rows) + "\n")
+        os.utime(os.path.join(src, f"part-{i}.json"), (1000 + i, 1000 + i))   # arrival order
+    q = SB.start_board(spark, src, "memory", os.path.join(tmpdir_, "ckpt-late"), output_mode="update",
+                       max_files_per_trigger=1, query_name="late_board")
+    try:
+        q.processAllAvailable()
+        dropped = SB.dropped_late_rows(q)
+        rows = spark.sql("SELECT window_start, max(n) AS n FROM late_board GROUP BY window_start").collect()
+    finally:
+        q.stop()
+    assert dropped == 1
+    assert {(r.window_start, r.n) for r in rows} == {(36000, 4)}
