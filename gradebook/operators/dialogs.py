@@ -53,12 +53,14 @@ def render_tagged(conv: DataFrame, user_tag: str = USER_TAG, assistant_tag: str
     return _join_pieces(allp, "conv_id", "turn", "piece")
 
 
-def dialog_checks(conv: DataFrame) -> DataFrame:
+def dialog_checks(conv: DataFrame, with_system_text: bool = False) -> DataFrame:
     """Per conversation, strict user/assistant alternation after an optional
     leading system turn, and a last turn from the user.
 
     One partial-aggregating group-by: parity violations are counted under both
     hypotheses (with / without a system turn) and the right one is picked after.
+    ``with_system_text`` also returns the system turn's text (``sys``) from the
+    same aggregation.
     """
     role, turn = F.col("role"), F.col("turn")
 
@@ -74,11 +76,13 @@ def dialog_checks(conv: DataFrame) -> DataFrame:
         F.max((role == "system") & (turn == 0)).alias("has_system"),
         F.sum(bad(1)).alias("bad_sys"), F.sum(bad(0)).alias("bad_nosys"),
         F.max_by(role, turn).alias("last_role"),
-        F.max(turn).alias("max_turn"))
+        F.max(turn).alias("max_turn"),
+        *([F.max(F.when(role == "system", F.col("text"))).alias("sys")] if with_system_text else []))
     order_ok = (F.when(F.col("has_system"), F.col("bad_sys")).otherwise(F.col("bad_nosys")) == 0) & \
         (F.col("max_turn") == F.col("n_turns") - 1)
     return g.select("conv_id", "n_turns", "has_system", order_ok.alias("order_ok"), "last_role",
-                    (order_ok & (F.col("last_role") == "user")).alias("valid"))
+                    (order_ok & (F.col("last_role") == "user")).alias("valid"),
+                    *(["sys"] if with_system_text else []))
 
 
 def invalid_dialogs(conv: DataFrame) -> DataFrame:
@@ -95,8 +99,7 @@ def render_inst(conv: DataFrame, default_system: str = DEFAULT_SYSTEM) -> DataFr
     each (user, assistant) pair becomes ``<s>[INST] u [/INST] a </s>`` and the
     final user turn ``<s>[INST] u [/INST]``.
     """
-    sys_text = conv.groupBy("conv_id").agg(F.max(F.when(F.col("role") == "system", F.col("text"))).alias("sys"))
-    ok = dialog_checks(conv).filter("valid").select("conv_id", "has_system", "n_turns").join(sys_text, "conv_id")
+    ok = dialog_checks(conv, with_system_text=True).filter("valid").select("conv_id", "has_system", "n_turns", "sys")
     # Per-conversation facts are one row each; the join back to the turns is an
     # equi-join that AQE can split when one conversation is very large.
     c = conv.join(ok, "conv_id").withColumn("sys", F.coalesce(F.col("sys"), F.lit(default_system)))
