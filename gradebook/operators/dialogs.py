@@ -42,15 +42,15 @@ def render_tagged(conv: DataFrame, user_tag: str = USER_TAG, assistant_tag: str
     piece = F.when(role == "system", F.col("text")).otherwise(
         F.when(F.length("text") > 0, F.concat(tag, F.lit(":"), F.col("text"), end, F.lit(sep)))
         .otherwise(F.concat(tag, F.lit(":"))))
-    p = conv.select("conv_id", F.col("turn").cast("long").alias("turn"), piece.alias("piece"))
-    # One partial aggregate per conversation decides the extra pieces: the
-    # default system text (when no system turn leads) and the open tail.
-    per = conv.groupBy("conv_id").agg(F.max((role == "system") & (F.col("turn") == 0)).alias("has_sys"))
-    default = per.filter(~F.col("has_sys")).select(
-        "conv_id", F.lit(-1).cast("long").alias("turn"), F.lit(default_system).alias("piece"))
-    tail = per.select("conv_id", F.lit(1 << 40).cast("long").alias("turn"), F.lit(f"{assistant_tag}:").alias("piece"))
-    allp = p.unionByName(default).unionByName(tail)
-    return _join_pieces(allp, "conv_id", "turn", "piece")
+    # One aggregation per conversation gathers the ordered pieces and whether a
+    # system turn leads; the default system text and the open tail are added in
+    # the final projection.
+    g = conv.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("turn").alias("o"), piece.alias("p")))).alias("_ps"),
+        F.max((role == "system") & (F.col("turn") == 0)).alias("_has_sys"))
+    body = F.array_join(F.transform("_ps", lambda x: x["p"]), "")
+    head = F.when(F.col("_has_sys"), F.lit("")).otherwise(F.lit(default_system))
+    return g.select("conv_id", F.concat(head, body, F.lit(f"{assistant_tag}:")).alias("prompt"))
 
 
 def dialog_checks(conv: DataFrame, with_system_text: bool = False) -> DataFrame:
