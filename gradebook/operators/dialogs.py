@@ -1,9 +1,10 @@
 """Dialog tables (R3-R5, R7): rendering, validation and history pairing.
 
 Input is the long form ``(conv_id, turn, role, text)`` with turns numbered from 0.
-Each message is rendered to its piece by a projection; only the final string
-concatenation groups by conversation, and a conversation's pieces are exactly the
-rendered prompt, so nothing beyond the output itself is gathered per group.
+Rendering gathers each conversation's turns once (the rendered prompt is one
+value per conversation, so nothing beyond the output itself is gathered) and
+builds the pieces with higher-order functions; validity checks and history
+pairing are partial-aggregating group-bys.
 """
 
 from __future__ import annotations
@@ -19,12 +20,6 @@ ASSISTANT_TAG = "<|Assistant|>"
 DEFAULT_SYSTEM = "You are a careful assistant for IT operations. Answer helpfully and truthfully."
 
 
-def _join_pieces(df: DataFrame, key: str, order: str, piece: str) -> DataFrame:
-    return (df.groupBy(key)
-            .agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(piece).alias("p")))).alias("_ps"))
-            .select(key, F.array_join(F.transform("_ps", lambda x: x["p"]), "").alias("prompt")))
-
-
 def _end_marker(tag: str) -> str:
     # The end-of-message marker uses the tag's third character, lower-cased.
     return f"<eo{tag[2].lower()}>"
@@ -98,23 +93,45 @@ def render_inst(conv: DataFrame, default_system: str = DEFAULT_SYSTEM) -> DataFr
     The system text (or ``default_system``) is folded into the first user turn;
     each (user, assistant) pair becomes ``<s>[INST] u [/INST] a </s>`` and the
     final user turn ``<s>[INST] u [/INST]``.
+
+    A conversation's turns are gathered once (the rendered prompt is one value
+    per conversation anyway); validity (R5 rules), the system fold and the pieces
+    are then higher-order expressions over that sorted array, so the job is a
+    single aggregation with no join back to the turns.
     """
-    ok = dialog_checks(conv, with_system_text=True).filter("valid").select("conv_id", "has_system", "n_turns", "sys")
-    # Per-conversation facts are one row each; the join back to the turns is an
-    # equi-join that AQE can split when one conversation is very large.
-    c = conv.join(ok, "conv_id").withColumn("sys", F.coalesce(F.col("sys"), F.lit(default_system)))
-    offset = F.when(F.col("has_system"), F.lit(1)).otherwise(F.lit(0))
-    p = F.col("turn") - offset
-    n = F.col("n_turns") - offset
-    content = F.when(p == 0, F.concat(F.lit(fixed.B_SYS), F.col("sys"), F.lit(fixed.E_SYS), F.col("text"))) \
-        .otherwise(F.col("text"))
-    u = ustrip(content)
-    piece = (F.when(F.col("role") == "system", F.lit(""))
-             .when((F.col("role") == "user") & (p == n - 1),
-                   F.concat(F.lit(f"{fixed.BOS}{fixed.B_INST} "), u, F.lit(f" {fixed.E_INST}")))
-             .when(F.col("role") == "user", F.concat(F.lit(f"{fixed.BOS}{fixed.B_INST} "), u, F.lit(f" {fixed.E_INST} ")))
-             .otherwise(F.concat(u, F.lit(f" {fixed.EOS}"))))
-    return _join_pieces(c.select("conv_id", "turn", piece.alias("piece")), "conv_id", "turn", "piece")
+    g = conv.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    m = F.col("m")
+    n_all = F.size(m)
+    has_sys = F.get(m, 0)["role"] == "system"
+    off = F.when(has_sys, F.lit(1)).otherwise(F.lit(0))
+    n = n_all - off
+
+    def ok_at(x, i):
+        p = i - off
+        return ((x["turn"] == i)
+                & F.when(x["role"] == "system", i == 0)
+                .when(x["role"] == "user", p % 2 == 0)
+                .when(x["role"] == "assistant", p % 2 == 1)
+                .otherwise(F.lit(False)))
+
+    valid = (F.forall(F.transform(m, ok_at), lambda b: b)
+             & (F.get(m, n_all - 1)["role"] == "user"))
+    sys_text = F.when(has_sys, F.get(m, 0)["text"]).otherwise(F.lit(default_system))
+
+    def piece(x, i):
+        p = i - off
+        content = F.when(p == 0, F.concat(F.lit(fixed.B_SYS), sys_text, F.lit(fixed.E_SYS), x["text"])) \
+            .otherwise(x["text"])
+        u = ustrip(content)
+        return (F.when(x["role"] == "system", F.lit(""))
+                .when((x["role"] == "user") & (p == n - 1),
+                      F.concat(F.lit(f"{fixed.BOS}{fixed.B_INST} "), u, F.lit(f" {fixed.E_INST}")))
+                .when(x["role"] == "user", F.concat(F.lit(f"{fixed.BOS}{fixed.B_INST} "), u, F.lit(f" {fixed.E_INST} ")))
+                .otherwise(F.concat(u, F.lit(f" {fixed.EOS}"))))
+
+    return (g.filter(valid)
+            .select("conv_id", F.array_join(F.transform(m, piece), "").alias("prompt")))
 
 
 def history_pairs(conv: DataFrame) -> DataFrame:
