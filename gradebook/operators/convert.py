@@ -2,8 +2,8 @@
 
 Dense file-order numbering (C3), row slices (S4) and chunking (R6) need a global
 position.  A global ``row_number()`` window runs in a single task, so positions
-are computed in two passes instead: range-partition on the order key, number rows
-inside each partition, and add per-partition offsets from a tiny count table.
+are computed in two passes instead: rows are put into ordered buckets, numbered
+inside each bucket, and shifted by per-bucket offsets from a tiny count table.
 """
 
 from __future__ import annotations
@@ -16,25 +16,61 @@ from gradebook import fixed
 from gradebook.functions.text import concat_nonnull, cut_at
 
 
-def with_position(df: DataFrame, order_col: str, out: str = "pos", partitions: int | None = None) -> DataFrame:
-    """Add a dense 0-based position in ``order_col`` order (order_col unique).
+def _offsets(counts: DataFrame, key: str) -> DataFrame:
+    # Running count of the earlier buckets; one row per bucket (bounded by n).
+    w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(key, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+
 
-    Pass 1 range-partitions on ``order_col`` and numbers rows per partition with
-    ``monotonically_increasing_id`` (its low 33 bits are the in-partition index).
-    Pass 2 adds the running count of earlier partitions, from a table with one row
-    per partition (bounded by the partition count, so broadcasting it is safe).
+def with_position(df: DataFrame, order_col: str, out: str = "pos", partitions: int | None = None) -> DataFrame:
+    """Add a dense 0-based position in ``order_col`` order (order_col unique, not null).
+
+    Numeric keys: ``n - 1`` quantile bounds are taken once on the driver
+    (``approxQuantile``) and each row's bucket is a monotone function of its key
+    (``Bucketizer``, a JVM binary search).  Rows are numbered inside their bucket
+    (window partitioned by bucket: ~N/n rows each) and shifted by the counts of the
+    earlier buckets (a table of at most ``n`` rows, broadcast).  The bucket is
+    computed from the key alone, so the counting and the numbering agree exactly
+    whatever the data size or the sampling.
+
+    Other keys (e.g. a file-order struct): the range-partitioned, per-partition
+    numbered rows are checkpointed to ``spark.checkpoint.dir`` first, so the
+    per-partition counts and the numbered rows come from the same materialised
+    partitions (two independent range shuffles may sample different bounds).
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    from pyspark.sql.types import NumericType
+
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if isinstance(df.schema[order_col].dataType, NumericType):
+        return _position_by_buckets(df, order_col, out, n)
+    from gradebook.session import checkpoint_dir
+    checkpoint_dir(spark)        # raises with a clear message when no shared folder is set
     ranged = df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
     ranged = ranged.withColumn("_pid", F.spark_partition_id()).withColumn(
         "_local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = ranged.groupBy("_pid").agg(F.count("*").alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    ranged = ranged.checkpoint(eager=True)
+    offsets = _offsets(ranged.groupBy("_pid").agg(F.count("*").alias("_n")), "_pid")
     out_df = ranged.join(F.broadcast(offsets), "_pid")
     return out_df.withColumn(out, (F.col("_off") + F.col("_local")).cast("long")).drop("_pid", "_local", "_off")
 
 
+def _position_by_buckets(df: DataFrame, order_col: str, out: str, n: int) -> DataFrame:
+    from pyspark.ml.feature import Bucketizer
+
+    probs = [i / n for i in range(1, n)]
+    bounds = sorted(set(df.approxQuantile(order_col, probs, 1.0 / (4 * n)))) if probs else []
+    splits = [float("-inf"), *(bounds or [0.0]), float("inf")]
+    cols = df.columns
+    x = Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket").transform(
+        df.withColumn("_key", F.col(order_col).cast("double")))
+    offsets = _offsets(x.groupBy("_bucket").agg(F.count("*").alias("_n")), "_bucket")
+    w = Window.partitionBy("_bucket").orderBy(order_col)
+    x = x.withColumn("_local", F.row_number().over(w) - 1)
+    x = x.join(F.broadcast(offsets), "_bucket")
+    return x.select(*cols, (F.col("_off") + F.col("_local")).cast("long").alias(out))
+
+
 def python_slice(df: DataFrame, order_col: str, begin: int | None, end: int | None) -> DataFrame:
     """Rows ``[begin:end]`` of the ``order_col`` order with Python slice rules
     (None bounds, negative indexes counted from the end, empty when crossed)."""

@@ -102,3 +102,13 @@ def test_pluggable_arrow_tokenizer(spark):
     # 3 per message + role + content, plus 3 for the reply priming
     n = df.select(message_tokens([("user", F.col("t"))], "gpt-4", ws)).first()[0]
     assert n == 3 + 1 + 3 + 3
+
+
+def test_with_position_many_buckets_gaps_and_negatives(spark):
+    import random
+    rnd = random.Random(3)
+    keys = rnd.sample(range(-10**12, 10**12), 20000)
+    df = spark.createDataFrame([(k,) for k in keys], "seq long").repartition(17)
+    got = C.with_position(df, "seq", "pos", partitions=50).collect()
+    rank = {k: i for i, k in enumerate(sorted(keys))}
+    assert all(r.pos == rank[r.seq] for r in got) and len(got) == len(keys)
