@@ -20,9 +20,17 @@ def grouped_running_sum(df: DataFrame, group: str, order: list[Column], value: s
     local running sum, and the totals of the earlier chunks of the same group are
     added as an offset (a group spans at most ``partitions`` chunks, so that
     window is bounded).
+
+    The partitioned rows are checkpointed to ``spark.checkpoint.dir`` once:
+    the local sums and the chunk totals must see the same partitions, and two
+    independent range shuffles may sample different bounds on large data.
     """
+    from gradebook.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)      # a shared folder is required on this path
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     r = df.repartitionByRange(n, F.col(group), *order).withColumn("_pid", F.spark_partition_id())
+    r = r.checkpoint(eager=True)
     local_w = (Window.partitionBy("_pid", group).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     r = r.withColumn("_local", F.sum(value).over(local_w))
