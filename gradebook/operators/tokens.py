@@ -10,8 +10,18 @@ from gradebook.functions.tokens import Tokenizer, constant_counts, message_token
 ROLES = ("system", "user", "assistant")
 
 
-def _constants(spark, catalog: dict[str, dict], tokenizer: Tokenizer) -> tuple[dict[str, int], Column]:
-    """Role-name counts and a name -> system-prompt count lookup (one tiny job)."""
+def _constants(spark, catalog: dict[str, dict], tokenizer: Tokenizer) -> tuple[dict, Column]:
+    """Role-name counts and a name -> system-prompt count lookup.
+
+    With the JVM regex tokenizer these are expressions over literals, which
+    Catalyst constant-folds at planning time (no job, no per-row work).  A Python
+    tokenizer cannot be folded, so its counts come from one tiny job instead.
+    """
+    if tokenizer is regex_tokens:
+        roles = {r: r for r in ROLES}          # message_tokens tokenizes the literal role
+        sys_map = F.create_map(*[x for n, t in catalog.items()
+                                 for x in (F.lit(n), regex_tokens(F.lit(t["system_prompt"])))])
+        return roles, sys_map
     texts = {f"role:{r}": r for r in ROLES}
     texts.update({f"sys:{n}": t["system_prompt"] for n, t in catalog.items()})
     counts = constant_counts(spark, texts, tokenizer)
