@@ -51,22 +51,29 @@ def cumulative_share_cut(df: DataFrame, group: str, value: str, p: float, tiebre
     when the running total *before* it is at most ``p``), then renormalise.
 
     ``share`` = value / group total; order is share desc then ``tiebreak``.
-    Group totals and sizes come from one partial aggregate joined back.  Groups
-    larger than ``hot_group_rows`` take the skew-safe two-pass running sum; the
-    rest use one window per group (``None``: every group takes the window).
+    Group sizes are checked first (one partial aggregate; the hot keys are a
+    bounded list).  Without hot groups everything is a window over one hash
+    partitioning by group (total, running sum, kept total: a single shuffle).
+    Groups larger than ``hot_group_rows`` take the skew-safe two-pass running sum,
+    with totals from partial aggregates joined back (``None`` skips the check).
     """
-    totals = df.groupBy(group).agg(F.sum(value).alias("_total"), F.count("*").alias("_rows"))
-    s = df.join(totals, group).withColumn("share", F.col(value) / F.col("_total")).drop("_total", "_rows")
-    order = [F.desc("share"), *[F.col(c) for c in tiebreak]]
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hot: list | None = []
     if hot_group_rows is not None:
+        sizes = df.groupBy(group).agg(F.count("*").alias("_rows"))
         # Hot keys: fewer than rows / hot_group_rows of them exist; collect a bounded list.
-        found = totals.filter(F.col("_rows") > hot_group_rows).select(group).limit(MAX_HOT_KEYS + 1).collect()
+        found = sizes.filter(F.col("_rows") > hot_group_rows).select(group).limit(MAX_HOT_KEYS + 1).collect()
         hot = [r[0] for r in found] if len(found) <= MAX_HOT_KEYS else None
+    order = [F.desc("share"), *[F.col(c) for c in tiebreak]]
+    g = Window.partitionBy(group)
+    w = g.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if hot == []:
+        s = df.withColumn("share", F.col(value) / F.sum(value).over(g))
         s = s.withColumn("_cum", F.sum("share").over(w))
-    elif hot is None:
+        kept = s.filter(F.col("_cum") - F.col("share") <= F.lit(p)).drop("_cum")
+        return kept.withColumn("kept_share", F.col("share") / F.sum("share").over(g))
+    totals = df.groupBy(group).agg(F.sum(value).alias("_total"))
+    s = df.join(totals, group).withColumn("share", F.col(value) / F.col("_total")).drop("_total")
+    if hot is None:
         s = grouped_running_sum(s, group, order, "share", "_cum")
     else:
         is_hot = F.col(group).isin(*hot)
