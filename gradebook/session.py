@@ -79,10 +79,13 @@ def checkpoint_dir(spark: SparkSession, create_local_if_unset: bool = False) ->
     On a cluster this must be set by the operator (a shared file system).  Only
     tests and local runs may ask for a private temporary folder.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path:
+        if not sc.getCheckpointDir():
+            # Set as a session conf at run time: DataFrame.checkpoint() reads the
+            # SparkContext's folder, so align the two.
+            sc.setCheckpointDir(path)
         return path
     if not create_local_if_unset:
         raise RuntimeError(
