@@ -93,9 +93,10 @@ def checkpoint_dir(spark: SparkSession, create_local_if_unset: bool = False) ->
             "(for example an object-store or HDFS path) before running jobs "
             "that materialise intermediate tables"
         )
+    # spark.checkpoint.dir is a static setting; only the SparkContext folder can
+    # be set at run time (tests and local runs only).
     path = tempfile.mkdtemp(prefix="gradebook-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
 
 

@@ -24,11 +24,10 @@ def spark():
         b = b.config(k, v)
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
-    # Tests only: a private checkpoint folder when the session names none.
-    if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="gradebook-test-ckpt-")
-        s.conf.set("spark.checkpoint.dir", d)
-        s.sparkContext.setCheckpointDir(d)
+    # Tests only: a private checkpoint folder when the session names none
+    # (spark.checkpoint.dir is static, so only the SparkContext folder is set).
+    if not (s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()):
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gradebook-test-ckpt-"))
     yield s
 
 
