@@ -62,8 +62,10 @@ def _position_by_buckets(df: DataFrame, order_col: str, out: str, n: int) -> Dat
     bounds = sorted(set(df.approxQuantile(order_col, probs, 1.0 / (4 * n)))) if probs else []
     splits = [float("-inf"), *(bounds or [0.0]), float("inf")]
     cols = df.columns
-    x = Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket").transform(
-        df.withColumn("_key", F.col(order_col).cast("double")))
+    # Null keys sort first (as orderBy does): they go to the first bucket, where
+    # the in-bucket order (ascending, nulls first) puts them at the very start.
+    key = F.coalesce(F.col(order_col).cast("double"), F.lit(float("-inf")))
+    x = Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket").transform(df.withColumn("_key", key))
     offsets = _offsets(x.groupBy("_bucket").agg(F.count("*").alias("_n")), "_bucket")
     w = Window.partitionBy("_bucket").orderBy(order_col)
     x = x.withColumn("_local", F.row_number().over(w) - 1)

@@ -112,3 +112,9 @@ def test_with_position_many_buckets_gaps_and_negatives(spark):
     got = C.with_position(df, "seq", "pos", partitions=50).collect()
     rank = {k: i for i, k in enumerate(sorted(keys))}
     assert all(r.pos == rank[r.seq] for r in got) and len(got) == len(keys)
+
+
+def test_with_position_keeps_null_keys_first(spark):
+    df = spark.createDataFrame([(5,), (None,), (1,), (3,)], "seq long")
+    got = [(r.seq, r.pos) for r in C.with_position(df, "seq", "pos", partitions=3).orderBy("pos").collect()]
+    assert got == [(None, 0), (1, 1), (3, 2), (5, 3)]
