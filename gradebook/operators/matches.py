@@ -52,10 +52,15 @@ def assert_complete(questions: DataFrame, answers: DataFrame, models: list[str])
 
 def judge_route(n_turns: Column, with_reference: bool, mode: str) -> Column:
     """Template name by turn class and reference use (math prompts unused)."""
+    one, multi = route_names(with_reference, mode)
+    return F.when(n_turns > 1, F.lit(multi)).otherwise(F.lit(one))
+
+
+def route_names(with_reference: bool, mode: str) -> list[str]:
+    """The two template names ``judge_route`` can produce (1-turn, multi-turn)."""
     prefix = "single" if mode == "single" else "pair"
     one = f"{prefix}-ref-v1" if with_reference else (f"{prefix}-v1" if mode == "single" else "pair-v2")
-    multi = f"{one}-multi-turn"
-    return F.when(n_turns > 1, F.lit(multi)).otherwise(F.lit(one))
+    return [one, f"{one}-multi-turn"]
 
 
 def _questions(questions: DataFrame) -> DataFrame:

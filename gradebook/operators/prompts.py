@@ -64,19 +64,25 @@ def fold_system(judge_model: str, system: Column, user: Column) -> Column:
                   F.concat(F.lit("[Instruction]\n"), system, F.lit("\n\n"), user)).otherwise(user)
 
 
-def single_judge_prompts(matches: DataFrame, catalog: dict[str, dict]) -> DataFrame:
-    """Add ``user_prompt`` and ``system_prompt`` to single matches."""
+def single_judge_prompts(matches: DataFrame, catalog: dict[str, dict], names: list[str] | None = None) -> DataFrame:
+    """Add ``user_prompt`` and ``system_prompt`` to single matches.
+
+    ``names`` limits the rendering CASE to the template names the matches can
+    carry (e.g. the two names of a route); by default every single template.
+    """
     b = single_bindings()
-    names = [n for n, t in catalog.items() if t["type"] == "single"]
+    names = names or [n for n, t in catalog.items() if t["type"] == "single"]
     return matches.select("*",
                           render_by_name(F.col("judge_prompt"), catalog, b, names).alias("user_prompt"),
                           system_by_name(F.col("judge_prompt"), catalog).alias("system_prompt"))
 
 
-def pair_judge_prompts(matches: DataFrame, catalog: dict[str, dict], judge_model: str) -> DataFrame:
-    """Both position orders rendered in one projection."""
+def pair_judge_prompts(matches: DataFrame, catalog: dict[str, dict], judge_model: str,
+                       names: list[str] | None = None) -> DataFrame:
+    """Both position orders rendered in one projection (``names`` as in
+    ``single_judge_prompts``)."""
     sys = system_by_name(F.col("judge_prompt"), catalog)
-    names = [n for n, t in catalog.items() if t["type"] == "pairwise"]
+    names = names or [n for n, t in catalog.items() if t["type"] == "pairwise"]
     g1 = render_by_name(F.col("judge_prompt"), catalog, pair_bindings("answer_1", "answer_2"), names)
     g2 = render_by_name(F.col("judge_prompt"), catalog, pair_bindings("answer_2", "answer_1"), names)
     return matches.select("*", sys.alias("system_prompt"),

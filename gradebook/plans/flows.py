@@ -34,7 +34,7 @@ def judge_pairwise(questions: DataFrame, answers: DataFrame, models: list[str],
         m = M.all_pair_matches(questions, answers, models, refs)
     else:
         m = M.baseline_matches(questions, answers, models, baseline, refs)
-    p = P.pair_judge_prompts(m, catalog, judge_model)
+    p = P.pair_judge_prompts(m, catalog, judge_model, M.route_names(refs is not None, "pair"))
     p = M.shuffle_for_judging(p, partitions).select(
         "question_id", "model_1", "model_2", "judge_prompt", "n_turns", "system_prompt",
         "g1_user_prompt", "g2_user_prompt")
@@ -65,7 +65,7 @@ def judge_single(questions: DataFrame, answers: DataFrame, models: list[str], ca
                  partitions: int = 64, **retry) -> DataFrame:
     """Single-answer grading, stored as a resumable judgment table with scores."""
     m = M.single_matches(questions, answers, models, refs)
-    p = P.single_judge_prompts(m, catalog)
+    p = P.single_judge_prompts(m, catalog, M.route_names(refs is not None, "single"))
     p = M.shuffle_for_judging(p, partitions, keys=("question_id", "model")).select(
         "question_id", "model", "judge_prompt", "n_turns", "system_prompt", "user_prompt")
     keys = ["question_id", "model", "judge_prompt"]

@@ -257,7 +257,8 @@ SELECT question_id, model, judge_prompt, {_case_sql(["single-v1", "single-v1-mul
 FROM sm""".lstrip()))
 def judge_prompt_single(spark, sf):
     m = M.single_matches(fx.questions(spark, sf), _answers(spark, sf), MODELS)
-    return P.single_judge_prompts(m, _CAT).select("question_id", "model", "judge_prompt", "user_prompt")
+    return P.single_judge_prompts(m, _CAT, M.route_names(False, "single")).select(
+        "question_id", "model", "judge_prompt", "user_prompt")
 
 
 @register("judge_prompt_multiturn", _sql(["questions", "answer_log", "reference_answers"], f"""
@@ -269,8 +270,8 @@ FROM sm WHERE n_turns > 1""".lstrip()))
 def judge_prompt_multiturn(spark, sf):
     m = M.single_matches(fx.questions(spark, sf), _answers(spark, sf), MODELS, fx.reference_answers(spark, sf))
     m = m.filter(F.col("n_turns") > 1)
-    return P.single_judge_prompts(m, _CAT).select("question_id", "model", "judge_prompt", "user_prompt",
-                                                  "system_prompt")
+    return P.single_judge_prompts(m, _CAT, M.route_names(True, "single")).select(
+        "question_id", "model", "judge_prompt", "user_prompt", "system_prompt")
 
 
 _PAIR_JUDGE = "claude-v1"
@@ -296,7 +297,7 @@ FROM pm""")))
 def judge_prompt_pair(spark, sf):
     m = M.all_pair_matches(fx.questions(spark, sf), _answers(spark, sf), ALL_PAIR_ORDER,
                            fx.reference_answers(spark, sf))
-    return P.pair_judge_prompts(m, _CAT, _PAIR_JUDGE).select(
+    return P.pair_judge_prompts(m, _CAT, _PAIR_JUDGE, M.route_names(True, "pair")).select(
         "question_id", "model_1", "model_2", "judge_prompt", "g1_user_prompt", "g2_user_prompt")
 
 
