@@ -18,13 +18,15 @@ def keep_last(df: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
             .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]))
 
 
-def compact_log(df: DataFrame, key: str = "question_id", seq: str = "seq",
+def compact_log(df: DataFrame, key: str | list[str] = "question_id", seq: str = "seq",
                 partitions: int | None = None) -> DataFrame:
     """K3: keep the last row per key and order the result by key.
 
     Range partitioning plus a per-partition sort gives a globally ordered file
-    set without funnelling the log through one task.
+    set without funnelling the log through one task.  ``key`` may be a list
+    (e.g. model and question id when several answer files share one table).
     """
-    last = keep_last(df, [key], seq)
+    keys = [key] if isinstance(key, str) else list(key)
+    last = keep_last(df, keys, seq)
     n = partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return last.repartitionByRange(int(n), key).sortWithinPartitions(key)
+    return last.repartitionByRange(int(n), *keys).sortWithinPartitions(*keys)

@@ -245,3 +245,47 @@ SELECT model, avg(score) AS score, count(*) AS n FROM scored WHERE model IN ({_S
 def score_board_subset(spark, sf):
     from gradebook.operators.matches import filter_models
     return B.score_board(filter_models(labeled_single(spark, sf), SUBSET))
+
+
+# ---------------------------------------------------------------------------
+# Output-format dispatch (V6) over all three judgment shapes
+# ---------------------------------------------------------------------------
+
+def _fmt_sql() -> str:
+    from gradebook import judge_prompts as JP
+    cases = " ".join(f"WHEN '{n}' THEN '{t['output_format']}'" for n, t in JP.as_dict().items())
+    return f"CASE judge_prompt {cases} END"
+
+
+@register("verdict_dispatch", with_views(["pair_log", "single_log", "two_score_log"], f"""
+, j AS (
+  SELECT 'pair' AS kind, judge_prompt, g1_judgment AS judgment, {_fmt_sql()} AS fmt FROM pair_log
+  UNION ALL SELECT 'single', judge_prompt, judgment, {_fmt_sql()} FROM single_log
+  UNION ALL SELECT 'two_score', 'custom', judgment, '[[rating_a,rating_b]]' FROM two_score_log),
+s AS (SELECT *,
+  CASE WHEN regexp_matches(judgment, {_TWO}) THEN try_cast(regexp_extract(judgment, {_TWO}, 1) AS DOUBLE)
+       ELSE try_cast(nullif(regexp_extract(judgment, {_TWO_B}, 1), '') AS DOUBLE) END AS a,
+  CASE WHEN regexp_matches(judgment, {_TWO}) THEN try_cast(regexp_extract(judgment, {_TWO}, 2) AS DOUBLE)
+       ELSE try_cast(nullif(regexp_extract(judgment, {_TWO_B}, 2), '') AS DOUBLE) END AS b
+  FROM j)
+SELECT kind, judge_prompt, judgment,
+  CASE fmt
+    WHEN '[[A]]' THEN CASE WHEN contains(judgment, '[[A]]') THEN 'A' WHEN contains(judgment, '[[B]]') THEN 'B'
+                           WHEN contains(judgment, '[[C]]') THEN 'tie' ELSE 'error' END
+    WHEN '[[rating_a,rating_b]]' THEN CASE WHEN a IS NULL OR b IS NULL THEN 'error'
+                           WHEN abs(a - b) <= CAST(0.1 AS DOUBLE) THEN 'tie' WHEN a > b THEN 'A' ELSE 'B' END
+    WHEN '[[rating]]' THEN CAST({RATING} AS VARCHAR) END AS verdict
+FROM s""".lstrip()))
+def verdict_dispatch(spark, sf):
+    from gradebook import judge_prompts as JP
+    from gradebook.functions.extract import verdict_by_format
+    cat = JP.as_dict()
+    fmt = F.create_map(*[x for n, t in cat.items() for x in (F.lit(n), F.lit(t["output_format"]))])
+    pair = fx.pair_log(spark, sf).select(F.lit("pair").alias("kind"), "judge_prompt",
+                                         F.col("g1_judgment").alias("judgment"))
+    single = fx.single_log(spark, sf).select(F.lit("single").alias("kind"), "judge_prompt", "judgment")
+    j = pair.unionByName(single).withColumn("fmt", F.try_element_at(fmt, F.col("judge_prompt")))
+    two = fx.two_score_log(spark, sf).select(F.lit("two_score").alias("kind"), F.lit("custom").alias("judge_prompt"),
+                                             "judgment", F.lit("[[rating_a,rating_b]]").alias("fmt"))
+    return j.unionByName(two).select("kind", "judge_prompt", "judgment",
+                                     verdict_by_format("judgment", "fmt").alias("verdict"))

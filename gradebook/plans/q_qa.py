@@ -436,3 +436,12 @@ def pair_from_single(spark, sf):
     pairs = [(a, b) for _, a, b in M.model_pairs(SINGLE_MODELS)]
     pr = M.pair_values(s, pairs, "score", "m1_score", "m2_score")
     return V.pair_from_scores(pr)
+
+
+@register("answers_compacted", _sql(["answer_log"], """
+SELECT model, question_id, max(seq) AS seq, arg_max(model_answer[2], seq) AS follow_up
+FROM answer_log GROUP BY model, question_id"""))
+def answers_compacted(spark, sf):
+    from gradebook.operators.keeplast import compact_log
+    c = compact_log(fx.answer_log(spark, sf), ["model", "question_id"])
+    return c.select("model", "question_id", "seq", F.get("model_answer", 1).alias("follow_up"))
