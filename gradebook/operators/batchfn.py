@@ -202,3 +202,16 @@ def length_judge_factory() -> Model:
         ]
 
     return judge
+
+
+def echo_generator_factory(stop: str = "</s>") -> Callable[[], Generator]:
+    """Offline generator for tests and the answer_generation query: each reply
+    names the temperature, the conversation length so far and the last user
+    text, followed by a stop marker and junk that the runner cuts off."""
+
+    def factory() -> Generator:
+        def gen(convs, temps):
+            return [f"t={t} n={len(c)} last={c[-1][1]}{stop}tail" for c, t in zip(convs, temps)]
+        return gen
+
+    return factory

@@ -445,3 +445,19 @@ def answers_compacted(spark, sf):
     from gradebook.operators.keeplast import compact_log
     c = compact_log(fx.answer_log(spark, sf), ["model", "question_id"])
     return c.select("model", "question_id", "seq", F.get("model_answer", 1).alias("follow_up"))
+
+
+_GEN_TEMP = _TEMP_CASE
+
+
+@register("answer_generation", _sql(["questions"], f"""
+SELECT question_id, 'echo' AS model_id, CAST(len(question) AS INTEGER) AS n_answers,
+       {_ustrip_sql("'t=' || CAST(" + _GEN_TEMP + " AS VARCHAR) || ' n=1 last=' || question[1]")} AS answer_1,
+       {_ustrip_sql("'t=' || CAST(" + _GEN_TEMP + " AS VARCHAR) || ' n=' || CAST(2 * len(question) - 1 AS VARCHAR) || ' last=' || question[len(question)]")} AS answer_last
+FROM questions"""))
+def answer_generation(spark, sf):
+    g = U.generate_answers(fx.questions(spark, sf), U.echo_generator_factory(fx.STOP_MARKER), "echo",
+                           stop=fx.STOP_MARKER, retry_sleep=0.0)
+    return g.select("question_id", "model_id", F.size("model_answer").alias("n_answers"),
+                    F.get("model_answer", 0).alias("answer_1"),
+                    F.element_at("model_answer", -1).alias("answer_last"))

@@ -11,7 +11,7 @@ import __spark_entry__ as E  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
-PYTHON_ALLOWED = {"judge_map"}          # the model-call operator runs the user's callable
+PYTHON_ALLOWED = {"judge_map", "answer_generation"}   # model-call operators run the user's callable
 
 
 def plan(spark, name):
