@@ -41,3 +41,19 @@ def test_few_shot_top_n_is_a_window_group_limit(plans):
 def test_boards_aggregate_partially(plans):
     for n in ("win_board", "score_board", "token_totals", "mc_accuracy"):
         assert "partial_" in plans[n], n
+
+
+SENSITIVE = ["qa_convert", "question_slice", "chunk_assign", "seed_prompts", "share_cut", "games_canonical",
+             "win_board", "generated_new", "dialog_inst", "explanations", "mc_accuracy"]
+
+
+@pytest.mark.parametrize("name", SENSITIVE)
+def test_results_do_not_depend_on_partition_count(spark, name):
+    def run(n):
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        try:
+            return sorted(map(repr, map(tuple, E.queries()[name](spark, SF).collect())))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert run(3) == run(11)
