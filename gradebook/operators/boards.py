@@ -11,7 +11,6 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gradebook import fixed
 from gradebook.operators.joins import collect_small
@@ -159,22 +158,24 @@ def score_matrix(single: DataFrame, label: str, values: list[str] | None = None)
     return single.groupBy("model").pivot(label, values).agg(F.avg("score"))
 
 
-def radar_series(df: DataFrame, series: str, axis: str, value: str) -> DataFrame:
+def radar_series(df: DataFrame, series: str, axis: str, value: str, axes: list | None = None,
+                 max_axes: int = 10_000) -> DataFrame:
     """Points (series, axis, k, angle, value) with angle 2*pi*k/n; the first
     axis is repeated at k = n to close each polygon.
 
-    Axes are numbered over the distinct axis values (a small table), then joined.
+    Axis values are chart metadata: they are collected once (size-checked, at
+    most ``max_axes``) and numbered in sorted order on the driver, and each row's
+    index is a literal-map lookup, so no window or join is needed.
     """
-    axes = df.select(axis).distinct()
-    w = Window.orderBy(axis)  # distinct axis values: a handful of rows
-    axes = axes.select(axis, (F.row_number().over(w) - 1).cast("long").alias("k"),
-                       F.count("*").over(Window.partitionBy()).alias("n"))
-    # The axis table is derived from the same aggregate; AQE broadcasts it from
-    # its runtime size (checking it up front would compute the aggregate twice).
-    pts = df.select(series, axis, value).join(axes, axis)
-    closing = pts.filter(F.col("k") == 0).withColumn("k", F.col("n"))
+    if axes is None:
+        axes = sorted(r[axis] for r in collect_small(df.select(axis).distinct().dropna(), max_axes))
+    n = len(axes)
+    index = F.create_map(*[x for i, a in enumerate(axes) for x in (F.lit(a), F.lit(i).cast("long"))])
+    pts = (df.select(series, axis, value, F.try_element_at(index, F.col(axis)).alias("k"))
+           .filter(F.col("k").isNotNull()))
+    closing = pts.filter(F.col("k") == 0).withColumn("k", F.lit(n).cast("long"))
     out = pts.unionByName(closing)
-    return out.select(series, axis, "k", (F.lit(2 * math.pi) * F.col("k") / F.col("n")).alias("angle"), value)
+    return out.select(series, axis, "k", (F.lit(2 * math.pi) * F.col("k") / F.lit(n)).alias("angle"), value)
 
 
 # ---------------------------------------------------------------------------
