@@ -97,13 +97,13 @@ def tokens(spark, args) -> DataFrame:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="gradebook")
     sub = p.add_subparsers(dest="cmd", required=True)
-    c = sub.add_parser("convert")
+    c = sub.add_parser("convert", help="raw QA CSV -> question and reference-answer JSONL")
     c.add_argument("--csv", required=True)
     c.add_argument("--questions", required=True)
     c.add_argument("--references", required=True)
     c.add_argument("--field-header", default="ops_field")
     c.add_argument("--task-header", default="task_type")
-    s = sub.add_parser("show")
+    s = sub.add_parser("show", help="score / win boards from judgment logs, by mode")
     s.add_argument("--judgments", required=True)
     s.add_argument("--questions", required=True)
     s.add_argument("--mode", default="pairwise-all",
@@ -113,11 +113,11 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--models", nargs="+")
     s.add_argument("--iid")
     s.add_argument("--out", required=True)
-    m = sub.add_parser("mc-score")
+    m = sub.add_parser("mc-score", help="multiple-choice accuracy per category and run")
     m.add_argument("--results", required=True)
     m.add_argument("--exclude", nargs="+")
     m.add_argument("--out", required=True)
-    t = sub.add_parser("tokens")
+    t = sub.add_parser("tokens", help="judge token totals per model or model pair")
     t.add_argument("--judgments", required=True)
     t.add_argument("--kind", choices=["single", "pair"], default="single")
     t.add_argument("--models", nargs="+")
