@@ -1,4 +1,4 @@
-"""Question-answer pipeline queries: conversion, answers, matches, prompts, games."""
+"""Question-answer queries: conversion, answers, matches, prompts, games."""
 
 from __future__ import annotations
 
