@@ -8,6 +8,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as E  # noqa: E402
+from gradebook.plans import registry  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
@@ -20,7 +21,8 @@ def plan(spark, name):
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {n: plan(spark, n) for n in sorted(E.queries())}
+    registry.load_all()
+    return {n: plan(spark, n) for n in sorted(registry.QUERIES)}
 
 
 def test_no_cross_joins(plans):
