@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradebook.llm import quality_rules, sharding
-from gradebook.llm.common import table
+from gradebook.llm import quality_rules, sharding, warc
+from gradebook.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -74,3 +74,24 @@ SELECT *, (NOT base_failed AND {_rule_sql()}) AS kept FROM b
 def op7_quality_rules(spark, sf_dir):
     """Counts, ratios and verdict of the threshold table for every document."""
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+_WARC_SQL = """
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT rid, page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+r AS (SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS best FROM f
+      WINDOW w AS (PARTITION BY payload_digest, payload_bytes ORDER BY page_id DESC NULLS LAST, rid))
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND place > 1 THEN best END AS refers_to FROM r
+"""
+
+
+@query("op10_warc", _WARC_SQL)
+def op10_warc(spark, sf_dir):
+    """All pages written as WARC records to the shared folder and read back."""
+    folder = shared_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    out = warc.resolve(warc.read_archives(spark, folder))
+    return out.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                      F.col("refers_to").cast("long").alias("refers_to"))
