@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradebook.llm import quality_rules, sharding, warc
+from gradebook.llm import packing, quality_rules, sharding, warc
 from gradebook.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,17 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op1_packing")
+def op1_packing(spark, sf_dir):
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @query("op5_byte_shards")
 def op5_byte_shards(spark, sf_dir):
     """All documents in 40 contiguous shards of nearly equal bytes."""
