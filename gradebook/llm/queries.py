@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradebook.llm import packing, quality_rules, sharding, warc
+from gradebook.llm import packing, quality_rules, sharding, toxicity, warc
 from gradebook.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,17 @@ def op5_byte_shards(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    """Toxicity score of every whole text; labels whose id falls into remainder 2 of 4 are held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    scorer = toxicity.fit(docs, labels.where(~held))
+    out = toxicity.score(docs.select("doc_id", "text"), scorer).drop("text")
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score",
+                      (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 _STOPS = ", ".join("'" + w + "'" for w in quality_rules.stop_words())
 
 
