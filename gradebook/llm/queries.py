@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradebook.llm import packing, quality_rules, sharding, toxicity, warc
+from gradebook.llm import language_id, packing, quality_rules, sharding, toxicity, warc
 from gradebook.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,15 @@ def op1_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op4_language_id")
+def op4_language_id(spark, sf_dir):
+    """Language of every whole text; documents whose id falls into remainder 1 of 3 are held out of training."""
+    docs = table(spark, sf_dir, "documents")
+    held = language_id.held_out(F.col("doc_id"))
+    net = language_id.train(docs.where(~held))
+    return language_id.predict(docs.select("doc_id", held.alias("held_out"), "text"), net).drop("text")
+
+
 @query("op5_byte_shards")
 def op5_byte_shards(spark, sf_dir):
     """All documents in 40 contiguous shards of nearly equal bytes."""
