@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradebook.llm import language_id, packing, quality_rules, sharding, toxicity, warc
+from gradebook.llm import language_id, minhash_dedup, packing, quality_rules, sharding, toxicity, warc
 from gradebook.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,28 @@ def op10_warc(spark, sf_dir):
     out = warc.resolve(warc.read_archives(spark, folder))
     return out.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                       F.col("refers_to").cast("long").alias("refers_to"))
+
+
+_NEAR_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT rid, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+c AS (SELECT min(rid) AS cls, min(doc_id) AS low, words FROM w WHERE len(words) > 0 GROUP BY words),
+g AS (SELECT DISTINCT cls, array_to_string(words[i:i + 4], ' ') AS sh FROM
+        (SELECT cls, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM c)),
+n AS (SELECT cls, count(*) AS n FROM g GROUP BY cls),
+common AS (SELECT x.cls AS a, y.cls AS b, count(*) AS k FROM g x JOIN g y ON x.sh = y.sh AND x.cls <> y.cls GROUP BY ALL),
+e AS (SELECT a, b FROM common JOIN n na ON na.cls = a JOIN n nb ON nb.cls = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+reach AS (SELECT cls, cls AS at FROM c UNION SELECT reach.cls, e.b FROM reach JOIN e ON e.a = reach.at),
+root AS (SELECT reach.cls, min(c.low) AS component_id FROM reach JOIN c ON c.cls = reach.at GROUP BY reach.cls)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles,
+       CASE WHEN len(w.words) > 0 THEN root.component_id ELSE w.doc_id END AS component_id,
+       w.doc_id IS NOT DISTINCT FROM CASE WHEN len(w.words) > 0 THEN root.component_id ELSE w.doc_id END AS kept
+FROM w LEFT JOIN c ON c.words = w.words LEFT JOIN n ON n.cls = c.cls LEFT JOIN root ON root.cls = c.cls
+"""
+
+
+@query("op9_minhash_dedup", _NEAR_SQL)
+def op9_minhash_dedup(spark, sf_dir):
+    """Near-duplicate components of all documents at 5-word shingle similarity 0.75."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("first")
