@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradebook.llm import language_id, minhash_dedup, packing, quality_rules, sharding, toxicity, warc
+from gradebook.llm import language_id, line_dedup, minhash_dedup, packing, quality_rules, sharding, toxicity, warc
 from gradebook.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,38 @@ def op1_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+_LINES_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, i, lines[i] AS line, regexp_extract_all(
+        translate(lines[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+      FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+c AS (SELECT words, min({'d': doc_id, 'i': i}) AS pos FROM l WHERE len(words) >= 8 GROUP BY words),
+v AS (SELECT pos, g, len(words) AS n, array_to_string(list_concat(words[:g - 1], words[g + 1:]), ' ') AS z
+      FROM (SELECT pos, words, unnest(range(1, len(words) + 1)) AS g FROM c)),
+w AS (SELECT pos, array_to_string(words, ' ') AS z FROM c),
+swap AS (SELECT pos, min(pos) OVER (PARTITION BY z, g, n) AS partner FROM v),
+near AS (SELECT pos FROM swap WHERE partner < pos
+         UNION SELECT v.pos FROM v JOIN w ON v.z = w.z WHERE w.pos < v.pos
+         UNION SELECT w.pos FROM v JOIN w ON v.z = w.z WHERE v.pos < w.pos),
+k AS (SELECT l.doc_id, l.i, l.line, c.pos IS NOT NULL AND
+             (c.pos < {'d': l.doc_id, 'i': l.i} OR c.pos IN (SELECT pos FROM near)) AS gone
+      FROM l LEFT JOIN c ON c.words = l.words),
+t AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed_lines,
+             coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text FROM k GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed_lines, 0)::BIGINT AS n_removed_lines,
+       md5(t.text) AS text_md5, length(t.text)::BIGINT AS n_chars
+FROM documents LEFT JOIN t USING (doc_id)
+"""
+
+
+@query("op2_line_dedup", _LINES_SQL)
+def op2_line_dedup(spark, sf_dir):
+    """All documents without lines that repeat, or differ by one word from, an earlier line."""
+    out = line_dedup.dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", F.md5(F.encode("text", "UTF-8")).alias("text_md5"),
+                      F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op4_language_id")
 def op4_language_id(spark, sf_dir):
     """Language of every whole text; documents whose id falls into remainder 1 of 3 are held out of training."""
