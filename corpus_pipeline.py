@@ -1,4 +1,72 @@
-STAGES = []
+"""From raw documents to packed training sequences, in five stages over any corpus.
+
+Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept and
+returns a DataFrame, which ``run`` writes as Parquet to the shared folder and reads again for the
+next one.  All but the last return the columns of the documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gradebook.llm import language_id, line_dedup, minhash_dedup, packing, toxicity
+from gradebook.llm.common import stored, table, without_space
+from gradebook.llm.queries import tokenizer_path
+
+#: A document whose most probable language has less than this share of its positions is no text of a known language.
+MIN_LANGUAGE_SCORE = 0.3
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at least the threshold go; the models learn from the table of labels."""
+    scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, scorer, name="_toxicity")
+    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or of no known language, go."""
+    net = language_id.train(docs)
+    found = language_id.predict(docs, net, lang="_lang_pred", score="_lang_score")
+    known = (F.col("_lang_pred") != language_id.UNKNOWN) & (F.col("_lang_score") >= MIN_LANGUAGE_SCORE)
+    return found.where(known).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier line repeats, or nearly so, go; a document that loses all its words goes with them."""
+    out = line_dedup.dedupe_lines(docs)
+    out = out.where((F.col("_removed_lines") == 0) | (F.length(without_space(F.col("text"))) > 0))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("_removed_lines") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return minhash_dedup.drop_near_duplicates(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all remaining documents with their places in the training sequences."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unknown_language),
+    ("line_dedup", drop_repeated_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("packing", pack),
+]
+
+#: No SQL: trained models and a tokenizer decide; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -211,7 +211,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     words: int = WORDS, tables: int = TABLES) -> DataFrame:
-    """Per row: id, n_shingles, component_id, kept (its id is the component's), first (one row of each component)."""
+    """Per row: id, n_shingles, component_id, kept (its id is the component's), first (one row of each component), text_key."""
     rows = stored(signatures(docs, id_col, text_col, words, tables).withColumn("_row", F.monotonically_increasing_id()), "signatures")
     full = rows.where("_n > 0")
     # min over (is null, id, row): the smallest id that is not null, one row of it.
@@ -266,7 +266,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = placed.groupBy("root").agg(F.min("best").alias("low"))
     named = placed.join(lowest, "root").select("_set", "low")
     out = full.join(named, "_set", "left").select(
-        F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("low.id").alias("component_id"), (F.col("low.row") == F.col("_row")).alias("first"))
-    alone = rows.where("_n = 0").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_id").alias("component_id"), F.lit(True).alias("first"))
+        F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("low.id").alias("component_id"), (F.col("low.row") == F.col("_row")).alias("first"),
+        F.col("_text_key").alias("text_key"))
+    alone = rows.where("_n = 0").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_id").alias("component_id"), F.lit(True).alias("first"), F.col("_text_key").alias("text_key"))
     out = out.union(alone)
-    return out.select(id_col, "n_shingles", "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"), "first")
+    return out.select(id_col, "n_shingles", "component_id", F.col(id_col).eqNullSafe(F.col("component_id")).alias("kept"), "first", "text_key")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component; rows of equal id and text count as one document."""
+    stay = near_duplicates(docs, id_col, text_col).where("first").select(F.col(id_col).alias("_stay_id"), F.col("text_key").alias("_stay_key")).distinct()
+    keyed = docs.withColumn("_key", F.xxhash64(text_col))
+    kept = keyed.join(stay, (F.col("_key") == F.col("_stay_key")) & F.col(id_col).eqNullSafe(F.col("_stay_id")), "left_semi")
+    return kept.dropDuplicates([id_col, "_key"]).select(*docs.columns)

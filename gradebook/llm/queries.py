@@ -64,7 +64,7 @@ FROM documents LEFT JOIN t USING (doc_id)
 def op2_line_dedup(spark, sf_dir):
     """All documents without lines that repeat, or differ by one word from, an earlier line."""
     out = line_dedup.dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_removed_lines", F.md5(F.encode("text", "UTF-8")).alias("text_md5"),
+    return out.select("doc_id", F.col("_line_count").alias("n_lines"), F.col("_removed_lines").alias("n_removed_lines"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"),
                       F.length("text").cast("long").alias("n_chars"))
 
 
@@ -182,4 +182,4 @@ FROM w LEFT JOIN c ON c.words = w.words LEFT JOIN n ON n.cls = c.cls LEFT JOIN r
 @query("op9_minhash_dedup", _NEAR_SQL)
 def op9_minhash_dedup(spark, sf_dir):
     """Near-duplicate components of all documents at 5-word shingle similarity 0.75."""
-    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("first")
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("first", "text_key")
