@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradebook.llm import language_id, line_dedup, minhash_dedup, packing, quality_rules, sharding, toxicity, warc
+from gradebook.llm import ann_curves, language_id, line_dedup, minhash_dedup, packing, quality_rules, sharding, toxicity, warc
 from gradebook.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,6 +160,12 @@ def op10_warc(spark, sf_dir):
                       F.col("refers_to").cast("long").alias("refers_to"))
 
 
+@query("op8_ann_curves")
+def op8_ann_curves(spark, sf_dir):
+    """The 5 nearest embeddings of every vec_id divisible by 50."""
+    return ann_curves.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 _NEAR_SQL = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
