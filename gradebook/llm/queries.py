@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradebook.llm import ann_curves, language_id, line_dedup, minhash_dedup, packing, quality_rules, sharding, toxicity, warc
+from gradebook.llm import ann_curves, language_id, line_dedup, minhash_dedup, packing, piece_tokens, quality_rules, sharding, toxicity, warc
 from gradebook.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,20 @@ def op1_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark, sf_dir):
+    """All documents encoded to pieces and decoded again; checksums of the ids (decimal, joined by commas) and of both texts."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = piece_tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    out = piece_tokens.decode(ids, model)
+    crc = lambda c: F.crc32(F.encode(c, "UTF-8"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.crc32(F.encode(F.array_join("ids", ","), "UTF-8")).alias("ids_crc32"),
+                      crc("text").alias("text_crc32"), crc("decoded").alias("decoded_crc32"),
+                      F.translate("text", piece_tokens.BLANK, " ").eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
 _LINES_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, i, lines[i] AS line, regexp_extract_all(
