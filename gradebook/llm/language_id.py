@@ -231,9 +231,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def predict(docs: DataFrame, net: BiGRU | None, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with the predicted language of its whole text and its probability."""
+    """``docs`` with the predicted language of its whole text and its probability (in place of columns of those names)."""
     from pyspark.sql import types as T
 
+    docs = docs.drop(lang, score)
+
     schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator) -> Iterator:

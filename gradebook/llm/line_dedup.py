@@ -168,12 +168,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the repeated lines, and with _line_count and _removed_lines (of the text as it came)."""
-    removed = repeated_lines(docs, id_col, text_col, min_words).toDF("_rid", "_rkey", "_removed")
+    removed = repeated_lines(docs, id_col, text_col, min_words).toDF("__rid", "__rkey", "__removed")
     key = F.xxhash64(F.col(text_col))
-    out = docs.join(removed, (key == F.col("_rkey")) & F.col(id_col).eqNullSafe(F.col("_rid")), "left").drop("_rid", "_rkey")
+    out = docs.join(removed, (key == F.col("__rkey")) & F.col(id_col).eqNullSafe(F.col("__rid")), "left").drop("__rid", "__rkey")
     lines = F.split(F.col(text_col), "\n", -1)
     out = out.withColumn("_line_count", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    out = out.withColumn("_lines", F.when(F.col("_removed").isNotNull(), lines))
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _removed), i -> _lines[i]), '\n')")
-    return (out.withColumn(text_col, F.when(F.col("_removed").isNotNull(), kept).otherwise(F.col(text_col)))
-            .withColumn("_removed_lines", F.coalesce(F.size("_removed"), F.lit(0)).cast("long")).drop("_lines", "_removed"))
+    out = out.withColumn("__lines", F.when(F.col("__removed").isNotNull(), lines))
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(__lines) - 1), __removed), i -> __lines[i]), '\n')")
+    return (out.withColumn(text_col, F.when(F.col("__removed").isNotNull(), kept).otherwise(F.col(text_col)))
+            .withColumn("_removed_lines", F.coalesce(F.size("__removed"), F.lit(0)).cast("long")).drop("__lines", "__removed"))

@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component; rows of equal id and text count as one document."""
-    stay = near_duplicates(docs, id_col, text_col).where("first").select(F.col(id_col).alias("_stay_id"), F.col("text_key").alias("_stay_key")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(text_col))
-    kept = keyed.join(stay, (F.col("_key") == F.col("_stay_key")) & F.col(id_col).eqNullSafe(F.col("_stay_id")), "left_semi")
-    return kept.dropDuplicates([id_col, "_key"]).select(*docs.columns)
+    stay = near_duplicates(docs, id_col, text_col).where("first").select(F.col(id_col).alias("__id"), F.col("text_key").alias("__stay")).distinct()
+    keyed = docs.withColumn("__key", F.xxhash64(text_col))
+    kept = keyed.join(stay, (F.col("__key") == F.col("__stay")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates([id_col, "__key"]).select(*docs.columns)

@@ -289,9 +289,11 @@ class Decoder:
 
 
 def _added(df: DataFrame, source: str, name: str, kind, make):
-    """``df`` with the column ``name`` that ``make()`` computes from slices of ``source``."""
+    """``df`` with the column ``name`` (in place of one of that name) that ``make()`` computes from slices of ``source``."""
     from pyspark.sql import types as T
 
+    df = df.drop(name)
+
     schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
     def run(batches: Iterator) -> Iterator:

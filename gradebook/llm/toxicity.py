@@ -242,9 +242,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the probability of the toxic class of its whole text as ``name``."""
+    """``docs`` with the probability of the toxic class of its whole text as ``name`` (in place of a column of that name)."""
     from pyspark.sql import types as T
 
+    docs = docs.drop(name)
+
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):
