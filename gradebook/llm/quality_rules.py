@@ -56,15 +56,13 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stops = [F.lit(w) for w in stop_words()]
     base = docs.select(F.col(id_col), text.alias("_text"), words_of(F.col(text_col)).alias("_words"),
                        F.filter(F.split(text, "\n", -1), lambda x: F.length(without_space(x)) > 0).alias("_lines"))
-    # Three-word windows as (hash, place), sorted: equal windows are then neighbours.
-    windows = F.expr("""sort_array(transform(slice(_words, 1, greatest(size(_words) - 2, 0)),
-        (w, i) -> struct(xxhash64(w, _words[i + 1], _words[i + 2]) AS h, i AS i)))""")
-    base = base.withColumn("_win", windows)
-    twice = F.expr("""transform(filter(_win, (s, j) ->
-        (j > 0 AND s.h = _win[j - 1].h) OR (j < size(_win) - 1 AND s.h = _win[j + 1].h)), s -> s.i)""")
-    base = base.withColumn("_twice", twice)
-    covered = F.size(F.array_distinct(F.flatten(F.transform(
-        F.col("_twice"), lambda i: F.array(i, i + 1, i + 2)))))
+    # Three-word windows as (hash, place), sorted: equal windows are then neighbours.  The arrays are bound
+    # to lambda variables, so that a filter which the optimizer moves below still makes each of them once.
+    covered = F.expr("""transform(array(_words), w -> transform(array(sort_array(transform(slice(w, 1, greatest(size(w) - 2, 0)),
+            (x, i) -> struct(xxhash64(x, w[i + 1], w[i + 2]) AS h, i AS i)))), win ->
+        size(array_distinct(flatten(transform(filter(win, (s, j) ->
+            (j > 0 AND s.h = win[j - 1].h) OR (j < size(win) - 1 AND s.h = win[j + 1].h)),
+            s -> array(s.i, s.i + 1, s.i + 2))))))[0])[0]""")
     lines, words = F.col("_lines"), F.col("_words")
     return base.select(
         F.col(id_col),
