@@ -156,11 +156,10 @@ def op7_quality_rules(spark, sf_dir):
 _WARC_SQL = """
 WITH p AS (SELECT row_number() OVER () AS rid, page_id, coalesce(html, '') AS html FROM pages),
 f AS (SELECT rid, page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
-r AS (SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS best FROM f
-      WINDOW w AS (PARTITION BY payload_digest, payload_bytes ORDER BY page_id DESC NULLS LAST, rid))
-SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 1000 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 1000 AND place > 1 THEN best END AS refers_to FROM r
+r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS best FROM f),
+k AS (SELECT *, payload_bytes >= 1000 AND page_id IS DISTINCT FROM best AS revisit FROM r)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN revisit THEN best END AS refers_to FROM k
 """
 
 

@@ -13,8 +13,9 @@ not split), and a state machine follows the content lengths across rows and Arro
 Of records with equal payloads of at least ``min_bytes``, the one with the largest id is a
 ``response`` and the others are ``revisit`` records without a body that refer to it.
 
-Defined results: a null payload is an empty one; a null id is smaller than any other and refers_to
-may be null for it; of repeated rows one is the response; an empty table gives an empty archive;
+Defined results: a null payload is an empty one; a null id is smaller than any other and a
+payload that only null ids have is a response each time; rows of equal id and payload are records of
+equal id and kind; an empty table gives an empty archive;
 payload bytes are kept as they are, line ends included; other columns are not read.
 """
 
@@ -34,8 +35,8 @@ CHUNK_BYTES = 1 << 20
 MIN_BYTES = 1000
 
 
-def _record_id(page: Column, row: Column) -> Column:
-    h = F.md5(F.concat_ws(":", F.coalesce(page.cast("string"), F.lit("null")), row.cast("string")))
+def _record_id(page: Column, digest: Column) -> Column:
+    h = F.md5(F.concat_ws(":", F.coalesce(page.cast("string"), F.lit("null")), digest))
     return F.concat(F.lit("urn:uuid:"), *[x for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
                                           for x in ((F.lit("-"),) if a > 1 else ()) + (F.substring(h, a, n),)])
 
@@ -45,19 +46,17 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     """One row per page: _id, _url, record_id, record_type, refers_to_record, _payload (null for revisits),
     payload_bytes, payload_digest (of the full payload)."""
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
-    base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), payload.alias("_payload"),
-                        F.monotonically_increasing_id().alias("_row"))
+    base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), payload.alias("_payload"))
     base = base.select("*", F.octet_length("_payload").cast("long").alias("_bytes"), F.sha1("_payload").alias("_digest"))
     # One row per repeated payload: summed on the map side, so a hot payload moves one row per task.
     best = (base.where(F.col("_bytes") >= min_bytes).groupBy("_digest", "_bytes")
-            .agg(F.max(F.struct("_id", "_row")).alias("_best"), F.count("*").alias("_n"))
-            .where("_n > 1").drop("_n"))
+            .agg(F.max("_id").alias("_best"), F.count("*").alias("_n")).where("_n > 1"))
     out = base.join(best, ["_digest", "_bytes"], "left")
-    revisit = F.col("_best").isNotNull() & (F.col("_best._row") != F.col("_row"))
+    revisit = F.col("_n").isNotNull() & ~F.col("_best").eqNullSafe(F.col("_id"))
     return out.select(
-        "_id", "_url", _record_id(F.col("_id"), F.col("_row")).alias("record_id"),
+        "_id", "_url", _record_id(F.col("_id"), F.col("_digest")).alias("record_id"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, _record_id(F.col("_best._id"), F.col("_best._row"))).alias("refers_to_record"),
+        F.when(revisit, _record_id(F.col("_best"), F.col("_digest"))).alias("refers_to_record"),
         F.when(~revisit, F.col("_payload")).alias("_payload"),
         F.col("_bytes").alias("payload_bytes"), F.col("_digest").alias("payload_digest"))
 
@@ -216,9 +215,9 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 def resolve(recs: DataFrame) -> DataFrame:
     """Records with the payload facts and page id of the response that a revisit refers to."""
-    target = recs.where("record_type = 'response'").select(
-        F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"),
-        F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
+    # Rows of equal id are equal: one of them is enough.
+    target = recs.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_record")).agg(
+        F.max("page_id").alias("refers_to"), F.max("payload_bytes").alias("_bytes"), F.max("payload_digest").alias("_digest"))
     return recs.join(target, "refers_to_record", "left").select(
         "page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"),
         F.coalesce("payload_digest", "_digest").alias("payload_digest"), "record_type", "refers_to")

@@ -14,14 +14,11 @@ def brute(rows, least):
         raw = (html or "").encode()
         if len(raw) >= least:
             best[raw] = max(best.get(raw, -1), -1 if p is None else p)
-    out, done = [], set()
+    out = []
     for p, _, html in rows:
         raw = (html or "").encode()
-        first = raw not in best or (best[raw] == (-1 if p is None else p) and raw not in done)
-        if first and raw in best:
-            done.add(raw)
-        refers = None if first or best[raw] < 0 else best[raw]
-        out.append((p, len(raw), hashlib.sha1(raw).hexdigest(), "response" if first else "revisit", refers))
+        first = raw not in best or best[raw] == (-1 if p is None else p)
+        out.append((p, len(raw), hashlib.sha1(raw).hexdigest(), "response" if first else "revisit", None if first else best[raw]))
     return sorted(map(str, out))
 
 
