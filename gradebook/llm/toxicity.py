@@ -39,6 +39,8 @@ MAX_GRAMS = 200_000
 DOCS, TIMES = 5, 4
 STEMS = range(10, 3, -1)   # lengths of word beginnings
 FOLDS = 4
+#: Texts counted at a time, so that a task's counts stay small.
+SLICE = 250
 THRESHOLD = 0.3
 WORD = r"[^\W\d_]+"
 RARE, START = 0, 1   # word numbers
@@ -50,14 +52,17 @@ def words(text: str | None) -> list[str]:
 
 def _pair_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        n: Counter = Counter()
-        first: Counter = Counter()            # the pairs by which documents first have their words
-        for text, toxic, fold in zip(b["_text"], b["_toxic"], b["_fold"], strict=True):
-            w = words(text)
-            pairs = list(zip([""] + w[:-1], w, [toxic] * len(w), [fold] * len(w), strict=True))
-            n.update(pairs)
-            first.update({p[1]: p for p in reversed(pairs)}.values())
-        yield pd.DataFrame([(*k, v, first[k]) for k, v in n.items()], columns=["h", "w", "toxic", "fold", "n", "d"])
+        for start in range(0, len(b), SLICE):
+            part = b.iloc[start:start + SLICE]
+            n: Counter = Counter()
+            first: Counter = Counter()            # the pairs by which documents first have their words
+            for text, toxic, fold in zip(part["_text"], part["_toxic"], part["_fold"], strict=True):
+                if not (w := words(text)):
+                    continue
+                pairs = list(zip([""] + w[:-1], w, [toxic] * len(w), [fold] * len(w), strict=True))
+                n.update(pairs)
+                first.update({p[1]: p for p in reversed(pairs)}.values())
+            yield pd.DataFrame([(*k, v, first[k]) for k, v in n.items()], columns=["h", "w", "toxic", "fold", "n", "d"])
 
 
 class Vocabulary:
