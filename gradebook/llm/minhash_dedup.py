@@ -7,11 +7,14 @@ table with probability about 2 * (1 - s*s) ** TABLES: 1e-4 at 0.75, 1e-5 at 0.8.
 
 1. Equal sets are one class; only classes go on, so copies are never paired.
 2. A table key is made only where both its halves are shared with another class.
-3. Every class of a bucket is paired with the smallest one (a star, not all pairs).  Pairs whose
-   192-bit sketches are too far apart for the threshold (by five standard deviations) are left out.
-4. Each class first confirms its closest pair; then all pairs between different components.
-5. Where a bucket still holds several components, every class outside the largest is compared with
-   all members of the others, so no link that a bucket shows is lost; within a component no pair is needed.
+3. Every class is paired with one other: of the smallest classes of its buckets, the one it meets most.
+   Confirmed pairs give the first components.
+4. In buckets that still hold several components, every class outside the largest one is held against
+   all members of the others, in blocks of ``BLOCK`` classes.  192-bit sketches tell which classes have
+   a foreign one that is not too far for the threshold (by five standard deviations); those are compared
+   on their full sets within the blocks, which return only confirmed links.  So no link between
+   components is lost and no pairs are made, however large a group is.  For this, ``CORE`` tables for each
+   function of the first collection suffice: a pair at 0.75 meets in none of them with probability 2e-4.
 
 Confirmation compares the full shingle sets (64-bit hashes of the whole shingles), sent only for the
 classes of some pair.  Components come from alternating star operations on the links.  Everything
@@ -27,7 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradebook.llm.common import stored
@@ -39,6 +42,9 @@ TABLES = 12
 SKETCH_BITS = 59
 #: A list of wanted texts up to this length is broadcast (40 bytes a row); a longer one is shuffled.
 BROADCAST_ROWS = 500_000
+#: Classes on either side of a block of comparisons.
+BLOCK = 4096
+CORE = 3
 CACHE = 300_000
 _MULT = np.random.default_rng(11).integers(1 << 62, size=WORDS + 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -135,26 +141,96 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS,
 
 
 def table_rows(classes: DataFrame, tables: int = TABLES) -> DataFrame:
-    """(key, class) for every table key whose two halves the class shares with others."""
+    """(cls, key, core) for every table key whose two halves the class shares with others."""
     halves = classes.select("cls", F.posexplode("_half").alias("at", "half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     both = halves.join(shared, "half").groupBy("cls").agg(
-        F.collect_list(F.when(F.col("at") < tables, F.col("half"))).alias("u"),
-        F.collect_list(F.when(F.col("at") >= tables, F.col("half"))).alias("v"))   # at most TABLES each
-    pairs = F.explode(F.flatten(F.transform("u", lambda a: F.transform("v", lambda b: F.xxhash64(a, b)))))
-    return both.select("cls", pairs.alias("key"))
+        F.collect_list(F.when(F.col("at") < tables, F.struct("at", "half"))).alias("u"),
+        F.collect_list(F.when(F.col("at") >= tables, F.struct("at", "half"))).alias("v"))   # at most TABLES each
+    pair = lambda a, b: F.struct(F.xxhash64(a["half"], b["half"]).alias("key"), (F.pmod(b["at"] - a["at"], F.lit(tables)) < CORE).alias("core"))
+    pairs = F.explode(F.flatten(F.transform("u", lambda a: F.transform("v", lambda b: pair(a, b))))).alias("p")
+    return both.select("cls", pairs).select("cls", "p.key", "p.core")
 
 
-def _distance(a: str, b: str) -> Column:
-    return sum(F.bit_count(F.col(f"{a}_s{i}").bitwiseXOR(F.col(f"{b}_s{i}"))) for i in range(3))
-
-
-def _near(pairs: DataFrame, sides: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sketches and set sizes allow the threshold, with the sketch distance."""
-    for x in "ab":
-        pairs = pairs.join(sides.select(F.col("cls").alias(x), F.col("_n").alias(f"{x}_n"), *[F.col(f"_s{i}").alias(f"{x}_s{i}") for i in range(3)]), x)
-    return pairs.where((F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * PERCENT)
-                       & (_distance("a", "b") <= SKETCH_BITS)).withColumn("far", _distance("a", "b"))
+def _dealt(buckets: DataFrame, roots: DataFrame, side: DataFrame) -> DataFrame:
+    """Rows of the buckets with several components, sorted by (key, block, deal): the members dealt over blocks
+    (asks 0), and again those outside the largest component dealt over deals (asks 1); each block meets each deal."""
+    placed = buckets.join(roots, "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("x"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    parts = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
+    mixed = mixed.select("key", F.col("x.root").alias("main"), parts(F.col("n")).alias("blocks"), parts(F.col("n") - F.col("x.n")).alias("deals"))
+    members = placed.join(mixed, "key")
+    hashed = lambda n: F.pmod(F.xxhash64("cls"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asking = members.where("root != main").select("key", each("blocks").alias("block"), hashed("deals").alias("deal"), F.lit(1).cast("long").alias("asks"), "cls", "root")
+    asked = members.select("key", hashed("blocks").alias("block"), each("deals").alias("deal"), F.lit(0).cast("long").alias("asks"), "cls", "root")
+    group = ["key", "block", "deal"]
+    return asking.union(asked).join(side, "cls").select(*group, "asks", "cls", "root", *side.columns[1:]).repartition(*group).sortWithinPartitions(*group, "asks")
+
+
+def _groups(batches: Iterator) -> Iterator:
+    """(heads, further columns) of each group (key, block, deal), across Arrow batches; heads: the six long columns."""
+    held: list = []
+    for b in batches:
+        x = np.stack([b.column(i).to_numpy() for i in range(6)], axis=1)
+        more = [b.column(i) for i in range(6, b.num_columns)]
+        cuts = [0, *(np.flatnonzero((x[1:, :3] != x[:-1, :3]).any(axis=1)) + 1), len(x)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi > lo:
+                if held and (held[-1][0][0, :3] != x[lo, :3]).any():
+                    yield _joined(held)
+                    held = []
+                held.append((x[lo:hi], [c.slice(lo, hi - lo) for c in more]))
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list):
+    import pyarrow as pa
+
+    return np.concatenate([h[0] for h in held]), [pa.concat_arrays([h[1][i] for h in held]) for i in range(len(held[0][1]))]
+
+
+def _with_near_foreign(batches: Iterator) -> Iterator:
+    """(cls, key) of the classes that have, in this group, a class of another component near by sketch and size."""
+    import pyarrow as pa
+
+    for x, more in _groups(batches):
+        n, *bits = (c.to_numpy() for c in more)
+        low, top = np.flatnonzero(x[:, 3] == 0), np.flatnonzero(x[:, 3] == 1)
+        near = np.zeros(len(x), bool)
+        for t in np.array_split(top, max(1, len(low) * len(top) >> 20)):
+            far = sum(np.bitwise_count(s[t][:, None] ^ s[low]).astype(np.int16) for s in bits)
+            ok = (x[t, 5][:, None] != x[low, 5]) & (far <= SKETCH_BITS) & (np.minimum(n[t][:, None], n[low]) * 100 >= np.maximum(n[t][:, None], n[low]) * PERCENT)
+            near[t] |= ok.any(axis=1)
+            near[low] |= ok.any(axis=0)
+        found = np.unique(x[near][:, [4, 0]], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["cls", "key"])
+
+
+def _confirmed_links(batches: Iterator) -> Iterator:
+    """Links (a, b) between components, confirmed on the full sets: per asking class one for each component."""
+    import pyarrow as pa
+
+    for x, (sets,) in _groups(batches):
+        size = np.asarray(sets.value_lengths())
+        word = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1]
+        begin = np.cumsum(size) - size
+        low, top = np.flatnonzero(x[:, 3] == 0), np.flatnonzero(x[:, 3] == 1)
+        rows = np.repeat(np.arange(len(low)), size[low])
+        flat = np.concatenate([word[begin[i]:begin[i] + size[i]] for i in low]) if len(low) else word[:0]
+        by = np.argsort(flat, kind="stable")
+        rows, first = rows[by], np.searchsorted(flat[by], np.arange(len(word) + 1))   # the classes that hold each shingle
+        out = []
+        for t in top if len(low) else ():
+            own = word[begin[t]:begin[t] + size[t]]
+            both = np.bincount(np.concatenate([rows[first[w]:first[w + 1]] for w in own]), minlength=len(low))
+            hit = low[(both * 100 >= (size[t] + size[low] - both) * PERCENT) & (x[low, 5] != x[t, 5])]
+            hit = hit[np.unique(x[hit, 5], return_index=True)[1]]
+            out.append(np.stack([np.maximum(x[hit, 4], x[t, 4]), np.minimum(x[hit, 4], x[t, 4])], axis=1))
+        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -223,43 +299,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     side = classes.select("cls", "_n", "_s0", "_s1", "_s2")
 
     buckets = stored(table_rows(classes, tables), "buckets")
-    stars = buckets.groupBy("key").agg(F.min("cls").alias("b"), F.count("*").alias("n")).where("n > 1")
-    star = buckets.join(stars, "key").where("cls != b").select(F.col("cls").alias("a"), "b").distinct()
-    pairs = stored(_near(star, side).select("a", "b", "far"), "pairs")
+    stars = buckets.groupBy("key").agg(F.min("cls").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = buckets.join(stars, "key").where("cls != b").groupBy("cls", "b").agg(F.count("*").alias("n"))
+    closest = met.groupBy("cls").agg(F.max(F.struct("n", (-F.col("b")).alias("less"))).alias("x")).select(F.col("cls").alias("a"), (-F.col("x.less")).alias("b"))
+    closest = stored(closest, "closest")
 
-    def sets_of(some: DataFrame) -> DataFrame:
-        ids = some.select("a").union(some.select("b")).toDF("cls").distinct()
+    def sets_of(ids: DataFrame) -> DataFrame:
         want = classes.join(ids, "cls", "left_semi").select("cls", F.col("best.id").alias("_want"), "_text_key", "_set")
         return stored(_sets(docs, id_col, text_col, want, words), "sets")
 
-    def rooted(some: DataFrame, roots: DataFrame) -> DataFrame:
-        for x in "ab":
-            some = some.join(roots.select(F.col("cls").alias(x), F.col("root").alias(f"{x}_root")), x, "left").withColumn(
-                f"{x}_root", F.coalesce(f"{x}_root", x))
-        return some.where("a_root != b_root")
-
-    sets = sets_of(pairs)
-    closest = pairs.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    links = stored(_confirmed(closest, sets), "closest")
+    sets = sets_of(closest.select("a").union(closest.select("b")).toDF("cls").distinct())
+    links = stored(_confirmed(closest, sets), "links")
     roots = components(links)
-    more = rooted(pairs.join(closest, ["a", "b"], "left_anti"), roots)
-    links = stored(links.union(_confirmed(more, sets)), "more")
-    roots = components(links)
-
-    # Buckets that still hold several components: outsiders against the members of other components.
-    placed = buckets.join(roots, "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("x"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("x.root").alias("main"))
-    members = stored(placed.join(mixed, "key"), "mixed").join(side, "cls")
-    a = members.where("root != main").select("key", *[F.col(c).alias(f"a{c}" if c.startswith("_") else f"a_{c}") for c in ("cls", "root", "_n", "_s0", "_s1", "_s2")])
-    b = members.select(F.col("key"), "main", *[F.col(c).alias(f"b{c}" if c.startswith("_") else f"b_{c}") for c in ("cls", "root", "_n", "_s0", "_s1", "_s2")])
-    other = (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("main")) | (F.col("a_cls") > F.col("b_cls")))
-    fits = (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * PERCENT) & (_distance("a", "b") <= SKETCH_BITS)
-    cross = a.join(b, (a["key"] == b["key"]) & other & fits).select(
-        F.greatest("a_cls", "b_cls").alias("a"), F.least("a_cls", "b_cls").alias("b")).distinct()
-    cross = stored(cross.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "cross")
-    if not cross.isEmpty():
-        links = stored(links.union(_confirmed(cross, sets_of(cross))), "all-links")
+    core = buckets.where("core").select("key", "cls")
+    near = stored(_dealt(core, roots, side).mapInArrow(_with_near_foreign, "cls long, key long").distinct(), "near")
+    if not near.isEmpty():
+        sets = sets_of(near.select("cls").distinct())
+        more = _dealt(near, roots, sets).mapInArrow(_confirmed_links, "a long, b long").distinct()
+        links = stored(links.union(more), "all-links")
         roots = components(links)
 
     placed = classes.join(roots, "cls", "left").select("_set", "best", F.coalesce("root", "cls").alias("root"))
