@@ -133,11 +133,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = stored(texts.mapInArrow(*_line_keys(kind, min_words)), "lines")
     pos = F.struct("id", "text_key", "no")
     classes = lines.groupBy("h1", "h2").agg(F.min(pos).alias("pos"), *[F.first(f"k{i}").alias(f"k{i}") for i in range(4)])
-    classes = stored(classes, "line-classes")
+    classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "line-classes")
 
-    halves = classes.select("h1", "h2", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
-    shared = halves.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    maybe = classes.join(halves.join(shared, "k").select("h1", "h2").distinct(), ["h1", "h2"]).select("pos.*")
+    halves = classes.select("cls", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
+    shared = halves.select("k").groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    maybe = classes.select("cls", "pos").join(halves.join(shared, "k").select("cls").distinct(), "cls").select("pos.*")
     chosen = maybe.groupBy("id", "text_key").agg(F.collect_list("no").alias("chosen"))   # at most a document's lines
     # Rows of equal id and text give one line only.
     words = texts.join(chosen.withColumnsRenamed({"id": "_id", "text_key": "_key"}), (F.col("text_key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")))
