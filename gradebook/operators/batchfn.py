@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,19 +26,30 @@ from gradebook import fixed
 Model = Callable[["object"], Sequence[str]]
 
 
-def _with_retry(fn: Model, batch, max_retry: int, sleep: float):
-    last = None
-    for attempt in range(max_retry):
+def _with_retry(fn: Model, batch, max_retry: int, sleep: float, error_output: str) -> tuple[list, list]:
+    """Outputs and error messages of the rows of ``batch`` (a frame or a list).
+
+    A failing batch is cut in halves until the failing rows stand alone; only those are
+    retried and, in the end, marked.  Rows that were answered are never called again.
+    """
+    n = len(batch)
+    for attempt in range(max_retry if n == 1 else 1):
         try:
             out = list(fn(batch))
-            if len(out) != len(batch):
-                raise ValueError(f"model returned {len(out)} outputs for {len(batch)} inputs")
-            return out, None
+            if len(out) != n:
+                raise ValueError(f"model returned {len(out)} outputs for {n} inputs")
+            return out, [None] * n
         except Exception as e:  # noqa: BLE001 - any failure of the user callable is retried
             last = f"{type(e).__name__}: {e}"
-            if attempt + 1 < max_retry:
+            if n == 1 and attempt + 1 < max_retry:
                 time.sleep(sleep)
-    return None, last
+    if n == 1:
+        return [error_output], [last]
+    out, errors = [], []
+    for part in (slice(0, n // 2), slice(n // 2, n)):
+        o, e = _with_retry(fn, batch.iloc[part] if hasattr(batch, "iloc") else batch[part], max_retry, sleep, error_output)
+        out, errors = out + o, errors + e
+    return out, errors
 
 
 def call_model(
@@ -62,15 +74,8 @@ def call_model(
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            out, err = _with_retry(fn, pdf[inputs], max_retry, retry_sleep)
-            pdf = pdf.copy()
-            if out is None:
-                pdf[output] = error_output
-                pdf["error"] = err
-            else:
-                pdf[output] = out
-                pdf["error"] = None
-            yield pdf
+            out, errors = _with_retry(fn, pdf[inputs], max_retry, retry_sleep, error_output)
+            yield pdf.assign(**{output: out, "error": errors})
 
     return df.mapInPandas(run, schema)
 
@@ -98,17 +103,30 @@ def call_model_multi(
                 continue
             pdf = pdf.copy()
             for inputs, out in calls:
-                res, err = _with_retry(fn, pdf[inputs], max_retry, retry_sleep)
-                pdf[out] = res if res is not None else error_output
-                pdf[f"{out}_error"] = None if res is not None else err
+                pdf[out], pdf[f"{out}_error"] = _with_retry(fn, pdf[inputs], max_retry, retry_sleep, error_output)
             yield pdf
 
     return df.mapInPandas(run, schema)
 
 
+def without_errors(done: DataFrame) -> DataFrame:
+    """The stored rows whose calls all succeeded (no text in a column named error, g1_error, ...)."""
+    failed = [F.col(c).isNotNull() for c in done.columns if c == "error" or c.endswith("_error")]
+    return done.where(~reduce(lambda a, b: a | b, failed)) if failed else done
+
+
 def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``work`` whose key has no finished result yet."""
-    return work.join(done.select(*keys).distinct(), keys, "left_anti")
+    """Rows of ``work`` whose key has no finished result yet; a stored error is not a result."""
+    return work.join(without_errors(done).select(*keys).distinct(), keys, "left_anti")
+
+
+def finished(stored: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key of a result table: the last success, else the last error (by ``tstamp`` if there is one)."""
+    failed = [F.col(c).isNotNull().cast("int") for c in stored.columns if c == "error" or c.endswith("_error")]
+    bad = reduce(lambda a, b: a + b, failed) if failed else F.lit(0)
+    order = F.struct(-bad, *[F.col(c) for c in ("tstamp",) if c in stored.columns])
+    rest = [c for c in stored.columns if c not in keys]
+    return stored.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, *[F.col(f"_r.{c}") for c in rest])
 
 
 def run_and_store(work: DataFrame, factory: Callable[[], Model], inputs: list[str], keys: list[str],
@@ -120,7 +138,7 @@ def run_and_store(work: DataFrame, factory: Callable[[], Model], inputs: list[st
     done = read_parquet_if_exists(spark, path)
     todo = work if done is None else pending(work, done, keys)
     call_model(todo, factory, inputs, output, **kw).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    return finished(spark.read.parquet(path), keys)
 
 
 Generator = Callable[[list, list], Sequence[str]]
@@ -170,11 +188,11 @@ def generate_answers(
                     convs[i].append(("user", turns[i][j]))
                 batch = [convs[i] for i in idx]
                 temps = [float(pdf["temperature"].iloc[i]) for i in idx]
-                out, err = _with_retry(lambda b: gen(b, temps), batch, max_retry, retry_sleep)
+                both = list(zip(batch, temps, strict=True))
+                out, failed = _with_retry(lambda b: gen([c for c, _ in b], [t for _, t in b]), both, max_retry, retry_sleep, error_output)
                 for k, i in enumerate(idx):
-                    text = cut(out[k]) if out is not None else error_output
-                    if out is None:
-                        errors[i] = err
+                    errors[i] = failed[k] or errors[i]
+                    text = cut(out[k]) if failed[k] is None else error_output
                     answers[i].append(text)
                     convs[i].append(("assistant", text))
             yield pd.DataFrame({

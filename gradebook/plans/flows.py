@@ -27,18 +27,23 @@ from gradebook.session import read_parquet_if_exists
 
 def judge_pairwise(questions: DataFrame, answers: DataFrame, models: list[str], catalog: dict[str, dict],
                    judge_model: str, judge_factory: Callable, out_path: str, baseline: str | None = None,
-                   refs: DataFrame | None = None, partitions: int = 64, **retry) -> DataFrame:
+                   refs: DataFrame | None = None, partitions: int | None = None, bench: str = "none", iid: str = "none",
+                   **retry) -> DataFrame:
     """Pairwise judging (all pairs, or each model against ``baseline``), both
     position orders, stored as a resumable judgment table."""
     if baseline is None:
         m = M.all_pair_matches(questions, answers, models, refs)
     else:
         m = M.baseline_matches(questions, answers, models, baseline, refs)
+    keys = ["bench", "iid", "judge_model", "question_id", "model_1", "model_2", "judge_prompt"]
+    spark = questions.sparkSession
+    done = read_parquet_if_exists(spark, out_path)
     p = P.pair_judge_prompts(m, catalog, judge_model, M.route_names(refs is not None, "pair"))
-    p = M.shuffle_for_judging(p, partitions).select(
-        "question_id", "model_1", "model_2", "judge_prompt", "n_turns", "system_prompt",
-        "g1_user_prompt", "g2_user_prompt")
-    keys = ["question_id", "model_1", "model_2", "judge_prompt"]
+    p = p.withColumns({"bench": F.lit(bench), "iid": F.lit(iid), "judge_model": F.lit(judge_model)})
+    # Finished keys go first; only the remaining prompts are spread over the tasks.
+    todo = p if done is None else U.pending(p, done, keys)
+    todo = M.shuffle_for_judging(todo, partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))).select(
+        *keys, "n_turns", "system_prompt", "g1_user_prompt", "g2_user_prompt")
 
     def both_games(df: DataFrame) -> DataFrame:
         # Both position orders in one Arrow pass over the matches.
@@ -47,38 +52,36 @@ def judge_pairwise(questions: DataFrame, answers: DataFrame, models: list[str],
         return (g.withColumnRenamed("g1_judgment_error", "g1_error")
                 .withColumnRenamed("g2_judgment_error", "g2_error"))
 
-    spark = questions.sparkSession
-    done = read_parquet_if_exists(spark, out_path)
-    todo = p if done is None else U.pending(p, done, keys)
     judged = V.with_game_winners(both_games(todo))
     judged = judged.select(
-        *keys, F.lit(judge_model).alias("judge_model"),
+        *keys,
         F.when(F.col("n_turns") > 1, F.lit(2)).otherwise(F.lit(1)).alias("turn"),
         "g1_user_prompt", "g1_judgment", "g2_user_prompt", "g2_judgment", "g1_winner", "g2_winner",
         "g1_error", "g2_error", F.unix_timestamp().cast("double").alias("tstamp"))
     judged.write.mode("append").parquet(out_path)
-    return spark.read.parquet(out_path)
+    return U.finished(spark.read.parquet(out_path), keys)
 
 
 def judge_single(questions: DataFrame, answers: DataFrame, models: list[str], catalog: dict[str, dict],
                  judge_model: str, judge_factory: Callable, out_path: str, refs: DataFrame | None = None,
-                 partitions: int = 64, **retry) -> DataFrame:
+                 partitions: int | None = None, bench: str = "none", iid: str = "none", **retry) -> DataFrame:
     """Single-answer grading, stored as a resumable judgment table with scores."""
     m = M.single_matches(questions, answers, models, refs)
-    p = P.single_judge_prompts(m, catalog, M.route_names(refs is not None, "single"))
-    p = M.shuffle_for_judging(p, partitions, keys=("question_id", "model")).select(
-        "question_id", "model", "judge_prompt", "n_turns", "system_prompt", "user_prompt")
-    keys = ["question_id", "model", "judge_prompt"]
+    keys = ["bench", "iid", "judge_model", "question_id", "model", "judge_prompt"]
     spark = questions.sparkSession
     done = read_parquet_if_exists(spark, out_path)
+    p = P.single_judge_prompts(m, catalog, M.route_names(refs is not None, "single"))
+    p = p.withColumns({"bench": F.lit(bench), "iid": F.lit(iid), "judge_model": F.lit(judge_model)})
     todo = p if done is None else U.pending(p, done, keys)
+    todo = M.shuffle_for_judging(todo, partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), keys=("question_id", "model")).select(
+        *keys, "n_turns", "system_prompt", "user_prompt")
     j = U.call_model(todo, judge_factory, ["system_prompt", "user_prompt"], "judgment", **retry)
     j = V.with_rating(j).select(
-        *keys, F.lit(judge_model).alias("judge_model"),
+        *keys,
         F.when(F.col("n_turns") > 1, F.lit(2)).otherwise(F.lit(1)).alias("turn"),
         "user_prompt", "judgment", "score", "error", F.unix_timestamp().cast("double").alias("tstamp"))
     j.write.mode("append").parquet(out_path)
-    return spark.read.parquet(out_path)
+    return U.finished(spark.read.parquet(out_path), keys)
 
 
 def evaluate_mc(val: DataFrame, shots: DataFrame, ntrain: int, model_factory: Callable, model_name: str,
@@ -93,12 +96,16 @@ def evaluate_mc(val: DataFrame, shots: DataFrame, ntrain: int, model_factory: Ca
     spark = val.sparkSession
     run_keys = ["model", "ntrain", "cot", "subject"]
     done = read_parquet_if_exists(spark, out_root)
-    todo = prompts if done is None else U.pending(prompts, done, run_keys)
+    if done is not None:      # a run with an error in it is not finished: its failed items are asked again
+        failed = done.join(U.without_errors(done), [*run_keys, "id"], "left_anti").select(*run_keys, "id").distinct()
+        todo = U.pending(prompts, done.select(*run_keys), run_keys).unionByName(prompts.join(failed, [*run_keys, "id"], "left_semi"))
+    else:
+        todo = prompts
     out = U.call_model(todo, model_factory, ["input"], "model_output", **retry)
     out = out.select("*", mc_letter("model_output").alias("letter"),
                      mc_correct("model_output", "answer").alias("correct")).drop("input", "output", "choices")
     out.write.mode("append").partitionBy(*run_keys).parquet(out_root)
-    return B.mc_accuracy(spark.read.parquet(out_root))
+    return B.mc_accuracy(U.finished(spark.read.parquet(out_root), [*run_keys, "id"]))
 
 
 def first_letter_model_factory(letter: str = "A") -> Callable:

@@ -70,3 +70,49 @@ def test_generate_answers_multi_turn(spark):
            U.generate_answers(q, echo_factory, "echo", stop="</s>", retry_sleep=0.0).collect()}
     assert out[1] == ["t=0.0 n=1 last=q1", "t=0.0 n=3 last=q2"]   # turn 2 sees turn 1's answer
     assert out[2] == ["t=0.7 n=1 last=only"]
+
+
+def test_two_judges_share_a_table(spark, tmpdir_):
+    q = fx.questions(spark, SF).limit(4)
+    a = keep_last(fx.answer_log(spark, SF), ["question_id", "model"])
+    out = os.path.join(tmpdir_, "two")
+    judge = lambda: (lambda batch: ["Rating: [[5]]"] * len(batch))
+    for name in ("gpt-4", "gpt-3.5-turbo", "gpt-4"):
+        t = flows.judge_single(q, a, ["m0"], JP.as_dict(), name, judge, out, retry_sleep=0.0)
+    assert {(r.judge_model, r["count"]) for r in t.groupBy("judge_model").count().collect()} == {("gpt-4", 4), ("gpt-3.5-turbo", 4)}
+    assert spark.read.parquet(out).count() == 8                              # the third run asked nothing
+
+
+def test_stored_errors_are_asked_again(spark, tmpdir_):
+    q = fx.questions(spark, SF).limit(4)
+    a = keep_last(fx.answer_log(spark, SF), ["question_id", "model"])
+    out = os.path.join(tmpdir_, "down")
+
+    def down():
+        def judge(batch):
+            raise RuntimeError("the judge is down")
+        return judge
+
+    args = dict(max_retry=2, retry_sleep=0.0)
+    t = flows.judge_single(q, a, ["m0"], JP.as_dict(), "gpt-4", down, out, **args)
+    assert {r.score for r in t.collect()} == {-1.0} and t.filter("error is null").count() == 0
+    t = flows.judge_single(q, a, ["m0"], JP.as_dict(), "gpt-4", lambda: (lambda b: ["Rating: [[7]]"] * len(b)), out, **args)
+    assert [(r.score, r.error) for r in t.collect()] == [(7.0, None)] * 4
+
+
+def test_only_the_failing_row_of_a_batch_is_marked(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def factory():
+        def model(batch):
+            calls.add(len(batch))
+            if "bad" in set(batch["x"]):
+                raise ValueError("poison")
+            return [f"ok {x}" for x in batch["x"]]
+        return model
+
+    df = spark.createDataFrame([(f"r{i}",) for i in range(15)] + [("bad",)], "x string").coalesce(1)
+    got = {r.x: (r.output, r.error) for r in U.call_model(df, factory, ["x"], max_retry=3, retry_sleep=0.0).collect()}
+    assert got.pop("bad") == ("$ERROR$", "ValueError: poison")
+    assert all(v == (f"ok {k}", None) for k, v in got.items()) and len(got) == 15
+    assert calls.value <= 3 * 16
