@@ -93,15 +93,15 @@ def parse_rating(df: DataFrame, text_col: str = "rating_text") -> DataFrame:
 
 
 def decision(score: Column, score_ok: Column, has_rewrite: Column, keep_score: int = KEEP_SCORE) -> Column:
-    return (F.when(score.isNull() | ~score_ok, F.lit("reject"))
+    return (F.when(score.isNull() | ~F.coalesce(score_ok, F.lit(False)), F.lit("reject"))
             .when(score >= keep_score, F.lit("keep"))
             .when(has_rewrite, F.lit("rewrite"))
             .otherwise(F.lit("reject")))
 
 
 def quality_gate(records: DataFrame, parsed: DataFrame, key: str) -> DataFrame:
-    """Keep (score >= 4), replace by the rewrite (< 4 with rewrite), or reject."""
-    j = records.join(parsed, key)
+    """Keep (score >= 4), replace by the rewrite (< 4 with rewrite), or reject; records without a rating are rejected."""
+    j = records.join(parsed, key, "left")
     d = decision(F.col("score"), F.col("score_ok"), F.col("has_rewrite"))
     rw = d == "rewrite"
     return j.select(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,78 +13,42 @@ from pyspark.sql.window import Window
 TOKEN_PATTERN = r"[^\t\n\x{0b}\f\r ]+"
 
 
-def grouped_running_sum(df: DataFrame, group: str, order: list[Column], value: str, out: str,
-                        partitions: int | None = None) -> DataFrame:
-    """Running sum of ``value`` per ``group`` in ``order``, safe for huge groups.
-
-    A window partitioned by the group would put a hot group in one task.  Here
-    the rows are range-partitioned on (group, order), so a hot group is cut into
-    contiguous chunks over many partitions; each (partition, group) chunk gets a
-    local running sum, and the totals of the earlier chunks of the same group are
-    added as an offset (a group spans at most ``partitions`` chunks, so that
-    window is bounded).
-
-    The partitioned rows are checkpointed to ``spark.checkpoint.dir`` once:
-    the local sums and the chunk totals must see the same partitions, and two
-    independent range shuffles may sample different bounds on large data.
-    """
-    from gradebook.session import checkpoint_dir
-
-    checkpoint_dir(df.sparkSession)      # a shared folder is required on this path
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, F.col(group), *order).withColumn("_pid", F.spark_partition_id())
-    r = r.checkpoint(eager=True)
-    local_w = (Window.partitionBy("_pid", group).orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    r = r.withColumn("_local", F.sum(value).over(local_w))
-    chunks = r.groupBy("_pid", group).agg(F.sum(value).alias("_chunk"))
-    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = chunks.select("_pid", group, F.coalesce(F.sum("_chunk").over(before), F.lit(0.0)).alias("_off"))
-    return (r.join(offsets, ["_pid", group])
-            .withColumn(out, F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off"))
-
-
-HOT_GROUP_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000
-
-
 def cumulative_share_cut(df: DataFrame, group: str, value: str, p: float, tiebreak: list[str],
-                         hot_group_rows: int | None = HOT_GROUP_ROWS) -> DataFrame:
+                         scale: int = 6) -> DataFrame:
     """Per group keep the largest shares until ``p`` is covered (a row is kept
     when the running total *before* it is at most ``p``), then renormalise.
 
-    ``share`` = value / group total; order is share desc then ``tiebreak``.
-    Group sizes are checked first (one partial aggregate; the hot keys are a
-    bounded list).  Without hot groups everything is a window over one hash
-    partitioning by group (total, running sum, kept total: a single shuffle).
-    Groups larger than ``hot_group_rows`` take the skew-safe two-pass running sum,
-    with totals from partial aggregates joined back (``None`` skips the check).
+    Order is value desc then ``tiebreak``.  Values are taken as whole multiples of
+    10**-``scale``, so totals and running sums are exact and do not depend on the order or the
+    partitions in which they are added; ``p`` is the decimal number it is written as.
+
+    One way for groups of any size: the rows are range-partitioned on (group, order) and written
+    once to the shared folder, each (partition, group) chunk gets a local running sum, and the
+    totals of the earlier chunks of its group are added.  A group that fills many partitions is
+    thus never gathered in one task; its offsets are at most one row per partition.
     """
-    hot: list | None = []
-    if hot_group_rows is not None:
-        sizes = df.groupBy(group).agg(F.count("*").alias("_rows"))
-        # Hot keys: fewer than rows / hot_group_rows of them exist; collect a bounded list.
-        found = sizes.filter(F.col("_rows") > hot_group_rows).select(group).limit(MAX_HOT_KEYS + 1).collect()
-        hot = [r[0] for r in found] if len(found) <= MAX_HOT_KEYS else None
-    order = [F.desc("share"), *[F.col(c) for c in tiebreak]]
-    g = Window.partitionBy(group)
-    w = g.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if hot == []:
-        s = df.withColumn("share", F.col(value) / F.sum(value).over(g))
-        s = s.withColumn("_cum", F.sum("share").over(w))
-        kept = s.filter(F.col("_cum") - F.col("share") <= F.lit(p)).drop("_cum")
-        return kept.withColumn("kept_share", F.col("share") / F.sum("share").over(g))
-    totals = df.groupBy(group).agg(F.sum(value).alias("_total"))
-    s = df.join(totals, group).withColumn("share", F.col(value) / F.col("_total")).drop("_total")
-    if hot is None:
-        s = grouped_running_sum(s, group, order, "share", "_cum")
-    else:
-        is_hot = F.col(group).isin(*hot)
-        s = (s.filter(~is_hot).withColumn("_cum", F.sum("share").over(w))
-             .unionByName(grouped_running_sum(s.filter(is_hot), group, order, "share", "_cum")))
-    kept = s.filter(F.col("_cum") - F.col("share") <= F.lit(p)).drop("_cum")
-    kept_tot = kept.groupBy(group).agg(F.sum("share").alias("_kt"))
-    return kept.join(kept_tot, group).withColumn("kept_share", F.col("share") / F.col("_kt")).drop("_kt")
+    from gradebook.session import materialize
+
+    part = Fraction(str(p))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.desc("_v"), *[F.col(c) for c in tiebreak]]
+    v = F.round(F.col(value).cast("double") * 10 ** scale).cast("decimal(18,0)")
+    r = df.withColumn("_v", v).repartitionByRange(n, F.col(group), *order).withColumn("_pid", F.spark_partition_id())
+    r = materialize(r, f"share-cut-{uuid.uuid4().hex}")
+    chunks = r.groupBy("_pid", group).agg(F.sum("_v").alias("_chunk"))
+    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = chunks.select("_pid", F.col(group).alias("_group"), F.coalesce(F.sum("_chunk").over(before), F.lit(0)).alias("_off"),
+                            F.sum("_chunk").over(Window.partitionBy(group)).alias("_total"))
+    local = Window.partitionBy("_pid", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = r.withColumn("_local", F.sum("_v").over(local))
+    s = s.join(offsets, (s["_pid"] == offsets["_pid"]) & s[group].eqNullSafe(F.col("_group"))).drop(offsets["_pid"])
+    whole = lambda c: F.col(c).cast("decimal(30,0)")
+    ahead = whole("_off") + whole("_local") - whole("_v")
+    kept = s.where(ahead * F.lit(part.denominator) <= whole("_total") * F.lit(part.numerator))
+    sums = kept.groupBy(F.col(group).alias("_kept_group")).agg(F.sum("_v").alias("_kept"))
+    kept = kept.join(sums, F.col(group).eqNullSafe(F.col("_kept_group")))
+    share = lambda c: F.col("_v").cast("double") / F.col(c).cast("double")
+    return kept.select(*df.columns, share("_total").alias("share"), share("_kept").alias("kept_share"))
 
 
 def tokens(text: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import functions as F
 
 from gradebook.functions.templates import sql_literal
@@ -84,7 +86,7 @@ _GATE = """gate AS (
     CASE WHEN p2.score IS NULL OR NOT p2.score_ok THEN 'reject' WHEN p2.score >= 4 THEN 'keep'
          WHEN p2.has_rewrite THEN 'rewrite' ELSE 'reject' END AS decision,
     p2.score, r.instruction, r.input, r.output, p2.new_instruction, p2.new_input, p2.new_output
-  FROM raw_qa r JOIN p2 ON r.seq = p2.doc_id)"""
+  FROM raw_qa r LEFT JOIN p2 ON r.seq = p2.doc_id)"""
 
 
 @register("quality_gate", with_views(["ratings", "raw_qa"], f"""
@@ -120,13 +122,13 @@ def rating_prompts(spark, sf):
 # ---------------------------------------------------------------------------
 
 @register("share_cut", f"""
-WITH s AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
-                  l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY l_orderkey) AS share FROM lineitem),
-c AS (SELECT *, sum(share) OVER (PARTITION BY l_orderkey ORDER BY share DESC, l_partkey, l_suppkey, l_linenumber,
-                                  l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - share AS before FROM s),
-k AS (SELECT * FROM c WHERE before <= {SHARE_P})
-SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(share, 9) AS share,
-       round(share / sum(share) OVER (PARTITION BY l_orderkey), 9) AS kept_share FROM k""")
+WITH v AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, CAST(round(l_extendedprice * 1000000) AS HUGEINT) AS v FROM lineitem),
+c AS (SELECT *, sum(v) OVER (PARTITION BY l_orderkey) AS total,
+             sum(v) OVER (PARTITION BY l_orderkey ORDER BY v DESC, l_partkey, l_suppkey, l_linenumber,
+                          l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - v AS before FROM v),
+k AS (SELECT * FROM c WHERE before * {Fraction(str(SHARE_P)).denominator} <= total * {Fraction(str(SHARE_P)).numerator})
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(CAST(v AS DOUBLE) / CAST(total AS DOUBLE), 9) AS share,
+       round(CAST(v AS DOUBLE) / CAST(sum(v) OVER (PARTITION BY l_orderkey) AS DOUBLE), 9) AS kept_share FROM k""")
 def share_cut(spark, sf):
     li = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                                                 "l_quantity", "l_extendedprice")
