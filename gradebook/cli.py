@@ -40,9 +40,14 @@ def _labelled(df: DataFrame, questions: DataFrame, labels: list[str]) -> DataFra
         questions.select("question_id"), "question_id")
 
 
+def _chosen(args) -> dict[str, str]:
+    """The log partitions that a report reads."""
+    return {k: v for k, v in (("bench", args.bench), ("judge_model", args.judge_model), ("iid", args.iid)) if v}
+
+
 def show(spark, args) -> dict[str, DataFrame]:
     """Boards by mode, as the reporting step of a judging run."""
-    filters = {"iid": args.iid} if args.iid else {}
+    filters = _chosen(args)
     q = R.read_questions(spark, args.questions)
     labels = args.label or []
     boards: dict[str, DataFrame] = {}
@@ -85,7 +90,7 @@ def mc_score(spark, args) -> DataFrame:
 
 def tokens(spark, args) -> DataFrame:
     from gradebook import judge_prompts as JP
-    j = R.read_judgments(spark, args.judgments, kind=args.kind)
+    j = R.read_judgments(spark, args.judgments, kind=args.kind, **_chosen(args))
     j = j.withColumn("judge_prompt", F.get("judge", 1)).withColumn("judge_model", F.get("judge", 0))
     single, pair = (j, None) if args.kind == "single" else (None, j)
     detail = T.token_detail(single, pair, JP.as_dict(), models=args.models)
@@ -111,7 +116,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--baseline")
     s.add_argument("--label", nargs="+")
     s.add_argument("--models", nargs="+")
-    s.add_argument("--iid")
+    for a in ("--bench", "--judge-model", "--iid"):
+        s.add_argument(a, help="only logs of this one")
     s.add_argument("--out", required=True)
     m = sub.add_parser("mc-score", help="multiple-choice accuracy per category and run")
     m.add_argument("--results", required=True)
@@ -121,6 +127,8 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--judgments", required=True)
     t.add_argument("--kind", choices=["single", "pair"], default="single")
     t.add_argument("--models", nargs="+")
+    for a in ("--bench", "--judge-model", "--iid"):
+        t.add_argument(a, help="only logs of this one")
     t.add_argument("--out", required=True)
     return p
 

@@ -68,6 +68,8 @@ def win_board(pairs: DataFrame, labels: list[str] | None = None, baseline: str |
     """
     labels = labels or []
     o = pair_outcomes(pairs, baseline, keep=labels)
+    for c in labels:                       # a row without a label is on no label's board
+        o = o.where(F.col(c).isNotNull())
     g = o.groupBy(*labels, "model").agg(
         F.sum("win").alias("win"), F.sum("loss").alias("loss"), F.sum("tie").alias("tie"))
     if baseline is not None:
@@ -91,6 +93,8 @@ def win_board_levels(pairs: DataFrame, labels: list[str], baseline: str | None =
         g = g.filter(F.col("model") != baseline)
     total = F.col("win") + F.col("loss") + F.col("tie")
     level = F.when(F.col("_gid") == 0, F.lit("label")).otherwise(F.lit("all"))
+    for c in labels:                       # a row without a label is on no label's board
+        g = g.where((F.col("_gid") != 0) | F.col(c).isNotNull())
     return g.select(level.alias("level"), *labels, "model", "win", "loss", "tie",
                     _rate("win", total).alias("win_rate"), _rate("loss", total).alias("loss_rate"))
 

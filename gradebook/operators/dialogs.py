@@ -27,9 +27,10 @@ def _end_marker(tag: str) -> str:
 
 def render_tagged(conv: DataFrame, user_tag: str = USER_TAG, assistant_tag: str = ASSISTANT_TAG,
                   sep: str = "\n", default_system: str = "") -> DataFrame:
-    """``system + tag:message<eoX>sep`` per turn, then an open assistant tail.
+    """``system + tag:message<eoX>sep`` per turn; an empty message leaves its tag open.
 
-    The system turn (if any) supplies the system text; otherwise ``default_system``.
+    The system turn (if any) supplies the system text; otherwise ``default_system``.  A prompt for the
+    next answer therefore ends with an empty assistant turn in the dialog.
     """
     role = F.col("role")
     tag = F.when(role == "user", F.lit(user_tag)).otherwise(F.lit(assistant_tag))
@@ -38,14 +39,13 @@ def render_tagged(conv: DataFrame, user_tag: str = USER_TAG, assistant_tag: str
         F.when(F.length("text") > 0, F.concat(tag, F.lit(":"), F.col("text"), end, F.lit(sep)))
         .otherwise(F.concat(tag, F.lit(":"))))
     # One aggregation per conversation gathers the ordered pieces and whether a
-    # system turn leads; the default system text and the open tail are added in
-    # the final projection.
+    # system turn leads; the default system text is added in the final projection.
     g = conv.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct(F.col("turn").alias("o"), piece.alias("p")))).alias("_ps"),
         F.max((role == "system") & (F.col("turn") == 0)).alias("_has_sys"))
     body = F.array_join(F.transform("_ps", lambda x: x["p"]), "")
     head = F.when(F.col("_has_sys"), F.lit("")).otherwise(F.lit(default_system))
-    return g.select("conv_id", F.concat(head, body, F.lit(f"{assistant_tag}:")).alias("prompt"))
+    return g.select("conv_id", F.concat(head, body).alias("prompt"))
 
 
 def dialog_checks(conv: DataFrame, with_system_text: bool = False) -> DataFrame:

@@ -41,7 +41,7 @@ view("reference_answers", [], """
 SELECT conv_id AS question_id, 'expert' AS model_id, list(text ORDER BY turn) AS model_answer
 FROM conversations WHERE role = 'assistant' GROUP BY conv_id""")
 
-view("answer_log", ["questions"], f"""
+view("answer_log", [], f"""
 SELECT user_id AS question_id,
        'm' || CAST(event_id % CASE WHEN user_id % 5 = 0 THEN 3 ELSE 4 END AS VARCHAR) AS model,
        [event_type || ' answer ' || CAST(event_id AS VARCHAR)
@@ -49,8 +49,7 @@ SELECT user_id AS question_id,
         event_type || ' follow-up ' || CAST(event_id AS VARCHAR)] AS model_answer,
        event_id AS seq,
        CAST(event_id AS DOUBLE) AS tstamp
-FROM events
-WHERE user_id IN (SELECT question_id FROM questions)""")
+FROM (SELECT event_id, event_type, user_id % ((SELECT max(conv_id) FROM conversations) + 1) AS user_id FROM events)""")
 
 view("question_labels", [], f"""
 SELECT c_custkey AS question_id, c_mktsegment AS label,

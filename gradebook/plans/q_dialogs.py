@@ -13,7 +13,6 @@ from gradebook.plans.registry import register
 from gradebook.plans.sql_snippets import ustrip_sql
 
 _U, _A = D.USER_TAG, D.ASSISTANT_TAG
-_TAIL = 1 << 40
 
 
 @register("dialog_prompt", f"""
@@ -25,8 +24,7 @@ p AS (
               || ':' || text || (CASE WHEN role = 'user' THEN '<eou>' ELSE '<eoa>' END) || chr(10)
          ELSE (CASE WHEN role = 'user' THEN {sql_literal(_U)} ELSE {sql_literal(_A)} END) || ':' END AS piece
   FROM c
-  UNION ALL SELECT conv_id, -1, '' FROM c WHERE NOT has_sys AND turn = 0
-  UNION ALL SELECT conv_id, {_TAIL}, {sql_literal(_A + ":")} FROM c WHERE turn = 0)
+  UNION ALL SELECT conv_id, -1, '' FROM c WHERE NOT has_sys AND turn = 0)
 SELECT conv_id, string_agg(piece, '' ORDER BY turn) AS prompt FROM p GROUP BY conv_id""")
 def dialog_prompt(spark, sf):
     return D.render_tagged(fx.table(spark, sf, "conversations"))

@@ -106,7 +106,8 @@ SELECT CASE WHEN grouping(label, label2, model) = 0 THEN 'label' ELSE 'all' END
        CAST(sum(tie) AS BIGINT) AS tie,
        CAST(sum(win) AS DOUBLE) / CAST(sum(win) + sum(loss) + sum(tie) AS DOUBLE) AS win_rate,
        CAST(sum(loss) AS DOUBLE) / CAST(sum(win) + sum(loss) + sum(tie) AS DOUBLE) AS loss_rate
-FROM outcomes GROUP BY GROUPING SETS ((model), (label, label2, model))""".lstrip()))
+FROM outcomes GROUP BY GROUPING SETS ((model), (label, label2, model))
+HAVING grouping(label, label2, model) <> 0 OR (label IS NOT NULL AND label2 IS NOT NULL)""".lstrip()))
 def win_board_levels(spark, sf):
     return B.win_board_levels(labeled_games(spark, sf), ["label", "label2"])
 

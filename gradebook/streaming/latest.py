@@ -19,6 +19,8 @@ version ``b``, so restarts are idempotent.  Everything lives under a shared root
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -50,7 +52,11 @@ def merge_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str,
         F.struct(F.col("tstamp").alias("t"), F.lit(batch_id).cast("long").alias("b"),
                  F.monotonically_increasing_id().alias("r")).alias("seq"))
     touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # <= n_buckets
-    if not touched:
+    if not touched:                        # an empty batch: its version is the one before
+        for part in ("manifest", "board"):
+            before = _read_or_none(spark, _path(root, part, batch_id - 1)) if batch_id > 0 else None
+            if before is not None:
+                before.write.mode("overwrite").parquet(_path(root, part, batch_id))
         return
     manifest_prev = _read_or_none(spark, _path(root, "manifest", batch_id - 1)) if batch_id > 0 else None
     versions = {r["bucket"]: r["v"] for r in manifest_prev.collect()} if manifest_prev is not None else {}
@@ -64,12 +70,13 @@ def merge_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str,
     merged.write.mode("overwrite").partitionBy("bucket").parquet(_path(root, "state", batch_id))
 
     # Board delta: the new latest rows of the batch's keys minus the rows they replace.
-    batch_keys = new.select(*keys).distinct()
-    now = spark.read.parquet(_path(root, "state", batch_id)).join(batch_keys, keys, "left_semi")
+    batch_keys = new.select(*[F.col(k).alias(f"_k_{k}") for k in keys]).distinct()
+    own = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])   # a key may be null
+    now = spark.read.parquet(_path(root, "state", batch_id)).join(batch_keys, own, "left_semi")
     plus = now.select("model", F.lit(1).alias("dn"), F.col("score").alias("ds"))
     parts = plus
     if prev is not None:
-        before = prev.join(batch_keys, keys, "left_semi")     # already one row per key
+        before = prev.join(batch_keys, own, "left_semi")     # already one row per key
         parts = parts.unionByName(before.select("model", F.lit(-1).alias("dn"), (-F.col("score")).alias("ds")))
     delta = parts.groupBy("model").agg(F.sum("dn").alias("dn"), F.sum("ds").alias("ds"))
     board_prev = _read_or_none(spark, _path(root, "board", batch_id - 1)) if batch_id > 0 else None

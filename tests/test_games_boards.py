@@ -122,13 +122,43 @@ def test_win_matrix_null_diagonal_and_never_met(spark):
     assert m["a"]["a"] is None and m["a"]["c"] is None and m["a"]["b"] == 1.0
 
 
-def test_share_cut_hot_group_path_equals_window(spark):
+def py_share_cut(rows, p):
+    """Exact fractions, one group at a time."""
+    from fractions import Fraction
+    out = []
+    for g in {r[0] for r in rows}:
+        own = sorted(((-Fraction(str(v)), i) for x, i, v in rows if x == g))
+        total, before = -sum(v for v, _ in own), Fraction(0)
+        for v, i in own:
+            if before <= Fraction(str(p)) * total:
+                out.append((g, i))
+            before -= v
+    return sorted(out)
+
+
+def test_share_cut_keeps_the_same_rows_for_any_partitions(spark):
     from gradebook.operators.shares import cumulative_share_cut
-    rows = [(1 if i < 300 else 2 + i % 7, i, float(1 + (i * 37) % 11)) for i in range(400)]
+    rows = [(n, i, 1.0) for n in (10, 28, 50, 101, 1000) for i in range(n)]               # equal values: ties at the cut
+    rows += [(7, i, float(1 + (i * 37) % 11) / 10) for i in range(400)]
     df = spark.createDataFrame(rows, "g long, id long, v double")
-    plain = cumulative_share_cut(df, "g", "v", 0.6, ["id"], hot_group_rows=None)
-    split = cumulative_share_cut(df, "g", "v", 0.6, ["id"], hot_group_rows=50)   # group 1 is "hot"
-    allhot = cumulative_share_cut(df, "g", "v", 0.6, ["id"], hot_group_rows=0)
-    key = lambda r: (r.g, r.id, round(r.share, 12), round(r.kept_share, 12))
-    a = sorted(map(key, plain.collect()))
-    assert a == sorted(map(key, split.collect())) == sorted(map(key, allhot.collect()))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for p in (0.6, 0.9, 0.1):
+            want = py_share_cut(rows, p)
+            for n in (3, 11):
+                spark.conf.set("spark.sql.shuffle.partitions", n)
+                got = cumulative_share_cut(df, "g", "v", p, ["id"]).collect()
+                assert sorted((r.g, r.id) for r in got) == want
+                assert abs(sum(r.kept_share for r in got if r.g == 50) - 1) < 1e-9
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_label_boards_leave_out_rows_without_a_label(spark):
+    rows = [("a", "b", "model_1", "model_1", "x"), ("a", "b", "model_1", "model_1", None), ("b", "a", "tie", "tie", "x")]
+    df = spark.createDataFrame(rows, "model_1 string, model_2 string, g1_winner string, g2_winner string, label string")
+    got = {(r.label, r.model): (r.win, r.loss, r.tie) for r in B.win_board(df, labels=["label"]).collect()}
+    assert got == {("x", "a"): (1, 0, 1), ("x", "b"): (0, 1, 1)}
+    levels = {(r.level, r.label, r.model): r.win for r in B.win_board_levels(df, ["label"]).collect()}
+    assert levels == {("label", "x", "a"): 1, ("label", "x", "b"): 0, ("all", None, "a"): 2, ("all", None, "b"): 0}
+

@@ -267,3 +267,30 @@ def test_stream_board_drops_and_counts_late_rows(spark, tmpdir_):
         q.stop()
     assert dropped == 1
     assert {(r.window_start, r.n) for r in rows} == {(36000, 4)}
+
+
+def test_latest_state_survives_an_empty_batch(spark, tmpdir_):
+    from gradebook.streaming import latest as L
+    schema = L.SINGLE_JUDGMENT_SCHEMA
+    row = lambda i, t: {"question_id": i, "model": "m", "judge_prompt": "p", "judgment": "[[5]]", "turn": 1, "tstamp": t}
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    root = os.path.join(tmpdir_, "latest")
+    for b, rows in enumerate([[row(1, 1.0)], [], [row(2, 2.0)], [], []]):
+        L.merge_batch(spark, frame(rows), b, root, L.KEYS, 4)
+    assert L.read_snapshot(spark, root, 4).count() == 2
+    assert L.read_board(spark, root, 4).first().n == 2
+
+
+def test_unrated_records_are_rejected(spark):
+    from gradebook.operators import instruct as I
+    records = spark.createDataFrame([(1, "a", "b", "c"), (2, "d", "e", "f")], "id long, instruction string, input string, output string")
+    parsed = I.parse_rating(spark.createDataFrame([(1, '{"score": 5, "reason": "r", "modified_data": "None"}')], "id long, rating_text string"))
+    assert {r.id: r.decision for r in I.quality_gate(records, parsed, "id").collect()} == {1: "keep", 2: "reject"}
+
+
+def test_tagged_prompt_opens_a_tag_only_for_an_empty_message(spark):
+    from gradebook.operators import dialogs as D
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (2, 1, "assistant", "")]
+    got = {r.conv_id: r.prompt for r in D.render_tagged(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1] == "<|User|>:hi<eou>\n<|Assistant|>:yes<eoa>\n"
+    assert got[2] == "<|User|>:hi<eou>\n<|Assistant|>:"
