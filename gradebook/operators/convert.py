@@ -8,6 +8,8 @@ inside each bucket, and shifted by per-bucket offsets from a tiny count table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,61 +25,29 @@ def _offsets(counts: DataFrame, key: str) -> DataFrame:
 
 
 def with_position(df: DataFrame, order_col: str, out: str = "pos", partitions: int | None = None) -> DataFrame:
-    """Add a dense 0-based position in ``order_col`` order (order_col unique, not null).
-
-    Numeric keys: ``n - 1`` quantile bounds are taken once on the driver
-    (``approxQuantile``) and each row's bucket is a monotone function of its key
-    (``Bucketizer``, a JVM binary search).  Rows are numbered inside their bucket
-    (window partitioned by bucket: ~N/n rows each) and shifted by the counts of the
-    earlier buckets (a table of at most ``n`` rows, broadcast).  The bucket is
-    computed from the key alone, so the counting and the numbering agree exactly
-    whatever the data size or the sampling.
-
-    Other keys (e.g. a file-order struct): the range-partitioned, per-partition
-    numbered rows are checkpointed to ``spark.checkpoint.dir`` first, so the
-    per-partition counts and the numbered rows come from the same materialised
-    partitions (two independent range shuffles may sample different bounds).
+    """Add a dense 0-based position in ``order_col`` order (order_col unique; nulls first).
+
+    The input is computed once: range-partitioned, numbered within each partition and written
+    to the shared folder.  Each partition is then shifted by the counts of the earlier ones (a
+    table of one row per partition, broadcast).  Counts and numbers come from the same stored
+    partitions, so they agree whatever bounds the range partitioning sampled.
     """
-    from pyspark.sql.types import NumericType
-
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if isinstance(df.schema[order_col].dataType, NumericType):
-        return _position_by_buckets(df, order_col, out, n)
-    from gradebook.session import checkpoint_dir
-    checkpoint_dir(spark)        # raises with a clear message when no shared folder is set
-    ranged = df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
+    from gradebook.session import materialize
+
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col(order_col).asc_nulls_first()
+    ranged = df.repartitionByRange(n, order).sortWithinPartitions(order)
     ranged = ranged.withColumn("_pid", F.spark_partition_id()).withColumn(
         "_local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    ranged = ranged.checkpoint(eager=True)
+    ranged = materialize(ranged, f"positions-{uuid.uuid4().hex}")
     offsets = _offsets(ranged.groupBy("_pid").agg(F.count("*").alias("_n")), "_pid")
     out_df = ranged.join(F.broadcast(offsets), "_pid")
-    return out_df.withColumn(out, (F.col("_off") + F.col("_local")).cast("long")).drop("_pid", "_local", "_off")
-
-
-def _position_by_buckets(df: DataFrame, order_col: str, out: str, n: int) -> DataFrame:
-    from pyspark.ml.feature import Bucketizer
-
-    probs = [i / n for i in range(1, n)]
-    bounds = sorted(set(df.approxQuantile(order_col, probs, 1.0 / (4 * n)))) if probs else []
-    splits = [float("-inf"), *(bounds or [0.0]), float("inf")]
-    cols = df.columns
-    # Null keys sort first (as orderBy does): they go to the first bucket, where
-    # the in-bucket order (ascending, nulls first) puts them at the very start.
-    key = F.coalesce(F.col(order_col).cast("double"), F.lit(float("-inf")))
-    x = Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket").transform(df.withColumn("_key", key))
-    offsets = _offsets(x.groupBy("_bucket").agg(F.count("*").alias("_n")), "_bucket")
-    w = Window.partitionBy("_bucket").orderBy(order_col)
-    x = x.withColumn("_local", F.row_number().over(w) - 1)
-    x = x.join(F.broadcast(offsets), "_bucket")
-    return x.select(*cols, (F.col("_off") + F.col("_local")).cast("long").alias(out))
+    return out_df.select(*df.columns, (F.col("_off") + F.col("_local")).cast("long").alias(out))
 
 
 def python_slice(df: DataFrame, order_col: str, begin: int | None, end: int | None) -> DataFrame:
     """Rows ``[begin:end]`` of the ``order_col`` order with Python slice rules
     (None bounds, negative indexes counted from the end, empty when crossed)."""
-    if begin is None and end is not None and end >= 0:
-        return df.orderBy(order_col).limit(end)
     pos = with_position(df, order_col, "_pos")
     total = df.count() if ((begin or 0) < 0 or (end is not None and end < 0)) else None
 
