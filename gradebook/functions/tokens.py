@@ -53,30 +53,6 @@ def arrow_tokenizer(encode: Callable[[str], list]) -> Tokenizer:
     return lambda c: _count(col_(c))
 
 
-def tiktoken_tokenizer(model: str = "gpt-3.5-turbo") -> Tokenizer:
-    """Exact BPE counts through ``tiktoken`` (when installed with its encoding
-    files available); unknown model names fall back to ``cl100k_base``."""
-    try:
-        import tiktoken
-    except ImportError as e:  # pragma: no cover - optional dependency
-        raise RuntimeError("tiktoken is not installed; use the default regex tokenizer") from e
-
-    def encode(text: str) -> list:
-        # Resolved inside the worker, once per process.
-        global _ENC
-        if _ENC is None:
-            try:
-                _ENC = tiktoken.encoding_for_model(model)
-            except KeyError:
-                _ENC = tiktoken.get_encoding("cl100k_base")
-        return _ENC.encode(text)
-
-    return arrow_tokenizer(encode)
-
-
-_ENC = None
-
-
 def constant_counts(spark: SparkSession, texts: Mapping[str, str], tokenizer: Tokenizer = regex_tokens) -> dict[str, int]:
     """Token counts of a small set of constant strings, computed with ``tokenizer``."""
     if not texts:

@@ -100,7 +100,3 @@ COLUMNS = ["name", "type", "system_prompt", "prompt_template", "description", "c
 
 def as_dict() -> dict[str, dict[str, str]]:
     return {row[0]: dict(zip(COLUMNS, row)) for row in CATALOG}
-
-
-def catalog_df(spark):
-    return spark.createDataFrame(CATALOG, ", ".join(f"{c} string" for c in COLUMNS))

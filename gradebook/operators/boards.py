@@ -191,14 +191,15 @@ def percent2(x: Column) -> Column:
     return F.bround(x * F.lit(100.0), 2)
 
 
-def mc_accuracy(results: DataFrame, run_cols: list[str] | None = None) -> DataFrame:
+def mc_accuracy(results: DataFrame, run_cols: list[str] | None = None, macro_places: int | None = None) -> DataFrame:
     """Accuracy (%) per run and category plus the macro ``ALL`` row.
 
-    ``ALL`` is the mean of the category means (not of the rows).
+    ``ALL`` is the mean of the category means (not of the rows); ``macro_places`` rounds it
+    before the percentage, for comparisons between engines that add in another order.
     """
     run_cols = run_cols or ["model", "ntrain", "cot"]
     cat = results.groupBy(*run_cols, "category").agg(F.avg("correct").alias("acc"))
-    macro = cat.groupBy(*run_cols).agg(F.round(F.avg("acc"), 12).alias("acc")).withColumn("category", F.lit("ALL"))
+    macro = cat.groupBy(*run_cols).agg((F.avg("acc") if macro_places is None else F.round(F.avg("acc"), macro_places)).alias("acc")).withColumn("category", F.lit("ALL"))
     both = cat.unionByName(macro)
     return both.select(*run_cols, "category", percent2(F.col("acc")).alias("acc"))
 

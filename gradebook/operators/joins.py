@@ -1,24 +1,8 @@
-"""Join helpers with an explicit size check before any broadcast."""
+"""Join helpers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Upper bound of rows for a side we are willing to broadcast by hint.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def bounded_rows(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (stops counting past the bound)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only for a side proven small; otherwise leave it to AQE,
-    which re-plans with runtime sizes under ``autoBroadcastJoinThreshold``."""
-    return F.broadcast(df) if bounded_rows(df, max_rows) else df
-
 
 def collect_small(df: DataFrame, max_rows: int = 10_000) -> list:
     """Collect a driver-side list (model names, label values), refusing big ones."""

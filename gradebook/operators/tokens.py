@@ -47,7 +47,8 @@ def token_detail(single: DataFrame | None, pair: DataFrame | None, catalog: dict
         pair = filter_models(pair, models, ("model_1", "model_2"))
     spark = (single if single is not None else pair).sparkSession
     roles, sys_map = _constants(spark, catalog, tokenizer)
-    sys_tokens = F.coalesce(F.try_element_at(sys_map, F.col("judge_prompt")), F.lit(0).cast("long"))
+    sys_tokens = F.coalesce(F.try_element_at(sys_map, F.col("judge_prompt")), F.raise_error(
+        F.concat(F.lit("no judge prompt of this name in the catalog: "), F.coalesce("judge_prompt", F.lit("null")))).cast("long"))
 
     def io(user: Column, judgment: Column) -> tuple[Column, Column]:
         # input = system + user messages, output = the assistant message.

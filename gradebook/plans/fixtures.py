@@ -268,13 +268,6 @@ def mc_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mc_items(spark, sf_dir).filter(F.col("is_shot")).drop("is_shot")
 
 
-def mc_runs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(i, m, n, c) for i, (m, n, c) in enumerate(MC_RUNS)],
-        "run int, model string, ntrain int, cot boolean",
-    )
-
-
 def mc_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three model runs over the validation items with varied response shapes."""
     q = mc_questions(spark, sf_dir)

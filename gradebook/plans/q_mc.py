@@ -49,7 +49,7 @@ acc AS (SELECT model, ntrain, cot, category, round_even(acc * 100.0, 2) AS acc F
 , {_ACC}
 SELECT * FROM acc""".lstrip()))
 def q_mc_accuracy(spark, sf):
-    return B.mc_accuracy(fx.mc_results(spark, sf))
+    return B.mc_accuracy(fx.mc_results(spark, sf), macro_places=12)
 
 
 @register("mc_subject_accuracy", with_views(["mc_results"], """
@@ -64,7 +64,7 @@ def q_mc_subject_accuracy(spark, sf):
 , {_ACC}
 SELECT * FROM acc WHERE ntrain = 5 AND NOT cot""".lstrip()))
 def q_mc_config_board(spark, sf):
-    return B.runs_with_config(B.mc_accuracy(fx.mc_results(spark, sf)), 5, False)
+    return B.runs_with_config(B.mc_accuracy(fx.mc_results(spark, sf), macro_places=12), 5, False)
 
 
 def _label_sql(alias: str = "") -> str:
@@ -79,7 +79,7 @@ lab AS (SELECT {_label_sql()} AS run, category, acc FROM acc)
 SELECT category, {", ".join(f'max(CASE WHEN run = {sql_literal(r)} THEN acc END) AS "{r}"' for r in RUN_LABELS)}
 FROM lab GROUP BY category""".lstrip()))
 def q_mc_runs_wide(spark, sf):
-    return B.mc_runs_wide(B.mc_accuracy(fx.mc_results(spark, sf)), RUN_LABELS)
+    return B.mc_runs_wide(B.mc_accuracy(fx.mc_results(spark, sf), macro_places=12), RUN_LABELS)
 
 
 @register("mc_run_labels", with_views(["mc_runs"], f"""

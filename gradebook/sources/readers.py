@@ -88,7 +88,8 @@ def read_mc_csv(spark: SparkSession, pattern: str) -> DataFrame:
 
     All cells are read as text (verbatim option strings, D17).
     """
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    # enforceSchema off: a file whose header has other names or another order is an error.
+    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
           .schema(MC_SCHEMA).csv(pattern))
     return df.select("*", stem(F.col("_metadata.file_path"), "csv").alias("subject"), file_seq().alias("seq"))
 
