@@ -73,6 +73,12 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     return df.repartition(n)
 
 
+def single_machine(spark: SparkSession) -> bool:
+    """Whether the driver runs every task itself (``local`` or ``local[n]``)."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession, create_local_if_unset: bool = False) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -125,7 +131,7 @@ def materialize(df: DataFrame, name: str, spark: SparkSession | None = None) ->
     executor or a retried task never repeats them.
     """
     spark = spark or df.sparkSession
-    base = checkpoint_dir(spark, create_local_if_unset=spark.sparkContext.master.startswith("local["))
+    base = checkpoint_dir(spark, create_local_if_unset=single_machine(spark))
     path = f"{base.rstrip('/')}/tables/{name}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
