@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradebook.session import checkpoint_dir
+from gradebook.session import checkpoint_dir, single_machine
 
 #: What separates words: space and \\t \\n \\v \\f \\r (as a Java and RE2 character class).
 SPACE = r"[\x20\x09-\x0D]"
@@ -30,7 +30,7 @@ def without_space(text: Column) -> Column:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared folder of the cluster (``spark.checkpoint.dir``); where that is
     unset, a cluster session is refused and a single-machine one gets a folder of its own."""
-    base = checkpoint_dir(spark, create_local_if_unset=spark.sparkContext.master.startswith("local["))
+    base = checkpoint_dir(spark, create_local_if_unset=single_machine(spark))
     return f"{base.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
