@@ -32,9 +32,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 BLANK = "▁"
-CACHE = 400_000
+CACHE = 300_000
 #: Longer units are relaxed one by one with a heap.
 LONG_UNIT = 300
+#: Characters of an index, and documents at a time.
+CHARS = 1_000_000
 SLICE = 1024
 _UNITS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -108,20 +110,26 @@ class Encoder:
         self.points = np.zeros(0x110000, np.int32)
         self.points[:] = 1
         self.points[points] = np.arange(2, len(points) + 2)
-        self.known: dict[str, list[int]] = {}
+        self.one = np.full(0x110000, -1, np.int32)                     # id of a character that is a piece
+        self.one[[ord(c) for c in self.single]] = list(self.single.values())
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def suffixes(self, t: np.ndarray) -> np.ndarray:
         """Positions of ``t``, ordered by the ``longest`` characters from there on."""
         n, have = len(t), 4
         pad = np.concatenate([t.astype(np.int64), np.zeros(4, np.int64)])
         key = (pad[:n] << 48) | (pad[1:n + 1] << 32) | (pad[2:n + 2] << 16) | pad[3:n + 3]
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-        while have < self.longest:
-            after = np.zeros(n, np.int64)
-            after[:max(0, n - have)] = rank[have:] + 1
-            rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1].astype(np.int64)
+        while True:
+            order = np.argsort(key)
+            if have >= self.longest:
+                return order
+            key = key[order]
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(np.r_[1, key[1:] != key[:-1]])
+            key = rank * (n + 1)
+            key[:max(0, n - have)] += rank[have:]
             have *= 2
-        return np.argsort(rank, kind="stable")
 
     def ranges(self, t: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For every piece the range [low, high) of ``order`` whose suffixes begin with it."""
@@ -192,10 +200,11 @@ class Encoder:
                 offer(before[i])
         return sorted(after)
 
-    def segment(self, units: list[str]) -> list[list[int]]:
-        """Ids of each unit."""
+    def segment(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit, as 32-bit numbers."""
         text = "\0".join(units) + "\0"
-        t = self.points[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        letters = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        t = self.points[letters]
         size = np.array([len(u) for u in units], np.int64)
         begin = np.cumsum(size + 1) - size - 1
         t[begin + size] = 0
@@ -227,9 +236,9 @@ class Encoder:
             stay[top + 1] = False
             moved = top - np.arange(len(top))                          # one symbol went before each later one
             unit, start, end, score = unit[stay], start[stay], end[stay], score[stay]
-            touched = np.unique(np.concatenate([moved, np.maximum(moved - 1, 0)]))
+            touched = np.concatenate([moved, np.maximum(moved - 1, 0)])
             score[touched] = self._pair_scores(unit, start, end, keys, piece, touched)
-        return self._ids(text, begin, size, cut, keys, piece)
+        return self._ids(letters, begin, size, cut, keys, piece)
 
     def _pair_scores(self, unit, start, end, keys, piece, at) -> np.ndarray:
         """Scores of joining the symbols ``at`` with the next one of the same unit."""
@@ -239,40 +248,52 @@ class Encoder:
         out[ok] = self._scores(start[at[ok]], end[at[ok] + 1], keys, piece)
         return out
 
-    def _ids(self, text: str, begin, size, cut, keys, piece) -> list[list[int]]:
-        out = []
+    def _ids(self, letters: np.ndarray, begin, size, cut, keys, piece) -> list[bytes]:
         starts = np.flatnonzero(cut)
         a, b = np.searchsorted(starts, begin), np.searchsorted(starts, begin + size)
-        edge = self.longest + 1
-        ends = np.concatenate([starts[1:], [len(text)]])
+        ends = np.concatenate([starts[1:], [len(letters)]])
         ends[b[b > a] - 1] = (begin + size)[b > a]
         width = ends - starts
-        key = starts * edge + width
-        at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-        long = np.where(width > 1, piece[at] if len(keys) else 0, -1).tolist()
-        where = starts.tolist()
-        for lo, hi in zip(a.tolist(), b.tolist(), strict=True):
-            ids = []
-            for s in range(lo, hi):
-                if long[s] >= 0:
-                    ids.append(long[s])
-                    continue
-                c = text[where[s]]
-                i = self.single.get(c)
-                ids.extend([i] if i is not None else [self.byte[x] for x in c.encode("utf-8", "replace")])
-            out.append(ids)
-        return out
+        ids = self.one[letters[starts]]
+        if len(keys):
+            long = width > 1
+            ids[long] = piece[np.searchsorted(keys, starts[long] * (self.longest + 1) + width[long])]
+        if (ids < 0).any():                                            # characters without a piece: their bytes
+            n = np.ones(len(ids), np.int64)
+            odd = {int(s): [self.byte[x] for x in chr(letters[starts[s]]).encode("utf-8", "replace")] for s in np.flatnonzero(ids < 0)}
+            n[list(odd)] = [len(x) for x in odd.values()]
+            to = np.cumsum(n) - n
+            a, b = (np.r_[to, n.sum()][x] for x in (a, b))
+            ids = np.repeat(ids, n)
+            for s, x in odd.items():
+                ids[to[s]:to[s] + len(x)] = x
+        raw = ids.astype(np.int32).tobytes()
+        return [raw[4 * lo:4 * hi] for lo, hi in zip(a.tolist(), b.tolist(), strict=True)]
+
+    @staticmethod
+    def units(text: str) -> list[str]:
+        """The units of a text, each without the blank that it begins with."""
+        text = text.replace(BLANK, " ")
+        found = text.split(" ") if text else []
+        if "" in found:                                                # runs of blanks, or a blank at an end
+            found = [u[1:] for u in _UNITS.findall(BLANK + text.replace(" ", BLANK))]
+        return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        units = [None if t is None else _UNITS.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = list(set(chain.from_iterable(u for u in units if u)).difference(known))
-        if new:
-            new.sort(key=len)
-            known.update(zip(new, self.segment(new), strict=True))
-        return [None if u is None else np.array(list(chain.from_iterable([known[x] for x in u])), np.int32) for u in units]
+        units = [None if t is None else self.units(t) for t in texts]
+        if len(self.known) > CACHE // 2:                               # units not met for two rounds are forgotten
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        new = set(chain.from_iterable(u for u in units if u)).difference(known)
+        old = new.intersection(before)
+        known.update((u, before[u]) for u in old)
+        new = list(new - old)
+        while new:                                                     # in parts of bounded size
+            sizes = np.cumsum([len(u) + 2 for u in new])
+            n = max(1, int(np.searchsorted(sizes, CHARS)))
+            known.update(zip(new[:n], self.segment([BLANK + u for u in new[:n]]), strict=True))
+            new = new[n:]
+        return [None if u is None else np.frombuffer(b"".join([known[x] for x in u]), np.int32) for u in units]
 
 
 class Decoder:
@@ -280,30 +301,41 @@ class Decoder:
         self.raw = [bytes([int(t[3:5], 16)]) if k == Pieces.BYTE else t.replace(BLANK, " ").encode() if k == Pieces.NORMAL else b""
                     for t, k in zip(pieces.text, pieces.kind, strict=True)]
 
+    def decode_all(self, lists) -> list[str | None]:
+        return [self.decode(ids.tolist() if isinstance(ids, np.ndarray) else ids) for ids in lists]
+
     def decode(self, ids: list[int] | None) -> str | None:
         if ids is None:
             return None
-        n = len(self.raw)
-        raw = b"".join([self.raw[i] for i in ids if i is not None and 0 <= i < n])
+        try:
+            raw = b"".join(map(self.raw.__getitem__, ids)) if not ids or min(ids) >= 0 else None
+        except (IndexError, TypeError):
+            raw = None
+        if raw is None:                                                # some id is null or unknown
+            raw = b"".join([self.raw[i] for i in ids if i is not None and 0 <= i < len(self.raw)])
         return (raw[1:] if raw.startswith(b" ") else raw).decode("utf-8", "replace")
 
 
-def _added(df: DataFrame, source: str, name: str, kind, make):
-    """``df`` with the column ``name`` (in place of one of that name) that ``make()`` computes from slices of ``source``."""
+def _added(df: DataFrame, source: str, steps: list[tuple]) -> DataFrame:
+    """``df`` with a column for each (name, type, make) of ``steps``, in place of one of that name: the first
+    ``make()`` converts slices of ``source``, each further one what the step before it gave."""
     from pyspark.sql import types as T
 
-    df = df.drop(name)
-
-    schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
+    df = df.drop(*[name for name, _, _ in steps])
+    schema = T.StructType([*df.schema.fields, *[T.StructField(name, kind) for name, kind, _ in steps]])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        convert, to = make(), pa.string() if isinstance(kind, T.StringType) else pa.list_(pa.int32())
+        made = [(make(), pa.string() if isinstance(kind, T.StringType) else pa.list_(pa.int32())) for _, kind, make in steps]
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
                 part = b.slice(i, SLICE)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(convert(part.column(source).to_pylist()), to)], [*part.schema.names, name])
+                values, out = part.column(source).to_pylist(), []
+                for convert, to in made:
+                    values = convert(values)
+                    out.append(pa.array(values, to))
+                yield pa.RecordBatch.from_arrays([*part.columns, *out], [*part.schema.names, *[name for name, _, _ in steps]])
 
     return df.mapInArrow(run, schema)
 
@@ -312,15 +344,19 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
     """``docs`` with the piece ids of the whole text; ``model``: path of the model file on every node."""
     from pyspark.sql import types as T
 
-    return _added(docs, text_col, ids_col, T.ArrayType(T.IntegerType()), lambda: Encoder(Pieces(model)).encode)
+    return _added(docs, text_col, [(ids_col, T.ArrayType(T.IntegerType()), lambda: Encoder(Pieces(model)).encode)])
 
 
 def decode(docs: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``docs`` with the text of the piece ids."""
     from pyspark.sql import types as T
 
-    def make():
-        one = Decoder(Pieces(model)).decode
-        return lambda lists: [one(ids) for ids in lists]
+    return _added(docs, ids_col, [(text_col, T.StringType(), lambda: Decoder(Pieces(model)).decode_all)])
+
+
+def encode_and_decode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``docs`` with the piece ids and the text they decode to, in one pass."""
+    from pyspark.sql import types as T
 
-    return _added(docs, ids_col, text_col, T.StringType(), make)
+    return _added(docs, text_col, [(ids_col, T.ArrayType(T.IntegerType()), lambda: Encoder(Pieces(model)).encode),
+                                   (decoded_col, T.StringType(), lambda: Decoder(Pieces(model)).decode_all)])

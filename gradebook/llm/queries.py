@@ -42,8 +42,7 @@ def op3_sentencepiece(spark, sf_dir):
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    ids = piece_tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    out = piece_tokens.decode(ids, model)
+    out = piece_tokens.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     crc = lambda c: F.crc32(F.encode(c, "UTF-8"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.crc32(F.encode(F.array_join("ids", ","), "UTF-8")).alias("ids_crc32"),
                       crc("text").alias("text_crc32"), crc("decoded").alias("decoded_crc32"),
