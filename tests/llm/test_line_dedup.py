@@ -27,7 +27,7 @@ def brute(docs, least):
                 lines.append(((id_ is not None, id_ or 0), no, text, words))
     gone = set()
     for p in lines:
-        if any(q[:2] < p[:2] and distance(q[3], p[3]) <= 1 for q in lines):
+        if any(q[:2] < p[:2] and (q[3] == p[3] or abs(len(q[3]) - len(p[3])) <= 1 and distance(q[3], p[3]) <= 1) for q in lines):
             gone.add((p[0], p[2], p[1]))
     return sorted(str((id_, None if text is None else "\n".join(x for no, x in enumerate(text.split("\n"))
                                                               if ((id_ is not None, id_ or 0), text, no) not in gone))) for id_, text in docs)
