@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 The model file gives the pieces and their scores (byte-pair kind with byte fallback, a leading
-blank, no normalisation).  Text is cut before every run of blanks: no piece reaches across, so these
-units are encoded on their own, each distinct one once.  For a batch of units:
+blank, no normalisation).  Text is cut before every run of blanks, and before line feeds if the model joins
+them to nothing: no piece reaches across, so these units are encoded on their own, each distinct one once.  For a batch of units:
 
 1. index: the units are concatenated with separators and their suffixes sorted by the length of the
    longest piece (ranks of four characters, doubled until the length is reached);
@@ -100,6 +100,7 @@ class Encoder:
         long = sorted((i for i in normal if len(pieces.text[i]) > 1), key=lambda i: pieces.text[i])
         chars = sorted({c for i in long for c in pieces.text[i]})
         self.code = {c: n for n, c in enumerate(chars, 2)}             # 0: separator, 1: in no piece of two or more
+        self.line_feed_alone = "\n" not in self.code                   # then no edge crosses one: a unit ends before it
         self.piece = np.array(long, np.int64)
         self.size = np.array([len(pieces.text[i]) for i in long], np.int64)
         self.longest = int(self.size.max(initial=1))
@@ -270,13 +271,18 @@ class Encoder:
         raw = ids.astype(np.int32).tobytes()
         return [raw[4 * lo:4 * hi] for lo, hi in zip(a.tolist(), b.tolist(), strict=True)]
 
-    @staticmethod
-    def units(text: str) -> list[str]:
-        """The units of a text, each without the blank that it begins with."""
+    def units(self, text: str) -> list[str]:
+        """The units of a text, without the blank that they begin with; those that begin with a line feed have none."""
         text = text.replace(BLANK, " ")
-        found = text.split(" ") if text else []
+        if not text:
+            return []
+        found = (text.replace("\n", " \n") if self.line_feed_alone else text).split(" ")
         if "" in found:                                                # runs of blanks, or a blank at an end
-            found = [u[1:] for u in _UNITS.findall(BLANK + text.replace(" ", BLANK))]
+            found = []
+            for u in _UNITS.findall(BLANK + text.replace(" ", BLANK)):
+                head, *rest = u[1:].split("\n") if self.line_feed_alone else [u[1:]]
+                found.append(head)
+                found.extend("\n" + x for x in rest)
         return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
@@ -291,7 +297,7 @@ class Encoder:
         while new:                                                     # in parts of bounded size
             sizes = np.cumsum([len(u) + 2 for u in new])
             n = max(1, int(np.searchsorted(sizes, CHARS)))
-            known.update(zip(new[:n], self.segment([BLANK + u for u in new[:n]]), strict=True))
+            known.update(zip(new[:n], self.segment([u if self.line_feed_alone and u[:1] == "\n" else BLANK + u for u in new[:n]]), strict=True))
             new = new[n:]
         return [None if u is None else np.frombuffer(b"".join([known[x] for x in u]), np.int32) for u in units]
 
