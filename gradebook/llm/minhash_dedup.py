@@ -198,6 +198,7 @@ def _with_near_foreign(batches: Iterator) -> Iterator:
 
     for x, more in _groups(batches):
         n, *bits = (c.to_numpy() for c in more)
+        bits = [b.view(np.uint64) for b in bits]           # bitwise_count takes the absolute value of signed numbers
         low, top = np.flatnonzero(x[:, 3] == 0), np.flatnonzero(x[:, 3] == 1)
         near = np.zeros(len(x), bool)
         for t in np.array_split(top, max(1, len(low) * len(top) >> 20)):
