@@ -13,8 +13,8 @@ table with probability about 2 * (1 - s*s) ** TABLES: 1e-4 at 0.75, 1e-5 at 0.8.
    all members of the others, in blocks of ``BLOCK`` classes.  192-bit sketches tell which classes have
    a foreign one that is not too far for the threshold (by five standard deviations); those are compared
    on their full sets within the blocks, which return only confirmed links.  So no link between
-   components is lost and no pairs are made, however large a group is.  For this, ``CORE`` tables for each
-   function of the first collection suffice: a pair at 0.75 meets in none of them with probability 2e-4.
+   components is lost and no pairs are made, however large a group is.  All tables take part; of buckets
+   with the same classes (count and 128-bit fingerprint) one does, since the others would give the same links.
 
 Confirmation compares the full shingle sets (64-bit hashes of the whole shingles), sent only for the
 classes of some pair.  Components come from alternating star operations on the links.  Everything
@@ -44,7 +44,6 @@ SKETCH_BITS = 59
 BROADCAST_ROWS = 500_000
 #: Classes on either side of a block of comparisons.
 BLOCK = 4096
-CORE = 3
 CACHE = 300_000
 _MULT = np.random.default_rng(11).integers(1 << 62, size=WORDS + 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -141,15 +140,21 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS,
 
 
 def table_rows(classes: DataFrame, tables: int = TABLES) -> DataFrame:
-    """(cls, key, core) for every table key whose two halves the class shares with others."""
+    """(cls, key) for every table key whose two halves the class shares with others."""
     halves = classes.select("cls", F.posexplode("_half").alias("at", "half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     both = halves.join(shared, "half").groupBy("cls").agg(
         F.collect_list(F.when(F.col("at") < tables, F.struct("at", "half"))).alias("u"),
         F.collect_list(F.when(F.col("at") >= tables, F.struct("at", "half"))).alias("v"))   # at most TABLES each
-    pair = lambda a, b: F.struct(F.xxhash64(a["half"], b["half"]).alias("key"), (F.pmod(b["at"] - a["at"], F.lit(tables)) < CORE).alias("core"))
-    pairs = F.explode(F.flatten(F.transform("u", lambda a: F.transform("v", lambda b: pair(a, b))))).alias("p")
-    return both.select("cls", pairs).select("cls", "p.key", "p.core")
+    pair = lambda a, b: F.xxhash64(a["half"], b["half"])
+    return both.select("cls", F.explode(F.flatten(F.transform("u", lambda a: F.transform("v", lambda b: pair(a, b))))).alias("key"))
+
+
+def different_buckets(buckets: DataFrame) -> DataFrame:
+    """The rows (cls, key) of the buckets of several classes, without buckets that hold the same classes as another."""
+    mark = [F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"m{i}") for i in range(2)]
+    sets = buckets.groupBy("key").agg(F.count("*").alias("n"), *mark).where("n > 1")
+    return buckets.join(sets.groupBy("n", "m0", "m1").agg(F.min("key").alias("key")).select("key"), "key", "left_semi").select("cls", "key")
 
 
 def _dealt(buckets: DataFrame, roots: DataFrame, side: DataFrame) -> DataFrame:
@@ -312,8 +317,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = sets_of(closest.select("a").union(closest.select("b")).toDF("cls").distinct())
     links = stored(_confirmed(closest, sets), "links")
     roots = components(links)
-    core = buckets.where("core").select("key", "cls")
-    near = stored(_dealt(core, roots, side).mapInArrow(_with_near_foreign, "cls long, key long").distinct(), "near")
+    near = stored(_dealt(stored(different_buckets(buckets), "different"), roots, side).mapInArrow(_with_near_foreign, "cls long, key long").distinct(), "near")
     if not near.isEmpty():
         sets = sets_of(near.select("cls").distinct())
         more = _dealt(near, roots, sets).mapInArrow(_confirmed_links, "a long, b long").distinct()

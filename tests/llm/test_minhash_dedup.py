@@ -89,3 +89,25 @@ def test_components_of_a_chain(spark):
     out = {r.cls: r.root for r in minhash_dedup.components(links).collect()}
     assert out == {**dict.fromkeys(range(n + 1), 0), 100: 100, 101: 100}
     assert minhash_dedup.components(links.limit(0)).count() == 0
+
+
+#: Seed and start of the slice: the two long texts meet in tables (i, j) with (j - i) % 12 > 2 only, and in all of them with the slice.
+HIDDEN = [(6349, 11), (7990, 9), (17172, 0)]
+
+
+def test_links_that_few_tables_hold(spark):
+    """The slice comes first, so it is the one partner of both texts and no neighbour of either."""
+    rows = []
+    for seed, start in HIDDEN:
+        rng = random.Random(seed)
+        a = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        b = a[:90] + [f"x{rng.randrange(10**6)}" for _ in range(14)]
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate((a[start:start + 78], a, b))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert got(minhash_dedup.near_duplicates(df)) == brute(rows)
+
+
+def test_equal_buckets_count_once(spark):
+    rows = [(1, 10), (2, 10), (1, 11), (2, 11), (1, 12), (2, 12), (3, 12), (4, 13)]
+    out = minhash_dedup.different_buckets(spark.createDataFrame(rows, "cls long, key long")).collect()
+    assert sorted(map(tuple, out)) == [(1, 10), (1, 12), (2, 10), (2, 12), (3, 12)]
