@@ -14,9 +14,6 @@ from gradebook.llm import language_id, line_dedup, minhash_dedup, packing, toxic
 from gradebook.llm.common import stored, table, without_space
 from gradebook.llm.queries import tokenizer_path
 
-#: A document whose most probable language has less than this share of its positions is no text of a known language.
-MIN_LANGUAGE_SCORE = 0.3
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least the threshold go; the models learn from the table of labels."""
@@ -26,11 +23,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of no known language, go."""
-    net = language_id.train(docs)
-    found = language_id.predict(docs, net, lang="_lang_pred", score="_lang_score")
-    known = (F.col("_lang_pred") != language_id.UNKNOWN) & (F.col("_lang_score") >= MIN_LANGUAGE_SCORE)
-    return found.where(known).select(*docs.columns)
+    """Documents without letters, or unlike the labelled documents of their most probable language, go."""
+    rows = language_id.sample(docs)
+    gate = None if rows is None else language_id.Gate(rows)
+    found = language_id.predict(docs, language_id.fit(rows), lang="_lang_pred", score="_lang_score", gate=gate)
+    return found.where(F.col("_lang_pred") != language_id.UNKNOWN).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,10 @@ windows spread evenly over each whole text; languages weigh the same.  Labelling
 input: a task labels each distinct window once, keeps up to ``CACHE`` of them, and adds up the
 windows of each text.  No text is shuffled.
 
+The softmax knows the trained languages only.  A ``Gate`` rejects texts of none: byte trigrams of the
+same sample give every text a mean log-likelihood, and a text below the floor of its predicted language
+is ``und``.  Floors come from the labelled documents' own values, each under the other half's trigrams.
+
 Defined results: a null text or one without a letter is ``und`` with score 0; without training rows
 every text is; of equal probabilities the first language in order wins; repeated rows repeat their
 result; rows with a null language or id do not train.
@@ -32,6 +36,9 @@ MAX_LANGS = 500
 WINDOWS_PER_DOC = 48
 STEPS, BATCH, RATE = 160, 768, 0.02
 CACHE = 200_000
+#: The gate: codes of bytes, bytes of the language's usual value added to every text, and the floor's distance
+#: below the median of the labelled documents, in distances from the median to the lowest hundredth.
+CODES, PRIOR, SPREAD = 128, 64, 3
 UNKNOWN = "und"
 
 
@@ -161,13 +168,68 @@ class BiGRU:
         return out
 
 
+class Gate:
+    """Whether a text is like the labelled ones: trigrams over the most frequent bytes, and a floor for each language."""
+
+    def __init__(self, rows):
+        """rows: lang, doc, win of the sample."""
+        some = np.bincount(np.frombuffer(b"".join(rows["win"]), np.uint8), minlength=256)
+        self.code = np.full(256, CODES - 1)                    # 0: before the window; the last: all other bytes
+        self.code[np.argsort(-some, kind="stable")[:CODES - 2]] = np.arange(1, CODES - 1)
+        half, floors = (rows["doc"] & 1).to_numpy(), {}
+        value, size = np.zeros(len(rows)), rows["win"].map(len).to_numpy()
+        for h in (0, 1):
+            if (half == h).any():
+                self._learn(rows["win"][half != h].tolist())
+                value[half == h] = self.sums(rows["win"][half == h].tolist())
+        by = rows[["lang", "doc"]].assign(value=value, size=size).groupby(["lang", "doc"]).sum()
+        for lang, x in by.groupby(level="lang"):
+            usual = float((x["value"] / x["size"]).median())
+            low, mid = np.quantile((x["value"] + PRIOR * usual) / (x["size"] + PRIOR), [0.01, 0.5])
+            floors[lang] = usual, mid - SPREAD * (mid - low)
+        self.floors = floors
+        self._learn(rows["win"].tolist())
+
+    def _places(self, wins: list[bytes]):
+        """(rows, trigram numbers (rows, n)) of the windows of each length."""
+        length = np.array([len(w) for w in wins], np.int64)
+        for n in np.unique(length):
+            at = np.flatnonzero(length == n)
+            x = np.zeros((len(at), n + 2), np.int64)
+            x[:, 2:] = self.code[np.frombuffer(b"".join([wins[i] for i in at]), np.uint8)].reshape(len(at), n)
+            yield at, (x[:, :-2] * CODES + x[:, 1:-1]) * CODES + x[:, 2:]
+
+    def _learn(self, wins: list[bytes]) -> None:
+        count = np.zeros(CODES ** 3)
+        for _, x in self._places(wins):
+            count += np.bincount(x.ravel(), minlength=CODES ** 3)
+        three = count.reshape(CODES, CODES, CODES)
+        p = np.full(CODES, 1 / CODES)
+        for n in (three.sum(axis=(0, 1)), three.sum(axis=0), three):   # each order is smoothed by the one below
+            kinds = (n > 0).sum(axis=-1, keepdims=True) + 1
+            p = (n + kinds * p) / (n.sum(axis=-1, keepdims=True) + kinds)
+        p[..., -1] /= 256 - (CODES - 2)
+        self.log = np.log(p).astype(np.float32).ravel()
+
+    def sums(self, wins: list[bytes]) -> np.ndarray:
+        """Per window the log-likelihood of its bytes."""
+        out = np.zeros(len(wins), np.float32)
+        for at, x in self._places(wins):
+            out[at] = self.log[x].sum(axis=1)
+        return out
+
+    def passes(self, lang: str, value: float, size: int) -> bool:
+        usual, floor = self.floors[lang]
+        return (value + PRIOR * usual) / (size + PRIOR) >= floor - 1e-6
+
+
 class Labeller:
     """Document probabilities; labels each distinct window once while it is in the cache."""
 
-    def __init__(self, net: BiGRU | None):
-        self.net = net
+    def __init__(self, net: BiGRU | None, gate: Gate | None = None):
+        self.net, self.gate = net, gate
         self.row: dict[bytes, int] = {}
-        self.prob = np.zeros((0, len(net.langs) if net else 0), np.float32)
+        self.prob = np.zeros((0, len(net.langs) + (gate is not None) if net else 0), np.float32)
         self.used = 0
 
     def _know(self, wins: set[bytes]) -> None:
@@ -179,7 +241,9 @@ class Labeller:
             grown = np.zeros((max(2 * len(self.prob), self.used + len(new)), self.prob.shape[1]), np.float32)
             grown[:self.used] = self.prob[:self.used]
             self.prob = grown
-        self.prob[self.used:self.used + len(new)] = self.net.label(new)
+        self.prob[self.used:self.used + len(new), :len(self.net.langs)] = self.net.label(new)
+        if self.gate:
+            self.prob[self.used:self.used + len(new), -1] = self.gate.sums(new)
         self.row.update(zip(new, range(self.used, self.used + len(new)), strict=True))
         self.used += len(new)
 
@@ -191,19 +255,21 @@ class Labeller:
         self._know(set().union(*wins.values()) if wins else set())
         for i, ws in wins.items():
             total = self.prob[[self.row[w] for w in ws]].sum(axis=0, dtype=np.float64)
-            share = total / sum(map(len, ws))
+            size = sum(map(len, ws))
+            share = total[:len(self.net.langs)] / size
             best = int(share.argmax())
+            if self.gate and not self.gate.passes(self.net.langs[best], total[-1], size):
+                continue
             langs[i], scores[i] = self.net.langs[best], float(min(1.0, max(0.0, share[best])))
         return langs, scores
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> BiGRU | None:
-    """Train on the documents with a language; None without any."""
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
+    """(lang, doc, win) windows of the bounded sample of the documents with a language, as a pandas table; None without any."""
     docs = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     docs = docs.where("_key is not null and _lang is not null")
     n = docs.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGS).collect()
-    langs = sorted(r["_lang"] for r in n)
-    if not langs:
+    if not n:
         return None
     steps = 1_000_000
     share = F.create_map(*[F.lit(x) for r in n for x in (r["_lang"], min(steps, steps * DOCS_PER_LANG // r["count"]))])
@@ -213,24 +279,34 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
         for b in batches:
             out = []
-            for lang, text in zip(b["_lang"], b["_text"], strict=True):
+            for lang, doc, text in zip(b["_lang"], b["_doc"], b["_text"], strict=True):
                 ws = windows(text or "")
-                out += [(lang, ws[i]) for i in sorted({int(j) for j in np.linspace(0, len(ws) - 1, WINDOWS_PER_DOC)})] if ws else []
-            yield pd.DataFrame(out, columns=["lang", "win"])
+                out += [(lang, doc, ws[i]) for i in sorted({int(j) for j in np.linspace(0, len(ws) - 1, WINDOWS_PER_DOC)})] if ws else []
+            yield pd.DataFrame(out, columns=["lang", "doc", "win"])
 
-    rows = docs.where(F.pmod(F.xxhash64("_key"), F.lit(steps)) < share[F.col("_lang")]).select("_lang", "_text")
-    rows = rows.mapInPandas(cut, "lang string, win binary").toPandas()   # bounded by the two parameters
+    rows = docs.where(F.pmod(F.xxhash64("_key"), F.lit(steps)) < share[F.col("_lang")]).select("_lang", F.xxhash64("_key").alias("_doc"), "_text")
+    rows = rows.mapInPandas(cut, "lang string, doc long, win binary").toPandas()   # bounded by the two parameters
     rows["win"] = rows["win"].map(bytes)
-    rows = rows.sort_values(["lang", "win"])                # whatever order the tasks came in
-    langs = [x for x in langs if x in set(rows["lang"])]
-    if not langs:
+    rows = rows.sort_values(["lang", "win", "doc"])         # whatever order the tasks came in
+    return rows if len(rows) else None
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> BiGRU | None:
+    """Train on the documents with a language; None without any."""
+    return fit(sample(docs, id_col, text_col, lang_col))
+
+
+def fit(rows) -> BiGRU | None:
+    """Train on the windows of ``sample``."""
+    if rows is None:
         return None
+    langs = sorted(set(rows["lang"]))
     net = BiGRU(langs)
     net.train(rows["win"].tolist(), rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy())
     return net
 
 
-def predict(docs: DataFrame, net: BiGRU | None, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+def predict(docs: DataFrame, net: BiGRU | None, text_col: str = "text", lang: str = "lang_pred", score: str = "score", gate: Gate | None = None) -> DataFrame:
     """``docs`` with the predicted language of its whole text and its probability (in place of columns of those names)."""
     from pyspark.sql import types as T
 
@@ -241,7 +317,7 @@ def predict(docs: DataFrame, net: BiGRU | None, text_col: str = "text", lang: st
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        labeller = Labeller(net)
+        labeller = Labeller(net, gate)
         for b in batches:
             texts, langs, scores = b.column(text_col), [], []
             for i in range(0, len(texts), 512):             # in slices: a batch may hold very long texts

@@ -53,3 +53,18 @@ def test_run_equals_the_stages(spark, steps):
     cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     got = C.run(spark, SF).select(*cols).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, steps[-1].select(*cols).collect()))
+
+
+def test_texts_of_no_known_language_go(spark):
+    import base64
+    import random
+    rng = random.Random(1)
+    russian = "Вчера вечером мы долго гуляли по старому городу и говорили о книгах. " * 6
+    japanese = "昨日の夜、私たちは古い町を長い間歩いて、本について話しました。" * 8
+    noise = " ".join("".join(rng.choice("qwertyuiopasdfghjklzxcvbnm") for _ in range(rng.randint(2, 9))) for _ in range(80))
+    coded = base64.b64encode(rng.randbytes(600)).decode()
+    docs = C.table(spark, SF, "documents").select("doc_id", "text", "lang")
+    planted = [(-1 - i, t, None) for i, t in enumerate((russian, japanese, noise, coded))]
+    both = docs.union(spark.createDataFrame(planted, docs.schema))
+    kept = {r.doc_id for r in C.drop_unknown_language(spark, both, SF).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
