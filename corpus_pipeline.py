@@ -31,8 +31,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line repeats, or nearly so, go; a document that loses all its words goes with them."""
-    out = line_dedup.dedupe_lines(docs)
+    """Lines that repeat an earlier line (those of at least ``MIN_WORDS`` words: or nearly so) go; a document that loses all its words goes with them."""
+    out = line_dedup.dedupe_lines(docs, exact_words=1)
     out = out.where((F.col("_removed_lines") == 0) | (F.length(without_space(F.col("text"))) > 0))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -1,7 +1,7 @@
 """Line deduplication across documents by a deletion-neighbourhood join.
 
-Lines are compared as lower-cased word sequences; lines of fewer than ``MIN_WORDS`` words are never
-touched.  A line goes when an earlier line (by document id, then line number) is equal to it or
+Lines are compared as lower-cased word sequences; lines of fewer than ``MIN_WORDS`` words are not
+touched, or with ``exact_words`` (down to that many words) only where they are equal.  A line goes when an earlier line (by document id, then line number) is equal to it or
 differs by one word: inserted, left out or replaced.  The earliest line of a set stays.
 
 1. Equal lines are one class, kept at its earliest position (a minimum per 128-bit digest).
@@ -70,24 +70,26 @@ def within_one(a: list, b: list) -> bool:
     return a[i + 1:] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1:]
 
 
-def _line_keys(kind: str, min_words: int):
+def _line_keys(kind: str, min_words: int, exact_words: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from xxhash import xxh3_64_intdigest as digest
 
         for b in batches:
-            at, no, rows = [], [], []
+            at, no, rows, short = [], [], [], []
             for i, text in enumerate(b.column(2)):
                 for k, line in enumerate(_lines(text.as_py())):
                     words = line.split()
-                    if len(words) >= min_words:
+                    if len(words) >= exact_words:
                         whole = b" ".join(words)
                         at.append(i)
                         no.append(k)
-                        rows.append([digest(whole), digest(whole, 1), *half_keys(words)])
+                        short.append(len(words) < min_words)
+                        rows.append([digest(whole), digest(whole, 1), *([0] * 4 if short[-1] else half_keys(words))])
             keys = np.array(rows, np.uint64).reshape(-1, 6).view(np.int64).T
+            keys = [*map(pa.array, keys[:2]), *(pa.array(k, mask=np.array(short, bool)) for k in keys[2:])]   # short lines have no halves
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(no, pa.int32()), *(pa.array(k) for k in keys)],
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(no, pa.int32()), *keys],
                                              ["id", "text_key", "no", "h1", "h2", "k0", "k1", "k2", "k3"])
 
     return run, f"id {kind}, text_key long, no int, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long"
@@ -126,16 +128,17 @@ def _emit(batches: Iterator) -> Iterator:
                                               pa.array(np.concatenate(z) if z else np.zeros(0, np.int64))], ["pos", "gone", "z"])
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+                 exact_words: int | None = None) -> DataFrame:
     """(id, text_key, removed): the numbers, from 0, of the lines of each document that go."""
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("_text"))
-    lines = stored(texts.mapInArrow(*_line_keys(kind, min_words)), "lines")
+    lines = stored(texts.mapInArrow(*_line_keys(kind, min_words, min_words if exact_words is None else exact_words)), "lines")
     pos = F.struct("id", "text_key", "no")
     classes = lines.groupBy("h1", "h2").agg(F.min(pos).alias("pos"), *[F.first(f"k{i}").alias(f"k{i}") for i in range(4)])
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "line-classes")
 
-    halves = classes.select("cls", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
+    halves = classes.where("k0 is not null").select("cls", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
     shared = halves.select("k").groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
     maybe = classes.select("cls", "pos").join(halves.join(shared, "k").select("cls").distinct(), "cls").select("pos.*")
     chosen = maybe.groupBy("id", "text_key").agg(F.collect_list("no").alias("chosen"))   # at most a document's lines
@@ -166,9 +169,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return gone.groupBy("id", "text_key").agg(F.collect_set("no").alias("removed"))       # at most a document's lines
 
 
-def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+                 exact_words: int | None = None) -> DataFrame:
     """``docs`` without the repeated lines, and with _line_count and _removed_lines (of the text as it came)."""
-    removed = repeated_lines(docs, id_col, text_col, min_words).toDF("__rid", "__rkey", "__removed")
+    removed = repeated_lines(docs, id_col, text_col, min_words, exact_words).toDF("__rid", "__rkey", "__removed")
     key = F.xxhash64(F.col(text_col))
     out = docs.join(removed, (key == F.col("__rkey")) & F.col(id_col).eqNullSafe(F.col("__rid")), "left").drop("__rid", "__rkey")
     lines = F.split(F.col(text_col), "\n", -1)

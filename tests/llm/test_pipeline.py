@@ -68,3 +68,11 @@ def test_texts_of_no_known_language_go(spark):
     both = docs.union(spark.createDataFrame(planted, docs.schema))
     kept = {r.doc_id for r in C.drop_unknown_language(spark, both, SF).collect()}
     assert kept == {r.doc_id for r in docs.collect()}
+
+
+def test_short_repeated_lines_go(spark):
+    long = "one two three four five six seven eight"
+    rows = [(1, f"Home | About\nshare this page\n{long}\n"), (2, "home |  about\nshare that page\nnew"), (3, f"HOME | ABOUT\n\n{long} nine\n\nshare this page\nlast")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    out = {r.doc_id: r.text for r in C.drop_repeated_lines(spark, docs, SF).collect()}
+    assert out == {1: rows[0][1], 2: "share that page\nnew", 3: "\n\nlast"}
