@@ -17,7 +17,8 @@ is ``und``.  Floors come from the labelled documents' own values, each under the
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without training rows
 every text is; of equal probabilities the first language in order wins; repeated rows repeat their
-result; rows with a null language or id do not train.
+result; rows with a null language or id do not train, nor do those of any but the
+``MAX_LANGS`` most frequent languages, which get one of the learned ones.
 """
 
 from __future__ import annotations
