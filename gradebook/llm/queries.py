@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradebook.llm import ann_curves, language_id, line_dedup, minhash_dedup, packing, piece_tokens, quality_rules, sharding, toxicity, warc
+from gradebook.llm import (ann_curves, hard_negatives, language_id, line_dedup, minhash_dedup, packing, piece_tokens, quality_rules, sharding,
+                           suffix_dedup, toxicity, vector_codes, warc)
 from gradebook.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +202,80 @@ FROM w LEFT JOIN c ON c.words = w.words LEFT JOIN n ON n.cls = c.cls LEFT JOIN r
 def op9_minhash_dedup(spark, sf_dir):
     """Near-duplicate components of all documents at 5-word shingle similarity 0.75."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("first", "text_key")
+
+
+_NEGATIVES_SQL = """
+WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other, list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INTEGER AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+@query("op11_hard_negatives", _NEGATIVES_SQL)
+def op11_hard_negatives(spark, sf_dir):
+    """Hard negatives of the embeddings whose vec_id 50 divides, against all embeddings."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=label)
+
+
+def _codes_sql() -> str:
+    """Two rounds and the last assignment, as common table expressions."""
+    sql = """
+WITH r AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT rid, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS x FROM r, (SELECT unnest(range(16)) AS part)),
+b0 AS (SELECT part, rid - 1 AS entry, x AS c FROM q WHERE rid <= 64)"""
+    for k in range(3):
+        sql += f""",
+n{k} AS MATERIALIZED (SELECT rid, part, min({{'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': entry}}) AS best
+      FROM q JOIN b{k} USING (part) GROUP BY rid, part)"""
+        if k < 2:
+            sql += f""",
+s{k} AS (SELECT part, entry, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM (SELECT q.part, best.e AS entry, x, unnest(range(1, len(x) + 1)) AS i FROM q JOIN n{k} USING (rid, part))
+      GROUP BY part, entry, i),
+m{k} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{k} GROUP BY part, entry),
+b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (part, entry))"""
+    return sql + """,
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS sha FROM b2),
+c AS (SELECT rid, string_agg(lpad(lower(to_hex(best.e)), 2, '0'), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM n2 GROUP BY rid)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, sha AS codebooks_sha256 FROM c JOIN r USING (rid), h
+"""
+
+
+@query("op12_vector_codes", _codes_sql())
+def op12_vector_codes(spark, sf_dir):
+    """Codes of 16 parts for all embeddings, with codebooks of 64 entries refined twice."""
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+_PASSAGES_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS hex FROM documents),
+g AS (SELECT rid, doc_id, i, substr(hex, 2 * i + 1, 100) AS gram FROM (SELECT rid, doc_id, hex, unnest(range(length(hex) // 2 - 49)) AS i FROM d)),
+c AS (SELECT rid, i FROM (SELECT rid, i, doc_id, min(doc_id) OVER (PARTITION BY gram) AS low FROM g) WHERE low < doc_id),
+x AS (SELECT rid, i, max(i) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
+s AS (SELECT rid, min(i) AS first, max(i) + 50 AS last FROM (
+        SELECT rid, i, count(*) FILTER (before IS NULL OR i > before + 50) OVER (PARTITION BY rid ORDER BY i) AS k FROM x) GROUP BY rid, k),
+a AS (SELECT rid, sum(last - first)::BIGINT AS n_removed, count(*) AS n_spans, list(first ORDER BY first) AS firsts, list(last ORDER BY first) AS lasts FROM s GROUP BY rid)
+SELECT doc_id, (length(hex) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN hex ELSE array_to_string(list_transform(range(0, n_spans + 1), lambda k:
+         substr(hex, CASE WHEN k = 0 THEN 1 ELSE 2 * lasts[k] + 1 END,
+                2 * (CASE WHEN k = n_spans THEN length(hex) // 2 ELSE firsts[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE lasts[k] END))), '') END)) AS kept_sha256
+FROM d LEFT JOIN a USING (rid)
+"""
+
+
+@query("op13_suffix_dedup", _PASSAGES_SQL)
+def op13_suffix_dedup(spark, sf_dir):
+    """All documents without the 50-byte passages that an earlier document holds."""
+    out = suffix_dedup.drop_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", (F.octet_length("kept") + removed).alias("n_bytes"), removed.alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -17,6 +17,9 @@ COLUMNS = {
     "op5_byte_shards": "doc_id size text_crc32 law shard slot grown_shard", "op6_toxicity": "doc_id held_out score predicted",
     "op8_ann_curves": "query_id rank vec_id score", "op9_minhash_dedup": "doc_id n_shingles component_id kept",
     "op10_warc": "page_id payload_bytes payload_digest record_type refers_to",
+    "op11_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
+    "op12_vector_codes": "vec_id code error label_error codebooks_sha256",
+    "op13_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
 }
 
 
@@ -25,10 +28,10 @@ def test_equals_its_sql(spark, name):
     assert compare(spark, SF, [name], verbose=False)[name][0] == "OK"
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_thirteen_and_the_pipeline_are_registered():
     names = set(E.queries())
     assert "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
