@@ -6,11 +6,11 @@
                                      pairwise-baseline,pairwise-each} [--baseline M] [--label L ...]
                                      [--models M ...] [--iid TAG] --out DIR
     python -m gradebook.cli mc-score --results DIR [--exclude M ...] --out DIR
-    python -m gradebook.cli tokens   --judgments DIR --kind {single,pair} [--models M ...] --out DIR
+    python -m gradebook.cli tokens   --judgments DIR --kind {single,pair} [--models M ...] [--prompts P] --out DIR
+    python -m gradebook.cli import   --file F.jsonl --judgments DIR --mode {single,pair} --bench B [--iid TAG]
 
-Judgment folders are partitioned by bench/judge_model/mode/iid (see
-``sources.writers.append_judgments``); ``--iid`` selects a run tag by partition
-pruning.  Every board is written as CSV and Markdown under ``--out``.
+``--judgments`` is the root of a judgment log (``sources.judgment_log``), as the flows write it; ``import`` appends
+JSON-lines files to one.  ``--bench``, ``--judge-model`` and ``--iid`` select by partition.  Every board is written as CSV and Markdown under ``--out``.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from gradebook.operators import convert as C
 from gradebook.operators import matches as M
 from gradebook.operators import tokens as T
 from gradebook.operators.joins import attach_labels
+from gradebook.sources import judgment_log as J
 from gradebook.sources import readers as R
 from gradebook.sources import writers as W
 
@@ -45,20 +46,27 @@ def _chosen(args) -> dict[str, str]:
     return {k: v for k, v in (("bench", args.bench), ("judge_model", args.judge_model), ("iid", args.iid)) if v}
 
 
+def _log(spark, args, mode: str, latest: bool) -> DataFrame:
+    """The chosen part of the log; that there is nothing to report is an error."""
+    rows = J.read(spark, args.judgments, mode, latest, **_chosen(args))
+    if rows.isEmpty():
+        raise SystemExit(f"no {mode} judgments of {_chosen(args) or 'any run'} under {args.judgments}")
+    return rows
+
+
 def show(spark, args) -> dict[str, DataFrame]:
     """Boards by mode, as the reporting step of a judging run."""
-    filters = _chosen(args)
     q = R.read_questions(spark, args.questions)
     labels = args.label or []
     boards: dict[str, DataFrame] = {}
     if args.mode == "single":
-        j = R.read_judgments(spark, args.judgments, kind="single", **filters)
+        j = _log(spark, args, J.SINGLE, latest=True)
         j = M.filter_models(_labelled(j, q, labels), args.models)
         boards["single_summary"] = B.score_board(j)
         if labels:
             boards["single_label"] = B.score_board(j, labels=labels)
     else:
-        j = R.read_judgments(spark, args.judgments, kind="pair", **filters)
+        j = _log(spark, args, J.PAIR, latest=True)
         j = M.filter_models(_labelled(j, q, labels), args.models, ("model_1", "model_2"))
         if args.mode == "pairwise-each":
             boards["pairwise_each"] = B.head_to_head(j)
@@ -90,15 +98,19 @@ def mc_score(spark, args) -> DataFrame:
 
 def tokens(spark, args) -> DataFrame:
     from gradebook import judge_prompts as JP
-    j = R.read_judgments(spark, args.judgments, kind=args.kind, **_chosen(args))
-    j = j.withColumn("judge_prompt", F.get("judge", 1)).withColumn("judge_model", F.get("judge", 0))
+    j = _log(spark, args, args.kind, latest=False)       # every call was paid for
     single, pair = (j, None) if args.kind == "single" else (None, j)
-    detail = T.token_detail(single, pair, JP.as_dict(), models=args.models)
+    catalog = R.read_judge_prompts(spark, args.prompts) if args.prompts else JP.as_dict()
+    detail = T.token_detail(single, pair, catalog, models=args.models)
     totals = T.token_totals(detail)
     _save(totals, args.out, "token_totals")
     return totals
 
 
+def import_(spark, args) -> str:
+    return J.import_jsonl(spark, args.file, args.judgments, args.mode, args.commit, bench=args.bench, iid=args.iid)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="gradebook")
     sub = p.add_subparsers(dest="cmd", required=True)
@@ -127,9 +139,17 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--judgments", required=True)
     t.add_argument("--kind", choices=["single", "pair"], default="single")
     t.add_argument("--models", nargs="+")
+    t.add_argument("--prompts", help="judge prompt catalog (JSON lines) instead of the built-in one")
     for a in ("--bench", "--judge-model", "--iid"):
         t.add_argument(a, help="only logs of this one")
     t.add_argument("--out", required=True)
+    i = sub.add_parser("import", help="append a JSON-lines judgment file to a judgment log")
+    i.add_argument("--file", required=True)
+    i.add_argument("--judgments", required=True)
+    i.add_argument("--mode", choices=[J.SINGLE, J.PAIR], required=True)
+    i.add_argument("--bench", required=True)
+    i.add_argument("--iid", default=J.NONE)
+    i.add_argument("--commit", help="name of this append; a repeated one is not written again")
     return p
 
 
@@ -138,7 +158,7 @@ def main(argv: list[str] | None = None, spark=None):
     if spark is None:
         from gradebook.session import build_session
         spark = build_session()
-    return {"convert": convert, "show": show, "mc-score": mc_score, "tokens": tokens}[args.cmd](spark, args)
+    return {"convert": convert, "show": show, "mc-score": mc_score, "tokens": tokens, "import": import_}[args.cmd](spark, args)
 
 
 if __name__ == "__main__":

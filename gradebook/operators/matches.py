@@ -116,26 +116,24 @@ def all_pair_matches(questions: DataFrame, answers: DataFrame, models: list[str]
     return _pair_matches(questions, answers, pairs, refs)
 
 
-def pair_values(values: DataFrame, pairs: list[tuple[str, str]], value: str, out_1: str, out_2: str) -> DataFrame:
-    """One row per (question, model pair from ``pairs``) carrying both models'
-    ``value``; pairs missing either value drop out.
-
-    ``values`` must hold at most one row per (question, model) (after keep-last
-    or an aggregate); each question then holds a map of at most ``len(models)``
-    entries, and the pair list (a literal of k(k-1)/2 structs) is exploded
-    against it: one aggregation, no join.
+def pair_values(values: DataFrame, pairs: list[tuple[str, str]], value: str, out_1: str, out_2: str,
+                keys: list[str] | None = None) -> DataFrame:
+    """One row per key (default: question) and model pair from ``pairs`` carrying both models' ``value``; pairs
+    missing either value drop out.
+
+    ``values`` must hold at most one row per key and model (after keep-last or an aggregate).  Each key holds a map of
+    at most ``len(models)`` entries; the literal pair list becomes an array of structs with both values in the same projection
+    as the map, so that what is exploded carries two values and not the map.
     """
+    keys = keys or ["question_id"]
     models = sorted({m for p in pairs for m in p})
-    per_q = (values.filter(F.col("model").isin(*models))
-             .groupBy("question_id")
-             .agg(F.map_from_entries(F.collect_list(F.struct("model", value))).alias("_m")))
-    pair_col = F.explode(F.array(*[F.struct(F.lit(a).alias("model_1"), F.lit(b).alias("model_2"))
-                                   for a, b in pairs]))
-    x = per_q.select("question_id", "_m", pair_col.alias("_p")).select(
-        "question_id", F.col("_p.model_1").alias("model_1"), F.col("_p.model_2").alias("model_2"),
-        F.try_element_at("_m", F.col("_p.model_1")).alias(out_1),
-        F.try_element_at("_m", F.col("_p.model_2")).alias(out_2))
-    return x.filter(F.col(out_1).isNotNull() & F.col(out_2).isNotNull())
+    per_key = (values.filter(F.col("model").isin(*models))
+               .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("model", value))).alias("_m")))
+    names = F.array(*[F.struct(F.lit(a).alias("model_1"), F.lit(b).alias("model_2")) for a, b in pairs])
+    both = F.transform(names, lambda p: F.struct(p["model_1"].alias("model_1"), p["model_2"].alias("model_2"),
+                                                 F.try_element_at("_m", p["model_1"]).alias(out_1), F.try_element_at("_m", p["model_2"]).alias(out_2)))
+    met = F.filter(both, lambda p: p[out_1].isNotNull() & p[out_2].isNotNull())
+    return per_key.select(*keys, F.explode(met).alias("_p")).select(*keys, "_p.*")
 
 
 def shuffle_for_judging(matches: DataFrame, partitions: int, seed: int = 0,

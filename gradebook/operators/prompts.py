@@ -40,14 +40,14 @@ def pair_bindings(answer_a: str, answer_b: str, question: str = "question", ref:
 
 
 def render_by_name(name: Column, catalog: dict[str, dict], bindings: dict, names: list[str] | None = None) -> Column:
-    """CASE over template names: each row renders the template it is routed to."""
+    """CASE over template names: each row renders the template it is routed to; a name without a template is an error."""
     expr = None
     for n in names or list(catalog):
         t = catalog[n]["prompt_template"]
         cols = {f: bindings[f] for f in template_fields(t)}
         piece = render(t, cols)
         expr = F.when(name == n, piece) if expr is None else expr.when(name == n, piece)
-    return expr.otherwise(F.lit(None).cast("string"))
+    return expr.otherwise(F.raise_error(F.concat(F.lit("no judge prompt of this name in the catalog: "), F.coalesce(name, F.lit("null")))).cast("string"))
 
 
 def system_by_name(name: Column, catalog: dict[str, dict]) -> Column:

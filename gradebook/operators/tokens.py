@@ -30,15 +30,19 @@ def _constants(spark, catalog: dict[str, dict], tokenizer: Tokenizer) -> tuple[d
     return roles, sys_map
 
 
+def _bench(bench: str | None) -> Column:
+    return F.col("bench") if bench is None else F.lit(bench)
+
+
 def token_detail(single: DataFrame | None, pair: DataFrame | None, catalog: dict[str, dict],
-                 judge_model: str = "gpt-3.5-turbo", bench: str = "qa_bench",
+                 judge_model: str = "gpt-3.5-turbo", bench: str | None = None,
                  tokenizer: Tokenizer = regex_tokens, models: list[str] | None = None) -> DataFrame:
     """One row per single judgment and two per pair judgment (g1, g2).
 
     The system prompt is looked up by each row's judge prompt name (not always
     the plain one), so the count follows the prompt actually used.  ``models``
     keeps single judgments of those models and pair judgments whose two models
-    are both listed.
+    are both listed.  The bench of a row is its column of that name, unless ``bench`` gives one for all.
     """
     from gradebook.operators.matches import filter_models
     if single is not None:
@@ -60,19 +64,19 @@ def token_detail(single: DataFrame | None, pair: DataFrame | None, catalog: dict
     if single is not None:
         i, o = io(F.col("user_prompt"), F.col("judgment"))
         parts.append(single.select(
-            F.lit(bench).alias("bench"), F.lit("single").alias("mode"), "question_id",
+            _bench(bench).alias("bench"), F.lit("single").alias("mode"), "question_id",
             F.col("model").alias("model_key"), F.lit(0).alias("game"), "judge_model",
             i.alias("input_tokens"), o.alias("output_tokens")))
     if pair is not None:
         games = F.explode(F.array(
             F.struct(F.lit(1).alias("game"), F.col("g1_user_prompt").alias("u"), F.col("g1_judgment").alias("j")),
             F.struct(F.lit(2).alias("game"), F.col("g2_user_prompt").alias("u"), F.col("g2_judgment").alias("j"))))
-        p = pair.select("question_id", "judge_model", "judge_prompt",
+        p = pair.select("question_id", _bench(bench).alias("bench"), "judge_model", "judge_prompt",
                         F.concat(F.least("model_1", "model_2"), F.lit(","), F.greatest("model_1", "model_2"))
                         .alias("model_key"), games.alias("g"))
         i, o = io(F.col("g.u"), F.col("g.j"))
         parts.append(p.select(
-            F.lit(bench).alias("bench"), F.lit("pair").alias("mode"), "question_id", "model_key",
+            "bench", F.lit("pair").alias("mode"), "question_id", "model_key",
             F.col("g.game").alias("game"), "judge_model", i.alias("input_tokens"), o.alias("output_tokens")))
     out = parts[0]
     for p in parts[1:]:

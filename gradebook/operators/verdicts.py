@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gradebook import fixed
 from gradebook.functions import extract as X
+from gradebook.operators.matches import pair_values
 
 
 def with_rating(df: DataFrame, judgment: str = "judgment", out: str = "score") -> DataFrame:
@@ -44,3 +45,9 @@ def pair_from_scores(pairs: DataFrame, m1_score: str = "m1_score", m2_score: str
               .when(s1 > s2, F.lit(fixed.WINNER_MODEL_1))
               .otherwise(F.lit(fixed.WINNER_MODEL_2)))
     return pairs.withColumn("g1_winner", winner).withColumn("g2_winner", winner)
+
+
+def pairs_from_single(scores: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """V5: single gradings (question_id, judge_prompt, turn, model, score; one row each) of the listed model pairs ->
+    one outcome per question, prompt and turn."""
+    return pair_from_scores(pair_values(scores, pairs, "score", "m1_score", "m2_score", ["question_id", "judge_prompt", "turn"]))

@@ -131,8 +131,11 @@ def question_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def single_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single-answer judgments; verdict text shape chosen by l_partkey % 7."""
+    """Single-answer judgments of two benches, about the questions of ``question_labels``; verdict text shape
+    chosen by l_partkey % 7, file order by ``seq``."""
     li = table(spark, sf_dir, "lineitem")
+    asked = table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0] or 1
+    qid = F.lit(1) + F.col("l_orderkey") % asked
     n = (F.col("l_linenumber") + 1).cast("string")
     n1 = (F.col("l_linenumber") + 2).cast("string")
     k = F.col("l_partkey") % 7
@@ -147,7 +150,8 @@ def single_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turn = (F.lit(1) + F.col("l_linenumber") % 2).cast("int")
     return li.select(
-        (F.col("l_orderkey") % 1000).alias("question_id"),
+        qid.cast("long").alias("question_id"),
+        F.when(F.col("l_orderkey") % 3 == 0, F.lit("bench_b")).otherwise(F.lit("bench_a")).alias("bench"),
         _m("m", F.col("l_suppkey") % 6).alias("model"),
         F.lit("gpt-4").alias("judge_model"),
         F.when(turn == 1, F.lit("single-v1")).otherwise(F.lit("single-v1-multi-turn")).alias("judge_prompt"),
@@ -155,6 +159,7 @@ def single_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit(" answered by "), _m("m", F.col("l_suppkey") % 6)).alias("user_prompt"),
         text.alias("judgment"),
         turn.alias("turn"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
     )
 
 
@@ -186,6 +191,7 @@ def pair_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     qid = F.col("o_custkey")
     return o.select(
         qid.alias("question_id"),
+        F.when(k % 3 == 0, F.lit("bench_b")).otherwise(F.lit("bench_a")).alias("bench"),
         _m("m", m1).alias("model_1"),
         _m("m", m2).alias("model_2"),
         judge_model.alias("judge_model"),

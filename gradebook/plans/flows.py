@@ -23,27 +23,31 @@ from gradebook.operators import matches as M
 from gradebook.operators import prompts as P
 from gradebook.operators import verdicts as V
 from gradebook.session import read_parquet_if_exists
+from gradebook.sources import judgment_log as J
+
+#: Judgments of questions with several turns belong to the second.
+_TURN = "IF(n_turns > 1, 2, 1)"
 
 
 def judge_pairwise(questions: DataFrame, answers: DataFrame, models: list[str], catalog: dict[str, dict],
-                   judge_model: str, judge_factory: Callable, out_path: str, baseline: str | None = None,
-                   refs: DataFrame | None = None, partitions: int | None = None, bench: str = "none", iid: str = "none",
-                   **retry) -> DataFrame:
-    """Pairwise judging (all pairs, or each model against ``baseline``), both
-    position orders, stored as a resumable judgment table."""
+                   judge_model: str, judge_factory: Callable, log: str, baseline: str | None = None,
+                   refs: DataFrame | None = None, partitions: int | None = None, bench: str = J.NONE, iid: str = J.NONE,
+                   commit: str | None = None, **retry) -> DataFrame:
+    """Pairwise judging (all pairs, or each model against ``baseline``), both position orders, into the judgment log
+    ``log``.  Finished judgments of this bench, judge and run tag are not asked again; ``commit`` names the append."""
     if baseline is None:
         m = M.all_pair_matches(questions, answers, models, refs)
     else:
         m = M.baseline_matches(questions, answers, models, baseline, refs)
-    keys = ["bench", "iid", "judge_model", "question_id", "model_1", "model_2", "judge_prompt"]
+    keys = J.KEYS[J.PAIR]
     spark = questions.sparkSession
-    done = read_parquet_if_exists(spark, out_path)
+    done = J.stored(spark, log, J.PAIR, bench=bench, judge_model=judge_model, iid=iid)
     p = P.pair_judge_prompts(m, catalog, judge_model, M.route_names(refs is not None, "pair"))
-    p = p.withColumns({"bench": F.lit(bench), "iid": F.lit(iid), "judge_model": F.lit(judge_model)})
+    p = p.withColumns({"bench": F.lit(bench), "iid": F.lit(iid), "judge_model": F.lit(judge_model), "turn": F.expr(_TURN)})
     # Finished keys go first; only the remaining prompts are spread over the tasks.
     todo = p if done is None else U.pending(p, done, keys)
     todo = M.shuffle_for_judging(todo, partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))).select(
-        *keys, "n_turns", "system_prompt", "g1_user_prompt", "g2_user_prompt")
+        *keys, "system_prompt", "g1_user_prompt", "g2_user_prompt")
 
     def both_games(df: DataFrame) -> DataFrame:
         # Both position orders in one Arrow pass over the matches.
@@ -53,35 +57,47 @@ def judge_pairwise(questions: DataFrame, answers: DataFrame, models: list[str],
                 .withColumnRenamed("g2_judgment_error", "g2_error"))
 
     judged = V.with_game_winners(both_games(todo))
-    judged = judged.select(
-        *keys,
-        F.when(F.col("n_turns") > 1, F.lit(2)).otherwise(F.lit(1)).alias("turn"),
-        "g1_user_prompt", "g1_judgment", "g2_user_prompt", "g2_judgment", "g1_winner", "g2_winner",
-        "g1_error", "g2_error", F.unix_timestamp().cast("double").alias("tstamp"))
-    judged.write.mode("append").parquet(out_path)
-    return U.finished(spark.read.parquet(out_path), keys)
+    J.append(judged.withColumn("tstamp", F.unix_timestamp().cast("double")), log, J.PAIR, commit)
+    return J.read(spark, log, J.PAIR, latest=True)
 
 
 def judge_single(questions: DataFrame, answers: DataFrame, models: list[str], catalog: dict[str, dict],
-                 judge_model: str, judge_factory: Callable, out_path: str, refs: DataFrame | None = None,
-                 partitions: int | None = None, bench: str = "none", iid: str = "none", **retry) -> DataFrame:
-    """Single-answer grading, stored as a resumable judgment table with scores."""
+                 judge_model: str, judge_factory: Callable, log: str, refs: DataFrame | None = None,
+                 partitions: int | None = None, bench: str = J.NONE, iid: str = J.NONE, commit: str | None = None, **retry) -> DataFrame:
+    """Single-answer grading into the judgment log ``log``, resumable, with scores."""
     m = M.single_matches(questions, answers, models, refs)
-    keys = ["bench", "iid", "judge_model", "question_id", "model", "judge_prompt"]
+    keys = J.KEYS[J.SINGLE]
     spark = questions.sparkSession
-    done = read_parquet_if_exists(spark, out_path)
+    done = J.stored(spark, log, J.SINGLE, bench=bench, judge_model=judge_model, iid=iid)
     p = P.single_judge_prompts(m, catalog, M.route_names(refs is not None, "single"))
-    p = p.withColumns({"bench": F.lit(bench), "iid": F.lit(iid), "judge_model": F.lit(judge_model)})
+    p = p.withColumns({"bench": F.lit(bench), "iid": F.lit(iid), "judge_model": F.lit(judge_model), "turn": F.expr(_TURN)})
     todo = p if done is None else U.pending(p, done, keys)
     todo = M.shuffle_for_judging(todo, partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), keys=("question_id", "model")).select(
-        *keys, "n_turns", "system_prompt", "user_prompt")
+        *keys, "system_prompt", "user_prompt")
     j = U.call_model(todo, judge_factory, ["system_prompt", "user_prompt"], "judgment", **retry)
-    j = V.with_rating(j).select(
-        *keys,
-        F.when(F.col("n_turns") > 1, F.lit(2)).otherwise(F.lit(1)).alias("turn"),
-        "user_prompt", "judgment", "score", "error", F.unix_timestamp().cast("double").alias("tstamp"))
-    j.write.mode("append").parquet(out_path)
-    return U.finished(spark.read.parquet(out_path), keys)
+    J.append(V.with_rating(j).withColumn("tstamp", F.unix_timestamp().cast("double")), log, J.SINGLE, commit)
+    return J.read(spark, log, J.SINGLE, latest=True)
+
+
+def judge_pairs_by_single(questions: DataFrame, answers: DataFrame, models: list[str], catalog: dict[str, dict],
+                          judge_model: str, judge_factory: Callable, log: str, baseline: str | None = None,
+                          refs: DataFrame | None = None, bench: str = J.NONE, iid: str = J.NONE, commit: str | None = None, **options) -> DataFrame:
+    """V5: pair outcomes from two single gradings, both in one log.
+
+    The missing gradings of all models are made and stored first; then, for each question, turn and prompt, every
+    pair (all pairs, or each model against ``baseline``) that is not in the log yet gets its two scores and one winner for
+    both games.  A failed grading leaves its pairs out; a later run grades it again and adds them.
+    """
+    spark, where = questions.sparkSession, {"bench": bench, "judge_model": judge_model, "iid": iid}
+    graded = models if baseline is None else list(dict.fromkeys([*models, baseline]))
+    judge_single(questions, answers, graded, catalog, judge_model, judge_factory, log, refs, bench=bench, iid=iid, **options)
+    scores = U.without_errors(J.read(spark, log, J.SINGLE, latest=True, **where))
+    pairs = [(a, b) for _, a, b in M.model_pairs(models)] if baseline is None else [(m, baseline) for m in models if m != baseline]
+    found = V.pairs_from_single(scores, pairs).withColumns({k: F.lit(v) for k, v in where.items()})
+    done = J.stored(spark, log, J.PAIR, **where)
+    todo = found if done is None else U.pending(found, done, J.KEYS[J.PAIR])
+    J.append(todo.withColumn("tstamp", F.unix_timestamp().cast("double")), log, J.PAIR, commit)
+    return J.read(spark, log, J.PAIR, latest=True, **where)
 
 
 def evaluate_mc(val: DataFrame, shots: DataFrame, ntrain: int, model_factory: Callable, model_name: str,

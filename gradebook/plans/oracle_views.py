@@ -59,11 +59,11 @@ SELECT c_custkey AS question_id, c_mktsegment AS label,
 FROM customer""")
 
 view("single_log", [], """
-SELECT l_orderkey % 1000 AS question_id,
+SELECT question_id, CASE WHEN l_orderkey % 3 = 0 THEN 'bench_b' ELSE 'bench_a' END AS bench,
        'm' || CAST(l_suppkey % 6 AS VARCHAR) AS model,
        'gpt-4' AS judge_model,
        CASE WHEN l_linenumber % 2 = 0 THEN 'single-v1' ELSE 'single-v1-multi-turn' END AS judge_prompt,
-       'Question ' || CAST(l_orderkey % 1000 AS VARCHAR) || ' answered by m' || CAST(l_suppkey % 6 AS VARCHAR) AS user_prompt,
+       'Question ' || CAST(question_id AS VARCHAR) || ' answered by m' || CAST(l_suppkey % 6 AS VARCHAR) AS user_prompt,
        CASE l_partkey % 7
          WHEN 0 THEN 'Rating: [[' || CAST(l_linenumber + 1 AS VARCHAR) || ']]'
          WHEN 1 THEN 'Rating: [' || CAST(l_linenumber + 1 AS VARCHAR) || ']'
@@ -72,11 +72,13 @@ SELECT l_orderkey % 1000 AS question_id,
          WHEN 4 THEN '$ERROR$'
          WHEN 5 THEN 'First [[' || CAST(l_linenumber + 1 AS VARCHAR) || ']] then [[' || CAST(l_linenumber + 2 AS VARCHAR) || ']]'
          ELSE 'Rating: [[0' || CAST(l_linenumber + 1 AS VARCHAR) || ']]' END AS judgment,
-       CAST(1 + l_linenumber % 2 AS INTEGER) AS turn
-FROM lineitem""")
+       CAST(1 + l_linenumber % 2 AS INTEGER) AS turn,
+       l_orderkey * 8 + l_linenumber AS seq
+FROM (SELECT *, CAST(1 + l_orderkey % (SELECT max(c_custkey) FROM customer) AS BIGINT) AS question_id FROM lineitem)""")
 
 view("pair_log", [], """
 SELECT o_custkey AS question_id,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'bench_b' ELSE 'bench_a' END AS bench,
        'm' || CAST(o_orderkey % 4 AS VARCHAR) AS model_1,
        'm' || CAST((o_orderkey % 4 + 1 + (o_orderkey // 4) % 3) % 4 AS VARCHAR) AS model_2,
        CASE WHEN o_orderstatus = 'F' THEN 'gpt-4' ELSE 'gpt-3.5-turbo' END AS judge_model,

@@ -185,13 +185,13 @@ def _detail_sql() -> str:
     inp = lambda u: f"(3 + 3 + 3 + {_tok_sql(sql_literal('system'))} + {_tok_sql('(' + _SYS_CASE + ')')} + {_tok_sql(sql_literal('user'))} + {_tok_sql(u)})"
     out = lambda j: f"(3 + 3 + {_tok_sql(sql_literal('assistant'))} + {_tok_sql(j)})"
     return f"""detail AS (
-  SELECT 'qa_bench' AS bench, 'single' AS mode, question_id, model AS model_key, 0 AS game, judge_model,
+  SELECT bench, 'single' AS mode, question_id, model AS model_key, 0 AS game, judge_model,
          {inp('user_prompt')} AS input_tokens, {out('judgment')} AS output_tokens FROM single_log
   UNION ALL
-  SELECT 'qa_bench', 'pair', question_id, least(model_1, model_2) || ',' || greatest(model_1, model_2), 1,
+  SELECT bench, 'pair', question_id, least(model_1, model_2) || ',' || greatest(model_1, model_2), 1,
          judge_model, {inp('g1_user_prompt')}, {out('g1_judgment')} FROM pair_log
   UNION ALL
-  SELECT 'qa_bench', 'pair', question_id, least(model_1, model_2) || ',' || greatest(model_1, model_2), 2,
+  SELECT bench, 'pair', question_id, least(model_1, model_2) || ',' || greatest(model_1, model_2), 2,
          judge_model, {inp('g2_user_prompt')}, {out('g2_judgment')} FROM pair_log)"""
 
 

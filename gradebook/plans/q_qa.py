@@ -421,21 +421,20 @@ SINGLE_MODELS = ["m0", "m1", "m2", "m3", "m4", "m5"]
 
 
 @register("pair_from_single", _sql(["single_log"], f"""
-, sc AS (SELECT question_id, model, round(avg({RATING}), 6) AS score FROM single_log GROUP BY question_id, model),
+, sc AS (SELECT question_id, judge_prompt, turn, model, arg_max({RATING}, seq) AS score FROM single_log
+         GROUP BY question_id, judge_prompt, turn, model),
 pl AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for _, a, b in M.model_pairs(SINGLE_MODELS))}) AS t(model_1, model_2)),
-pr AS (SELECT s1.question_id, pl.model_1, pl.model_2, s1.score AS m1_score, s2.score AS m2_score
-       FROM pl JOIN sc s1 ON s1.model = pl.model_1 JOIN sc s2 ON s2.model = pl.model_2 AND s2.question_id = s1.question_id)
-SELECT *, CASE WHEN abs(m1_score - m2_score) <= CAST(0.1 AS DOUBLE) THEN 'tie'
-               WHEN m1_score > m2_score THEN 'model_1' ELSE 'model_2' END AS g1_winner,
-          CASE WHEN abs(m1_score - m2_score) <= CAST(0.1 AS DOUBLE) THEN 'tie'
-               WHEN m1_score > m2_score THEN 'model_1' ELSE 'model_2' END AS g2_winner
-FROM pr""".lstrip()))
+pr AS (SELECT s1.question_id, s1.judge_prompt, s1.turn, pl.model_1, pl.model_2, s1.score AS m1_score, s2.score AS m2_score
+       FROM pl JOIN sc s1 ON s1.model = pl.model_1
+       JOIN sc s2 ON s2.model = pl.model_2 AND s2.question_id = s1.question_id AND s2.judge_prompt = s1.judge_prompt AND s2.turn = s1.turn),
+w AS (SELECT *, CASE WHEN abs(m1_score - m2_score) <= CAST(0.1 AS DOUBLE) THEN 'tie'
+                     WHEN m1_score > m2_score THEN 'model_1' ELSE 'model_2' END AS g1_winner FROM pr)
+SELECT *, g1_winner AS g2_winner FROM w""".lstrip()))
 def pair_from_single(spark, sf):
-    s = V.with_rating(fx.single_log(spark, sf)).groupBy("question_id", "model").agg(
-        F.round(F.avg("score"), 6).alias("score"))
-    pairs = [(a, b) for _, a, b in M.model_pairs(SINGLE_MODELS)]
-    pr = M.pair_values(s, pairs, "score", "m1_score", "m2_score")
-    return V.pair_from_scores(pr)
+    from gradebook.operators.keeplast import keep_last
+    s = keep_last(fx.single_log(spark, sf).select("question_id", "judge_prompt", "turn", "model", "judgment", "seq"),
+                  ["question_id", "judge_prompt", "turn", "model"])
+    return V.pairs_from_single(V.with_rating(s), [(a, b) for _, a, b in M.model_pairs(SINGLE_MODELS)])
 
 
 @register("answers_compacted", _sql(["answer_log"], """

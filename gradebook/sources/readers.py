@@ -1,4 +1,4 @@
-"""Readers for the evaluation file layouts.
+"""Readers for the evaluation file layouts (S1-S8; the judgment log is ``judgment_log``).
 
 Every reader adds an explicit ``seq`` column for "file order" semantics (keep-last,
 running ids, first-n shots): ``(file path, block start, row id)``, which is a
@@ -18,12 +18,6 @@ ANSWER_SCHEMA = ("question_id long, answer_id string, model_id string, category
                  "model_answer array<string>, answer array<string>, tstamp double")
 JUDGE_PROMPT_SCHEMA = ("name string, type string, system_prompt string, prompt_template string, "
                        "description string, category string, output_format string")
-PAIR_JUDGMENT_SCHEMA = (
-    "question_id long, model_1 string, model_2 string, g1_winner string, g2_winner string, winner string, "
-    "judge array<string>, g1_user_prompt string, g1_judgment string, g2_user_prompt string, g2_judgment string, "
-    "m1_score double, m2_score double, turn int, tstamp double")
-SINGLE_JUDGMENT_SCHEMA = ("question_id long, model string, judge array<string>, user_prompt string, judgment string, "
-                          "score double, turn int, tstamp double")
 MC_SCHEMA = "id string, question string, A string, B string, C string, D string, answer string, category string"
 
 
@@ -127,17 +121,3 @@ def read_mc_results(spark: SparkSession, root: str, exclude_models: list[str] |
 def leaf_file_counts(results: DataFrame) -> DataFrame:
     """S8 leaf rule: result files per (model, ntrain, cot) run folder."""
     return results.groupBy("model", "ntrain", "cot").agg(F.countDistinct("result_file").alias("n_files"))
-
-
-def read_judgments(spark: SparkSession, root: str, kind: str = "pair", **partition_filters) -> DataFrame:
-    """Judgment logs stored partitioned by bench / judge_model / mode / iid.
-
-    Choosing a file by bench, judge, mode or run tag is a partition filter, so
-    only the matching folders are listed and read.
-    """
-    schema = PAIR_JUDGMENT_SCHEMA if kind == "pair" else SINGLE_JUDGMENT_SCHEMA
-    df = (spark.read.option("basePath", root)
-          .schema(schema + ", bench string, judge_model string, mode string, iid string").json(root))
-    for k, v in partition_filters.items():
-        df = df.filter(F.col(k) == v)
-    return df.select("*", file_seq().alias("seq"))

@@ -1,4 +1,4 @@
-"""Writers (N1-N8): JSONL/CSV/Markdown/partitioned outputs.
+"""Writers (N1, N2, N5, N6, N8; the judgment log is ``judgment_log``): JSONL/CSV/Markdown/partitioned outputs.
 
 Result names are partition columns, never string-built file names, so a board or
 log for one (bench, judge, mode, run tag) is a partition-pruned read later.
@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-JUDGMENT_PARTITIONS = ["bench", "judge_model", "mode", "iid"]
-
 
 def write_questions_and_refs(converted: DataFrame, question_path: str, reference_path: str,
                              mode: str = "overwrite") -> None:
@@ -30,17 +28,6 @@ def append_answers(answers: DataFrame, path: str) -> None:
     answers.write.mode("append").json(path)
 
 
-def append_judgments(judgments: DataFrame, root: str, **partitions: str) -> None:
-    """N3/N4 + N7: append judgments under bench/judge_model/mode/iid partitions."""
-    df = judgments
-    for k in JUDGMENT_PARTITIONS:
-        if k in partitions:
-            df = df.withColumn(k, F.lit(partitions[k]))
-        elif k not in df.columns:
-            df = df.withColumn(k, F.lit("none"))
-    df.write.mode("append").partitionBy(*JUDGMENT_PARTITIONS).json(root)
-
-
 def write_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
     """CSV with a header, no index.  ``single_file`` is for small boards only."""
     out = df.coalesce(1) if single_file else df

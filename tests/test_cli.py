@@ -3,10 +3,11 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from gradebook import cli
-from gradebook.sources import writers as W
+from gradebook.sources import judgment_log as J
 
 
 def _setup(spark, d):
@@ -23,35 +24,35 @@ def _setup(spark, d):
         "question_id long, model_1 string, model_2 string, g1_winner string, g2_winner string, "
         "judge array<string>, g1_user_prompt string, g1_judgment string, g2_user_prompt string, "
         "g2_judgment string, turn int, tstamp double")
-    W.append_judgments(pair, os.path.join(d, "pair"), bench="b", judge_model="gpt-4", mode="pair", iid="r1")
+    J.append(pair, os.path.join(d, "log"), J.PAIR, bench="b", judge_model="gpt-4", iid="r1")
     single = spark.createDataFrame(
         [(i, m, ["gpt-4", "single-v1"], "prompt text", f"Rating: [[{s}]]", float(s), 1, 0.0)
          for i, (m, s) in enumerate([("a", 8), ("a", 6), ("b", 4), ("b", 2), ("a", 10), ("b", 3)])],
         "question_id long, model string, judge array<string>, user_prompt string, judgment string, "
         "score double, turn int, tstamp double")
-    W.append_judgments(single, os.path.join(d, "single"), bench="b", judge_model="gpt-4", mode="single", iid="r1")
+    J.append(single, os.path.join(d, "log"), J.SINGLE, bench="b", judge_model="gpt-4", iid="r1")
     return qdir
 
 
 def test_show_modes(spark, tmpdir_):
     qdir = _setup(spark, tmpdir_)
     out = os.path.join(tmpdir_, "out")
-    b = cli.main(["show", "--judgments", os.path.join(tmpdir_, "pair"), "--questions", qdir,
+    b = cli.main(["show", "--judgments", os.path.join(tmpdir_, "log"), "--questions", qdir,
                   "--mode", "pairwise-all", "--label", "ops_field", "--iid", "r1", "--out", out], spark)
     summary = {r.model: (r.win, r.loss, r.tie) for r in b["pairwise_summary"].collect()}
     assert summary == {"a": (2, 1, 3), "b": (1, 2, 3)}
     assert os.path.isdir(os.path.join(out, "pairwise_label.md"))
-    each = cli.main(["show", "--judgments", os.path.join(tmpdir_, "pair"), "--questions", qdir,
+    each = cli.main(["show", "--judgments", os.path.join(tmpdir_, "log"), "--questions", qdir,
                      "--mode", "pairwise-each", "--out", out], spark)
     assert {r.baseline for r in each["pairwise_each"].collect()} == {"a", "b"}
-    s = cli.main(["show", "--judgments", os.path.join(tmpdir_, "single"), "--questions", qdir,
+    s = cli.main(["show", "--judgments", os.path.join(tmpdir_, "log"), "--questions", qdir,
                   "--mode", "single", "--label", "ops_field", "--out", out], spark)
     assert {r.model: r.score for r in s["single_summary"].collect()} == {"a": 8.0, "b": 3.0}
 
 
 def test_tokens_command(spark, tmpdir_):
     _setup(spark, tmpdir_)
-    t = cli.main(["tokens", "--judgments", os.path.join(tmpdir_, "pair"), "--kind", "pair",
+    t = cli.main(["tokens", "--judgments", os.path.join(tmpdir_, "log"), "--kind", "pair",
                   "--out", os.path.join(tmpdir_, "tok")], spark)
     row = t.first()
     assert row.model_key == "a,b" and row.n == 12 and row.output_tokens > 0
@@ -75,3 +76,33 @@ def test_convert_and_mc_score_commands(spark, tmpdir_):
     acc = cli.main(["mc-score", "--results", root, "--out", os.path.join(tmpdir_, "mc")], spark)
     got = {(r.model, r.category): r.acc for r in acc.collect()}
     assert got[("m1", "c")] == 50.0 and got[("m1", "ALL")] == 75.0 and got[("m2", "ALL")] == 75.0
+
+
+def test_nothing_to_report_is_an_error(spark, tmpdir_):
+    qdir = _setup(spark, tmpdir_)
+    args = ["show", "--questions", qdir, "--mode", "single", "--out", os.path.join(tmpdir_, "out"), "--judgments"]
+    with pytest.raises(FileNotFoundError, match="no committed judgments"):
+        cli.main([*args, os.path.join(tmpdir_, "nowhere")], spark)
+    with pytest.raises(SystemExit, match="no single judgments"):
+        cli.main([*args, os.path.join(tmpdir_, "log"), "--iid", "other"], spark)
+
+
+def test_imported_lines_and_own_prompts(spark, tmpdir_):
+    """A JSON-lines log of two benches goes into the log once, and its tokens are counted with the user's own catalog."""
+    prompts = os.path.join(tmpdir_, "prompts.jsonl")
+    with open(prompts, "w") as f:
+        f.write(json.dumps({"name": "mine", "type": "single", "system_prompt": "two words", "prompt_template": "{question}",
+                            "description": "", "category": "", "output_format": "[[rating]]"}) + "\n")
+    log = os.path.join(tmpdir_, "log")
+    for bench in ("b1", "b2", "b1"):
+        path = os.path.join(tmpdir_, f"{bench}.jsonl")
+        with open(path, "w") as f:
+            for i in range(3):
+                f.write(json.dumps({"question_id": i, "model": "m", "judge": ["gpt-4", "mine"], "user_prompt": "a b c", "judgment": "[[5]]",
+                                    "score": 5, "turn": 1, "tstamp": 1.5}) + "\n")
+        cli.main(["import", "--file", path, "--judgments", log, "--mode", "single", "--bench", bench, "--commit", bench], spark)
+    t = cli.main(["tokens", "--judgments", log, "--prompts", prompts, "--out", os.path.join(tmpdir_, "tok")], spark).collect()
+    assert {(r.bench, r.mode, r.model_key, r.n) for r in t} == {("b1", "single", "m", 3), ("b2", "single", "m", 3)}
+    assert len({r.input_tokens for r in t}) == 1
+    with pytest.raises(Exception, match="no judge prompt of this name"):
+        cli.main(["tokens", "--judgments", log, "--out", os.path.join(tmpdir_, "tok2")], spark)

@@ -9,6 +9,7 @@ from gradebook.operators import batchfn as U
 from gradebook.operators.keeplast import keep_last
 from gradebook.plans import fixtures as fx
 from gradebook.plans import flows
+from gradebook.sources import judgment_log as J
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,7 +81,7 @@ def test_two_judges_share_a_table(spark, tmpdir_):
     for name in ("gpt-4", "gpt-3.5-turbo", "gpt-4"):
         t = flows.judge_single(q, a, ["m0"], JP.as_dict(), name, judge, out, retry_sleep=0.0)
     assert {(r.judge_model, r["count"]) for r in t.groupBy("judge_model").count().collect()} == {("gpt-4", 4), ("gpt-3.5-turbo", 4)}
-    assert spark.read.parquet(out).count() == 8                              # the third run asked nothing
+    assert J.read(spark, out, J.SINGLE).count() == 8                         # the third run asked nothing
 
 
 def test_stored_errors_are_asked_again(spark, tmpdir_):
@@ -116,3 +117,83 @@ def test_only_the_failing_row_of_a_batch_is_marked(spark):
     assert got.pop("bad") == ("$ERROR$", "ValueError: poison")
     assert all(v == (f"ok {k}", None) for k, v in got.items()) and len(got) == 15
     assert calls.value <= 3 * 16
+
+
+def _log_flow(spark, root, bench, judge, models=("m0", "m1", "m2"), n=6, **more):
+    q = fx.questions(spark, SF).orderBy("question_id").limit(n)
+    a = keep_last(fx.answer_log(spark, SF), ["question_id", "model"])
+    verdicts = ["[[A]]", "[[B]]", "[[C]]", "no verdict"]
+    pair = lambda: (lambda b: [verdicts[len(u) % 4] for u in b.iloc[:, 1]])
+    single = lambda: (lambda b: [f"Rating: [[{len(u) % 10}]]" for u in b.iloc[:, 1]])
+    flows.judge_pairwise(q, a, list(models), JP.as_dict(), judge, pair, root, bench=bench, retry_sleep=0.0, **more)
+    flows.judge_single(q, a, list(models), JP.as_dict(), judge, single, root, bench=bench, retry_sleep=0.0, **more)
+    return q
+
+
+def test_one_log_from_flow_to_reports(spark, tmpdir_):
+    """Two judges and two benches write one root; boards and token totals read it; a repeated append changes nothing."""
+    from gradebook import cli
+    from gradebook.operators import boards as B
+    root, qdir, out = (os.path.join(tmpdir_, x) for x in ("log", "q", "out"))
+    for bench, judge in (("b1", "gpt-4"), ("b1", "gpt-3.5-turbo"), ("b2", "gpt-4")):
+        q = _log_flow(spark, root, bench, judge)
+    q.drop("seq").write.json(qdir)
+
+    def show(mode, *more):
+        return cli.main(["show", "--judgments", root, "--questions", qdir, "--mode", mode, "--out", out, *more], spark)
+
+    rows = J.read(spark, root, J.PAIR)
+    want = B.win_board(rows.where("bench = 'b1' and judge_model = 'gpt-4'")).collect()
+    assert show("pairwise-all", "--bench", "b1", "--judge-model", "gpt-4")["pairwise_summary"].collect() == want and want
+    assert show("single", "--bench", "b2")["single_summary"].agg(F.sum("n")).first()[0] == J.read(spark, root, J.SINGLE, bench="b2").count() > 0
+    tok = {(r.bench, r.n) for r in cli.main(["tokens", "--judgments", root, "--kind", "pair", "--models", "m0", "m1", "--out", out], spark).collect()}
+    n = rows.where("bench = 'b1' and model_1 in ('m0', 'm1') and model_2 in ('m0', 'm1')").count()
+    assert tok == {("b1", 2 * n), ("b2", n)}
+    # again, under a name: the second time nothing is written
+    again = rows.drop("mode", "commit")
+    for _ in range(2):
+        J.append(again, root, J.PAIR, commit="again")
+    assert J.read(spark, root, J.PAIR).count() == 2 * again.count()
+    assert J.read(spark, root, J.PAIR, latest=True).count() == rows.where("commit != 'again'").count()
+
+
+def test_a_run_that_died_is_not_read(spark, tmpdir_):
+    root = os.path.join(tmpdir_, "log")
+    row = spark.createDataFrame([(1, "m", "gpt-4", "single-v1", "[[3]]", 3.0)], "question_id long, model string, judge_model string, judge_prompt string, judgment string, score double")
+    J.append(row, root, J.SINGLE, commit="one")
+    # files of a commit that was never entered
+    spark.read.parquet(root).withColumn("commit", F.lit("two")).write.mode("append").partitionBy(*J.PARTITIONS).parquet(root)
+    assert spark.read.parquet(root).count() == 2 and [r.commit for r in J.read(spark, root, J.SINGLE).collect()] == ["one"]
+    J.append(row, root, J.SINGLE, commit="two")                              # its next try replaces what was left
+    assert spark.read.parquet(root).count() == 2 and J.read(spark, root, J.SINGLE).count() == 2
+
+
+def test_pairs_from_single_gradings_resume(spark, tmpdir_):
+    """Gradings come first; a pair exists per question, prompt and turn; failed gradings leave pairs out until they succeed."""
+    root = os.path.join(tmpdir_, "log")
+    q = spark.createDataFrame([(1, "math", ["a"]), (2, "writing", ["a", "b"])], "question_id long, category string, question array<string>")
+    a = spark.createDataFrame([(i, m, [m * n, m]) for i in (1, 2) for m, n in (("x", 1), ("yy", 2), ("zzz", 3))], "question_id long, model string, model_answer array<string>")
+    calls = spark.sparkContext.accumulator(0)
+
+    def grader(broken):
+        def factory():
+            def grade(batch):
+                calls.add(len(batch))
+                if broken and any("zzzzzzzzz" in u for u in batch.iloc[:, 1]):
+                    raise RuntimeError("no")
+                return [f"[[{5 if 'yyyy' in u else 3}]]" for u in batch.iloc[:, 1]]
+            return grade
+        return factory
+
+    def run(broken):
+        t = flows.judge_pairs_by_single(q, a, ["x", "yy", "zzz"], JP.as_dict(), "gpt-4", grader(broken), root, bench="b", max_retry=1, retry_sleep=0.0)
+        return {(r.question_id, r.model_1, r.model_2, r.turn): (r.m1_score, r.m2_score, r.g1_winner, r.g2_winner) for r in t.collect()}
+
+    first = run(True)
+    assert set(first) == {(1, "x", "yy", 1), (2, "x", "yy", 2)}
+    assert first[1, "x", "yy", 1] == (3.0, 5.0, "model_2", "model_2")
+    before = calls.value
+    second = run(False)
+    assert calls.value == before + 2 and len(second) == 6 and second[2, "x", "zzz", 2] == (3.0, 3.0, "tie", "tie")
+    assert run(False) == second and calls.value == before + 2
+    assert J.read(spark, root, J.PAIR).count() == 6

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradebook.operators import batchfn as U
+from gradebook.sources import judgment_log as J
 from gradebook.sources import readers as R
 from gradebook.sources import writers as W
 from gradebook.streaming import board as SB
@@ -87,10 +88,9 @@ def test_judgments_partitions_and_markdown(spark, tmpdir_):
     rows = spark.createDataFrame([(1, "a", "b", "model_1", "model_1", "g1", "g2")],
                                  "question_id long, model_1 string, model_2 string, g1_winner string, "
                                  "g2_winner string, g1_judgment string, g2_judgment string")
-    W.append_judgments(rows, root, bench="ops", judge_model="gpt-4", mode="pair", iid="r1")
-    W.append_judgments(rows.withColumn("question_id", F.lit(2).cast("long")), root, bench="ops",
-                       judge_model="gpt-4", mode="pair", iid="r2")
-    got = R.read_judgments(spark, root, bench="ops", iid="r2").collect()
+    J.append(rows, root, J.PAIR, bench="ops", judge_model="gpt-4", iid="r1")
+    J.append(rows.withColumn("question_id", F.lit(2).cast("long")), root, J.PAIR, bench="ops", judge_model="gpt-4", iid="r2")
+    got = J.read(spark, root, J.PAIR, bench="ops", iid="r2").collect()
     assert [r.question_id for r in got] == [2]
     md = os.path.join(tmpdir_, "board")
     from gradebook.operators.boards import win_board
@@ -181,8 +181,8 @@ def test_judgment_run_tag_is_a_partition_filter(spark, tmpdir_):
                                  "question_id long, model_1 string, model_2 string, g1_winner string, "
                                  "g2_winner string, g1_judgment string, g2_judgment string")
     for iid in ("r1", "r2"):
-        W.append_judgments(rows, root, bench="ops", judge_model="gpt-4", mode="pair", iid=iid)
-    plan = R.read_judgments(spark, root, iid="r2")._jdf.queryExecution().executedPlan().toString()
+        J.append(rows, root, J.PAIR, bench="ops", judge_model="gpt-4", iid=iid)
+    plan = J.read(spark, root, J.PAIR, iid="r2")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(iid" in plan and "r2" in plan
 
 
