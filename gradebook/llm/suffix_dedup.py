@@ -16,8 +16,8 @@ on the input, so the first document with a passage keeps it and every later one
    or more covers its window.
 4. The covered spans return to their documents and are cut out.
 
-A bucket over ``BUCKET_LIMIT`` bytes (a key in very many different fragments) is dealt again, window by window, by a hash of the whole
-window: equal windows meet again, and no rows are lost.  Long texts are read in slices that overlap by a window, so memory is
+A bucket over ``BUCKET_LIMIT`` bytes (a key in very many different fragments) is dealt again over ``SPREAD`` buckets, window by window, by a
+hash of the whole window: equal windows meet again, and no rows are lost.  Long texts are read in slices that overlap by a window, so memory is
 bounded by slices and buckets, and by the text that is rebuilt.
 
 Defined results: a null text counts as empty; texts under ``LENGTH`` bytes lose nothing; rows of equal id never take from each other, and
@@ -38,7 +38,8 @@ from gradebook.llm.common import stored
 LENGTH = 50
 GRAM = 16
 SLICE = 8 << 20
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20
+SPREAD = 256
 BUCKET_LIMIT = 48 << 20
 LAST = (1 << 63) - 1                          # the order of a null id
 _MULT = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
@@ -86,14 +87,29 @@ def fragments(text: bytes, ends: np.ndarray, length: int, gram: int) -> tuple[np
     return key[start[inside]], start[inside], stop[inside] + length - 1
 
 
-#: A pack: how many fragments; keys, documents, rows, places, lengths; then their bytes.
-_FIELDS = (("key", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("at", "<i8"), ("size", "<i4"))
+#: A pack: numbers of fragments and of runs of one row; keys, places, lengths; length, document and row of each run; then the bytes.
+_HEAD = (("key", "<u4"), ("at", "<i8"), ("size", "<i4"))
+_RUNS = (("times", "<i4"), ("doc", "<i8"), ("row", "<i8"))
+
+
+def _bytes(values: np.ndarray, kind: str) -> bytes:
+    """All first bytes, then all second ones, and so on: the high bytes are mostly equal and pack well."""
+    return np.ascontiguousarray(values, kind).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _values(raw: bytes, at: int, n: int, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T.copy().view(kind).ravel()
 
 
 def _packed(cols: dict, pieces: list) -> bytes:
+    """Fragments in the order of their texts."""
     import pyarrow as pa
 
-    raw = b"".join([len(pieces).to_bytes(8, "little"), *[np.ascontiguousarray(cols[c], t).tobytes() for c, t in _FIELDS], *pieces])
+    new = np.flatnonzero(np.concatenate([[True], (cols["doc"][1:] != cols["doc"][:-1]) | (cols["row"][1:] != cols["row"][:-1])]))
+    runs = {"times": np.diff(np.append(new, len(pieces))), "doc": cols["doc"][new], "row": cols["row"][new]}
+    raw = b"".join([len(pieces).to_bytes(8, "little"), len(new).to_bytes(8, "little"), *[_bytes(cols[c], t) for c, t in _HEAD],
+                    *[_bytes(runs[c], t) for c, t in _RUNS], *pieces])
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
@@ -102,10 +118,14 @@ def _unpacked(pack: bytes) -> tuple[dict, bytes, np.ndarray]:
     import pyarrow as pa
 
     raw = pa.decompress(pack[8:], decompressed_size=int.from_bytes(pack[:8], "little"), codec="zstd", asbytes=True)
-    n, at, cols = int.from_bytes(raw[:8], "little"), 8, {}
-    for c, t in _FIELDS:
-        cols[c] = np.frombuffer(raw, t, n, at)
-        at += cols[c].nbytes
+    n, m = int.from_bytes(raw[:8], "little"), int.from_bytes(raw[8:16], "little")
+    at, cols = 16, {}
+    for fields, k in ((_HEAD, n), (_RUNS, m)):
+        for c, t in fields:
+            cols[c] = _values(raw, at, k, t)
+            at += cols[c].nbytes
+    times = cols.pop("times")
+    cols |= {c: np.repeat(cols[c], times) for c in ("doc", "row")}
     return cols, raw, at + np.cumsum(cols["size"], dtype=np.int64) - cols["size"]
 
 
@@ -193,21 +213,21 @@ def covered(cols: dict, pieces: list, length: int) -> list[tuple]:
     return gone
 
 
-_PACK = "bucket long, bytes long, pack binary, doc long, row long, start long, end long"
+_PACK = "bucket long, pack binary, doc long, row long, start long, end long"
 
 
 def _batch(packs: list[tuple], spans: list[tuple]):
-    """Packs (bucket, bytes, pack) and spans (doc, row, start, end) as one batch: a row is either."""
+    """Packs (bucket, pack) and spans (doc, row, start, end) as one batch: a row is either."""
     import pyarrow as pa
 
-    left = [pa.array([p[i] for p in packs] + [None] * len(spans), t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+    left = [pa.array([p[i] for p in packs] + [None] * len(spans), t) for i, t in enumerate((pa.int64(), pa.binary()))]
     right = [pa.array([None] * len(packs) + [s[i] for s in spans], pa.int64()) for i in range(4)]
     return pa.RecordBatch.from_arrays(left + right, [c.split()[0] for c in _PACK.split(", ")])
 
 
 def _by_bucket(cols: dict, text: bytes, begin: np.ndarray, bucket: np.ndarray) -> Iterator[tuple]:
     """Fold the fragments that share a key, and pack all that is left by bucket; yields (packs, spans)."""
-    order = np.lexsort((cols["key"], bucket))
+    order = np.argsort(bucket, kind="stable")                   # in a bucket, the order of the texts
     cols, begin, bucket = {c: v[order] for c, v in cols.items()}, begin[order], bucket[order]
     pieces = [text[a:b] for a, b in zip(begin.tolist(), (begin + cols["size"]).tolist(), strict=True)]
     stay, spans = np.ones(len(pieces), bool), []
@@ -223,7 +243,7 @@ def _by_bucket(cols: dict, text: bytes, begin: np.ndarray, bucket: np.ndarray) -
     for lo, hi in zip(cuts, cuts[1:], strict=False):
         at = left[lo:hi]
         some = [pieces[i] for i in at]
-        packs.append((int(bucket[at[0]]), int(cols["size"][at].sum()), _packed({c: v[at] for c, v in cols.items()}, some)))
+        packs.append((int(bucket[at[0]]), _packed({c: v[at] for c, v in cols.items()}, some)))
     return packs, spans
 
 
@@ -248,7 +268,7 @@ def _cut(buckets: int, length: int, gram: int):
             of = np.searchsorted(ends, start, "right")
             begins = np.concatenate([[0], ends[:-1]])
             doc, row, at = (np.array([h[i] for h in held], np.int64)[of] for i in range(3))
-            cols = {"key": key, "doc": doc, "row": row, "at": at + start - begins[of], "size": end - start}
+            cols = {"key": (key >> np.uint64(32)).astype(np.uint32), "doc": doc, "row": row, "at": at + start - begins[of], "size": end - start}
             return _batch(*_by_bucket(cols, raw, start, (key % np.uint64(buckets)).astype(np.int64)))
 
         for b in batches:
@@ -268,49 +288,52 @@ def _cut(buckets: int, length: int, gram: int):
     return run
 
 
-def _windows(buckets: int, length: int):
-    """The packs of hot buckets dealt again, one fragment a window, keyed by a hash of the whole window."""
-    def run(batches: Iterator) -> Iterator:
-        for b in batches:
-            for bucket, pack in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                cols, raw, begin = _unpacked(pack)
-                n = cols["size"] - length + 1
-                of = np.repeat(np.arange(len(n)), n)
-                step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-                start = begin[of] + step
-                key = _hashes(raw, length)[start]
-                new = {"key": key, "doc": cols["doc"][of], "row": cols["row"][of], "at": cols["at"][of] + step, "size": np.full(len(of), length)}
-                yield _batch(*_by_bucket(new, raw, start, -1 - bucket * buckets - (key % np.uint64(buckets)).astype(np.int64)))
-
-    return run
+def _windows(bucket: int, cols: dict, raw: bytes, begin: np.ndarray, length: int) -> tuple[list, list]:
+    """A pack of a hot bucket dealt again over ``SPREAD`` buckets, one fragment a window, keyed by a hash of the whole window."""
+    n = cols["size"] - length + 1
+    of = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    start = begin[of] + step
+    key = _hashes(raw, length)[start]
+    new = {"key": (key >> np.uint64(32)).astype(np.uint32), "doc": cols["doc"][of], "row": cols["row"][of], "at": cols["at"][of] + step, "size": np.full(len(of), length)}
+    return _by_bucket(new, raw, start, bucket * SPREAD + (key % np.uint64(SPREAD)).astype(np.int64))
 
 
-def _judged(length: int):
-    """Packs sorted by bucket to spans."""
+def _judged(length: int, limit: int | None):
+    """Packs sorted by bucket, and spans, to spans; what a bucket holds beyond ``limit`` bytes makes it hot, and its packs are
+    dealt again."""
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        bucket, held = None, []
+        bucket, held, size, hot = None, [], 0, False
 
         def spans():
-            cols = {c: np.concatenate([h[0][c] for h in held]) for c, _ in _FIELDS}
+            if not held:
+                return _batch([], [])
+            cols = {c: np.concatenate([h[0][c] for h in held]) for c in held[0][0]}
             several = np.flatnonzero(_several(cols["key"], cols["doc"]))
             first = np.cumsum([0] + [len(h[2]) for h in held])
             of = np.searchsorted(first, several, "right") - 1
-            pieces = [held[k][1][a:a + n] for k, a, n in zip(of.tolist(), [int(held[k][2][i - first[k]]) for i, k in zip(several, of, strict=True)],
-                                                             cols["size"][several].tolist(), strict=True)]
-            found = covered({c: v[several] for c, v in cols.items()}, pieces, length)
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(4)], ["doc", "row", "start", "end"])
+            at = [int(held[k][2][i - first[k]]) for i, k in zip(several.tolist(), of.tolist(), strict=True)]
+            pieces = [held[k][1][a:a + n] for k, a, n in zip(of.tolist(), at, cols["size"][several].tolist(), strict=True)]
+            return _batch([], covered({c: v[several] for c, v in cols.items()}, pieces, length))
 
         for b in batches:
+            done = b.filter(b.column(0).is_null())
+            if done.num_rows:
+                yield done
             for key, pack in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if held and key != bucket:
+                if key is None:
+                    continue
+                if key != bucket:
                     yield spans()
-                    held = []
-                bucket = key
+                    bucket, held, size, hot = key, [], 0, False
                 held.append(_unpacked(pack))
-        if held:
-            yield spans()
+                size += len(held[-1][1])
+                hot = hot or limit is not None and size > limit
+                if hot:
+                    for h in held:
+                        yield _batch(*_windows(bucket, *h, length))
+                    held = []
+        yield spans()
 
     return run
 
@@ -327,22 +350,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = _texts(docs, id_col, text_col).where(F.octet_length("text") >= length)
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets = max(1, -(-4 * total // bucket_bytes))              # fragments overlap: some four times the text
-    sent = stored(texts.mapInArrow(_cut(buckets, length, gram), _PACK), "fragments")
-    packs, spans = sent.where("bucket is not null").select("bucket", "bytes", "pack"), [sent]
-    hot = packs.groupBy("bucket").agg(F.sum("bytes").alias("n")).where(F.col("n") > bucket_limit).select("bucket", "n")
-    most = hot.agg(F.max("n")).first()[0]
-    if most:
-        # A hot bucket holds more than bucket_limit bytes, so there are at most 4 * total / bucket_limit of them.
-        few = F.broadcast(hot.select("bucket"))
-        again = packs.join(few, "bucket").select("bucket", "pack").mapInArrow(_windows(max(1, -(-most * 3 // bucket_bytes)), length), _PACK)
-        again = stored(again, "windows")
-        spans.append(again)
-        packs = packs.join(few, "bucket", "left_anti").select("bucket", "pack").union(again.where("bucket is not null").select("bucket", "pack"))
-    else:
-        packs = packs.select("bucket", "pack")
-    found = packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judged(length), "doc long, row long, start long, end long")
-    for part in spans:
-        found = found.union(part.where("bucket is null").select("doc", "row", "start", "end"))
+    sent, limit = texts.mapInArrow(_cut(buckets, length, gram), _PACK), bucket_limit
+    found = None
+    while sent is not None:
+        # Spans ride along, spread by their document; packs meet by bucket.
+        dealt = sent.repartition(F.coalesce("bucket", F.xxhash64("doc", "row"))).sortWithinPartitions("bucket")
+        judged = stored(dealt.mapInArrow(_judged(length, limit), _PACK), "spans")
+        spans = judged.where("bucket is null").select("doc", "row", "start", "end")
+        found = spans if found is None else found.union(spans)
+        again = judged.where("bucket is not null")
+        sent, limit = (again, None) if limit is not None and not again.isEmpty() else (None, None)
     return found
 
 
