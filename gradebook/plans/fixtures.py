@@ -159,7 +159,7 @@ def single_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit(" answered by "), _m("m", F.col("l_suppkey") % 6)).alias("user_prompt"),
         text.alias("judgment"),
         turn.alias("turn"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"),
     )
 
 

@@ -73,7 +73,7 @@ SELECT question_id, CASE WHEN l_orderkey % 3 = 0 THEN 'bench_b' ELSE 'bench_a' E
          WHEN 5 THEN 'First [[' || CAST(l_linenumber + 1 AS VARCHAR) || ']] then [[' || CAST(l_linenumber + 2 AS VARCHAR) || ']]'
          ELSE 'Rating: [[0' || CAST(l_linenumber + 1 AS VARCHAR) || ']]' END AS judgment,
        CAST(1 + l_linenumber % 2 AS INTEGER) AS turn,
-       l_orderkey * 8 + l_linenumber AS seq
+       {'o': l_orderkey, 'l': l_linenumber, 'p': l_partkey, 's': l_suppkey} AS seq
 FROM (SELECT *, CAST(1 + l_orderkey % (SELECT max(c_custkey) FROM customer) AS BIGINT) AS question_id FROM lineitem)""")
 
 view("pair_log", [], """
