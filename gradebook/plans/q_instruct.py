@@ -122,13 +122,13 @@ def rating_prompts(spark, sf):
 # ---------------------------------------------------------------------------
 
 @register("share_cut", f"""
-WITH v AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, CAST(round(l_extendedprice * 1000000) AS HUGEINT) AS v FROM lineitem),
-c AS (SELECT *, sum(v) OVER (PARTITION BY l_orderkey) AS total,
-             sum(v) OVER (PARTITION BY l_orderkey ORDER BY v DESC, l_partkey, l_suppkey, l_linenumber,
-                          l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - v AS before FROM v),
+WITH v AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice AS v FROM lineitem),
+c AS (SELECT *, fsum(v) OVER (PARTITION BY l_orderkey) AS total,
+             coalesce(fsum(v) OVER (PARTITION BY l_orderkey ORDER BY v DESC, l_partkey, l_suppkey, l_linenumber,
+                          l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM v),
 k AS (SELECT * FROM c WHERE before * {Fraction(str(SHARE_P)).denominator} <= total * {Fraction(str(SHARE_P)).numerator})
-SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(CAST(v AS DOUBLE) / CAST(total AS DOUBLE), 9) AS share,
-       round(CAST(v AS DOUBLE) / CAST(sum(v) OVER (PARTITION BY l_orderkey) AS DOUBLE), 9) AS kept_share FROM k""")
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(v / total, 9) AS share,
+       round(v / fsum(v) OVER (PARTITION BY l_orderkey), 9) AS kept_share FROM k""")
 def share_cut(spark, sf):
     li = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                                                 "l_quantity", "l_extendedprice")

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gradebook.operators import boards as B
@@ -123,37 +124,53 @@ def test_win_matrix_null_diagonal_and_never_met(spark):
 
 
 def py_share_cut(rows, p):
-    """Exact fractions, one group at a time."""
+    """Exact fractions of the doubles, one group at a time: (group, id) -> (share, kept share)."""
+    import math
     from fractions import Fraction
-    out = []
+    out = {}
     for g in {r[0] for r in rows}:
-        own = sorted(((-Fraction(str(v)), i) for x, i, v in rows if x == g))
-        total, before = -sum(v for v, _ in own), Fraction(0)
+        own = sorted((-Fraction(v), i) for x, i, v in rows if x == g and v is not None and math.isfinite(v))
+        total, before, kept = -sum(v for v, _ in own), Fraction(0), []
         for v, i in own:
             if before <= Fraction(str(p)) * total:
-                out.append((g, i))
+                kept.append((i, -v))
             before -= v
-    return sorted(out)
+        left = sum(v for _, v in kept)
+        out |= {(g, i): (float(v / total) if total else None, float(v / left) if left else None) for i, v in kept}
+    return out
 
 
-def test_share_cut_keeps_the_same_rows_for_any_partitions(spark):
+@pytest.mark.parametrize("held", [1 << 20, 3])
+def test_share_cut_is_exact_for_any_values_and_partitions(spark, held):
+    import random
     from gradebook.operators.shares import cumulative_share_cut
-    rows = [(n, i, 1.0) for n in (10, 28, 50, 101, 1000) for i in range(n)]               # equal values: ties at the cut
-    rows += [(7, i, float(1 + (i * 37) % 11) / 10) for i in range(400)]
-    df = spark.createDataFrame(rows, "g long, id long, v double")
+    rnd = random.Random(held)
+    rows = [(str(n), i, 1.0) for n in (10, 28, 50, 101, 500) for i in range(n)]               # equal values: ties at the cut
+    rows += [("tenths", i, float(1 + (i * 37) % 11) / 10) for i in range(300)]
+    rows += [("wide", i, 10.0 ** rnd.uniform(-12, 13)) for i in range(200)]
+    rows += [("tiny", i, 4e-7) for i in range(10)] + [("least", i, 5e-324) for i in range(9)] + [("great", i, 1e13 + i) for i in range(9)]
+    rows += [("probabilities", i, x) for i, x in enumerate(rnd.random() ** 40 for _ in range(300))]
+    rows += [(None, 1, 2.0), (None, 2, 1.0), ("zero", 1, 0.0), ("zero", 2, 0.0), ("one", 1, 3.5), ("odd", 1, None), ("odd", 2, float("nan")), ("odd", 3, float("inf")),
+             ("odd", 4, 1.0), ("signs", 1, 3.0), ("signs", 2, -1.0), ("signs", 3, 1e-300)]
+    df = spark.createDataFrame(rows, "g string, id long, v double")
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         for p in (0.6, 0.9, 0.1):
             want = py_share_cut(rows, p)
             for n in (3, 11):
                 spark.conf.set("spark.sql.shuffle.partitions", n)
-                got = cumulative_share_cut(df, "g", "v", p, ["id"]).collect()
-                assert sorted((r.g, r.id) for r in got) == want
-                assert abs(sum(r.kept_share for r in got if r.g == 50) - 1) < 1e-9
+                got = {(r.g, r.id): (r.share, r.kept_share) for r in cumulative_share_cut(df, "g", "v", p, ["id"], held=held).collect()}
+                assert got == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+def test_share_cut_of_nothing(spark):
+    from gradebook.operators.shares import cumulative_share_cut
+    out = cumulative_share_cut(spark.createDataFrame([], "g long, id long, v double"), "g", "v", 0.5, ["id"])
+    assert out.columns == ["g", "id", "v", "share", "kept_share"] and out.count() == 0
+
+
 def test_label_boards_leave_out_rows_without_a_label(spark):
     rows = [("a", "b", "model_1", "model_1", "x"), ("a", "b", "model_1", "model_1", None), ("b", "a", "tie", "tie", "x")]
     df = spark.createDataFrame(rows, "model_1 string, model_2 string, g1_winner string, g2_winner string, label string")
