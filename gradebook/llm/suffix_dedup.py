@@ -4,19 +4,19 @@ A byte goes when a ``LENGTH``-byte string that covers it also starts in a docume
 on the input, so the first document with a passage keeps it and every later one loses it.
 
 1. Every ``LENGTH``-byte window of a text has a key that depends on its bytes only: the least hash of its ``GRAM``-byte
-   substrings.  A run of windows with one key makes a fragment (some 18 windows, 67 bytes), and equal windows, wherever they
+   substrings.  A run of windows with one key makes a fragment (some 20 windows, 70 bytes), and equal windows, wherever they
    are, lie in fragments of one key.  Tasks send fragments to the bucket of their key, packed and compressed, one row per
-   bucket and slice of ``SLICE`` bytes of text.  Their number of buckets follows from the size of the corpus.
+   bucket and slice of ``SLICE`` bytes of text.  The number of buckets follows from the size of the corpus.
 2. Within a slice and again within a bucket, equal fragments are one: the smallest document stays for it, and of
    the others the whole fragment goes at once.  A passage that a third of all documents share costs a row a slice.
-3. A bucket keeps the keys that several documents have.  The fragments of a key are joined, the starts whose window
+3. A bucket, in parts of its keys, keeps the keys that several documents have.  The fragments of a key are joined, the starts whose window
    has a fingerprint in several documents are put into suffix order (by their first ``LENGTH`` bytes, a suffix array cut there),
    and for each suffix the previous and the next one of a smaller document are found.  No other suffix of a smaller document
    has a longer common prefix with it: the longer of the two is its longest previous factor, and one of ``LENGTH`` bytes
    or more covers its window.
 4. The covered spans return to their documents and are cut out.
 
-A bucket over ``BUCKET_LIMIT`` bytes (a key in very many different fragments) is dealt again over ``SPREAD`` buckets, window by window, by a
+A bucket over ``BUCKET_LIMIT`` bytes (a key in very many different fragments) is dealt again, window by window, by a
 hash of the whole window: equal windows meet again, and no rows are lost.  Long texts are read in slices that overlap by a window, so memory is
 bounded by slices and buckets, and by the text that is rebuilt.
 
@@ -36,11 +36,12 @@ from pyspark.sql import functions as F
 from gradebook.llm.common import stored
 
 LENGTH = 50
-GRAM = 16
+GRAM = 12
 SLICE = 8 << 20
-BUCKET_BYTES = 16 << 20
-SPREAD = 256
-BUCKET_LIMIT = 48 << 20
+BUCKET_BYTES = 64 << 20
+BUCKET_LIMIT = 160 << 20
+PART_BYTES = 8 << 20
+STEP = 1 << 18
 LAST = (1 << 63) - 1                          # the order of a null id
 _MULT = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                   0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
@@ -65,6 +66,16 @@ def _hashes(text: bytes, length: int) -> np.ndarray:
     return _mix(out)
 
 
+def _at(text: bytes, starts: np.ndarray, length: int) -> np.ndarray:
+    """The hashes at ascending places, computed on pieces of ``text`` that stay in the cache."""
+    out = np.empty(len(starts), np.uint64)
+    for lo in range(0, len(text) - length + 1, STEP):
+        a, b = np.searchsorted(starts, (lo, lo + STEP))
+        if a < b:
+            out[a:b] = _hashes(text[lo:lo + STEP + length - 1], length)[starts[a:b] - lo]
+    return out
+
+
 def _least(x: np.ndarray, width: int) -> np.ndarray:
     """The least of ``width`` consecutive values, at every start."""
     done, out = 1, x
@@ -110,14 +121,18 @@ def _packed(cols: dict, pieces: list) -> bytes:
     runs = {"times": np.diff(np.append(new, len(pieces))), "doc": cols["doc"][new], "row": cols["row"][new]}
     raw = b"".join([len(pieces).to_bytes(8, "little"), len(new).to_bytes(8, "little"), *[_bytes(cols[c], t) for c, t in _HEAD],
                     *[_bytes(runs[c], t) for c, t in _RUNS], *pieces])
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+
+
+def _size(pack: bytes) -> int:
+    return int.from_bytes(pack[:8], "little")
 
 
 def _unpacked(pack: bytes) -> tuple[dict, bytes, np.ndarray]:
     """Columns, bytes, and where in them each fragment starts."""
     import pyarrow as pa
 
-    raw = pa.decompress(pack[8:], decompressed_size=int.from_bytes(pack[:8], "little"), codec="zstd", asbytes=True)
+    raw = pa.decompress(memoryview(pack)[8:], decompressed_size=_size(pack), codec="zstd", asbytes=True)
     n, m = int.from_bytes(raw[:8], "little"), int.from_bytes(raw[8:16], "little")
     at, cols = 16, {}
     for fields, k in ((_HEAD, n), (_RUNS, m)):
@@ -202,7 +217,7 @@ def covered(cols: dict, pieces: list, length: int) -> list[tuple]:
     piece = np.repeat(np.arange(len(size)), windows)
     start = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[piece]
     doc = np.array([p[0][0] for p in places], np.int64)[piece]
-    maybe = _several(_hashes(text, length)[start], doc)
+    maybe = _several(_at(text, start, length), doc)
     piece, start, doc = piece[maybe], start[maybe], doc[maybe]
     hit = earlier_copies(text, start, doc, length)
     piece, at = piece[hit], (start - begin[piece])[hit]
@@ -256,7 +271,7 @@ def _cut(buckets: int, length: int, gram: int):
         def sent():
             raw = b"".join(h[3] for h in held)
             ends = np.cumsum([len(h[3]) for h in held])
-            found, step = [], 1 << 18
+            found, step = [], STEP
             lo = 0
             while lo < len(held):                   # some texts at a time: arrays that stay in the cache
                 base = int(ends[lo - 1]) if lo else 0
@@ -288,33 +303,43 @@ def _cut(buckets: int, length: int, gram: int):
     return run
 
 
-def _windows(bucket: int, cols: dict, raw: bytes, begin: np.ndarray, length: int) -> tuple[list, list]:
-    """A pack of a hot bucket dealt again over ``SPREAD`` buckets, one fragment a window, keyed by a hash of the whole window."""
+def _windows(buckets: int, pack: bytes, length: int) -> tuple[list, list]:
+    """A pack of a hot bucket dealt again, one fragment a window, keyed by a hash of the whole window."""
+    cols, raw, begin = _unpacked(pack)
     n = cols["size"] - length + 1
     of = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
     start = begin[of] + step
-    key = _hashes(raw, length)[start]
+    key = _at(raw, start, length)
     new = {"key": (key >> np.uint64(32)).astype(np.uint32), "doc": cols["doc"][of], "row": cols["row"][of], "at": cols["at"][of] + step, "size": np.full(len(of), length)}
-    return _by_bucket(new, raw, start, bucket * SPREAD + (key % np.uint64(SPREAD)).astype(np.int64))
-
-
-def _judged(length: int, limit: int | None):
-    """Packs sorted by bucket, and spans, to spans; what a bucket holds beyond ``limit`` bytes makes it hot, and its packs are
-    dealt again."""
+    return _by_bucket(new, raw, start, (key % np.uint64(buckets)).astype(np.int64))
+
+
+def _part(packs: list[bytes], part: int, parts: int, length: int) -> list[tuple]:
+    """The spans of the fragments of a bucket whose key falls to ``part`` of ``parts``."""
+    cols: dict = {}
+    pieces: list = []
+    for pack in packs:
+        own, raw, begin = _unpacked(pack)
+        mine = np.flatnonzero(own["key"] % parts == part)
+        for c, v in own.items():
+            cols.setdefault(c, []).append(v[mine])
+        pieces += [raw[a:b] for a, b in zip(begin[mine].tolist(), (begin[mine] + own["size"][mine]).tolist(), strict=True)]
+    cols = {c: np.concatenate(v) for c, v in cols.items()}
+    several = np.flatnonzero(_several(cols["key"], cols["doc"]))
+    return covered({c: v[several] for c, v in cols.items()}, [pieces[i] for i in several.tolist()], length)
+
+
+def _judged(buckets: int, length: int, limit: int | None):
+    """Packs sorted by bucket, and spans, to spans.  A bucket keeps its packs as they came and is judged by parts of its keys; one of
+    more than ``limit`` bytes is hot, and its packs are dealt again."""
     def run(batches: Iterator) -> Iterator:
         bucket, held, size, hot = None, [], 0, False
 
         def spans():
-            if not held:
-                return _batch([], [])
-            cols = {c: np.concatenate([h[0][c] for h in held]) for c in held[0][0]}
-            several = np.flatnonzero(_several(cols["key"], cols["doc"]))
-            first = np.cumsum([0] + [len(h[2]) for h in held])
-            of = np.searchsorted(first, several, "right") - 1
-            at = [int(held[k][2][i - first[k]]) for i, k in zip(several.tolist(), of.tolist(), strict=True)]
-            pieces = [held[k][1][a:a + n] for k, a, n in zip(of.tolist(), at, cols["size"][several].tolist(), strict=True)]
-            return _batch([], covered({c: v[several] for c, v in cols.items()}, pieces, length))
+            parts = -(-size // PART_BYTES) if held else 0
+            for part in range(parts):
+                yield _batch([], _part(held, part, parts, length))
 
         for b in batches:
             done = b.filter(b.column(0).is_null())
@@ -324,16 +349,16 @@ def _judged(length: int, limit: int | None):
                 if key is None:
                     continue
                 if key != bucket:
-                    yield spans()
+                    yield from spans()
                     bucket, held, size, hot = key, [], 0, False
-                held.append(_unpacked(pack))
-                size += len(held[-1][1])
+                held.append(pack)
+                size += _size(pack)
                 hot = hot or limit is not None and size > limit
                 if hot:
                     for h in held:
-                        yield _batch(*_windows(bucket, *h, length))
+                        yield _batch(*_windows(buckets, h, length))
                     held = []
-        yield spans()
+        yield from spans()
 
     return run
 
@@ -355,7 +380,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     while sent is not None:
         # Spans ride along, spread by their document; packs meet by bucket.
         dealt = sent.repartition(F.coalesce("bucket", F.xxhash64("doc", "row"))).sortWithinPartitions("bucket")
-        judged = stored(dealt.mapInArrow(_judged(length, limit), _PACK), "spans")
+        judged = stored(dealt.mapInArrow(_judged(buckets, length, limit), _PACK), "spans")
         spans = judged.where("bucket is null").select("doc", "row", "start", "end")
         found = spans if found is None else found.union(spans)
         again = judged.where("bucket is not null")

@@ -51,8 +51,11 @@ def corpus(seed, n=60):
 
 
 @pytest.mark.parametrize("options", [{}, {"length": 20, "gram": 8}, {"bucket_bytes": 500}, {"bucket_bytes": 2000, "bucket_limit": 300}])
-def test_equals_brute_force(spark, options):
-    """Also with many buckets, and with hot ones that are dealt again by window."""
+def test_equals_brute_force(spark, monkeypatch, options):
+    """Also with many buckets, with hot ones that are dealt again by window, and in many parts and steps."""
+    if options:
+        monkeypatch.setattr(S, "PART_BYTES", 1000)
+        monkeypatch.setattr(S, "STEP", 100)
     rows = corpus(len(str(options)))
     assert kept(spark, rows, **options) == brute(rows, options.get("length", 50))
 
@@ -76,7 +79,7 @@ def test_the_passes_of_one_task(rows, length):
         rows_ = sorted(sent, key=lambda r: (r["bucket"] is not None, r["bucket"] or 0))
         batch = S._batch([(r["bucket"], r["pack"]) for r in rows_ if r["bucket"] is not None],
                          [(r["doc"], r["row"], r["start"], r["end"]) for r in rows_ if r["bucket"] is None])
-        sent = [r for b in S._judged(length, limit)([batch]) for r in b.to_pylist()]
+        sent = [r for b in S._judged(5, length, limit)([batch]) for r in b.to_pylist()]
     assert all(r["bucket"] is None for r in sent)
     spans = [(r["row"], r["start"], r["end"]) for r in sent]
     got = {row: {x for r, s, e in spans if r == row for x in range(s, e)} for row in range(len(raw))}
