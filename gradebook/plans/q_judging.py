@@ -225,6 +225,38 @@ def stream_board(spark, sf):
     return windowed_board(scored_events(fx.judgment_stream_log(spark, sf)))
 
 
+_LATEST_PAIR = f"""
+, {GAMES},
+l AS (SELECT bench, judge_model, judge_prompt, question_id, model_1, model_2, turn,
+             arg_max(g1_winner, tstamp) AS g1_winner, arg_max(g2_winner, tstamp) AS g2_winner
+      FROM games GROUP BY bench, judge_model, judge_prompt, question_id, model_1, model_2, turn)"""
+
+
+@register("stream_win_board", with_views(["pair_log"], f"""{_LATEST_PAIR},
+{outcomes("l", "bench, judge_model")}
+SELECT bench, judge_model, 'none' AS iid, model, CAST(sum(win) AS BIGINT) AS win, CAST(sum(loss) AS BIGINT) AS loss, CAST(sum(tie) AS BIGINT) AS tie,
+       CAST(sum(win) AS DOUBLE) / CAST(sum(win) + sum(loss) + sum(tie) AS DOUBLE) AS win_rate,
+       CAST(sum(loss) AS DOUBLE) / CAST(sum(win) + sum(loss) + sum(tie) AS DOUBLE) AS loss_rate
+FROM outcomes GROUP BY bench, judge_model, model""".lstrip()))
+def stream_win_board(spark, sf):
+    """The pairwise board that the stream keeps (re-judged games count once), from the whole log."""
+    from gradebook.streaming.latest import batch_board
+    log = V.with_game_winners(fx.pair_log(spark, sf)).withColumns({"iid": F.lit("none"), "commit": F.lit("")})
+    return batch_board(log, "pair")
+
+
+@register("stream_latest_board", """
+WITH j AS (SELECT user_id, 'm' || CAST(event_id % 4 AS VARCHAR) AS model, CAST(CAST(floor(value) AS BIGINT) % 10 + 1 AS DOUBLE) AS s, ts FROM events),
+l AS (SELECT user_id, model, arg_max(s, CAST(s AS VARCHAR)) AS s FROM (SELECT *, max(ts) OVER (PARTITION BY user_id, model) AS last FROM j) WHERE ts = last GROUP BY user_id, model)
+SELECT 'none' AS bench, 'gpt-4' AS judge_model, 'none' AS iid, model, count(*) AS n, sum(s) AS score_sum, sum(s) / CAST(count(*) AS DOUBLE) AS score
+FROM l GROUP BY model""")
+def stream_latest_board(spark, sf):
+    """The score board that the stream keeps (the latest judgment of each key), from the whole log."""
+    from gradebook.streaming.latest import batch_board
+    log = V.with_rating(fx.judgment_stream_log(spark, sf)).withColumns({"bench": F.lit("none"), "iid": F.lit("none"), "commit": F.lit("")})
+    return batch_board(log, "single")
+
+
 # ---------------------------------------------------------------------------
 # Model-list filter (C8; D15: accepted by every board)
 # ---------------------------------------------------------------------------

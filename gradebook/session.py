@@ -124,6 +124,12 @@ def read_parquet_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever store it lies on; nothing happens where there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 

@@ -1,16 +1,16 @@
-"""Incremental leaderboard over an append-only judgment log.
+"""Windowed leaderboard over the judgment log.
 
 The same transformation runs on a batch DataFrame and on a streaming one:
 
-    judgments (JSON files appended by the judge runs)
+    judgments (rows of the judgment log)
       -> parse rating (V1), event time = timestamp_seconds(tstamp)
       -> withWatermark(event_time)           rows older than the previous micro-batch's
                                              watermark are dropped (and counted)
       -> groupBy(tumbling window, model)      count / sum / mean score
 
-On a stream the state is bounded by the watermark; finished windows are emitted
-in ``append`` mode (one row per window and model, never revised), or kept current
-in ``update``/``complete`` mode for a live board.
+On a stream the state is bounded by the watermark.  In ``append`` mode a finished window is written once, never
+revised, to a Parquet table; in ``complete`` mode the board of all windows is written anew with every batch, as the
+newest version of a live board.
 """
 
 from __future__ import annotations
@@ -20,17 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gradebook.functions.extract import rating
-
-SINGLE_JUDGMENT_SCHEMA = (
-    "question_id long, model string, judge_model string, judge_prompt string, "
-    "user_prompt string, judgment string, turn int, tstamp double"
-)
+from gradebook.session import delete_path
+from gradebook.sources import judgment_log as J
 
 
 def scored_events(judgments: DataFrame) -> DataFrame:
-    """Parse the rating and derive the event time from the epoch-seconds tstamp."""
+    """Parse the rating and derive the event time from the epoch-seconds tstamp; key columns go along where there are any."""
+    keys = [c for c in (*J.KEYS[J.SINGLE], "commit") if c in judgments.columns and c not in ("question_id", "model")]
     return judgments.select(
-        "question_id", "model", rating("judgment").alias("score"),
+        "question_id", "model", *keys, rating("judgment").alias("score"),
         F.timestamp_seconds(F.col("tstamp")).alias("event_time"))
 
 
@@ -50,21 +48,38 @@ def windowed_board(events: DataFrame, window: str = "1 hour", watermark: str = "
     return g.select(F.unix_seconds("w.start").alias("window_start"), "model", "n", "score_sum", "score_avg")
 
 
-def start_board(spark: SparkSession, source_dir: str, sink, checkpoint: str, window: str = "1 hour",
+def _live(sink: str, keep: int = 2):
+    def put(board: DataFrame, batch_id: int) -> None:
+        path = lambda b: f"{sink.rstrip('/')}/v={b:012d}"
+        board.write.mode("overwrite").parquet(path(batch_id))
+        if batch_id >= keep:
+            delete_path(board.sparkSession, path(batch_id - keep))
+
+    return put
+
+
+def read_live(spark: SparkSession, sink: str) -> DataFrame:
+    """The newest version of a live board."""
+    rows = spark.read.option("basePath", sink).parquet(sink)
+    return rows.where(F.col("v") == rows.agg(F.max("v")).first()[0]).drop("v")
+
+
+def start_board(spark: SparkSession, log: str, sink: str, checkpoint: str, window: str = "1 hour",
                 watermark: str = "2 hours", output_mode: str = "append", max_files_per_trigger: int | None = None,
-                query_name: str | None = None) -> StreamingQuery:
-    """Start the streaming board over JSON judgment files in ``source_dir``.
+                query_name: str | None = None, dedupe_keys: list[str] | None = None) -> StreamingQuery:
+    """Start the streaming board over the single judgments of the judgment log ``log``.
 
-    ``sink`` is a path (Parquet, append mode), or ``"memory"`` for tests; the
-    checkpoint must live on shared storage so a restarted driver resumes.
+    ``sink`` is a path (``append``: a Parquet table of finished windows; ``complete``: a live board, see ``read_live``) or
+    ``"memory"`` for tests.  The checkpoint must live on shared storage so a restarted driver resumes.
     """
-    reader = spark.readStream.schema(SINGLE_JUDGMENT_SCHEMA)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    board = windowed_board(scored_events(reader.json(source_dir)), window, watermark)
-    w = board.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
+    if sink != "memory" and output_mode not in ("append", "complete"):
+        raise ValueError("a stored board is written in append or complete mode")
+    events = scored_events(J.read_stream(spark, log, J.SINGLE, max_files_per_trigger))
+    w = windowed_board(events, window, watermark, dedupe_keys).writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
     if sink == "memory":
         w = w.format("memory").queryName(query_name or "stream_board")
+    elif output_mode == "complete":
+        w = w.foreachBatch(_live(sink))
     else:
         w = w.format("parquet").option("path", sink)
     return w.start()

@@ -12,7 +12,6 @@ from gradebook.operators import batchfn as U
 from gradebook.sources import judgment_log as J
 from gradebook.sources import readers as R
 from gradebook.sources import writers as W
-from gradebook.streaming import board as SB
 
 
 def test_raw_qa_csv_multiline_and_conversion(spark, tmpdir_):
@@ -128,53 +127,6 @@ def test_model_runner_retry_sentinel_and_resume(spark, tmpdir_):
     assert full.count() == 6 and calls.value == 6            # finished keys are not re-run
 
 
-def test_stream_keep_last_equals_batch(spark, tmpdir_):
-    from gradebook.streaming import latest as L
-    src = os.path.join(tmpdir_, "log")
-    os.makedirs(src)
-    base = {"judge_model": "j", "judge_prompt": "single-v1", "user_prompt": "u", "turn": 1}
-    files = [
-        [dict(base, question_id=1, model="a", judgment="[[2]]", tstamp=1.0),
-         dict(base, question_id=1, model="b", judgment="[[6]]", tstamp=1.0)],
-        [dict(base, question_id=1, model="a", judgment="[[8]]", tstamp=2.0)],      # re-judged: replaces 2
-        [dict(base, question_id=2, model="a", judgment="[[4]]", tstamp=3.0)],
-    ]
-    for i, rows in enumerate(files):
-        with open(os.path.join(src, f"part-{i}.json"), "w") as f:
-            f.write("\n".join(json.dumps(r) for r in rows) + "\n")
-    root = os.path.join(tmpdir_, "latest")
-    q = L.start_latest(spark, src, root, os.path.join(tmpdir_, "ckpt2"), max_files_per_trigger=1)
-    try:
-        q.processAllAvailable()
-        last = q.lastProgress["batchId"]
-    finally:
-        q.stop()
-    board = {r.model: (r.n, r.score) for r in L.read_version(spark, root, "board", last).collect()}
-    assert board == {"a": (2, 6.0), "b": (1, 6.0)}          # mean of 8 and 4, not of 2, 8, 4
-
-
-def test_stream_equals_batch(spark, tmpdir_):
-    from gradebook.plans import fixtures as fx
-    src = os.path.join(tmpdir_, "log")
-    log = fx.judgment_stream_log(spark, "/root/testdata/sf0.001").orderBy("tstamp")
-    pdf = log.toPandas()
-    os.makedirs(src)
-    # Append the log in time-ordered chunks, as judge runs would.
-    for i, chunk in enumerate(range(0, len(pdf), 250)):
-        pdf.iloc[chunk:chunk + 250].to_json(os.path.join(src, f"part-{i:04d}.json"), orient="records", lines=True,
-                                            double_precision=15)
-    q = SB.start_board(spark, src, "memory", os.path.join(tmpdir_, "ckpt"), output_mode="complete",
-                       max_files_per_trigger=1, query_name="board_test")
-    try:
-        q.processAllAvailable()
-        streamed = sorted(map(tuple, spark.sql("SELECT * FROM board_test").collect()))
-        assert SB.dropped_late_rows(q) == 0
-    finally:
-        q.stop()
-    batch = sorted(map(tuple, SB.windowed_board(SB.scored_events(log)).collect()))
-    assert streamed == batch and len(batch) > 0
-
-
 def test_judgment_run_tag_is_a_partition_filter(spark, tmpdir_):
     root = os.path.join(tmpdir_, "j")
     rows = spark.createDataFrame([(1, "a", "b", "tie", "tie", "x", "y")],
@@ -206,81 +158,6 @@ def test_read_questions_slice_in_file_order(spark, tmpdir_):
     assert got == ids[2:-1]
 
 
-def test_stream_keep_last_incremental_matches_batch(spark, tmpdir_):
-    """Many keys over several micro-batches: incremental board and snapshot equal
-    the batch keep-last of the whole log."""
-    import random
-    from gradebook.operators.keeplast import keep_last
-    from gradebook.streaming import latest as L
-    from gradebook.functions.extract import rating
-    rnd = random.Random(5)
-    src = os.path.join(tmpdir_, "log2")
-    os.makedirs(src)
-    rows, t = [], 0.0
-    for f_i in range(5):
-        chunk = []
-        for _ in range(60):
-            t += 1.0
-            chunk.append({"judge_model": "j", "judge_prompt": "p", "user_prompt": "u", "turn": 1,
-                          "question_id": rnd.randint(0, 25), "model": rnd.choice("abc"),
-                          "judgment": f"[[{rnd.randint(1, 9)}]]", "tstamp": t})
-        rows += chunk
-        with open(os.path.join(src, f"part-{f_i}.json"), "w") as f:
-            f.write("\n".join(json.dumps(r) for r in chunk) + "\n")
-    root = os.path.join(tmpdir_, "latest2")
-    q = L.start_latest(spark, src, root, os.path.join(tmpdir_, "ckpt3"), max_files_per_trigger=1, n_buckets=8)
-    try:
-        q.processAllAvailable()
-        last = q.lastProgress["batchId"]
-    finally:
-        q.stop()
-    batch = spark.createDataFrame(rows).withColumn("seq", F.col("tstamp"))
-    latest = keep_last(batch, L.KEYS, "seq")
-    want = {r.model: (r.n, round(r.s, 9)) for r in latest.groupBy("model").agg(
-        F.count("*").alias("n"), F.sum(rating("judgment")).alias("s")).collect()}
-    got = {r.model: (r.n, round(r.score_sum, 9)) for r in L.read_board(spark, root, last).collect()}
-    assert got == want
-    assert L.read_snapshot(spark, root, last).count() == latest.count()
-
-
-def test_stream_board_drops_and_counts_late_rows(spark, tmpdir_):
-    """A row older than the watermark is dropped and counted.  Spark checks late
-    events against the watermark of the previous micro-batch, so the late row
-    arrives two batches after the watermark first moved."""
-    src = os.path.join(tmpdir_, "late")
-    os.makedirs(src)
-    base = {"judge_model": "j", "judge_prompt": "p", "user_prompt": "u", "turn": 1, "question_id": 1}
-    files = [[dict(base, model="a", judgment="[[5]]", tstamp=36000.0 + i) for i in range(3)],   # 10:00
-             [dict(base, model="a", judgment="[[7]]", tstamp=36100.0)],
-             [dict(base, model="a", judgment="[[9]]", tstamp=60.0)]]                            # 00:01, late
-    for i, rows in enumerate(files):
-        with open(os.path.join(src, f"part-{i}.json"), "w") as f:
-            f.write("\n".join(json.dumps(r) for r in rows) + "\n")
-        os.utime(os.path.join(src, f"part-{i}.json"), (1000 + i, 1000 + i))   # arrival order
-    q = SB.start_board(spark, src, "memory", os.path.join(tmpdir_, "ckpt-late"), output_mode="update",
-                       max_files_per_trigger=1, query_name="late_board")
-    try:
-        q.processAllAvailable()
-        dropped = SB.dropped_late_rows(q)
-        rows = spark.sql("SELECT window_start, max(n) AS n FROM late_board GROUP BY window_start").collect()
-    finally:
-        q.stop()
-    assert dropped == 1
-    assert {(r.window_start, r.n) for r in rows} == {(36000, 4)}
-
-
-def test_latest_state_survives_an_empty_batch(spark, tmpdir_):
-    from gradebook.streaming import latest as L
-    schema = L.SINGLE_JUDGMENT_SCHEMA
-    row = lambda i, t: {"question_id": i, "model": "m", "judge_prompt": "p", "judgment": "[[5]]", "turn": 1, "tstamp": t}
-    frame = lambda rows: spark.createDataFrame(rows, schema)
-    root = os.path.join(tmpdir_, "latest")
-    for b, rows in enumerate([[row(1, 1.0)], [], [row(2, 2.0)], [], []]):
-        L.merge_batch(spark, frame(rows), b, root, L.KEYS, 4)
-    assert L.read_snapshot(spark, root, 4).count() == 2
-    assert L.read_board(spark, root, 4).first().n == 2
-
-
 def test_unrated_records_are_rejected(spark):
     from gradebook.operators import instruct as I
     records = spark.createDataFrame([(1, "a", "b", "c"), (2, "d", "e", "f")], "id long, instruction string, input string, output string")
