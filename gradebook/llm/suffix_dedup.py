@@ -38,9 +38,9 @@ from gradebook.llm.common import stored
 LENGTH = 50
 GRAM = 12
 SLICE = 8 << 20
-BUCKET_BYTES = 64 << 20
-BUCKET_LIMIT = 160 << 20
-PART_BYTES = 8 << 20
+BUCKET_BYTES = 32 << 20
+BUCKET_LIMIT = 96 << 20
+PART_BYTES = 4 << 20
 STEP = 1 << 18
 LAST = (1 << 63) - 1                          # the order of a null id
 _MULT = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
@@ -217,9 +217,14 @@ def covered(cols: dict, pieces: list, length: int) -> list[tuple]:
     piece = np.repeat(np.arange(len(size)), windows)
     start = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[piece]
     doc = np.array([p[0][0] for p in places], np.int64)[piece]
-    maybe = _several(_at(text, start, length), doc)
-    piece, start, doc = piece[maybe], start[maybe], doc[maybe]
-    hit = earlier_copies(text, start, doc, length)
+    mark = _at(text, start, length)
+    maybe = _several(mark, doc)
+    piece, start, doc, mark = piece[maybe], start[maybe], doc[maybe], mark[maybe]
+    hit = np.zeros(len(start), bool)
+    sets = len(start) // STEP + 1                 # equal windows have one fingerprint: each set of fingerprints has an order of its own
+    for k in range(sets):
+        some = np.flatnonzero(mark % np.uint64(sets) == k)
+        hit[some] = earlier_copies(text, start[some], doc[some], length)
     piece, at = piece[hit], (start - begin[piece])[hit]
     if len(piece):
         new = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (at[1:] > at[:-1] + length)]))
