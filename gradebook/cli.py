@@ -89,7 +89,7 @@ def convert(spark, args) -> None:
 
 
 def mc_score(spark, args) -> DataFrame:
-    res = R.read_mc_results(spark, args.results, exclude_models=args.exclude)
+    res = R.read_mc_results(spark, args.results, exclude_models=args.exclude, bad_runs="drop" if args.drop_bad_runs else "raise")
     acc = B.mc_accuracy(res)
     _save(acc, args.out, "mc_accuracy")
     _save(B.mc_runs_wide(acc), args.out, "mc_runs_wide")
@@ -134,6 +134,7 @@ def parser() -> argparse.ArgumentParser:
     m = sub.add_parser("mc-score", help="multiple-choice accuracy per category and run")
     m.add_argument("--results", required=True)
     m.add_argument("--exclude", nargs="+")
+    m.add_argument("--drop-bad-runs", action="store_true", help="leave out runs with several files or another header instead of failing")
     m.add_argument("--out", required=True)
     t = sub.add_parser("tokens", help="judge token totals per model or model pair")
     t.add_argument("--judgments", required=True)

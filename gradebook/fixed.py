@@ -116,6 +116,9 @@ MC_ANSWER_PATTERNS = [
     r"answer\s+is\s?:\s+（([A-D])）",
 ]
 
+# Every match of a pattern of the cascade holds one of these.
+MC_LEADS = ["选", "答案", "正确的一项是", "answer"]
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES — chat rendering formats
 # ---------------------------------------------------------------------------

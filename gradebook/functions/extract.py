@@ -6,6 +6,8 @@ and ``CASE`` chains; no Python runs per row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,20 +110,30 @@ def mc_letter(response: Column | str, strict_first_letter: bool = False) -> Colu
     answers B).  Otherwise the first pattern of the cascade with any match wins,
     and its last match is the answer.  ``strict_first_letter`` requires the first
     letter to be followed by a delimiter or the end of the text.
+
+    The stripped text is bound once, as the element of a one-element array; a text without any lead of the patterns
+    (``MC_LEADS``, plain substrings) skips the cascade.
     """
-    r = ustrip(col_(response))
-    first = F.substring(r, 1, 1)
-    first_ok = first.isin(*fixed.MC_CHOICES)
-    if strict_first_letter:
-        first_ok = first_ok & F.regexp_like(r, F.lit(r"(?U)^[A-D]([\s.,:;)、．。：]|$)"))
-    cascade = F.coalesce(*[
-        F.try_element_at(F.regexp_extract_all(r, F.lit(_java_pattern(p)), 1), F.lit(-1))
-        for p in fixed.MC_ANSWER_PATTERNS
-    ])
-    return F.when(F.length(r) == 0, F.lit(None).cast("string")).when(first_ok, first).otherwise(cascade)
+    def letter(r: Column) -> Column:
+        first = F.substring(r, 1, 1)
+        first_ok = first.isin(*fixed.MC_CHOICES)
+        if strict_first_letter:
+            first_ok = first_ok & F.regexp_like(r, F.lit(r"(?U)^[A-D]([\s.,:;)、．。：]|$)"))
+        cascade = F.coalesce(*[
+            F.try_element_at(F.regexp_extract_all(r, F.lit(_java_pattern(p)), 1), F.lit(-1))
+            for p in fixed.MC_ANSWER_PATTERNS
+        ])
+        led = reduce(lambda x, y: x | y, [r.contains(lead) for lead in fixed.MC_LEADS])
+        return F.when(F.length(r) == 0, F.lit(None).cast("string")).when(first_ok, first).when(led, cascade)
+
+    return F.get(F.transform(F.array(ustrip(col_(response))), letter), 0)
+
+
+def letter_correct(letter: Column | str, answer: Column | str) -> Column:
+    """1 when the letter equals the key (case-insensitive), else 0."""
+    return F.coalesce((F.lower(col_(letter)) == F.lower(col_(answer))).cast("int"), F.lit(0))
 
 
 def mc_correct(response: Column | str, answer: Column | str) -> Column:
-    """1 when the extracted letter equals the key (case-insensitive), else 0."""
-    letter = mc_letter(response)
-    return F.coalesce((F.lower(letter) == F.lower(col_(answer))).cast("int"), F.lit(0))
+    """E1-E3 in one: the letter extracted from the response equals the key."""
+    return letter_correct(mc_letter(response), answer)

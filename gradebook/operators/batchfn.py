@@ -202,6 +202,29 @@ def generate_answers(
     return q.mapInPandas(run, schema)
 
 
+def generate_turns(work: DataFrame, factory: Callable[[], Generator], stop: str | None = None, max_retry: int = fixed.API_MAX_RETRY,
+                   retry_sleep: float = fixed.API_RETRY_SLEEP, error_output: str = fixed.API_ERROR_OUTPUT) -> DataFrame:
+    """U2, one turn: ``work`` with a conversation (array of role and text, ending with the turn to answer) and a temperature ->
+    text (cut at ``stop``, C6) and error instead of the conversation."""
+    from gradebook.functions.text import cut_at, ustrip
+
+    keep = [c for c in work.columns if c not in ("conversation", "temperature")]
+    schema = StructType([*[work.schema[c] for c in keep], StructField("text", StringType()), StructField("error", StringType())])
+
+    def run(batches: Iterator) -> Iterator:
+        gen = factory()
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            both = [([(m["role"], m["text"]) for m in c], float(t)) for c, t in zip(pdf["conversation"], pdf["temperature"], strict=True)]
+            out, errors = _with_retry(lambda b: gen([c for c, _ in b], [t for _, t in b]), both, max_retry, retry_sleep, error_output)
+            yield pdf[keep].assign(text=out, error=errors)
+
+    done = work.mapInPandas(run, schema)
+    cut = ustrip("text") if stop is None else cut_at("text", stop)
+    return done.withColumn("text", F.when(F.col("error").isNull(), cut).otherwise(F.col("text")))
+
+
 # ---------------------------------------------------------------------------
 # Deterministic offline judge (tests, examples and the judge_map query)
 # ---------------------------------------------------------------------------

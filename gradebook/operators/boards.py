@@ -125,11 +125,9 @@ def win_matrix(pairs: DataFrame, models: list[str] | None = None) -> DataFrame:
         names = (pairs.select(F.col("model_1").alias("m"))
                  .union(pairs.select(F.col("model_2").alias("m"))).distinct())
         models = sorted(r["m"] for r in collect_small(names))
-    wide = h.groupBy(F.col("baseline").alias("model")).pivot("opponent", models).agg(F.first("win_rate"))
-    mean = h.groupBy(F.col("baseline").alias("model")).agg(F.avg("win_rate").alias("mean_win_rate"))
-    out = wide.join(mean, "model")
-    for m in models:
-        out = out.withColumn(m, F.when(F.col("model") == m, F.lit(None).cast("double")).otherwise(F.col(m)))
+    # One aggregation for the cells and the mean; a model's cell against itself stays null.
+    cells = [F.max(F.when((F.col("opponent") == m) & (F.col("baseline") != m), F.col("win_rate"))).alias(m) for m in models]
+    out = h.groupBy(F.col("baseline").alias("model")).agg(*cells, F.avg("win_rate").alias("mean_win_rate"))
     return out.orderBy(F.desc("mean_win_rate"), "model")
 
 

@@ -7,6 +7,8 @@ aggregated map-side (a hot key never gathers its rows in one task).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,11 +76,13 @@ def resolve_default_judge(questions: DataFrame, games: DataFrame) -> DataFrame:
     judge model when it judged with that prompt anywhere, else the fallback) and
     the number of canonical games held under it.
 
-    Judge availability is the distinct (judge, prompt) set; it is tiny at run
-    time, so AQE plans its join as a broadcast from the measured size (a size
-    check up front would compute the canonical games twice).
+    The games are read once, for their counts by judge, prompt and question, which are stored: availability is the distinct
+    (judge, prompt) set of the same table.
     """
-    avail = games.select(*JUDGE).distinct()
+    from gradebook.session import materialize
+
+    counts = materialize(games.groupBy(*JUDGE, "question_id").agg(F.count("*").alias("n_games")), f"game-counts-{uuid.uuid4().hex}")
+    avail = counts.select(*JUDGE).distinct()
     pref = avail.filter(F.col("judge_model") == fixed.PREFERRED_JUDGE).select(
         F.col("judge_prompt").alias("prompt"), F.lit(True).alias("has_pref"))
     q = questions.select("question_id", "category", "n_turns",
@@ -88,7 +92,6 @@ def resolve_default_judge(questions: DataFrame, games: DataFrame) -> DataFrame:
         "question_id", "category", "n_turns",
         F.when(F.col("has_pref"), F.lit(fixed.PREFERRED_JUDGE)).otherwise(F.lit(fixed.FALLBACK_JUDGE)).alias("judge_model"),
         F.col("prompt").alias("judge_prompt"))
-    counts = games.groupBy(*JUDGE, "question_id").agg(F.count("*").alias("n_games"))
     out = q.join(counts, [*JUDGE, "question_id"], "left")
     return out.select("question_id", "category", "n_turns", *JUDGE,
                       F.coalesce("n_games", F.lit(0)).cast("long").alias("n_games"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradebook import fixed
 from gradebook.functions.tokens import Tokenizer, constant_counts, message_tokens, regex_tokens
 
 ROLES = ("system", "user", "assistant")
@@ -84,6 +85,14 @@ def token_detail(single: DataFrame | None, pair: DataFrame | None, catalog: dict
     return out
 
 
+def conversation_tokens(messages: DataFrame, key: str, role: str = "role", content: str = "content", judge_model: str = "gpt-3.5-turbo",
+                        tokenizer: Tokenizer = regex_tokens) -> DataFrame:
+    """T1 over message rows: tokens per conversation.  Each message is counted where it lies and only numbers are added up, so
+    no conversation is gathered."""
+    one = message_tokens([(F.col(role), F.col(content))], judge_model, tokenizer) - F.lit(fixed.REPLY_PRIMING_TOKENS)
+    return messages.select(key, one.alias("n")).groupBy(key).agg((F.sum("n") + F.lit(fixed.REPLY_PRIMING_TOKENS)).cast("long").alias("n_tokens"))
+
+
 def token_totals(detail: DataFrame) -> DataFrame:
     """T4: totals per (bench, mode, model or unordered model pair) in one group-by."""
     return detail.groupBy("bench", "mode", "model_key").agg(

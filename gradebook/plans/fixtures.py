@@ -300,10 +300,9 @@ def mc_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mc_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored runs (all outputs, letters extracted, correctness flagged)."""
-    from gradebook.functions.extract import mc_correct, mc_letter
-    o = mc_outputs(spark, sf_dir)
-    return o.select("*", mc_letter("model_output").alias("letter"),
-                    mc_correct("model_output", "answer").alias("correct"))
+    from gradebook.functions.extract import letter_correct, mc_letter
+    o = mc_outputs(spark, sf_dir).withColumn("letter", mc_letter("model_output"))
+    return o.withColumn("correct", letter_correct("letter", "answer"))
 
 
 # ---------------------------------------------------------------------------

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from gradebook import fixed
 from gradebook.functions.templates import sql_literal
-from gradebook.functions.tokens import dialog_tokens
 from gradebook.operators import dialogs as D
+from gradebook.operators.tokens import conversation_tokens
 from gradebook.plans import fixtures as fx
 from gradebook.plans.registry import register
 from gradebook.plans.sql_snippets import ustrip_sql
@@ -110,7 +110,4 @@ SELECT conv_id, CAST(sum(3 + len(regexp_extract_all(role, '{_TOK}')) + len(regex
                      AS BIGINT) AS n_tokens
 FROM conversations GROUP BY conv_id""")
 def q_dialog_tokens(spark, sf):
-    c = fx.table(spark, sf, "conversations")
-    d = c.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("dialog"))
-    return d.select("conv_id", dialog_tokens("dialog", "gpt-4").alias("n_tokens"))
+    return conversation_tokens(fx.table(spark, sf, "conversations"), "conv_id", content="text", judge_model="gpt-4")

@@ -460,3 +460,20 @@ def answer_generation(spark, sf):
     return g.select("question_id", "model_id", F.size("model_answer").alias("n_answers"),
                     F.get("model_answer", 0).alias("answer_1"),
                     F.element_at("model_answer", -1).alias("answer_last"))
+
+
+@register("answer_turns", _sql(["questions"], f"""
+, t AS (SELECT question_id, category, question, unnest(range(len(question))) AS turn FROM questions)
+SELECT question_id, 'echo' AS model_id, CAST(turn AS INTEGER) AS turn,
+       {_ustrip_sql("'t=' || CAST(" + _GEN_TEMP + " AS VARCHAR) || ' n=' || CAST(2 * turn + 1 AS VARCHAR) || ' last=' || question[turn + 1]")} AS answer
+FROM t""".lstrip()))
+def answer_turns(spark, sf):
+    """Every turn of every question through the stored generation job."""
+    import uuid
+
+    from gradebook.plans.flows import generate_stored
+    from gradebook.session import checkpoint_dir, single_machine
+
+    path = f"{checkpoint_dir(spark, create_local_if_unset=single_machine(spark)).rstrip('/')}/tables/answer-turns-{uuid.uuid4().hex}"
+    g = generate_stored(fx.questions(spark, sf), U.echo_generator_factory(fx.STOP_MARKER), "echo", path, stop=fx.STOP_MARKER, retry_sleep=0.0)
+    return g.select("question_id", "model_id", F.posexplode("model_answer").alias("turn", "answer"))

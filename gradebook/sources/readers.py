@@ -96,28 +96,67 @@ def subject_counts(mc: DataFrame) -> DataFrame:
 RESULT_PATH = r"/([^/]+)/ntrain=([^/]+)/cot=([^/]+)/([^/]+)_res\.csv$"
 
 
-def read_mc_results(spark: SparkSession, root: str, exclude_models: list[str] | None = None) -> DataFrame:
+def _run_keys(path: Column) -> dict[str, Column]:
+    return {"model": F.regexp_extract(path, RESULT_PATH, 1), "ntrain": F.regexp_extract(path, RESULT_PATH, 2).cast("int"),
+            "cot": F.lower(F.regexp_extract(path, RESULT_PATH, 3)) == "true", "subject": F.regexp_extract(path, RESULT_PATH, 4)}
+
+
+def mc_run_checks(spark: SparkSession, root: str, exclude_models: list[str] | None = None) -> DataFrame:
+    """S8 leaf rule, per (model, ntrain, cot) run: ``n_files``, ``files`` and ``problem`` (null for a good run).
+
+    A good run has one file, and its header is the one that most runs have (of several, the smallest).  Only the first line of
+    each file is compared.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_res.csv").text(root)
+    p = F.col("_metadata.file_path")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    heads = lines.select(p.alias("file"), F.regexp_replace("value", "^\\x{feff}", "").alias("line"), place.alias("place")) \
+        .groupBy("file").agg(F.min_by("line", "place").alias("header"))
+    heads = heads.select("*", *[c.alias(k) for k, c in _run_keys(F.col("file")).items()])
+    if exclude_models:
+        heads = heads.filter(~F.col("model").isin(*exclude_models))
+    usual = heads.groupBy("header").agg(F.countDistinct("model", "ntrain", "cot").alias("n")).orderBy(F.desc("n"), "header").first()
+    runs = heads.groupBy("model", "ntrain", "cot").agg(
+        F.count("*").alias("n_files"), F.sort_array(F.collect_set("file")).alias("files"),       # the files of one folder
+        F.max(~F.col("header").eqNullSafe(usual["header"] if usual else None)).alias("other"))
+    problem = F.when(F.col("n_files") > 1, F.concat(F.col("n_files").cast("string"), F.lit(" result files in one run"))) \
+        .when(F.col("other"), F.lit("another header than the other runs"))
+    return runs.select("model", "ntrain", "cot", "n_files", "files", problem.alias("problem"))
+
+
+def read_mc_results(spark: SparkSession, root: str, exclude_models: list[str] | None = None, bad_runs: str = "raise") -> DataFrame:
     """``<root>/<model>/ntrain=<n>/cot=<b>/<subject>_res.csv`` result trees.
 
     The model level is not ``key=value``, so partition discovery cannot be used;
-    the run keys are parsed from each row's file path instead.
+    the run keys are parsed from each row's file path instead.  Runs that break the leaf rule (``mc_run_checks``) are an
+    error that names them, or with ``bad_runs="drop"`` are left out.  Columns are bound by the header that good runs share.
     """
-    df = (spark.read.option("recursiveFileLookup", "true").option("header", True).option("multiLine", True)
-          .option("escape", '"').option("pathGlobFilter", "*_res.csv").csv(root))
+    if bad_runs not in ("raise", "drop"):
+        raise ValueError("bad_runs is raise or drop")
+    checks = mc_run_checks(spark, root, exclude_models)
+    bad = checks.where("problem is not null").orderBy("model", "ntrain", "cot")
+    if bad_runs == "raise" and (some := bad.limit(5).collect()):
+        raise ValueError("; ".join(f"{r.model}/ntrain={r.ntrain}/cot={r.cot}: {r.problem} ({', '.join(r.files)})" for r in some))
+    reader = (spark.read.option("recursiveFileLookup", "true").option("header", True).option("multiLine", True)
+              .option("escape", '"').option("pathGlobFilter", "*_res.csv"))
+    good = checks.where("problem is null").select(F.explode("files").alias("file")).limit(1).collect()
+    if not good:
+        raise ValueError(f"no good runs under {root}")
+    # The columns are those of a good run's header; good runs all have it, others are not read below.
+    names = reader.csv(good[0]["file"]).columns
+    df = reader.schema(", ".join(f"`{c}` string" for c in names)).csv(root)
     p = F.col("_metadata.file_path")
-    out = df.select("*",
-                    F.regexp_extract(p, RESULT_PATH, 1).alias("model"),
-                    F.regexp_extract(p, RESULT_PATH, 2).cast("int").alias("ntrain"),
-                    (F.lower(F.regexp_extract(p, RESULT_PATH, 3)) == "true").alias("cot"),
-                    F.regexp_extract(p, RESULT_PATH, 4).alias("subject"),
-                    p.alias("result_file"),
-                    F.col("correct").cast("int").alias("correct_i"))
-    out = out.drop("correct").withColumnRenamed("correct_i", "correct")
+    keys = _run_keys(p)
+    correct = F.col("correct").cast("int") if bad_runs == "raise" else F.col("correct").try_cast("int")     # bad files are read, then dropped
+    out = df.select(*[c for c in names if c != "correct" and c not in keys], *[c.alias(k) for k, c in keys.items()], p.alias("result_file"),
+                    correct.alias("correct"))
     if exclude_models:
         out = out.filter(~F.col("model").isin(*exclude_models))
+    if bad_runs == "drop":
+        out = out.join(bad.select("model", "ntrain", "cot"), ["model", "ntrain", "cot"], "left_anti")
     return out
 
 
 def leaf_file_counts(results: DataFrame) -> DataFrame:
-    """S8 leaf rule: result files per (model, ntrain, cot) run folder."""
+    """Result files per (model, ntrain, cot) run folder, of rows already read."""
     return results.groupBy("model", "ntrain", "cot").agg(F.countDistinct("result_file").alias("n_files"))

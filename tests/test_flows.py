@@ -197,3 +197,78 @@ def test_pairs_from_single_gradings_resume(spark, tmpdir_):
     assert calls.value == before + 2 and len(second) == 6 and second[2, "x", "zzz", 2] == (3.0, 3.0, "tie", "tie")
     assert run(False) == second and calls.value == before + 2
     assert J.read(spark, root, J.PAIR).count() == 6
+
+
+def test_stored_generation_goes_on_at_the_first_missing_turn(spark, tmpdir_):
+    path = os.path.join(tmpdir_, "turns")
+    q = spark.createDataFrame([(1, "math", ["a", "b", "c"]), (2, "writing", ["a"]), (3, "coding", ["x", "y"]), (4, "stem", [])],
+                              "question_id long, category string, question array<string>")
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(broken):
+        def factory():
+            def gen(convs, temps):
+                calls.add(len(convs))
+                if any(c[-1][1] == broken for c in convs):
+                    raise RuntimeError("no")
+                return [f"{len(c)}:{c[-1][1]}:{t}</s>junk" for c, t in zip(convs, temps, strict=True)]
+            return gen
+        return factory
+
+    def run(broken=None):
+        out = flows.generate_stored(q, model(broken), "m", path, stop="</s>", max_retry=1, retry_sleep=0.0)
+        return {r.question_id: r.model_answer for r in out.collect()}
+
+    assert run("b") == {2: ["1:a:0.7"], 3: ["1:x:0.0", "3:y:0.0"], 4: []}            # question 1 stops before its second turn
+    before = calls.value
+    want = {1: ["1:a:0.0", "3:b:0.0", "5:c:0.0"], 2: ["1:a:0.7"], 3: ["1:x:0.0", "3:y:0.0"], 4: []}
+    assert run() == want and calls.value == before + 2                                 # the second and third turn of question 1 only
+    assert run() == want and calls.value == before + 2
+    assert spark.read.parquet(path).where("error is null").count() == 6
+
+
+def _instruction_models(spark, calls, stop_after=None):
+    import re
+
+    def generator():
+        def gen(batch):
+            out = []
+            for p in batch.iloc[:, 0]:
+                calls.add(1)
+                seeds = re.findall(r"(?m)^\d+\. (.*)$", p)
+                out.append("\n".join(f"{i}. {x}" for i, x in enumerate([*(s + " more" for s in seeds), seeds[0], seeds[0].upper()], 1)))
+            return out
+        return gen
+
+    def rater():
+        def rate(batch):
+            if stop_after is not None and calls.value is not None and len(batch):
+                raise RuntimeError("the rater is down")
+            score = lambda p: 5 if "more more" not in p else 2
+            return ['{"score": %d, "reason": "r", "modified_data": %s}' % (score(p), '"None"' if score(p) == 5 else
+                    '{"instruction": "rewritten %d", "input": "", "output": "o"}' % len(p)) for p in batch.iloc[:, 0]]
+        return rate
+
+    return generator, rater
+
+
+def test_instruction_rounds_repeat_nothing_and_resume(spark, tmpdir_):
+    import pytest
+    root = os.path.join(tmpdir_, "grow")
+    seeds = spark.createDataFrame([(f"seed {c}",) for c in "abcdefg"] + [("Seed A",)], "text string")
+    calls = spark.sparkContext.accumulator(0)
+    generator, down = _instruction_models(spark, calls, stop_after=0)
+    _, rater = _instruction_models(spark, calls)
+    options = dict(target=9, per_prompt=3, max_retry=1, retry_sleep=0.0)
+    with pytest.raises(RuntimeError, match="calls failed"):
+        flows.grow_instructions(seeds, generator, down, root, **options)
+    asked = calls.value
+    assert asked == 3                                                           # eight seeds in threes
+    out = flows.grow_instructions(seeds, generator, rater, root, **options).collect()
+    first = spark.read.parquet(os.path.join(root, "generated", "round=0"))
+    assert first.where("error is null").count() == 3 and first.count() == 3     # the first round's lists were not asked for again
+    texts = [r.instruction for r in out]
+    assert len(out) == 9 and len({t.lower() for t in texts}) == 9 and not {t.lower() for t in texts} & {f"seed {c}" for c in "abcdefg"}
+    assert {r.round for r in out} == {0, 1} and {r.decision for r in out} <= {"keep", "rewrite"}
+    n = calls.value
+    assert flows.grow_instructions(seeds, generator, rater, root, **options).collect() == out and calls.value == n

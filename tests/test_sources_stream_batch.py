@@ -72,6 +72,29 @@ def test_mc_results_tree(spark, tmpdir_):
     assert {r.n_files for r in R.leaf_file_counts(res).collect()} == {1}
 
 
+def test_runs_that_break_the_leaf_rule(spark, tmpdir_):
+    """Two files in a run, and a file whose columns are in another order: named in the error, or left out; never bound by position."""
+    root = os.path.join(tmpdir_, "result")
+
+    def put(model, subject, frame):
+        d = os.path.join(root, model, "ntrain=5", "cot=False")
+        os.makedirs(d, exist_ok=True)
+        frame.to_csv(os.path.join(d, f"{subject}_res.csv"), index=False)
+
+    good = pd.DataFrame({"id": [1, 2], "category": ["c\nd", "d"], "model_output": ["0", "1"], "correct": [1, 0]})
+    put("m1", "net", good)
+    put("m2", "net", good)
+    put("m3", "net", good[["id", "category", "correct", "model_output"]])
+    put("m4", "net", good)
+    put("m4", "os", good)
+    with pytest.raises(ValueError, match=r"m3/ntrain=5/cot=False: another header.*m4/ntrain=5/cot=False: 2 result files"):
+        R.read_mc_results(spark, root)
+    res = R.read_mc_results(spark, root, bad_runs="drop")
+    assert sorted((r.model, r.id, r.correct) for r in res.collect()) == [("m1", "1", 1), ("m1", "2", 0), ("m2", "1", 1), ("m2", "2", 0)]
+    assert R.read_mc_results(spark, root, exclude_models=["m3", "m4"]).count() == 4
+    assert {r.model: r.problem for r in R.mc_run_checks(spark, root).collect()}["m1"] is None
+
+
 def test_mc_csv_subjects(spark, tmpdir_):
     for subj, n in [("net", 3), ("db", 2)]:
         pd.DataFrame({"id": range(n), "question": ["q"] * n, "A": ["007"] * n, "B": ["b"] * n, "C": ["c"] * n,
