@@ -67,6 +67,21 @@ def test_a_cut_archive_is_an_error(spark, tmp_path):
         warc.read_archives(spark, str(tmp_path)).collect()
 
 
+def test_one_hot_page_and_responses_only(spark):
+    """One payload on 10,000 pages beside others; and pages that are all different.  Reading back joins nothing."""
+    from pyspark.sql import functions as F
+    folder = tempfile.mkdtemp(prefix="warc-")
+    hot = spark.range(10_000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("hot page " * 200).alias("html"))
+    own = spark.range(10_000, 10_300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("page " * 300), "id").alias("html"))
+    for name, pages, revisits in (("both", hot.union(own), 9999), ("own", own, 0)):
+        warc.write_archives(pages.repartition(4), f"{folder}/{name}")
+        out = warc.resolve(warc.read_archives(spark, f"{folder}/{name}"))
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+        rows = out.collect()
+        assert len(rows) == pages.count() and {r.refers_to for r in rows if r.record_type == "revisit"} == ({"9999"} if revisits else set())
+        assert sum(r.record_type == "revisit" for r in rows) == revisits and all(r.payload_bytes >= 1500 and len(r.payload_digest) == 40 for r in rows)
+
+
 def test_empty_and_clashing(spark):
     got, _ = round_trip(spark, [], 10)
     assert got == []
