@@ -10,7 +10,8 @@ ids too) are shuffled, dealt evenly by a running number, so neither a hot key no
 gathers in one task.  A task packs blocks of at most ``block`` pieces, so its memory is bounded at
 any input size; a block leaves few windows partly filled.
 
-Defined results: a null or empty text is the end id alone; repeated rows and ids, null ids included,
+Defined results: a null or empty text is the end id alone; a text of any length is cut into windows; pieces of equal length
+go in the order of the running number; repeated rows and ids, null ids included,
 are packed row by row; an empty table gives no pieces; other columns are not read.
 """
 
@@ -33,7 +34,7 @@ LONG_RUN = 2000
 
 
 def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """text -> ids of the byte-level BPE in a ``tokenizers`` file, special strings as ordinary text.
+    """text -> ids of the byte-level BPE in a ``tokenizers`` file, its special strings as their own ids.
 
     The file's vocabulary in merge order is a rank table, which ``tiktoken`` applies five times
     faster with the same result; the file's own library takes the texts with very long runs.
@@ -47,9 +48,9 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in printable}
     byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-    special = {t["content"] for t in spec.get("added_tokens", ())}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
     ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     blank, slow = re.compile(r"\s{%d}" % LONG_RUN), []
 
     def encode(text: str) -> np.ndarray:
@@ -57,9 +58,8 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
             if not slow:
                 from tokenizers import Tokenizer
                 slow.append(Tokenizer.from_file(path))
-                slow[0].encode_special_tokens = True
             return np.asarray(slow[0].encode(text, add_special_tokens=False).ids, "<u4")
-        return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        return fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
     return encode
 
