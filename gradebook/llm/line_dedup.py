@@ -1,8 +1,8 @@
 """Line deduplication across documents by a deletion-neighbourhood join.
 
-Lines are compared as lower-cased word sequences; lines of fewer than ``MIN_WORDS`` words are not
-touched, or with ``exact_words`` (down to that many words) only where they are equal.  A line goes when an earlier line (by document id, then line number) is equal to it or
-differs by one word: inserted, left out or replaced.  The earliest line of a set stays.
+Lines are compared as lower-cased word sequences.  A line goes when an earlier line (by document id, then line number) is equal to
+it, or, from ``MIN_WORDS`` words on, differs by one word: inserted, left out or replaced.  (One word of a shorter line is
+too much of it to call it the same.)  The earliest line of a set stays.  Lines without words stay.
 
 1. Equal lines are one class, kept at its earliest position (a minimum per 128-bit digest).
 2. Of two lines one edit apart, the first or the last half of the shorter one stands unchanged in the
@@ -19,7 +19,8 @@ and once more to rebuild the documents.
 
 Defined results: null texts stay null; rows of equal id and text are one document and get equal
 results; a null id comes before all others; an empty table gives no rows; line ends other than a
-line feed belong to the line; other columns pass through.
+line feed belong to the line; texts of any length are taken whole; other columns pass through, except that ``_line_count`` and
+``_removed_lines`` are replaced.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def within_one(a: list, b: list) -> bool:
     return a[i + 1:] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1:]
 
 
-def _line_keys(kind: str, min_words: int, exact_words: int):
+def _line_keys(kind: str, min_words: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from xxhash import xxh3_64_intdigest as digest
@@ -80,7 +81,7 @@ def _line_keys(kind: str, min_words: int, exact_words: int):
             for i, text in enumerate(b.column(2)):
                 for k, line in enumerate(_lines(text.as_py())):
                     words = line.split()
-                    if len(words) >= exact_words:
+                    if words:
                         whole = b" ".join(words)
                         at.append(i)
                         no.append(k)
@@ -128,12 +129,11 @@ def _emit(batches: Iterator) -> Iterator:
                                               pa.array(np.concatenate(z) if z else np.zeros(0, np.int64))], ["pos", "gone", "z"])
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-                 exact_words: int | None = None) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, text_key, removed): the numbers, from 0, of the lines of each document that go."""
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("_text"))
-    lines = stored(texts.mapInArrow(*_line_keys(kind, min_words, min_words if exact_words is None else exact_words)), "lines")
+    lines = stored(texts.mapInArrow(*_line_keys(kind, min_words)), "lines")
     pos = F.struct("id", "text_key", "no")
     classes = lines.groupBy("h1", "h2").agg(F.min(pos).alias("pos"), *[F.first(f"k{i}").alias(f"k{i}") for i in range(4)])
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "line-classes")
@@ -169,15 +169,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return gone.groupBy("id", "text_key").agg(F.collect_set("no").alias("removed"))       # at most a document's lines
 
 
-def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-                 exact_words: int | None = None) -> DataFrame:
+def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the repeated lines, and with _line_count and _removed_lines (of the text as it came)."""
-    removed = repeated_lines(docs, id_col, text_col, min_words, exact_words).toDF("__rid", "__rkey", "__removed")
-    key = F.xxhash64(F.col(text_col))
-    out = docs.join(removed, (key == F.col("__rkey")) & F.col(id_col).eqNullSafe(F.col("__rid")), "left").drop("__rid", "__rkey")
-    lines = F.split(F.col(text_col), "\n", -1)
-    out = out.withColumn("_line_count", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    out = out.withColumn("__lines", F.when(F.col("__removed").isNotNull(), lines))
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(__lines) - 1), __removed), i -> __lines[i]), '\n')")
-    return (out.withColumn(text_col, F.when(F.col("__removed").isNotNull(), kept).otherwise(F.col(text_col)))
-            .withColumn("_removed_lines", F.coalesce(F.size("__removed"), F.lit(0)).cast("long")).drop("__lines", "__removed"))
+    removed = repeated_lines(docs, id_col, text_col, min_words).toDF("_rid_", "_rkey_", "_gone_")
+    inner = F.struct(*docs.columns).alias("_doc_")                    # so that no column of the input clashes with these
+    out = docs.select(inner, F.xxhash64(text_col).alias("_tkey_")).join(
+        removed, (F.col("_tkey_") == F.col("_rkey_")) & F.col(f"_doc_.`{id_col}`").eqNullSafe(F.col("_rid_")), "left")
+    lines = F.split(F.col(f"_doc_.`{text_col}`"), "\n", -1)
+    out = out.select("_doc_", "_gone_", F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_n_"), F.when(F.col("_gone_").isNotNull(), lines).alias("_all_"))
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(_all_) - 1), _gone_), i -> _all_[i]), '\n')")
+    text = F.when(F.col("_gone_").isNotNull(), kept).otherwise(F.col(f"_doc_.`{text_col}`"))
+    rest = [c for c in docs.columns if c not in ("_line_count", "_removed_lines")]
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"_doc_.`{c}`").alias(c) for c in rest],
+                      F.col("_n_").alias("_line_count"), F.coalesce(F.size("_gone_"), F.lit(0)).cast("long").alias("_removed_lines"))

@@ -55,10 +55,11 @@ WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, i, lines[i] AS line, regexp_extract_all(
         translate(lines[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
       FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
-c AS (SELECT words, min({'d': doc_id, 'i': i}) AS pos FROM l WHERE len(words) >= 8 GROUP BY words),
+c AS (SELECT words, min({'d': doc_id, 'i': i}) AS pos FROM l WHERE len(words) > 0 GROUP BY words),
+m AS (SELECT * FROM c WHERE len(words) >= 8),
 v AS (SELECT pos, g, len(words) AS n, array_to_string(list_concat(words[:g - 1], words[g + 1:]), ' ') AS z
-      FROM (SELECT pos, words, unnest(range(1, len(words) + 1)) AS g FROM c)),
-w AS (SELECT pos, array_to_string(words, ' ') AS z FROM c),
+      FROM (SELECT pos, words, unnest(range(1, len(words) + 1)) AS g FROM m)),
+w AS (SELECT pos, array_to_string(words, ' ') AS z FROM m),
 swap AS (SELECT pos, min(pos) OVER (PARTITION BY z, g, n) AS partner FROM v),
 near AS (SELECT pos FROM swap WHERE partner < pos
          UNION SELECT v.pos FROM v JOIN w ON v.z = w.z WHERE w.pos < v.pos
@@ -76,7 +77,7 @@ FROM documents LEFT JOIN t USING (doc_id)
 
 @query("op2_line_dedup", _LINES_SQL)
 def op2_line_dedup(spark, sf_dir):
-    """All documents without lines that repeat, or differ by one word from, an earlier line."""
+    """All documents without lines that repeat an earlier line or, from 8 words on, differ from one by one word."""
     out = line_dedup.dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_line_count").alias("n_lines"), F.col("_removed_lines").alias("n_removed_lines"), F.md5(F.encode("text", "UTF-8")).alias("text_md5"),
                       F.length("text").cast("long").alias("n_chars"))

@@ -18,16 +18,16 @@ def distance(a, b):
 
 
 def brute(docs, least):
-    """Every line against every earlier one."""
+    """Every line with words against every earlier one: equal, or both of ``least`` words and one word apart."""
     lines = []
     for id_, text in {(d[0], d[1]) for d in docs}:
         for no, line in enumerate((text or "").split("\n")):
             words = line.encode().lower().split()
-            if len(words) >= least:
+            if words:
                 lines.append(((id_ is not None, id_ or 0), no, text, words))
     gone = set()
     for p in lines:
-        if any(q[:2] < p[:2] and (q[3] == p[3] or abs(len(q[3]) - len(p[3])) <= 1 and distance(q[3], p[3]) <= 1) for q in lines):
+        if any(q[:2] < p[:2] and (q[3] == p[3] or min(len(q[3]), len(p[3])) >= least and abs(len(q[3]) - len(p[3])) <= 1 and distance(q[3], p[3]) <= 1) for q in lines):
             gone.add((p[0], p[2], p[1]))
     return sorted(str((id_, None if text is None else "\n".join(x for no, x in enumerate(text.split("\n"))
                                                               if ((id_ is not None, id_ or 0), text, no) not in gone))) for id_, text in docs)
@@ -72,5 +72,15 @@ def test_odd_empty_and_clashing(odd_docs, no_docs, clashing_docs):
     got = line_dedup.dedupe_lines(odd_docs).collect()
     assert sorted(str((r.doc_id, r.text)) for r in got) == brute([(r.doc_id, r.text) for r in odd_docs.collect()], 8)
     assert line_dedup.dedupe_lines(no_docs).count() == 0
-    out = line_dedup.dedupe_lines(clashing_docs)
+    from pyspark.sql import functions as F
+    own = {c: F.lit(f"own {c}") for c in ("_line_count", "_removed_lines", "__lines", "__removed", "_all_", "_gone_", "_doc_", "_n_", "_tkey_", "_rid_")}
+    out = line_dedup.dedupe_lines(clashing_docs.withColumns(own))
     assert set(clashing_docs.columns) <= set(out.columns) and out.count() == clashing_docs.count()
+    first = out.first()
+    assert all(first[c] == f"own {c}" for c in own if c not in ("_line_count", "_removed_lines")) and first._line_count >= 0
+
+
+def test_no_equal_line_stays_on_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    left = [tuple(x.lower().split()) for r in line_dedup.dedupe_lines(docs).collect() for x in (r.text or "").encode().split(b"\n")]
+    assert len([x for x in left if x]) == len({x for x in left if x}) > 0
