@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept and
 returns a DataFrame, which ``run`` writes as Parquet to the shared folder and reads again for the
 next one.  All but the last return the columns of the documents.
+
+Defined results: a document with a null or blank text has no language and goes in the second stage; texts of any length are
+taken whole; rows of equal id and text count as one document from the fourth stage on; an empty table stays empty; other
+columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,29 +19,44 @@ from gradebook.llm.common import stored, table, without_space
 from gradebook.llm.queries import tokenizer_path
 
 
+#: A document that keeps less than this share of its characters (white space aside) when repeated lines go was a copy for the most part.
+LEAST_LEFT = 0.5
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column has."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least the threshold go; the models learn from the table of labels."""
     scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, scorer, name="_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    name = _free(docs, "_toxicity")
+    return toxicity.score(docs, scorer, name=name).where(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or unlike the labelled documents of their most probable language, go."""
     rows = language_id.sample(docs)
     gate = None if rows is None else language_id.Gate(rows)
-    found = language_id.predict(docs, language_id.fit(rows), lang="_lang_pred", score="_lang_score", gate=gate)
-    return found.where(F.col("_lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    lang, score = _free(docs, "_lang_pred"), _free(docs, "_lang_score")
+    found = language_id.predict(docs, language_id.fit(rows), lang=lang, score=score, gate=gate)
+    return found.where(F.col(lang) != language_id.UNKNOWN).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line (those of at least ``MIN_WORDS`` words: or nearly so) go; a document that loses all its words goes with them."""
-    out = line_dedup.dedupe_lines(docs, exact_words=1)
-    out = out.where((F.col("_removed_lines") == 0) | (F.length(without_space(F.col("text"))) > 0))
+    """Lines that repeat an earlier line go, from ``MIN_WORDS`` words on also those that nearly do.  A document that keeps less than
+    ``LEAST_LEFT`` of itself, or no word, goes with them: fragments of a copy are no document, and the next stage could not
+    tell them from one."""
+    rows = line_dedup.dedupe_lines(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
+    size = lambda c: F.length(without_space(F.col(c)))
+    rows = rows.where((F.col("_removed_lines") == 0) | (size("text") >= F.greatest(F.lit(1), F.ceil(size("row.text") * LEAST_LEFT))))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_removed_lines") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("_removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
