@@ -42,6 +42,7 @@ BUCKET_BYTES = 32 << 20
 BUCKET_LIMIT = 96 << 20
 PART_BYTES = 4 << 20
 STEP = 1 << 18
+MAX_TASKS = 100_000
 LAST = (1 << 63) - 1                          # the order of a null id
 _MULT = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                   0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
@@ -381,10 +382,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets = max(1, -(-4 * total // bucket_bytes))              # fragments overlap: some four times the text
     sent, limit = texts.mapInArrow(_cut(buckets, length, gram), _PACK), bucket_limit
+    tasks = min(buckets, MAX_TASKS)
     found = None
     while sent is not None:
-        # Spans ride along, spread by their document; packs meet by bucket.
-        dealt = sent.repartition(F.coalesce("bucket", F.xxhash64("doc", "row"))).sortWithinPartitions("bucket")
+        # Packs meet by bucket, and the buckets are dealt evenly over the tasks; spans ride along, spread by their document.
+        task = F.pmod(F.coalesce("bucket", F.xxhash64("doc", "row")), F.lit(tasks)).cast("int")
+        dealt = sent.withColumn("task", task).repartitionById(tasks, "task").drop("task").sortWithinPartitions("bucket")
         judged = stored(dealt.mapInArrow(_judged(buckets, length, limit), _PACK), "spans")
         spans = judged.where("bucket is null").select("doc", "row", "start", "end")
         found = spans if found is None else found.union(spans)
