@@ -6,8 +6,8 @@ backwards, and a softmax layer labels every byte position with language probabil
 states.  A document's probabilities are the mean over all positions of its whole text.
 
 The network is trained in numpy by backpropagation through time on a bounded sample: at most about
-``DOCS_PER_LANG`` documents a language (a fixed share of the ids by hash) and ``WINDOWS_PER_DOC``
-windows spread evenly over each whole text; languages weigh the same.  Labelling is a map over the
+``DOCS_PER_LANG`` documents a language and ``MAX_DOCS`` in all (a fixed share of the ids by hash) and ``WINDOWS_PER_DOC``
+windows spread evenly over each whole text; languages weigh the same, and a step grows with their number.  Labelling is a map over the
 input: a task labels each distinct window once, keeps up to ``CACHE`` of them, and adds up the
 windows of each text.  No text is shuffled.
 
@@ -17,8 +17,7 @@ is ``und``.  Floors come from the labelled documents' own values, each under the
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without training rows
 every text is; of equal probabilities the first language in order wins; repeated rows repeat their
-result; rows with a null language or id do not train, nor do those of any but the
-``MAX_LANGS`` most frequent languages, which get one of the learned ones.
+result; rows with a null language or id do not train.  Every other language is learned, however rare.
 """
 
 from __future__ import annotations
@@ -33,9 +32,12 @@ from pyspark.sql import functions as F
 WINDOW = 24
 HIDDEN = 10
 DOCS_PER_LANG = 800
-MAX_LANGS = 500
+#: Documents in the sample of all languages; with more than MAX_DOCS / DOCS_PER_LANG languages each has an equal part, one at least.
+MAX_DOCS = 20_000
 WINDOWS_PER_DOC = 48
 STEPS, BATCH, RATE = 160, 768, 0.02
+#: Windows of each language in a step, at least.
+LEAST = 48
 CACHE = 200_000
 #: The gate: codes of bytes, bytes of the language's usual value added to every text, and the floor's distance
 #: below the median of the labelled documents, in distances from the median to the lowest hundredth.
@@ -144,7 +146,7 @@ class BiGRU:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         for step in range(1, steps + 1):
-            pick = np.concatenate([rng.choice(r, max(1, batch // len(rows))) for r in rows])
+            pick = np.concatenate([rng.choice(r, max(LEAST, batch // len(rows))) for r in rows])
             top = length[pick].max()
             _, grad = self.loss_and_gradients(x[pick, :top].T, length[pick], y[pick])
             lr = rate * (1 - step / (steps + 1))
@@ -269,11 +271,12 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """(lang, doc, win) windows of the bounded sample of the documents with a language, as a pandas table; None without any."""
     docs = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     docs = docs.where("_key is not null and _lang is not null")
-    n = docs.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGS).collect()
+    n = docs.groupBy("_lang").count().orderBy("_lang").collect()               # a row a language, as the network's output
     if not n:
         return None
     steps = 1_000_000
-    share = F.create_map(*[F.lit(x) for r in n for x in (r["_lang"], min(steps, steps * DOCS_PER_LANG // r["count"]))])
+    each = min(DOCS_PER_LANG, max(1, MAX_DOCS // len(n)))
+    share = F.create_map(*[F.lit(x) for r in n for x in (r["_lang"], min(steps, -(-steps * each // r["count"])))])
 
     def cut(batches: Iterator) -> Iterator:
         import pandas as pd
