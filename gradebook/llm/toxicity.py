@@ -12,9 +12,9 @@ A document's statistic is the difference of the two log-likelihoods, normalised
 statistics of labelled documents, each under models of the other folds' labels, are turned
 into probabilities by monotone regression.
 
-Fitting uses at most about ``MAX_ROWS`` labelled rows (a fixed share of the ids by hash) and keeps
-at most ``MAX_GRAMS`` words and as many pairs, so the model has a bounded size whatever the corpus
-has; counting runs in Spark.  Scoring is a map over whole texts; no text is shuffled.
+Fitting uses at most about ``MAX_ROWS`` labelled rows: the rarer class first, up to half of them, then the other (a fixed
+share of the ids of each by hash; calibration weighs the classes as they are).  Every expression of these rows that
+prefers the smaller class is kept, so the model has a bounded size whatever the corpus has; counting runs in Spark.  Scoring is a map over whole texts; no text is shuffled.
 
 Defined results: null and empty texts have statistic 0 and the probability that goes with it;
 without labels of both classes every score is the share of toxic labels (0 if there are none);
@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from gradebook.llm.common import stored
 
 MAX_ROWS = 20_000
-MAX_GRAMS = 200_000
 DOCS, TIMES = 5, 4
 STEMS = range(10, 3, -1)   # lengths of word beginnings
 FOLDS = 4
@@ -147,12 +146,12 @@ class Model:
         return out
 
 
-def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots of a rising curve through the means of ``y`` along ``x``."""
+def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: knots of a rising curve through the weighted means of ``y`` along ``x``."""
     order = np.argsort(x, kind="stable")
-    blocks: list[list[float]] = []            # sum of y, sum of x, rows
-    for a, b in zip(x[order], y[order], strict=True):
-        blocks.append([b, a, 1])
+    blocks: list[list[float]] = []            # sums of y, of x and of weights
+    for a, b, w in zip(x[order], y[order], weight[order], strict=True):
+        blocks.append([b * w, a * w, w])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][2] >= blocks[-1][0] * blocks[-2][2]:
             s, t, n = blocks.pop()
             blocks[-1][0] += s
@@ -177,7 +176,7 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        max_rows: int = MAX_ROWS, max_grams: int = MAX_GRAMS) -> Scorer:
+        max_rows: int = MAX_ROWS) -> Scorer:
     """Fit on the labelled documents of ``labels`` (id, label 0 or 1)."""
     spark = docs.sparkSession
     lab = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(
@@ -187,10 +186,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(n) < 2:
         return Scorer(None, np.zeros(1), np.array([float(1 in n)]))
     steps = 1_000_000
-    share = min(steps, steps * max_rows // sum(n.values()))
-    lab = lab.where(F.pmod("_hash", F.lit(steps)) < share).withColumn(
+    few, many = sorted(n, key=lambda c: (n[c], -c))
+    take = {few: min(n[few], max_rows // 2)}
+    take[many] = min(n[many], max_rows - take[few])
+    share = {c: min(steps, -(-steps * take[c] // n[c])) for c in n}
+    lab = lab.where(F.pmod("_hash", F.lit(steps)) < F.when(F.col("_toxic") == 1, share[1]).otherwise(share[0])).withColumn(
         "_fold", F.pmod(F.shiftright("_hash", 32), F.lit(FOLDS)).cast("int"))
-    # The sample has about max_rows rows at most, so it can be broadcast: no text is shuffled.
+    # The sample has about max_rows ids at most, one row each (a text with both labels counts as toxic), so it can be broadcast:
+    # no text is shuffled.
+    lab = lab.groupBy("_key", "_fold").agg(F.max("_toxic").alias("_toxic"))
     rows = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(
         F.broadcast(lab.select("_key", "_toxic", "_fold")), "_key")
     rows = stored(rows, "toxicity-sample")
@@ -205,11 +209,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     part = sums[less] / sum(sums.values())
 
     def telling(df: DataFrame, docs_col: str, *keys: str) -> pd.DataFrame:
-        """The expressions that prefer the smaller class: at most max_grams, the most frequent first."""
+        """The expressions that prefer the smaller class; as many as the bounded sample has."""
         out = df.groupBy(*keys).agg(F.sum(F.when(F.col("toxic") == less, F.col(docs_col)).otherwise(0)).alias("seen"),
                                     (F.sum(docs_col) * part).alias("expected"))
         out = out.where((F.col("seen") >= DOCS) & (F.col("seen") >= F.col("expected") * min(TIMES, 0.8 / part)))
-        return out.orderBy(F.desc("seen"), *keys).limit(max_grams).select(*keys).toPandas()
+        return out.orderBy(F.desc("seen"), *keys).select(*keys).toPandas()
 
     by_word = counts.groupBy("w", "toxic").agg(F.sum("d").alias("d"))
     full = telling(by_word, "d", "w")
@@ -243,7 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame({"x": s, "y": b["_toxic"].astype(float)})
 
     seen = rows.select("_text", "_toxic", "_fold").mapInPandas(held, "x double, y double").toPandas()  # about max_rows rows
-    return Scorer(Model(vocab, *tables, None), *monotone(seen["x"].to_numpy(), seen["y"].to_numpy()))
+    y = seen["y"].to_numpy()
+    return Scorer(Model(vocab, *tables, None), *monotone(seen["x"].to_numpy(), y, np.where(y == 1, steps / share[1], steps / share[0])))
 
 
 def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", name: str = "score") -> DataFrame:
