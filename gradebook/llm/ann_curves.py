@@ -7,9 +7,10 @@ within a window of ranks around its own place on every curve.  Blocks of ``BLOCK
 are scored against the queries whose windows touch them, the best of all blocks and curves merge, and
 the final few are scored again in double precision on the original vectors.
 
-The window is fitted: on a sample of at most about ``SAMPLE`` vectors, it is the share of the ranks
-within which ``TARGET`` of the true neighbours lie on at least one curve.  Clustered data need
-narrow windows; data without structure need wide ones.
+The window is a number of ranks, fitted on all rows: ``SAMPLE_QUERIES`` sampled vectors are held against every row for their true
+neighbours, and the window is the distance in ranks within which ``TARGET`` of these lie on at least one curve.  Clustered
+data need a window of about a cluster, however many clusters there are, so that the work grows with the rows; data without
+structure need a share of all ranks.
 
 Equal vectors are one class.  Only the ``k + 1`` smallest ids of a class can be among anyone's k
 nearest, so a class of any size costs that many rows, and equal queries are searched once.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gradebook.llm.common import stored
+from gradebook.llm.common import join_hot, stored
 
 CURVES, DIMS, BITS = 8, 8, 4
 SAMPLE, SAMPLE_QUERIES, TARGET = 4096, 512, 0.95
@@ -84,22 +85,6 @@ class Curves:
         return [hilbert_keys(np.clip(np.floor((unit @ a - low) / w), 0, (1 << self.bits) - 1), self.bits)
                 for a, low, w in zip(self.axes, self.low, self.width, strict=True)]
 
-    def window(self, sample: np.ndarray, k: int, target: float) -> float:
-        """The share of ranks on either side within which ``target`` of the sample's neighbours lie on some curve."""
-        n = len(sample)
-        if n <= k + 1:
-            return 1.0
-        q = np.linspace(0, n - 1, min(n, SAMPLE_QUERIES)).astype(int)
-        near = sample[q] @ sample.T
-        near[np.arange(len(q)), q] = -np.inf
-        top = np.argpartition(-near, k, axis=1)[:, :k]
-        off = np.full(top.shape, n)
-        for key in self.keys(sample):
-            rank = np.empty(n, np.int64)
-            rank[np.argsort(key, kind="stable")] = np.arange(n)
-            off = np.minimum(off, np.abs(rank[top] - rank[q][:, None]))
-        return float(np.quantile(off, target)) / n
-
 
 def _unit(vectors) -> np.ndarray:
     x = np.stack([np.asarray(v, np.float64) for v in vectors])
@@ -116,6 +101,32 @@ def usable(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return x.where(F.size("vec") == (size["n"] if size else 0))
 
 
+def true_neighbours(classes: DataFrame, asked: np.ndarray, own: np.ndarray, k: int) -> DataFrame:
+    """(q, cls): the k nearest classes of each of the few vectors ``asked`` (unit, with their classes ``own``) among all, block by block."""
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            score = asked @ _unit(b["vec"]).T
+            score[own[:, None] == b["cls"].to_numpy()] = -np.inf
+            m = min(k, len(b))
+            top = np.argpartition(-score, m - 1, axis=1)[:, :m]
+            found = pd.DataFrame({"q": np.repeat(own, m), "cls": b["cls"].to_numpy()[top].ravel(), "near": np.take_along_axis(score, top, 1).ravel()})
+            yield found[np.isfinite(found["near"])]
+
+    best = Window.partitionBy("q").orderBy(F.desc("near"), "cls")
+    found = classes.select("cls", "vec").mapInPandas(near, "q long, cls long, near double")
+    return found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select("q", "cls")
+
+
+def fitted_window(ranked: DataFrame, pairs: DataFrame, target: float) -> int:
+    """The ranks on either side within which ``target`` of the pairs (q, cls) lie on some curve; ``ranked``: curve, cls, rank."""
+    a = ranked.select("curve", F.col("cls").alias("q"), F.col("rank").alias("at"))
+    off = pairs.join(a, "q").join(ranked, ["curve", "cls"]).groupBy("q", "cls").agg(F.min(F.abs(F.col("rank") - F.col("at"))).alias("off"))
+    offs = off.select("off").toPandas()["off"].to_numpy()                   # SAMPLE_QUERIES * k at most
+    return int(np.ceil(np.quantile(offs, target))) if len(offs) else 0
+
+
 def _ranked(rows: DataFrame) -> DataFrame:
     """(curve, key, cls) rows with their rank from 0 on their curve."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -137,7 +148,7 @@ def neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     few = rows.distinct().withColumn("nth", F.row_number().over(smallest)).where(F.col("nth") <= k + 1)
     few = few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))            # k + 1 at most
     asked = rows.where(F.col("id") % query_every == 0)
-    some = asked.select("vec").distinct().withColumn("asked", F.lit(True))
+    some = asked.distinct().groupBy("vec").agg(F.count("*").alias("n_asked")).withColumn("asked", F.lit(True))
     classes = stored(few.join(some, "vec", "left").withColumn("cls", F.monotonically_increasing_id()), "vectors")
     n = classes.count()
     out = "query_id long, rank int, vec_id long, score double"
@@ -146,10 +157,11 @@ def neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
 
     steps = 1_000_000
     picked = classes.where(F.pmod(F.xxhash64("vec"), F.lit(steps)) < max(1, steps * SAMPLE // n)) if n > SAMPLE else classes
-    sample = picked.select("vec").toPandas()["vec"]                                          # about SAMPLE rows at most
-    sample = _unit(sorted(sample.tolist(), key=tuple)) if len(sample) else _unit([classes.first()["vec"]])
-    curves = Curves(sample)
-    half = int(np.ceil(curves.window(sample, k, target) * n)) + 2 * k
+    sample = picked.select("cls", "vec").toPandas()                                          # about SAMPLE rows at most
+    if not len(sample):
+        sample = classes.limit(1).select("cls", "vec").toPandas()
+    sample = sample.assign(key=[tuple(v) for v in sample["vec"]]).sort_values("key")
+    curves = Curves(_unit(sample["vec"]))
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -157,7 +169,9 @@ def neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
                 for c, key in enumerate(curves.keys(_unit(b["vec"]))):
                     yield pd.DataFrame({"curve": c, "key": key, "cls": b["cls"]})
 
-    ranked = _ranked(classes.select("cls", "vec").mapInPandas(keyed, "curve int, key long, cls long"))
+    ranked = stored(_ranked(classes.select("cls", "vec").mapInPandas(keyed, "curve int, key long, cls long")), "places")
+    some = sample.iloc[np.linspace(0, len(sample) - 1, min(len(sample), SAMPLE_QUERIES)).astype(int)]
+    half = fitted_window(ranked, true_neighbours(classes, _unit(some["vec"]), some["cls"].to_numpy(), k), target) + 2 * k
     ranked = stored(ranked.join(classes.select("cls", "vec", "asked"), "cls"), "ranks")
     queries = ranked.where("asked").select("curve", F.explode(F.sequence(
         F.floor(F.greatest(F.col("rank") - half, F.lit(0)) / BLOCK), F.floor(F.least(F.col("rank") + half, F.lit(n - 1)) / BLOCK))).alias("block"),
@@ -199,7 +213,11 @@ def neighbours(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     exact = exact.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1)
 
-    ask = asked.distinct().join(classes.select("vec", F.col("cls").alias("q")), "vec").select(F.col("id").alias("query_id"), "q")
-    out = ask.join(exact, "q").where("vec_id != query_id")
+    # Any number of queries may share a vector, and so a class and its answer.
+    ask = join_hot(asked.distinct(), classes.where("asked").select("vec", F.col("cls").alias("q"), "n_asked"), "vec", "n_asked")
+    answers = exact.groupBy("q").agg(F.collect_list(F.struct("score", "vec_id")).alias("near")).join(      # k + 1 each
+        classes.where("asked").select(F.col("cls").alias("q"), "n_asked"), "q")
+    out = join_hot(stored(ask.select(F.col("id").alias("query_id"), "q"), "asked"), stored(answers, "answers"), "q", "n_asked")
+    out = out.select("query_id", F.explode("near").alias("x")).select("query_id", "x.score", "x.vec_id").where("vec_id != query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -76,3 +76,24 @@ def test_odd_rows_take_no_part(spark):
     assert ann_curves.neighbours(table.limit(0)).count() == 0
     assert ann_curves.neighbours(table.where("vec_id = 0")).count() == 0
     assert ann_curves.neighbours(table.where("vec_id = 3")).count() == 0
+
+
+@pytest.mark.parametrize("clusters", [40, 160])
+def test_the_window_follows_the_clusters_not_the_rows(spark, clusters):
+    """Four times the clusters of one size need no wider window, and recall holds."""
+    rng = np.random.default_rng(clusters)
+    centres = rng.normal(size=(clusters, 16))
+    rows = [(i, (centres[i % clusters] + rng.normal(size=16) * 0.05).tolist()) for i in range(clusters * 25)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    seen = []
+    fit = ann_curves.fitted_window
+    try:
+        ann_curves.fitted_window = lambda *a: seen.append(fit(*a)) or seen[-1]
+        got = {}
+        for r in ann_curves.neighbours(table).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+    finally:
+        ann_curves.fitted_window = fit
+    want = brute(rows, 5, 50)
+    assert seen[0] <= 80
+    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 5 for q in want]) >= 0.9
