@@ -33,17 +33,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradebook.llm.common import stored
+from gradebook.llm.common import join_hot, stored
 
 WORDS = 5
 PERCENT = 75
 TABLES = 12
-#: Bits of 192 in which sketches at the threshold differ by more once in about 3 million pairs.
-SKETCH_BITS = 59
-#: A list of wanted texts up to this length is broadcast (40 bytes a row); a longer one is shuffled.
+#: Bits of 192 in which sketches at the threshold differ by more once in about a million pairs.
+SKETCH_BITS = 62
+#: A list of wanted texts up to this length is broadcast (40 bytes a row); a longer one is shuffled, and the texts with it.
 BROADCAST_ROWS = 500_000
-#: Classes on either side of a block of comparisons.
+#: Classes on either side of a block of sketches, and shingles on either side of a block of full sets.
 BLOCK = 4096
+SET_BLOCK = 1 << 21
 CACHE = 300_000
 _MULT = np.random.default_rng(11).integers(1 << 62, size=WORDS + 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -157,13 +158,15 @@ def different_buckets(buckets: DataFrame) -> DataFrame:
     return buckets.join(sets.groupBy("n", "m0", "m1").agg(F.min("key").alias("key")).select("key"), "key", "left_semi").select("cls", "key")
 
 
-def _dealt(buckets: DataFrame, roots: DataFrame, side: DataFrame) -> DataFrame:
+def _dealt(buckets: DataFrame, roots: DataFrame, side: DataFrame, weight: str, block: int) -> DataFrame:
     """Rows of the buckets with several components, sorted by (key, block, deal): the members dealt over blocks
-    (asks 0), and again those outside the largest component dealt over deals (asks 1); each block meets each deal."""
-    placed = buckets.join(roots, "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    (asks 0), and again those outside the largest component dealt over deals (asks 1); each block meets each deal.
+    Blocks and deals hold about ``block`` of ``weight``, a column of ``side``."""
+    known = side.select("cls", F.expr(weight).cast("long").alias("_w"))
+    placed = buckets.join(known, "cls").join(roots, "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"), "_w")
+    sizes = placed.groupBy("key", "root").agg(F.sum("_w").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("x"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
-    parts = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
+    parts = lambda n: F.greatest(F.ceil(n / F.lit(block)), F.lit(1)).cast("long")
     mixed = mixed.select("key", F.col("x.root").alias("main"), parts(F.col("n")).alias("blocks"), parts(F.col("n") - F.col("x.n")).alias("deals"))
     members = placed.join(mixed, "key")
     hashed = lambda n: F.pmod(F.xxhash64("cls"), F.col(n))
@@ -299,8 +302,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # min over (is null, id, row): the smallest id that is not null, one row of it.
     best = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     rep = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"), "_text_key", "_n", "_half", "_s0", "_s1", "_s2"))
-    classes = full.groupBy("_set").agg(rep.alias("r")).select(
-        "_set", F.struct("r.none", "r.id", "r.row").alias("best"), F.col("r.row").alias("cls"), *[f"r.{c}" for c in ("_text_key", "_n", "_half", "_s0", "_s1", "_s2")])
+    classes = full.groupBy("_set").agg(rep.alias("r"), F.count("*").alias("n")).select(
+        "_set", "n", F.struct("r.none", "r.id", "r.row").alias("best"), F.col("r.row").alias("cls"), *[f"r.{c}" for c in ("_text_key", "_n", "_half", "_s0", "_s1", "_s2")])
     classes = stored(classes, "classes")
     side = classes.select("cls", "_n", "_s0", "_s1", "_s2")
 
@@ -317,17 +320,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = sets_of(closest.select("a").union(closest.select("b")).toDF("cls").distinct())
     links = stored(_confirmed(closest, sets), "links")
     roots = components(links)
-    near = stored(_dealt(stored(different_buckets(buckets), "different"), roots, side).mapInArrow(_with_near_foreign, "cls long, key long").distinct(), "near")
+    near = stored(_dealt(stored(different_buckets(buckets), "different"), roots, side, "1", BLOCK).mapInArrow(_with_near_foreign, "cls long, key long").distinct(), "near")
     if not near.isEmpty():
         sets = sets_of(near.select("cls").distinct())
-        more = _dealt(near, roots, sets).mapInArrow(_confirmed_links, "a long, b long").distinct()
+        more = _dealt(near, roots, sets, "size(_list)", SET_BLOCK).mapInArrow(_confirmed_links, "a long, b long").distinct()
         links = stored(links.union(more), "all-links")
         roots = components(links)
 
-    placed = classes.join(roots, "cls", "left").select("_set", "best", F.coalesce("root", "cls").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("best").alias("low"))
-    named = placed.join(lowest, "root").select("_set", "low")
-    out = full.join(named, "_set", "left").select(
+    # A component may hold any number of classes, and a class any number of rows: the names of large ones are broadcast.
+    placed = stored(classes.join(roots, "cls", "left").select("_set", "best", "n", F.coalesce("root", "cls").alias("root")), "placed")
+    lowest = stored(placed.groupBy("root").agg(F.min("best").alias("low"), F.count("*").alias("_classes")), "lowest")
+    named = stored(join_hot(placed.select("_set", "n", "root"), lowest, "root", "_classes").select("_set", "n", "low"), "named")
+    out = join_hot(full.select("_set", "_id", "_n", "_row", "_text_key"), named, "_set", "n").select(
         F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("low.id").alias("component_id"), (F.col("low.row") == F.col("_row")).alias("first"),
         F.col("_text_key").alias("text_key"))
     alone = rows.where("_n = 0").select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_id").alias("component_id"), F.lit(True).alias("first"), F.col("_text_key").alias("text_key"))
