@@ -40,9 +40,12 @@ _TURN = "IF(n_turns > 1, 2, 1)"
 def judge_pairwise(questions: DataFrame, answers: DataFrame, models: list[str], catalog: dict[str, dict],
                    judge_model: str, judge_factory: Callable, log: str, baseline: str | None = None,
                    refs: DataFrame | None = None, partitions: int | None = None, bench: str = J.NONE, iid: str = J.NONE,
-                   commit: str | None = None, **retry) -> DataFrame:
+                   commit: str | None = None, complete: bool = False, **retry) -> DataFrame:
     """Pairwise judging (all pairs, or each model against ``baseline``), both position orders, into the judgment log
-    ``log``.  Finished judgments of this bench, judge and run tag are not asked again; ``commit`` names the append."""
+    ``log``.  Finished judgments of this bench, judge and run tag are not asked again; ``commit`` names the append; with
+    ``complete`` a missing answer is an error (J1)."""
+    if complete:
+        M.assert_complete(questions, answers, [*models, *([baseline] if baseline else [])])
     if baseline is None:
         m = M.all_pair_matches(questions, answers, models, refs)
     else:
@@ -71,8 +74,11 @@ def judge_pairwise(questions: DataFrame, answers: DataFrame, models: list[str],
 
 def judge_single(questions: DataFrame, answers: DataFrame, models: list[str], catalog: dict[str, dict],
                  judge_model: str, judge_factory: Callable, log: str, refs: DataFrame | None = None,
-                 partitions: int | None = None, bench: str = J.NONE, iid: str = J.NONE, commit: str | None = None, **retry) -> DataFrame:
-    """Single-answer grading into the judgment log ``log``, resumable, with scores."""
+                 partitions: int | None = None, bench: str = J.NONE, iid: str = J.NONE, commit: str | None = None,
+                 complete: bool = False, **retry) -> DataFrame:
+    """Single-answer grading into the judgment log ``log``, resumable, with scores; with ``complete`` a missing answer is an error."""
+    if complete:
+        M.assert_complete(questions, answers, models)
     m = M.single_matches(questions, answers, models, refs)
     keys = J.KEYS[J.SINGLE]
     spark = questions.sparkSession

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gradebook import fixed
 from gradebook.operators import boards as B
 from gradebook.operators import verdicts as V
 from gradebook.operators.joins import attach_labels
@@ -43,8 +44,7 @@ def rating_extract(spark, sf):
     return V.with_rating(fx.single_log(spark, sf)).select("question_id", "model", "turn", "judgment", "score")
 
 
-_TWO = r"'\[\[(\d+\.?\d*),\s?(\d+\.?\d*)\]\]'"
-_TWO_B = r"'\[(\d+\.?\d*),\s?(\d+\.?\d*)\]'"
+_TWO, _TWO_B = f"'{fixed.TWO_SCORE_PATTERN}'", f"'{fixed.TWO_SCORE_PATTERN_BACKUP}'"
 
 
 @register("score_pair_verdict", with_views(["two_score_log"], f"""

@@ -369,7 +369,7 @@ def games_canonical(spark, sf):
     return _canon(spark, sf)
 
 
-_DJ_PROMPT = ("CASE WHEN category IN ('math', 'reasoning', 'coding') THEN 'pair-math-v1' ELSE 'pair-v2' END"
+_DJ_PROMPT = (f"CASE WHEN category IN ({', '.join(map(sql_literal, fixed.NEED_REF_CATS))}) THEN 'pair-math-v1' ELSE 'pair-v2' END"
               " || CASE WHEN n_turns > 1 THEN '-multi-turn' ELSE '' END")
 
 

@@ -54,14 +54,15 @@ def read_questions(spark: SparkSession, path: str, begin: int | None = None, end
 
 
 def read_answers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """S3: answer JSONL files, one per model; the model is the file stem.
+    """S3: answer JSONL files, one per model; the model is the file stem, or in a folder of ``writers.append_answers``
+    (whose file names tell nothing) the ``model_id`` of the row.
 
     ``answer`` is accepted as the reference-answer key (D1): ``model_answer`` is
     coalesced with it.
     """
     df = spark.read.schema(ANSWER_SCHEMA).json(paths)
     return df.select(
-        "question_id", stem(F.col("_metadata.file_path"), "jsonl").alias("model"),
+        "question_id", F.coalesce(F.nullif(stem(F.col("_metadata.file_path"), "jsonl"), F.lit("")), "model_id").alias("model"),
         F.coalesce("model_answer", "answer").alias("model_answer"), "tstamp", file_seq().alias("seq"))
 
 

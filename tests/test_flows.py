@@ -225,6 +225,23 @@ def test_stored_generation_goes_on_at_the_first_missing_turn(spark, tmpdir_):
     assert run() == want and calls.value == before + 2                                 # the second and third turn of question 1 only
     assert run() == want and calls.value == before + 2
     assert spark.read.parquet(path).where("error is null").count() == 6
+    # the answer log of the file layout, and back
+    from gradebook.sources import readers as R
+    from gradebook.sources import writers as W
+    log = os.path.join(tmpdir_, "answers")
+    done = flows.generate_stored(q, model(None), "m", path, stop="</s>", retry_sleep=0.0)
+    W.append_answers(done, log)
+    W.append_answers(done.where("question_id = 1"), log)
+    back = keep_last(R.read_answers(spark, log), ["question_id", "model"])
+    assert {(r.model, r.question_id): r.model_answer for r in back.collect()} == {("m", k): v for k, v in want.items()}
+
+
+def test_complete_judging_needs_every_answer(spark, tmpdir_):
+    import pytest
+    q = spark.createDataFrame([(1, "stem", ["a"]), (2, "stem", ["b"])], "question_id long, category string, question array<string>")
+    a = spark.createDataFrame([(1, "x", ["t"]), (2, "x", ["t"]), (1, "y", ["t"])], "question_id long, model string, model_answer array<string>")
+    with pytest.raises(ValueError, match="missing model answers"):
+        flows.judge_pairwise(q, a, ["x", "y"], JP.as_dict(), "gpt-4", lambda: None, os.path.join(tmpdir_, "log"), complete=True)
 
 
 def _instruction_models(spark, calls, stop_after=None):
