@@ -18,7 +18,8 @@ the input; a task keeps up to ``CACHE`` units, and no text is shuffled.
 
 Defined results: a null text has null ids and decodes to null, an empty one has none; decoding gives
 back the text, except that U+2581, the model's sign for a blank, becomes a blank; unknown ids and
-control ids decode to nothing; repeated rows repeat their result; other columns pass through.
+control ids decode to nothing; repeated rows repeat their result; other columns pass through.  A text without
+blanks is one unit, so a task's memory grows with the longest such text; other texts of any length are cut at blanks.
 """
 
 from __future__ import annotations

@@ -2,11 +2,11 @@
 
 ``RULES`` names a measure and the closed range in which a document passes.  ``measures``
 computes the counts of every document in array expressions of one task (no shuffle);
-``quality_rules`` adds the ratios and the verdict.  Ratios are compared as products
+``quality_rules`` adds the verdict.  Ratios are not computed but compared as products
 (``count * 100 <= limit * total``), so no division by zero can occur.
 
 Defined results: a null, empty or blank text has no words, fails the base rule and is not
-kept; repeated rows give repeated results; further columns of the input are not read.
+kept; texts of any length are counted whole; a count at its limit passes; repeated rows give repeated results; further columns of the input are not read.
 """
 
 from __future__ import annotations
