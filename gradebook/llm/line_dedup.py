@@ -19,8 +19,8 @@ and once more to rebuild the documents.
 
 Defined results: null texts stay null; rows of equal id and text are one document and get equal
 results; a null id comes before all others; an empty table gives no rows; line ends other than a
-line feed belong to the line; texts of any length are taken whole; other columns pass through, except that ``_line_count`` and
-``_removed_lines`` are replaced.
+line feed belong to the line; texts of any length are taken whole; other columns pass through, except that ``_line_count``,
+``_removed_lines`` and ``_copied_bytes`` are replaced.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ def _line_keys(kind: str, min_words: int):
         from xxhash import xxh3_64_intdigest as digest
 
         for b in batches:
-            at, no, rows, short = [], [], [], []
+            at, no, rows, short, size = [], [], [], [], []
             for i, text in enumerate(b.column(2)):
                 for k, line in enumerate(_lines(text.as_py())):
                     words = line.split()
@@ -86,14 +86,15 @@ def _line_keys(kind: str, min_words: int):
                         at.append(i)
                         no.append(k)
                         short.append(len(words) < min_words)
+                        size.append(len(whole) - len(words) + 1)
                         rows.append([digest(whole), digest(whole, 1), *([0] * 4 if short[-1] else half_keys(words))])
             keys = np.array(rows, np.uint64).reshape(-1, 6).view(np.int64).T
             keys = [*map(pa.array, keys[:2]), *(pa.array(k, mask=np.array(short, bool)) for k in keys[2:])]   # short lines have no halves
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(no, pa.int32()), *keys],
-                                             ["id", "text_key", "no", "h1", "h2", "k0", "k1", "k2", "k3"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(no, pa.int32()), pa.array(size, pa.int32()), *keys],
+                                             ["id", "text_key", "no", "size", "h1", "h2", "k0", "k1", "k2", "k3"])
 
-    return run, f"id {kind}, text_key long, no int, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long"
+    return run, f"id {kind}, text_key long, no int, size int, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long"
 
 
 def _lines(text: str | None) -> list[bytes]:
@@ -130,7 +131,8 @@ def _emit(batches: Iterator) -> Iterator:
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, text_key, removed): the numbers, from 0, of the lines of each document that go."""
+    """(id, text_key, removed, copied): the numbers, from 0, of the lines of each document that go, and how many of their bytes
+    (white space aside) have their earliest copies in one and the same other document, at most."""
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("_text"))
     lines = stored(texts.mapInArrow(*_line_keys(kind, min_words)), "lines")
@@ -163,22 +165,29 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.Series([within_one(bytes(x).split(), bytes(y).split()) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     near = (pairs.join(words.toDF("pos", "a"), "pos").join(words.toDF("partner", "b"), "partner")
-            .where(verified("a", "b")).select("pos").distinct().withColumn("near", F.lit(True)))
+            .where(verified("a", "b")).groupBy("pos").agg(F.min("partner").alias("near")))
     first = classes.join(near, "pos", "left").select("h1", "h2", "pos", "near")
     gone = lines.join(first, ["h1", "h2"]).where(F.col("near").isNotNull() | (F.col("pos") < pos))
-    return gone.groupBy("id", "text_key").agg(F.collect_set("no").alias("removed"))       # at most a document's lines
+    gone = gone.select("id", "text_key", "no", "size", F.when(F.col("pos") < pos, F.col("pos.id")).otherwise(F.col("near.id")).alias("of"))
+    # One exchange for both sums: by document and source, then by document.
+    by = gone.repartition("id", "text_key").groupBy("id", "text_key", "of").agg(F.collect_set("no").alias("nos"), F.sum("size").alias("size"))
+    other = F.when(~F.col("of").eqNullSafe(F.col("id")), F.col("size"))
+    return by.groupBy("id", "text_key").agg(F.flatten(F.collect_list("nos")).alias("removed"),       # at most a document's lines
+                                            F.coalesce(F.max(other), F.lit(0)).alias("copied"))
 
 
 def dedupe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without the repeated lines, and with _line_count and _removed_lines (of the text as it came)."""
-    removed = repeated_lines(docs, id_col, text_col, min_words).toDF("_rid_", "_rkey_", "_gone_")
+    """``docs`` without the repeated lines, and with _line_count, _removed_lines and _copied_bytes (of the text as it came; the last
+    as ``copied`` of ``repeated_lines``)."""
+    removed = repeated_lines(docs, id_col, text_col, min_words).toDF("_rid_", "_rkey_", "_gone_", "_copied_")
     inner = F.struct(*docs.columns).alias("_doc_")                    # so that no column of the input clashes with these
     out = docs.select(inner, F.xxhash64(text_col).alias("_tkey_")).join(
         removed, (F.col("_tkey_") == F.col("_rkey_")) & F.col(f"_doc_.`{id_col}`").eqNullSafe(F.col("_rid_")), "left")
     lines = F.split(F.col(f"_doc_.`{text_col}`"), "\n", -1)
-    out = out.select("_doc_", "_gone_", F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_n_"), F.when(F.col("_gone_").isNotNull(), lines).alias("_all_"))
+    out = out.select("_doc_", "_gone_", "_copied_", F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_n_"), F.when(F.col("_gone_").isNotNull(), lines).alias("_all_"))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(_all_) - 1), _gone_), i -> _all_[i]), '\n')")
     text = F.when(F.col("_gone_").isNotNull(), kept).otherwise(F.col(f"_doc_.`{text_col}`"))
-    rest = [c for c in docs.columns if c not in ("_line_count", "_removed_lines")]
+    rest = [c for c in docs.columns if c not in ("_line_count", "_removed_lines", "_copied_bytes")]
     return out.select(*[text.alias(c) if c == text_col else F.col(f"_doc_.`{c}`").alias(c) for c in rest],
-                      F.col("_n_").alias("_line_count"), F.coalesce(F.size("_gone_"), F.lit(0)).cast("long").alias("_removed_lines"))
+                      F.col("_n_").alias("_line_count"), F.coalesce(F.size("_gone_"), F.lit(0)).cast("long").alias("_removed_lines"),
+                      F.coalesce("_copied_", F.lit(0)).cast("long").alias("_copied_bytes"))
