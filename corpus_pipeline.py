@@ -19,8 +19,8 @@ from gradebook.llm.common import stored, table, without_space
 from gradebook.llm.queries import tokenizer_path
 
 
-#: A document that keeps less than this share of its characters (white space aside) when repeated lines go was a copy for the most part.
-LEAST_LEFT = 0.5
+#: A document that has this share of its bytes (white space aside) in lines that repeat, or nearly repeat, lines of one earlier document is its copy.
+COPIED = 0.5
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -47,12 +47,13 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go, from ``MIN_WORDS`` words on also those that nearly do.  A document that keeps less than
-    ``LEAST_LEFT`` of itself, or no word, goes with them: fragments of a copy are no document, and the next stage could not
-    tell them from one."""
+    """Lines that repeat an earlier line go, from ``MIN_WORDS`` words on also those that nearly do.  A document that loses all its words
+    goes with them, and so does a copy of one earlier document (``COPIED``): what is left of it is the changed lines, and the next
+    stage could not tell from these what they were.  Lines that many documents share cost a document those lines only."""
     rows = line_dedup.dedupe_lines(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
-    size = lambda c: F.length(without_space(F.col(c)))
-    rows = rows.where((F.col("_removed_lines") == 0) | (size("text") >= F.greatest(F.lit(1), F.ceil(size("row.text") * LEAST_LEFT))))
+    full = F.octet_length(without_space(F.col("row.text")))
+    lost = (F.length(without_space(F.col("text"))) == 0) | (F.col("_copied_bytes") >= full * COPIED)
+    rows = rows.where((F.col("_removed_lines") == 0) | ~lost)
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("_removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
