@@ -165,6 +165,22 @@ def test_share_cut_is_exact_for_any_values_and_partitions(spark, held):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+def test_share_cut_tells_the_groups_of_a_batch_together(spark):
+    """2,500 groups of four rows in one partition: a few batches, not one for every group."""
+    from fractions import Fraction
+
+    from gradebook.operators.shares import _first_pass
+
+    def batches(rows):
+        import pyarrow as pa
+        yield pa.RecordBatch.from_arrays([pa.array([b.num_rows for b in _first_pass(Fraction("0.6"), 0, 1, 1 << 20)(rows)], pa.int64())], ["n"])
+
+    rows = spark.range(10_000).selectExpr("id div 4 as g", "double(4 - id % 4) as v").coalesce(1).sortWithinPartitions("g", F.desc("v"))
+    sizes = [r.n for r in rows.mapInArrow(batches, "n long").collect()]
+    # 4 + 3 of 10 are kept (the 3 begins at 0.4, the 2 at 0.7); the first and last group are left to the second pass whole.
+    assert sum(sizes) == 2_498 * 2 + 8 and len(sizes) < 20
+
+
 def test_share_cut_of_nothing(spark):
     from gradebook.operators.shares import cumulative_share_cut
     out = cumulative_share_cut(spark.createDataFrame([], "g long, id long, v double"), "g", "v", 0.5, ["id"])
