@@ -106,8 +106,9 @@ def test_near_copies_do_not_stay_as_fragments(spark):
 
 def test_lines_of_many_documents_cost_only_those_lines(spark):
     """Half of a page in lines that other pages share, each from another page: the page stays without them."""
-    shared = [f"shared line {i} with a few more words that make it as long as that" for i in range(6)]
-    rows = [(i, f"{shared[i]}\nthe own text of page {i} and nothing else but that") for i in range(6)]
+    # Two words differ between the lines of two pages: those that differ in one are near copies.
+    shared = [f"shared line {i} with a few more words that make line {i} as long as that" for i in range(6)]
+    rows = [(i, f"{shared[i]}\nthe own text of page {i} and nothing else but page {i}") for i in range(6)]
     rows += [(10, "\n".join(shared) + "\nits own text, a line"), (11, rows[2][1] + "\nand a little more")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     out = {r.doc_id: r.text for r in C.drop_repeated_lines(spark, docs, SF).collect()}
